@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan
+from . import license_scan, simhash
 from .common import table
 
 
@@ -41,8 +41,13 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM words LEFT JOIN b USING (rid) LEFT JOIN l USING (rid)"""
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_license_scan": op2_license_scan}
+    return {"op2_license_scan": op2_license_scan, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
