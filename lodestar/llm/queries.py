@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, media, simhash
+from . import license_scan, line_dedup, media, packing, simhash
 from .common import table
 
 
@@ -45,6 +46,10 @@ def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_keep_bitmaps(docs, line_dedup.line_keep_bitmaps(docs))
@@ -68,7 +73,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op6_line_dedup": op6_line_dedup, "op10_simhash": op10_simhash}
+    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op6_line_dedup": op6_line_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
