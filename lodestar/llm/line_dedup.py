@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, texts
+from .common import ascii_lower, texts, written
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
@@ -39,6 +39,7 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, i
     keyed = lines.where(F.char_length("line") >= min_chars).select(
         "doc_id", "text_hash", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice")
     )
+    keyed = written(keyed)  # hashes of lines, which the bounds of the ranges, the ranges and the join below all read
     ranged = keyed.repartitionByRange("h", "slice").sortWithinPartitions("h", "slice", F.desc("doc_id"), "pos")
     stream = Window.partitionBy("h", "slice").orderBy(F.desc("doc_id"), "pos")
     first_in_doc = F.when(F.col("doc_id") == F.lag("doc_id").over(stream), 0).otherwise(1)
