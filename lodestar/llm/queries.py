@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, line_dedup, media, packing, quality, simhash, toxicity
+from . import decontamination, license_scan, line_dedup, media, packing, quality, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -83,13 +83,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op4_toxicity_chain": op4_toxicity_chain, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination, "op10_simhash": op10_simhash}
+    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op4_toxicity_chain": op4_toxicity_chain, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
