@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, line_dedup, media, packing, quality, simhash, token_counts, toxicity
+from . import decontamination, license_scan, line_dedup, media, packing, quality, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -78,6 +78,22 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM m GROUP BY rid, doc_id"""
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring_dedup.without_repeats(docs, substring_dedup.repeated_windows(docs))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, rid, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM docs)),
+least AS (SELECT md5(k) AS k, min(doc_id) AS least FROM win GROUP BY 1),
+cov AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS i FROM win JOIN least ON md5(win.k) = least.k WHERE least < doc_id),
+gone AS (SELECT rid, list(i) AS g, count(*) AS n FROM cov GROUP BY rid),
+kept AS (SELECT docs.rid, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs) docs ANTI JOIN cov USING (rid, i) GROUP BY docs.rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaked (document, item) pairs."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -93,8 +109,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op4_toxicity_chain": op4_toxicity_chain, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op8_decontamination": op8_decontamination, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
+    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op4_toxicity_chain": op4_toxicity_chain, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontamination": op8_decontamination, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": op2_sql(), "op6_line_dedup": OP6_SQL}
+    return {"op2_license_scan": op2_sql(), "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
