@@ -13,6 +13,8 @@ table gives an empty result. Columns besides the id and the text are not looked
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from array import array
 
@@ -24,7 +26,13 @@ from pyspark.sql import functions as F
 from .common import map_rows, slices, texts, utf8, written
 
 #: Words of which a worker keeps the ids; beyond it the cache starts anew.
-CACHE = 300_000
+CACHE = 700_000
+
+#: A-Z in lower case, as the tokenizer has them.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+#: Where an ASCII letter or digit meets ASCII punctuation other than an apostrophe, which may begin a contraction.
+BORDER = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
 
 #: Salts of a length.
 SALTS = 64
@@ -35,6 +43,7 @@ _workers: dict[str, tuple] = {}
 def _ids_of_words(path: str):
     """The tokenizer at path and a worker's cache of words (runs without ASCII white space) and their ids' bytes."""
     if path not in _workers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         _workers[path] = (Tokenizer.from_file(path), {})
@@ -42,9 +51,14 @@ def _ids_of_words(path: str):
 
 
 def token_ids(batch: list[bytes], path: str) -> list[bytes]:
-    """Ids of texts as little-endian unsigned 32-bit numbers, for a tokenizer that drops white space and never joins across it."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.
+
+    The tokenizer must be one that lower-cases, drops white space, and lets no token span white space or the border of letters
+    or digits and punctuation: then a text's ids are those of its parts, and a worker asks for each part once. Texts with
+    a special token's string are cut at white space only.
+    """
     tokenizer, cache = _ids_of_words(path)
-    words = [data.split() for data in batch]
+    words = [(data if b"<|" in data else BORDER.sub(b" ", data.translate(LOWER))).split() for data in batch]
     different: set[bytes] = set()
     for w in words:
         different.update(w)
