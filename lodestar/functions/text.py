@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: the name space of URL identifiers (RFC 4122).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -59,13 +60,13 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     """Compatibility-composed and case-folded; null becomes the empty text."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold() if isinstance(x, str) else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """Letters without their diacritics, in lower case."""
     return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c)) if isinstance(x, str) else None)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import tokens
 
@@ -268,7 +269,7 @@ def snippets(rows: DataFrame, query: str, text_col: str = "focus_text", size: in
             last = m.end()
         return ("…" if at else "") + "".join(out) + ("…" if at + size < len(found) else text[last:])
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def snippet(s: pd.Series) -> pd.Series:
         return s.map(cut)
 
