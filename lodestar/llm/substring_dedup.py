@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from .words import mixed, windows, word_hashes
 SIZE, SEED = 13, 5
 
 #: Bits of the bitmap for each shared minimiser, and in all at most (32 MB); beyond it, minimisers are joined.
-BITS_EACH, MAX_BITS = 16, 1 << 28
+BITS_EACH, MAX_BITS = 32, 1 << 28
 
 #: Different segments of a route, and of an index.
 ROUTE, PART = 2000, 12_000
@@ -270,7 +271,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col
         found = _segments(rows.join(own, "doc_id").select("doc_id", "text_hash", "text", "shared"), None, size, seed)
     found = written(found)
     different = written(found.groupBy("route", "key").agg(F.min("doc_id").alias("least"), F.first("words", ignorenulls=True).alias("words")))
-    common = different.groupBy("route").count().where(F.col("count") > ROUTE).select("route")
+    common = written(different.groupBy("route").count().where(F.col("count") > ROUTE).select("route"))  # its size is known from here on: segments need no shuffle to meet a few routes
     rare = different.join(common, "route", "left_anti")
     single = _single_windows(different.join(common, "route"), size)
     places = single.select("seg_route", "seg_key", "place", "route", "key")
@@ -286,13 +287,20 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col
 
 def without_repeats(docs: DataFrame, repeats: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, text): each row's words that no repeated window covers, joined by one space."""
-    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+    def small(batch: pa.RecordBatch) -> dict:
+        pack = zstandard.ZstdCompressor(level=3)
+        return {"doc_id": batch.column(0), "text_hash": batch.column(1), "packed": pa.array([pack.compress(x) for x in utf8(batch.column(2))], pa.binary())}
+
+    packed = map_rows(rows, small, "doc_id long, text_hash long, packed binary")  # texts cross the network once, compressed
+    joined = packed.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "packed", "starts")
 
     def one(batch: pa.RecordBatch) -> dict:
         out: list[list] = [[], [], []]
-        for data, starts in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = data.split()
+        unpack = zstandard.ZstdDecompressor()
+        for data, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            words = unpack.decompress(data).split()
             kept = words
             if starts:
                 edge = np.zeros(len(words) + 1, np.int64)
