@@ -195,8 +195,7 @@ def match(post: DataFrame, query: str, id_cols: tuple[str, ...] = ("unit_id",),
             some = F.lit(False)
             for m in range(len(columns)):
                 every = F.size(f"p{mine[0]}_{m}") > 0
-                first = lambda x, m=m: _all_near(x, mine, m, tree, phrases)
-                some = some | (every & F.exists(F.col(f"p{mine[0]}_{m}"), first))
+                some = some | (every & F.exists(F.col(f"p{mine[0]}_{m}"), _near(mine, m, tree, phrases)))
             return some
         left, right = holds(tree.left), holds(tree.right)
         return left & right if tree.kind == "and" else left | right if tree.kind == "or" else left & ~right
@@ -204,12 +203,19 @@ def match(post: DataFrame, query: str, id_cols: tuple[str, ...] = ("unit_id",),
     return together.where(holds(tree)).select(*id_cols, "length", *[f"tf_{n}" for n in range(len(phrases))])
 
 
-def _all_near(x: Column, numbers: list[int], m: int, tree: Near, phrases: list[Phrase]) -> Column:
-    ok = F.lit(True)
-    for n in numbers[1:]:
-        size, first = len(phrases[n].words), len(phrases[numbers[0]].words)
-        ok = ok & F.exists(F.col(f"p{n}_{m}"), lambda y, size=size, first=first: F.when(y >= x, y - (x + first)).otherwise(x - (y + size)) <= tree.distance)
-    return ok
+def _near(numbers: list[int], m: int, tree: Near, phrases: list[Phrase]):
+    """Whether all other phrases have a place near a place of the first one, as a function of that place."""
+
+    def all_near(x: Column) -> Column:
+        ok = F.lit(True)
+        for n in numbers[1:]:
+            ok = ok & F.exists(F.col(f"p{n}_{m}"), gap(x, len(phrases[numbers[0]].words), len(phrases[n].words)))
+        return ok
+
+    def gap(x: Column, first: int, size: int):
+        return lambda y: F.when(y >= x, y - (x + first)).otherwise(x - (y + size)) <= tree.distance
+
+    return all_near
 
 
 def bm25(post: DataFrame, query: str, n_units: int, mean_length: float, weights: tuple[float, float] = (1.0, 1.0), id_cols: tuple[str, ...] = ("unit_id",), columns: tuple[str, ...] = ("focus_text", "context_only_text")) -> DataFrame:

@@ -52,7 +52,7 @@ def normalize(envelopes: DataFrame) -> DataFrame:
     body = F.when(submission, F.coalesce(_text(v, "selftext"), F.lit(""))).otherwise(_text(v, "body"))
     return e.select(
         named.alias("fullname"), F.col("source_kind").alias("kind"), F.when(submission, named).otherwise(link).alias("thread_fullname"), parent.alias("parent_fullname"),
-        title.alias("raw_title"), body.alias("raw_body"), _text(v, "subreddit").alias("subreddit"), time.cast("bigint").alias("created_utc"), revision_id(title, body).alias("source_revision_id"),
+        title.alias("raw_title"), body.alias("raw_body"), _text(v, "subreddit").alias("subreddit"), F.when(number("created_utc") & (time == F.floor(time)), time.cast("bigint")).alias("created_utc"), revision_id(title, body).alias("source_revision_id"),
         _text(v, "permalink").alias("permalink"), F.array(F.struct("source_id", "line_number")).alias("provenance"),
         F.when(number("score"), F.try_variant_get(v, "$.score", "double")).alias("archive_score"), F.when(_kind(v, "$.depth") == "BIGINT", F.try_variant_get(v, "$.depth", "bigint")).alias("depth"),
         F.array().cast("array<string>").alias("selection_channels"), F.array().cast("array<string>").alias("matched_rule_ids"), error.alias("norm_error"),
