@@ -24,8 +24,8 @@ def query(sql: str | None = None):
 
     def put(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"WITH {t.MESSAGES_SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {t.MESSAGES_SQL.strip()}\n{sql}"
+        if sql:  # it goes on after the shared tables: with a comma for more of them
+            SQL[f.__name__] = f"WITH RECURSIVE {t.MESSAGES_SQL.strip()}\n{sql}"
         return f
 
     return put
@@ -645,3 +645,200 @@ def grouping_audit(spark, sf_dir):
 def shared_shingle_groups(spark, sf_dir):
     e = similarity.shared_shingle_edges(_pool_texts(spark, sf_dir).where("length(text) < 600"), unicode=False)
     return e.groupBy("relation").agg(F.count("*").alias("edges"))
+
+
+# Pools, review, labels ----------------------------------------------------------------------------------------------------------
+
+
+def _runs(spark, sf_dir):
+    """Ranked runs: documents by hash for three scenarios, some of them in several."""
+    d = t.document_messages(spark, sf_dir)
+    out = None
+    for k, name in enumerate(("s-a", "s-b", "s-c")):
+        one = messages.top_by_hash(d, 40, 10 + k).select(F.col("fullname").alias("candidate_id"), F.lit(name).alias("scenario_id"), F.row_number().over(fusion.Window.orderBy(stable_rank(10 + k, F.col("fullname")))).alias("rank"), F.lit(f"{name}.jsonl").alias("run"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("score", (-F.col("rank")).cast("double"))
+
+
+_RUNS_SQL = ", " + ", ".join(f"r{k} AS (SELECT fullname AS candidate_id, '{n}' AS scenario_id, row_number() OVER (ORDER BY sha256('{10 + k}' || chr(0) || fullname)) AS rank FROM dm QUALIFY rank <= 40)" for k, n in enumerate(("s-a", "s-b", "s-c"))) + ", rn AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
+
+_POOL_SQL = _RUNS_SQL + """, ct AS (SELECT thread_fullname AS candidate_id FROM cm WHERE turn = 0 UNION SELECT candidate_id FROM r0), ctl AS (SELECT candidate_id, sha256('20260912' || chr(0) || 'control' || chr(0) || candidate_id) AS k FROM ct WHERE candidate_id NOT IN (SELECT candidate_id FROM rn)),
+room AS (SELECT 90 - least(count(*), 30) AS room FROM ctl),
+rk AS (SELECT *, row_number() OVER (ORDER BY sha256('20260912' || chr(0) || 'ranked' || chr(0) || candidate_id || chr(0) || scenario_id), candidate_id, scenario_id) AS o FROM rn),
+a AS (SELECT rk.* FROM rk, room WHERE o <= room), b AS (SELECT candidate_id, row_number() OVER (ORDER BY k, candidate_id) AS o FROM ctl),
+pl AS (SELECT candidate_id, scenario_id, CASE WHEN rank <= 3 THEN 'strong' ELSE 'adjacent' END AS stratum, false AS is_control, rank, o FROM a UNION ALL SELECT candidate_id, NULL, 'unknown', true, NULL, o FROM b WHERE o <= 90 - (SELECT count(*) FROM a)),
+pool AS (SELECT *, row_number() OVER (ORDER BY is_control, o) AS pool_order FROM pl)
+"""
+
+
+def _pool(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    controls = t.conversation_messages(spark, sf_dir).where("kind = 'submission'").select(F.col("fullname").alias("candidate_id")).unionByName(r.where("scenario_id = 's-a'").select("candidate_id"))
+    return pooling.blinded_pool(r, controls, 90, SEED)
+
+
+@query(_POOL_SQL + "SELECT printf('pool-%04d', pool_order) AS pool_id, candidate_id, scenario_id, stratum, is_control, rank::BIGINT AS rank FROM pool")
+def blinded_pool(spark, sf_dir):
+    return _pool(spark, sf_dir).select("pool_id", "candidate_id", "scenario_id", "stratum", "is_control", "rank")
+
+
+@query(_POOL_SQL + "SELECT stratum, CASE WHEN is_control THEN 'control' ELSE 'ranked' END AS source_kind, count(*)::BIGINT AS n FROM pool GROUP BY 1, 2")
+def pool_key(spark, sf_dir):
+    return pooling.pool_key(_pool(spark, sf_dir)).groupBy("stratum", "source_kind").agg(F.count("*").alias("n"))
+
+
+@query(_POOL_SQL + "SELECT printf('pool-%04d', pool_order) AS pool_id, pool_order::INTEGER AS pool_order, candidate_id, scenario_id FROM pool")
+def reviewer_rows(spark, sf_dir):
+    return pooling.reviewer_rows(_pool(spark, sf_dir))
+
+
+@query(_POOL_SQL + ", tn AS (SELECT *, row_number() OVER (PARTITION BY is_control ORDER BY pool_order) AS turn FROM pool) SELECT candidate_id, scenario_id, row_number() OVER (ORDER BY turn, is_control)::INTEGER AS card_order FROM tn")
+def pool_interleave(spark, sf_dir):
+    return pooling.interleaved(_pool(spark, sf_dir)).select("candidate_id", "scenario_id", "card_order")
+
+
+@query(_POOL_SQL + "SELECT candidate_id, scenario_id, CASE WHEN candidate_id LIKE 't3_d%' THEN candidate_id ELSE 'kept:' || candidate_id END AS message_fullname FROM pool")
+def retained_sources(spark, sf_dir):
+    p = _pool(spark, sf_dir)
+    kept = p.where("is_control").select("candidate_id", F.concat(F.lit("kept:"), "candidate_id").alias("message_fullname")).distinct()
+    return pooling.retained_sources(p, _document_units(spark, sf_dir), kept).select("candidate_id", "scenario_id", "message_fullname")
+
+
+@query(_POOL_SQL + "SELECT candidate_id, scenario_id, sha256(CASE WHEN is_control THEN coalesce(nullif(cm.raw_body, ''), 'title') ELSE dm.raw_body END) AS text_digest FROM pool LEFT JOIN dm ON dm.fullname = candidate_id LEFT JOIN cm ON cm.fullname = candidate_id")
+def pool_source_text(spark, sf_dir):
+    d = t.document_messages(spark, sf_dir).select(F.col("fullname").alias("candidate_id"), F.col("raw_body").alias("focus_text"))
+    c = t.conversation_messages(spark, sf_dir).select(F.col("fullname").alias("candidate_id"), "raw_body", F.lit("title").alias("raw_title"))
+    rows = _pool(spark, sf_dir).join(d, "candidate_id", "left").join(c, "candidate_id", "left")
+    return pooling.source_text(rows).select("candidate_id", "scenario_id", sha_hex(F.col("source_text")).alias("text_digest"))
+
+
+@query("""SELECT fullname, CASE WHEN doc_id % 3 = 0 THEN false WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id % 2 = 0 END AS context_complete FROM dm""")
+def context_completeness(spark, sf_dir):
+    n = F.col("created_utc")
+    c = pooling.context_complete(F.when(n % 5 != 0, n % 2 == 0), F.lit(None).cast("boolean"), n % 3 == 0, F.lit(None).cast("array<string>"))
+    return t.document_messages(spark, sf_dir).select("fullname", c.alias("context_complete"))
+
+
+def _cards(spark, sf_dir):
+    found = messages.discover(t.document_messages(spark, sf_dir), RULES)
+    return review.cards(found, stable_rank(SEED, F.col("fullname")))
+
+
+_CARD_SQL = f", crd AS (SELECT fullname AS candidate_id, list_filter([CASE WHEN {_RULE_SQL} THEN 'licence' END, CASE WHEN {_INSULT_SQL} THEN 'insult' END], lambda x: x IS NOT NULL) AS rules, row_number() OVER (ORDER BY sha256('20260912' || chr(0) || fullname)) AS o, raw_body, source_revision_id FROM dm WHERE ({_RULE_SQL}) OR {_INSULT_SQL})"
+
+
+@query(_CARD_SQL + " SELECT candidate_id, o::BIGINT AS selection_order, array_to_string(rules, ',') AS rules, sha256(raw_body) AS text_digest FROM crd")
+def review_cards(spark, sf_dir):
+    return _cards(spark, sf_dir).select("candidate_id", "selection_order", joined("matched_rule_ids").alias("rules"), sha_hex(F.col("source.text")).alias("text_digest"))
+
+
+_QUEUE_SQL = _CARD_SQL + """, br AS (SELECT candidate_id, o, unnest(rules) AS rule FROM crd), cnt AS (SELECT rule, count(*) AS n, row_number() OVER (ORDER BY count(*), rule) AS step FROM br GROUP BY rule), nr AS (SELECT count(*) AS k FROM cnt),
+q1 AS (SELECT candidate_id, o, rule, 1 AS step FROM br JOIN cnt USING (rule), nr WHERE step = 1 QUALIFY row_number() OVER (ORDER BY o) <= 31 // k + (31 % k >= 1)::INTEGER),
+q2 AS (SELECT candidate_id, o, rule, 2 AS step FROM br JOIN cnt USING (rule), nr WHERE step = 2 AND candidate_id NOT IN (SELECT candidate_id FROM q1) QUALIFY row_number() OVER (ORDER BY o) <= 31 // k + (31 % k >= 2)::INTEGER),
+qq AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2), fill AS (SELECT candidate_id, o, NULL AS rule, 3 AS step FROM crd WHERE candidate_id NOT IN (SELECT candidate_id FROM qq) QUALIFY row_number() OVER (ORDER BY o) <= 31 - (SELECT count(*) FROM qq)),
+qu AS (SELECT candidate_id, rule AS rule_id, row_number() OVER (ORDER BY step, o)::BIGINT AS queue_order FROM (SELECT * FROM qq UNION ALL SELECT * FROM fill))
+"""
+
+
+@query(_QUEUE_SQL + "SELECT candidate_id, queue_order, rule_id FROM qu")
+def review_queue(spark, sf_dir):
+    return review.balanced_queue(written(_cards(spark, sf_dir)), 31).select("candidate_id", "queue_order", "rule_id")
+
+
+@query(_QUEUE_SQL + "SELECT candidate_id, queue_order, 'pending' AS review_status FROM qu")
+def review_worksheet(spark, sf_dir):
+    return review.worksheet(review.balanced_queue(written(_cards(spark, sf_dir)), 31)).select("candidate_id", "queue_order", "review_status")
+
+
+def _drafts(card_rows):
+    """Machine drafts of the cards, some of them wrong, by selection order."""
+    o = F.col("selection_order")
+    text = F.col("source.text")
+    quote = F.when(o % 7 == 0, F.lit("not there")).otherwise(F.substring(text, 2, 4))
+    end = F.when(o % 11 == 0, F.length(text) + 1).otherwise(F.lit(5)).cast("bigint")
+    item = F.struct(F.when(o % 13 == 0, "t3_other").otherwise(F.col("source.message_fullname")).alias("message_fullname"), "source.source_revision_id", F.col("source.field").alias("field"), F.lit(1).cast("bigint").alias("start"), end.alias("end"), quote.alias("quote"), F.lit("topic_fit").alias("supports"), F.lit("focal_author").alias("attribution"))
+    fit = F.when(o % 4 == 0, "relevant").when(o % 4 == 1, "uncertain").when(o % 4 == 2, "not_relevant").otherwise("odd")
+    evidence = F.when(o % 8 == 0, F.array().cast(f"array<{'struct<message_fullname:string,source_revision_id:string,field:string,start:bigint,end:bigint,quote:string,supports:string,attribution:string>'}>")).otherwise(F.array(item))
+    return card_rows.where(o % 9 != 0).select("candidate_id", "scenario_id", fit.alias("topic_fit"), evidence.alias("evidence"), o.alias("row"))
+
+
+_DRAFT_SQL = _CARD_SQL + """, dr AS (SELECT candidate_id, o, CASE o % 4 WHEN 0 THEN 'relevant' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'not_relevant' ELSE 'odd' END AS topic_fit,
+  CASE WHEN o % 8 = 0 THEN NULL WHEN o % 13 = 0 THEN 'message' WHEN o % 11 = 0 THEN 'end' WHEN o % 7 = 0 OR length(raw_body) < 5 THEN 'quote' END AS bad, o % 8 = 0 AS none FROM crd WHERE o % 9 <> 0),
+va AS (SELECT candidate_id, o, concat_ws(',', CASE WHEN none AND topic_fit = 'relevant' THEN 'no_evidence' END, bad) AS failures FROM dr UNION ALL SELECT candidate_id, o, 'missing' FROM crd WHERE o % 9 = 0)
+"""
+
+
+@query(_DRAFT_SQL + "SELECT candidate_id, CASE WHEN failures = '' THEN 'valid' ELSE 'invalid' END AS validation_status, failures FROM va")
+def validate_drafts(spark, sf_dir):
+    c = written(_cards(spark, sf_dir))
+    return review.validate_drafts(c, _drafts(c)).select("candidate_id", "validation_status", joined("failures").alias("failures"))
+
+
+@query(_DRAFT_SQL + """, vs AS (SELECT candidate_id, o, CASE WHEN failures = '' THEN 'valid' ELSE 'invalid' END AS v FROM va WHERE o % 5 <> 0),
+tr AS (SELECT crd.candidate_id, topic_fit, CASE WHEN dr.candidate_id IS NULL THEN 'missing_draft' WHEN v IS NULL THEN 'missing_validation' WHEN v <> 'valid' THEN 'invalid_evidence' WHEN topic_fit IN ('relevant', 'uncertain') THEN 'model_' || topic_fit
+  WHEN topic_fit = 'not_relevant' AND (('0x' || substr(sha256('20260912' || chr(0) || crd.candidate_id || chr(0)), 1, 16))::UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE < 0.3 THEN 'seeded_negative_audit' WHEN topic_fit = 'not_relevant' THEN 'validated_negative' ELSE 'invalid_topic_fit' END AS reason
+  FROM crd LEFT JOIN dr USING (candidate_id) LEFT JOIN vs ON vs.candidate_id = crd.candidate_id)
+SELECT candidate_id, CASE reason WHEN 'seeded_negative_audit' THEN 'negative_audit' WHEN 'validated_negative' THEN 'not_selected' ELSE 'human_review' END AS triage_status, reason, topic_fit AS model_topic_fit FROM tr""")
+def triage(spark, sf_dir):
+    c = written(_cards(spark, sf_dir))
+    d = _drafts(c)
+    v = review.validate_drafts(c, d).join(c.select("candidate_id", "selection_order"), "candidate_id").where("selection_order % 5 <> 0")
+    return review.triage(c, d, v, SEED, 0.3).select("candidate_id", "triage_status", "reason", "model_topic_fit")
+
+
+@query(_POOL_SQL + "SELECT candidate_id, scenario_id, 'unknown' AS topic_fit, 'human' AS evaluator_kind FROM pool")
+def label_stubs(spark, sf_dir):
+    return labels.stubs(_pool(spark, sf_dir)).select("candidate_id", "scenario_id", "topic_fit", "evaluator_kind")
+
+
+@query(_POOL_SQL + """, lb AS (SELECT pool_order AS o, candidate_id, scenario_id FROM pool WHERE pool_order % 6 <> 0 UNION ALL SELECT 1000 + pool_order, candidate_id, scenario_id FROM pool WHERE pool_order % 20 = 1 UNION ALL SELECT 5000, 'stranger', 's-a'),
+ck AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, scenario_id ORDER BY o) > 1 AS dup, EXISTS (SELECT 1 FROM pool p WHERE p.candidate_id = lb.candidate_id AND p.scenario_id IS NOT DISTINCT FROM lb.scenario_id) AS inside FROM lb)
+SELECT candidate_id, scenario_id, CASE WHEN o % 10 = 3 THEN 'topic_fit' WHEN o % 14 = 2 THEN concat_ws(',', 'compatible_without_claims') ELSE concat_ws(',', CASE WHEN dup THEN 'duplicate' END, CASE WHEN o % 15 = 4 THEN 'unverified_claim' END, CASE WHEN NOT inside THEN 'not_in_pool' END) END AS failures FROM ck
+UNION ALL SELECT candidate_id, scenario_id, 'missing' FROM pool WHERE pool_order % 6 = 0""")
+def label_import(spark, sf_dir):
+    p = written(_pool(spark, sf_dir))
+    o = F.col("row")
+    stem = p.select("candidate_id", "scenario_id", F.col("pool_order").cast("bigint").alias("row"))
+    rows = stem.where("row % 6 <> 0").unionByName(stem.where("row % 20 = 1").withColumn("row", o + 1000)).unionByName(spark.createDataFrame([("stranger", "s-a", 5000)], "candidate_id string, scenario_id string, row bigint"))
+    filled = rows.select("*", F.when(o % 10 == 3, "maybe").otherwise("yes").alias("topic_fit"), F.lit("unknown").alias("speaker_intent"), F.when((o % 10 != 3) & ((o % 14 == 2) | (o % 15 == 4)), "compatible").otherwise("not_evaluated").alias("product_fit"), F.lit("unknown").alias("resolution_in_available_context"), F.lit("human").alias("evaluator_kind"), F.when(o % 14 == 2, F.array().cast("array<string>")).when(o % 15 == 4, F.array(F.lit("c1"), F.lit("c9"))).alias("supported_claim_ids"))
+    return labels.import_labels(p, filled, ["c1", "c2"]).select("candidate_id", "scenario_id", joined("failures").alias("failures"))
+
+
+@query(_QUEUE_SQL + "SELECT candidate_id, CASE queue_order % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS topic_fit, CASE queue_order % 2 WHEN 0 THEN 'clear' ELSE 'needs_clarification' END AS need_clarity FROM qu WHERE queue_order % 4 <> 0")
+def worksheet_labels(spark, sf_dir):
+    q = review.balanced_queue(written(_cards(spark, sf_dir)), 31)
+    o = F.col("queue_order")
+    done = q.withColumn("review_status", F.when(o % 4 == 0, "pending").otherwise("done")).withColumn("topic_fit", F.when(o % 3 == 0, "relevant").when(o % 3 == 1, "not_relevant").otherwise("uncertain")).withColumn("need_clarity", F.when(o % 2 == 0, "clear").otherwise("unclear"))
+    return labels.from_worksheet(done).select("candidate_id", "topic_fit", "need_clarity")
+
+
+@query("""SELECT 't3_d' || doc_id AS candidate_id, CASE doc_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS topic_fit, CASE WHEN doc_id % 5 = 0 THEN 't3_d' || (doc_id + 1) END AS duplicate_of FROM labels WHERE doc_id % 7 <> 0""")
+def legacy_labels(spark, sf_dir):
+    n = F.col("doc_id")
+    rows = t.read(spark, sf_dir, "labels").select(F.concat(F.lit("t3_d"), n.cast("string")).alias("candidate_id"), F.when(n % 3 == 0, "YES").when(n % 3 == 1, "not_relevant").otherwise("perhaps").alias("label"), F.when(n % 7 == 0, "pending").alias("status"), F.lit("").alias("note"), F.when(n % 5 == 0, F.concat(F.lit("t3_d"), (n + 1).cast("string"))).alias("duplicate_of"))
+    found, _, links = labels.from_legacy(rows)
+    return found.join(links, "candidate_id", "left").select("candidate_id", "topic_fit", "duplicate_of")
+
+
+@query(_POOL_SQL + """, ll AS (SELECT pool_order AS o, * EXCLUDE (o) FROM pool)
+SELECT reason AS skip_reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o % 8 = 7 THEN 'non_human_label' WHEN o % 9 = 8 THEN 'target_task_missing' WHEN o % 10 = 9 THEN 'rubric_mismatch' WHEN o % 6 = 5 THEN 'context_dependency_identity_mismatch' WHEN o % 7 = 6 THEN 'source_fingerprint_mismatch' ELSE 'reused' END AS reason FROM ll) GROUP BY 1""")
+def label_reuse(spark, sf_dir):
+    p = written(_pool(spark, sf_dir))
+    o = F.col("pool_order")
+    side = lambda x, f: p.select("candidate_id", "scenario_id", "pool_order", x.alias("context_identity"), f.alias("fingerprint"))
+    source = side(F.lit("c"), F.lit("f"))
+    target = side(F.when(o % 6 == 5, "other").otherwise("c"), F.when(o % 7 == 6, "other").otherwise("f")).where("pool_order % 9 <> 8")
+    given = p.select("candidate_id", "scenario_id", o.alias("row"), F.when(o % 8 == 7, "model").otherwise("human").alias("evaluator_kind"), F.when(o % 10 == 9, "old").otherwise("v1").alias("rubric_version"))
+    return labels.reuse(source, given, target, "v1").groupBy(F.coalesce("skip_reason", F.lit("reused")).alias("skip_reason")).agg(F.count("*").alias("n"))
+
+
+@query(_RUNS_SQL + ", one AS (SELECT candidate_id, count(*) AS n, min(scenario_id) AS s FROM rn GROUP BY candidate_id) SELECT candidate_id, CASE WHEN n = 1 THEN s END AS scenario_id FROM one")
+def scenario_resolution(spark, sf_dir):
+    r = _runs(spark, sf_dir)
+    bare = r.select("candidate_id").distinct().withColumn("scenario_id", F.lit(None).cast("string"))
+    return labels.with_scenario(bare, r)
+
+
+@query(_POOL_SQL + "SELECT field, CASE field WHEN 'snapshot_id' THEN (SELECT count(*) FROM pool) WHEN 'app_id' THEN (SELECT count(scenario_id) FROM pool) ELSE 0 END::BIGINT AS known FROM (SELECT unnest(['snapshot_id', 'app_id', 'app_profile_version', 'app_profile_sha256', 'message_fullname', 'source_revision_id', 'context_recipe_version', 'chunking_version', 'rubric_version', 'content_hash']) AS field)")
+def identity_coverage(spark, sf_dir):
+    return labels.identity_coverage(_pool(spark, sf_dir).withColumn("snapshot_id", F.lit("s1")).withColumn("app_id", F.col("scenario_id")))
