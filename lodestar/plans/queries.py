@@ -842,3 +842,260 @@ def scenario_resolution(spark, sf_dir):
 @query(_POOL_SQL + "SELECT field, CASE field WHEN 'snapshot_id' THEN (SELECT count(*) FROM pool) WHEN 'app_id' THEN (SELECT count(scenario_id) FROM pool) ELSE 0 END::BIGINT AS known FROM (SELECT unnest(['snapshot_id', 'app_id', 'app_profile_version', 'app_profile_sha256', 'message_fullname', 'source_revision_id', 'context_recipe_version', 'chunking_version', 'rubric_version', 'content_hash']) AS field)")
 def identity_coverage(spark, sf_dir):
     return labels.identity_coverage(_pool(spark, sf_dir).withColumn("snapshot_id", F.lit("s1")).withColumn("app_id", F.col("scenario_id")))
+
+
+# Metrics and findings -----------------------------------------------------------------------------------------------------------
+
+
+def _judged(spark, sf_dir):
+    """The runs as a pool of all tasks but every fifth rank, with labels by the candidate's number."""
+    r = _runs(spark, sf_dir).withColumn("n", F.substring("candidate_id", 5, 20).cast("bigint"))
+    pool = r.where("rank % 5 <> 0").select("candidate_id", "scenario_id", F.when(F.col("rank") % 4 == 0, "unknown").otherwise("adjacent").alias("stratum"))
+    given = r.where("n % 3 <> 0").select("candidate_id", "scenario_id", F.when(F.col("n") % 7 == 0, "unknown").when(F.col("n") % 2 == 0, "yes").otherwise("no").alias("topic_fit"), F.when(F.col("n") % 11 == 0, "model").otherwise("human").alias("evaluator_kind"), F.concat(F.lit("v"), (F.col("n") % 2).cast("string")).alias("evaluator_version"))
+    run = metrics.positions(r.select("candidate_id", "scenario_id", "rank", (F.col("n") % 10 != 0).alias("context_complete")))
+    return run, pool, given
+
+
+_JUDGED_SQL = _RUNS_SQL + """, rj AS (SELECT *, substr(candidate_id, 5)::BIGINT AS n FROM rn), pj AS (SELECT * FROM rj WHERE rank % 5 <> 0), lj AS (SELECT candidate_id, scenario_id, CASE WHEN n % 7 = 0 THEN 'unknown' WHEN n % 2 = 0 THEN 'yes' ELSE 'no' END AS topic_fit, n FROM rj WHERE n % 3 <> 0 AND n % 11 <> 0),
+vj AS (SELECT lj.candidate_id, lj.scenario_id, topic_fit AS verdict FROM lj JOIN pj USING (candidate_id, scenario_id) WHERE topic_fit <> 'unknown'),
+mj AS (SELECT rj.scenario_id, count(*) AS returned, count(verdict) AS judged, count(*) FILTER (verdict = 'yes') AS relevant, count(*) FILTER (verdict IS NULL) AS unjudged, count(*) FILTER (rj.rank % 5 = 0) AS outside_pool, count(*) FILTER (verdict = 'yes' AND rj.rank <= 20) AS sr, count(*) FILTER (rj.rank <= 20) AS sl,
+  min(rj.rank) FILTER (verdict = 'yes') AS fr, count(*) FILTER (rj.rank % 4 = 0 AND rj.rank % 5 <> 0) AS context_missing, count(*) FILTER (rj.n % 10 = 0) AS context_truncated FROM rj LEFT JOIN vj ON vj.candidate_id = rj.candidate_id AND vj.scenario_id = rj.scenario_id {where} GROUP BY rj.scenario_id),
+pr AS (SELECT scenario_id, count(*) AS pool_relevant FROM vj WHERE verdict = 'yes' GROUP BY 1)
+"""
+
+_METRICS_SQL = """SELECT scenario_id, returned::BIGINT AS returned, judged::BIGINT AS judged, relevant::BIGINT AS relevant, unjudged::BIGINT AS unjudged, outside_pool::BIGINT AS outside_pool, round(relevant / nullif(judged, 0), 9) AS precision_judged, CASE WHEN judged = returned THEN relevant / returned END AS precision_returned,
+  round(judged / returned, 9) AS judgement_coverage, CASE WHEN sl >= 20 THEN sr / 20.0::DOUBLE END AS precision_slots, coalesce(pool_relevant, 0)::BIGINT AS pool_relevant, round(relevant / nullif(pool_relevant, 0), 9) AS pool_recall, round(1.0::DOUBLE / fr, 9) AS reciprocal_rank,
+  context_missing::BIGINT AS context_missing, context_truncated::BIGINT AS context_truncated FROM mj LEFT JOIN pr USING (scenario_id)"""
+
+_ROUNDED = ("precision_judged", "precision_returned", "judgement_coverage", "precision_slots", "pool_recall", "reciprocal_rank")
+
+
+def _scenario_metrics(spark, sf_dir, split=None):
+    run, pool, given = _judged(spark, sf_dir)
+    return metrics.scenario_metrics(run, metrics.judgements(given, pool), pool, split)
+
+
+@query(_JUDGED_SQL.replace("{where}", "") + _METRICS_SQL)
+def run_metrics(spark, sf_dir):
+    m = _scenario_metrics(spark, sf_dir)
+    return m.withColumns({c: F.round(c, 9) for c in _ROUNDED})
+
+
+@query(_JUDGED_SQL.replace("{where}", "WHERE (rj.n % 2 = 0 AND rj.scenario_id = 's-a') OR rj.n % 3 = 0") + _METRICS_SQL)
+def run_metrics_split(spark, sf_dir):
+    """Metrics of the tasks of a split, which holds some tasks and some candidates in all scenarios."""
+    r = _runs(spark, sf_dir).withColumn("n", F.substring("candidate_id", 5, 20).cast("bigint"))
+    split = r.where("n % 2 = 0 AND scenario_id = 's-a'").select("candidate_id", "scenario_id").unionByName(r.where("n % 3 = 0").select("candidate_id", F.lit(None).cast("string").alias("scenario_id")))
+    return _scenario_metrics(spark, sf_dir, split).withColumns({c: F.round(c, 9) for c in _ROUNDED})
+
+
+@query(_JUDGED_SQL.replace("{where}", "") + """SELECT count(*)::BIGINT AS scenarios, sum(returned)::BIGINT AS returned, sum(judged)::BIGINT AS judged, sum(relevant)::BIGINT AS relevant, sum(unjudged)::BIGINT AS unjudged, sum(outside_pool)::BIGINT AS outside_pool,
+  sum(coalesce(pool_relevant, 0))::BIGINT AS pool_relevant, sum(context_missing)::BIGINT AS context_missing, sum(context_truncated)::BIGINT AS context_truncated FROM mj LEFT JOIN pr USING (scenario_id)""")
+def metric_totals(spark, sf_dir):
+    return metrics.totals(_scenario_metrics(spark, sf_dir))
+
+
+@query(_JUDGED_SQL.replace("{where}", "") + "SELECT topic_fit, count(*)::BIGINT AS tasks, string_agg(DISTINCT 'v' || (lj.n % 2), ',' ORDER BY 'v' || (lj.n % 2)) AS evaluator_versions FROM lj JOIN pj USING (candidate_id, scenario_id) GROUP BY topic_fit")
+def judgement_coverage(spark, sf_dir):
+    _, pool, given = _judged(spark, sf_dir)
+    return metrics.coverage(given, pool)
+
+
+@query("""SELECT topic_fit, CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'pending' END AS review_status, count(*)::BIGINT AS n FROM jd GROUP BY 1, 2""")
+def topic_report(spark, sf_dir):
+    j = t.judgements(spark, sf_dir)
+    even = F.substring("candidate_id", 5, 20).cast("bigint") % 2 == 0
+    return state.topic_report(j.withColumn("review_status", F.when(even, "done").otherwise("pending")))
+
+
+def _findings(spark, sf_dir):
+    c = _cards(spark, sf_dir)
+    j = t.judgements(spark, sf_dir).join(c.select("candidate_id"), "candidate_id", "left_semi")
+    even = F.substring("candidate_id", 5, 20).cast("bigint") % 2 == 0
+    return metrics.findings(j.withColumn("validation_status", F.when(even, "valid").otherwise("unknown")), c)
+
+
+@query(_CARD_SQL + " SELECT candidate_id, candidate_id AS message_fullname, sha256(raw_body) AS text_digest FROM crd JOIN jd USING (candidate_id) WHERE doc_id % 2 = 0 AND topic_fit = 'yes'")
+def findings(spark, sf_dir):
+    return _findings(spark, sf_dir)[0].select("candidate_id", "message_fullname", sha_hex(F.col("text")).alias("text_digest"))
+
+
+@query(_CARD_SQL + " SELECT CASE WHEN doc_id % 2 <> 0 THEN 'skipped_invalid' WHEN topic_fit <> 'yes' THEN 'skipped_uncertain' ELSE 'finding' END AS state, count(*)::BIGINT AS count FROM crd JOIN jd USING (candidate_id) GROUP BY 1")
+def findings_counts(spark, sf_dir):
+    return _findings(spark, sf_dir)[1]
+
+
+# Audits -------------------------------------------------------------------------------------------------------------------------
+
+
+def _archive(spark, sf_dir):
+    """The archive holds the documents but every ninth, and every tenth twice; the corpus those of odd number, and every fifteenth twice."""
+    d = t.document_messages(spark, sf_dir).withColumn("focus_text", F.col("raw_body")).withColumn("n", F.col("created_utc"))
+    a = d.where("n % 9 <> 0").withColumn("source_id", F.col("subreddit")).withColumn("line", F.col("n"))
+    a = a.unionByName(a.where("n % 10 = 0").withColumn("line", F.col("n") + 1_000_000_000))
+    c = d.where("n % 2 = 1")
+    c = c.unionByName(c.where("n % 15 = 0"))
+    e = d.where("n % 4 <> 3").select(F.col("fullname").alias("exposure_id"), F.when(F.col("n") % 4 == 1, F.col("fullname")).alias("candidate_id"), F.when(F.col("n") % 4 == 0, F.col("fullname")).alias("message_fullname"), "source_revision_id", "thread_fullname", "focus_text")
+    units_ = audit.identities(c.dropDuplicates(["fullname"]).withColumn("unit_id", F.col("fullname")), unicode=False, keep=("unit_id",))
+    return audit.identities(a, unicode=False, keep=("source_id", "line")), audit.identities(c, unicode=False), e, units_
+
+
+_AUDIT_SQL = """, ar AS (SELECT fullname, source_revision_id AS r, lower(raw_body) AS text, subreddit AS source_id, doc_id AS n FROM dm WHERE doc_id % 9 <> 0 UNION ALL SELECT fullname, source_revision_id, lower(raw_body), subreddit, doc_id FROM dm WHERE doc_id % 9 <> 0 AND doc_id % 10 = 0),
+co AS (SELECT fullname, doc_id AS n FROM dm WHERE doc_id % 2 = 1 UNION ALL SELECT fullname, doc_id FROM dm WHERE doc_id % 2 = 1 AND doc_id % 15 = 0),
+ex AS (SELECT fullname AS exposure_id, doc_id AS n, CASE WHEN doc_id % 4 = 2 THEN 0 WHEN doc_id % 9 = 0 THEN 0 WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS m FROM dm WHERE doc_id % 4 <> 3)
+"""
+
+
+@query(_AUDIT_SQL + "SELECT exposure_id, CASE WHEN m = 0 THEN 'unresolved' ELSE 'matched' END AS status, m::BIGINT AS archive_matches FROM ex")
+def archive_match(spark, sf_dir):
+    a, _, e, u = _archive(spark, sf_dir)
+    return audit.match_exposures(audit.resolve_exposures(e, u, unicode=False), a)
+
+
+@query(_AUDIT_SQL + "SELECT source_id, count(*)::BIGINT AS records, count(*) FILTER (n % 2 = 1)::BIGINT AS matched_records FROM ar GROUP BY source_id")
+def archive_coverage(spark, sf_dir):
+    a, c, _, _ = _archive(spark, sf_dir)
+    return audit.coverage(a, c)
+
+
+_COLLISION_SQL = _AUDIT_SQL + ", x AS (SELECT fullname, count(*) AS a FROM ar GROUP BY 1), y AS (SELECT fullname, count(*) AS c FROM co GROUP BY 1)"
+
+
+@query(_COLLISION_SQL + " SELECT fullname, coalesce(a, 0)::BIGINT AS archive_count, coalesce(c, 0)::BIGINT AS corpus_count FROM x FULL JOIN y USING (fullname) WHERE a > 1 OR c > 1")
+def archive_collisions(spark, sf_dir):
+    a, c, _, _ = _archive(spark, sf_dir)
+    return audit.collisions(a, c).select("fullname", "archive_count", "corpus_count")
+
+
+@query(_COLLISION_SQL + " SELECT fullname, a::BIGINT AS archive_count, coalesce(c, 0)::BIGINT AS corpus_count FROM x LEFT JOIN y USING (fullname) WHERE (a > 1 OR c > 1) AND fullname IN (SELECT exposure_id FROM ex WHERE n % 4 IN (0, 1))")
+def partitioned_collisions(spark, sf_dir):
+    """Only records that an exposure could match are looked at, and only identities of the archive are listed."""
+    a, c, e, u = _archive(spark, sf_dir)
+    return audit.collisions(audit.targeted(a, audit.resolve_exposures(e, u, unicode=False)), c, archive_only=True).select("fullname", "archive_count", "corpus_count")
+
+
+@query(_AUDIT_SQL + "SELECT CASE WHEN m = 0 THEN 'unresolved' ELSE 'matched' END AS status, count(*)::BIGINT AS exposures, sum(m)::BIGINT AS archive_matches FROM ex GROUP BY 1")
+def derived_coverage(spark, sf_dir):
+    return audit.derived_coverage(archive_match(spark, sf_dir))
+
+
+@query("""SELECT CASE WHEN doc_id % 3 = 0 THEN 'comment' WHEN doc_id % 3 = 1 THEN 'unknown' ELSE 'submission' END AS source_kind, doc_id % 3 = 2 AND doc_id % 2 = 0 AS corpus_present, count(*)::BIGINT AS n FROM dm GROUP BY 1, 2""")
+def unresolved_diagnosis(spark, sf_dir):
+    u = _document_units(spark, sf_dir)
+    n = F.substring("unit_id", 5, 20).cast("bigint")
+    rows = u.select(F.when(n % 3 == 0, F.concat(F.lit("t1_"), n.cast("string"))).when(n % 3 == 1, "x").otherwise(F.col("message_fullname")).alias("message_fullname"), "source_revision_id")
+    return audit.unresolved_diagnosis(rows, u.where(n % 2 == 0), "s1")
+
+
+# State --------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT fullname AS unit_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 4 <> 1 THEN 'blocked' WHEN doc_id % 4 = 0 THEN 'added' WHEN doc_id % 4 = 1 THEN 'removed' WHEN doc_id % 4 = 2 THEN 'changed' ELSE 'same' END AS state FROM dm""")
+def snapshot_reconciliation(spark, sf_dir):
+    u = _document_units(spark, sf_dir).withColumn("n", F.substring("unit_id", 5, 20).cast("bigint"))
+    now = u.where("n % 4 <> 1").withColumn("content_hash", F.when(F.col("n") % 4 == 2, "new").otherwise(F.col("content_hash")))
+    return state.reconcile(u.where("n % 4 <> 0"), now, u.where("n % 5 = 0"))
+
+
+@query("""SELECT a AS kind, count(*)::BIGINT AS units, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::BIGINT AS large FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'line only' WHEN l_orderkey IS NULL THEN 'order only' ELSE 'both' END AS a, l_quantity FROM lineitem FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey) GROUP BY 1""")
+def reconciliation_at_scale(spark, sf_dir):
+    """The full outer join of reconciliation over larger tables."""
+    lines = t.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    orders = t.read(spark, sf_dir, "orders").select("o_orderkey").where("o_orderkey % 3 <> 0")
+    kind = F.when(F.col("o_orderkey").isNull(), "line only").when(F.col("l_orderkey").isNull(), "order only").otherwise("both")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "full_outer").groupBy(kind.alias("kind")).agg(F.count("*").alias("units"), F.count_if(F.col("l_quantity") > 25).alias("large"))
+
+
+def _outbox(spark, sf_dir):
+    """An outbox from the events, after one round: registered, claimed, completed; some claims are stale."""
+    e = t.read(spark, sf_dir, "events").where("event_id < 300")
+    empty = spark.createDataFrame([], "identity string, scope string, records bigint, status string, observed bigint, deleted bigint, attempts bigint, claimed_at string, updated_at string, error string")
+    rows = e.select(F.concat(F.lit("id-"), F.lpad(F.col("event_id").cast("string"), 5, "0")).alias("identity"), F.col("event_type").alias("scope"), F.col("user_id").cast("bigint").alias("records"))
+    box = state.claim(state.register(empty, rows, "2024-01-01T00:00:00Z"), 100, "2024-01-02T00:00:00Z")
+    n = F.substring("identity", 4, 10).cast("bigint")
+    results = box.where("status = 'in_progress'").where(n % 3 != 0).select("identity", F.lit(5).cast("bigint").alias("observed"), F.lit(4).cast("bigint").alias("deleted"), F.when(n % 3 == 1, "broken").alias("error"))
+    return state.complete(box, results, "2024-01-03T00:00:00Z")
+
+
+_OUTBOX_SQL = """, ob AS (SELECT 'id-' || lpad(event_id::VARCHAR, 5, '0') AS identity, event_id AS n, row_number() OVER (ORDER BY 'id-' || lpad(event_id::VARCHAR, 5, '0')) <= 100 AS mine FROM events WHERE event_id < 300),
+st AS (SELECT identity, CASE WHEN NOT mine THEN 'pending' WHEN n % 3 = 0 THEN 'in_progress' WHEN n % 3 = 1 THEN 'failed' ELSE 'applied' END AS status, mine FROM ob)
+"""
+
+
+@query(_OUTBOX_SQL + "SELECT s AS status, count(identity)::BIGINT AS n FROM (SELECT unnest(['pending', 'in_progress', 'applied', 'failed']) AS s) LEFT JOIN st ON st.status = s GROUP BY s")
+def outbox_status(spark, sf_dir):
+    return state.status_counts(_outbox(spark, sf_dir))
+
+
+@query(_OUTBOX_SQL + "SELECT identity, status, CASE WHEN status = 'applied' THEN 4::BIGINT END AS deleted, NULL::VARCHAR AS problem FROM st")
+def outbox_inventory(spark, sf_dir):
+    return state.inventory(_outbox(spark, sf_dir)).select("identity", "status", "deleted", "problem")
+
+
+@query(_OUTBOX_SQL + "SELECT CASE WHEN status = 'applied' THEN 'applied' ELSE 'pending' END AS status, count(*)::BIGINT AS n FROM st GROUP BY 1")
+def outbox_recovery(spark, sf_dir):
+    again = state.replay(state.recover_stale(_outbox(spark, sf_dir), "2024-01-02T12:00:00Z"), "2024-01-04T00:00:00Z")
+    return again.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*)::BIGINT AS messages, count(DISTINCT thread_fullname)::BIGINT AS threads, min(created_utc)::BIGINT AS first_utc, max(created_utc)::BIGINT AS last_utc, count(*)::BIGINT AS units, count(*) FILTER (turn <= 4)::BIGINT AS context_complete, count(*) FILTER (turn > 4)::BIGINT AS context_incomplete FROM cm""")
+def operational_report(spark, sf_dir):
+    m = t.conversation_messages(spark, sf_dir)
+    return state.operational_report(m, units.search_units(m, context.ancestor_chains(m), "s1", max_words=1_000_000, overlap=0))
+
+
+_LINES_SQL = """, ev AS (SELECT event_type AS source_id, event_id AS line_number, CASE WHEN event_id % 10 = 1 THEN 'not json' WHEN event_id % 10 = 2 THEN '[1, 2]' WHEN event_id % 10 = 3 THEN repeat('x', 300) ELSE props END AS raw_line, event_id % 10 AS k FROM events),
+qa AS (SELECT *, CASE k WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'too_long' END AS problem FROM ev)
+"""
+
+
+def _lines(spark, sf_dir):
+    e, k = t.read(spark, sf_dir, "events"), F.col("event_id") % 10
+    raw = F.when(k == 1, "not json").when(k == 2, "[1, 2]").when(k == 3, F.repeat(F.lit("x"), 300)).otherwise(F.col("props"))
+    return archive.quarantined(e.select(F.col("event_type").alias("source_id"), F.col("event_id").cast("bigint").alias("line_number"), raw.alias("raw_line")), 200)
+
+
+@query(_LINES_SQL + "SELECT line_number::BIGINT AS line_number, problem FROM qa")
+def json_quarantine(spark, sf_dir):
+    return _lines(spark, sf_dir).select("line_number", "problem")
+
+
+@query(_LINES_SQL + "SELECT source_id, count(*)::BIGINT AS lines_seen, count(*) FILTER (problem IS NULL)::BIGINT AS valid, count(problem)::BIGINT AS invalid, min(line_number) FILTER (problem IS NOT NULL)::BIGINT AS first_invalid, sum(strlen(raw_line) + 1)::BIGINT AS bytes, count(problem) = 0 AS complete FROM qa GROUP BY source_id")
+def reader_stats(spark, sf_dir):
+    return archive.reader_stats(_lines(spark, sf_dir)).select("source_id", "lines_seen", "valid", "invalid", F.array_min("invalid_line_numbers").alias("first_invalid"), "bytes", "complete")
+
+
+@query("""SELECT event_type AS status, count(*)::BIGINT AS n FROM events GROUP BY 1""")
+def job_status_counts(spark, sf_dir):
+    return t.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT sum(strlen('{"fullname":"' || fullname || '","subreddit":"' || subreddit || '"}') + 1)::BIGINT AS bytes FROM cm""")
+def byte_estimate(spark, sf_dir):
+    from ..functions.text import json_bytes
+
+    return t.conversation_messages(spark, sf_dir).agg(json_bytes("fullname", "subreddit").alias("bytes"))
+
+
+@query("""SELECT subreddit, count(*)::BIGINT AS rows, sha256(string_agg(fullname, chr(10) ORDER BY fullname)) AS digest FROM cm GROUP BY subreddit""")
+def ordered_digests(spark, sf_dir):
+    return t.conversation_messages(spark, sf_dir).groupBy("subreddit").agg(F.count("*").alias("rows"), ordered_digest(F.col("fullname"), F.col("fullname")).alias("digest"))
+
+
+@query("""SELECT subreddit AS app_id, string_agg(fullname, ',' ORDER BY fullname) AS claim_ids FROM cm WHERE created_utc % 3 <> 0 OR created_utc % 5 = 0 GROUP BY 1""")
+def claim_evidence(spark, sf_dir):
+    n = F.col("created_utc")
+    claims = t.conversation_messages(spark, sf_dir).select(F.col("subreddit").alias("app_id"), F.col("fullname").alias("claim_id"), (n % 3 == 0).alias("verified"), F.when(n % 5 != 0, "ref").alias("evidence_ref"))
+    return state.missing_claim_evidence(claims)
+
+
+@query("SELECT 'failed' AS status")
+def source_status(spark, sf_dir):
+    rows = t.read(spark, sf_dir, "events").select(F.when(F.col("event_id") == 5, "failed").when(F.col("event_id") % 7 == 0, "complete_with_errors").otherwise("complete").alias("status"))
+    return state.source_status(rows)
+
+
+@query("""SELECT unnest(['rows', 'years', 'owner']) AS "check", unnest(['ok', 'fail', 'missing']) AS status""")
+def preflight(spark, sf_dir):
+    facts = t.read(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return state.preflight({"rows": F.col("n") > 0, "years": F.col("last") > F.lit("2030-01-01").cast("timestamp"), "owner": F.lit(None).cast("boolean")}, facts)
