@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,11 +51,32 @@ def map_rows(df: DataFrame, one: Callable, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out = one(part)
-                if out is not None:
-                    yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict(one(part))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
+
+
+def lean(run: Callable) -> Callable:
+    """run, after which a worker gives the memory that it has freed back to the system; workers live on between tasks."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries do it by themselves
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return trimmed
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

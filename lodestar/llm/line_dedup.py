@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, texts, written
+from .common import ascii_lower, free_name, texts, written
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
@@ -54,17 +54,15 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, i
     return gone.select("doc_id", "text_hash", F.size("gone").cast("long").alias("n_dropped"), runs.alias("keep_runs"))
 
 
-def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cut to its kept lines, and the columns __n_lines and __n_dropped. A null text becomes the empty one."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__dropped"), F.col("keep_runs").alias("__runs"))
-    whole = docs.withColumn(text_col, text).withColumn("__text_hash", F.xxhash64(text_col))
-    joined = whole.join(b, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-    lined = joined.withColumn("__lines", _lines(F.col(text_col)))
-    kept = F.flatten(F.transform("__runs", lambda r: F.slice("__lines", r["first"] + 1, F.when(r["length"] < 0, F.size("__lines") - r["first"]).otherwise(r["length"]))))
-    return (
-        lined.withColumn("__n_lines", F.size("__lines").cast("long"))
-        .withColumn("__n_dropped", F.coalesce("__dropped", F.lit(0).cast("long")))
-        .withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .select(*docs.columns, "__n_lines", "__n_dropped")
-    )
+def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with the text cut to its kept lines; `counts` names columns for the numbers of lines before, and of dropped ones. A null text becomes the empty one."""
+    own = {c: free_name(docs, f"__{c}") for c in ("id", "hash", "n", "runs", "lines", "of")}
+    b = bitmaps.select(F.col("doc_id").alias(own["id"]), F.col("text_hash").alias(own["hash"]), F.col("n_dropped").alias(own["n"]), F.col("keep_runs").alias(own["runs"]))
+    whole = docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn(own["of"], F.xxhash64(text_col))
+    joined = whole.join(b, (F.col(id_col).cast("long") == F.col(own["id"])) & (F.col(own["of"]) == F.col(own["hash"])), "left")
+    lined = joined.withColumn(own["lines"], _lines(F.col(text_col)))
+    lines, runs = F.col(own["lines"]), F.col(own["runs"])
+    kept = F.flatten(F.transform(runs, lambda r: F.slice(lines, r["first"] + 1, F.when(r["length"] < 0, F.size(lines) - r["first"]).otherwise(r["length"]))))
+    text = F.when(runs.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    numbers = [F.size(lines).cast("long").alias(counts[0]), F.coalesce(own["n"], F.lit(0).cast("long")).alias(counts[1])] if counts else []
+    return lined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *numbers)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts, utf8
+from .common import lean, map_rows, texts, utf8
 
 BLOCK = 192
 RATE = 8000
@@ -158,7 +158,7 @@ def rebuild(manifest: DataFrame, store: DataFrame, words: bytes, row, schema: st
             yield batch_of()
 
     listed = manifest.join(store, "digest").select("doc_id", "text_hash", "seq", "n_bytes", "media_sha", "header", "chunk")
-    return listed.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "seq").mapInArrow(run, schema)
+    return listed.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "seq").mapInArrow(lean(run), schema)
 
 
 def features(samples: bytes) -> str:

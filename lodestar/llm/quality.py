@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts, utf8, written
+from .common import lean, map_rows, texts, utf8, written
 
 #: Random features, histogram bins of the calibration, ridge strength for a training row.
 FEATURES, BINS, RIDGE = 256, 1024, 1e-3
@@ -131,7 +131,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": [key[0]], "v": [sum(np.frombuffer(v) for v in group["v"]).tobytes()]})
 
-    parts = rows.select("stats", "y").mapInArrow(part, "i int, g int, v binary")
+    parts = rows.select("stats", "y").mapInArrow(lean(part), "i int, g int, v binary")
     sums = parts.groupBy("i", "g").applyInPandas(add, "i int, v binary").groupBy("i").applyInPandas(add, "i int, v binary").collect()  # FEATURES + 1 rows
     total = np.zeros((n, n + 1))
     for i, v in sums:
@@ -175,8 +175,8 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return map_rows(stats.select("doc_id", "stats"), one, "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
-    """docs and the score of its texts as a further column."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs and the score of its texts as a further column, whose name must be free."""
     columns = list(docs.columns)
     at = columns.index(text_col)
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, texts, utf8, written
+from .common import lean, map_rows, slices, texts, utf8, written
 from .words import mixed, windows, word_hashes
 
 #: Words of a window, and of the runs from which its minimiser is chosen.
@@ -124,7 +124,7 @@ def minimisers(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame
 
     def one(batch: pa.RecordBatch) -> dict:
         found, ids = [], []
-        for part in slices(batch, 2 << 20):
+        for part in slices(batch, 1 << 20):
             h, text, *_ = word_hashes(utf8(part.column(1)))
             least, inside = _minimisers(h, text, size, seed)
             least, owner = least[inside], text[: len(least)][inside]
@@ -155,7 +155,7 @@ def _segments(rows: DataFrame, marks: np.ndarray | None, size: int, seed: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, 2 << 20):
+            for part in slices(batch, 1 << 20):
                 h, text, begin, end, data = word_hashes(utf8(part.column(2)))
                 least, inside = _minimisers(h, text, size, seed)
                 m = least.view(np.int64)
@@ -192,7 +192,7 @@ def _segments(rows: DataFrame, marks: np.ndarray | None, size: int, seed: int) -
                 columns = (ids[where], hashes[where], (i - number[where]).astype(np.int32), (j - i + 1).astype(np.int32), m[i], key)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.string())], ["doc_id", "text_hash", "start", "n_windows", "route", "key", "words"])
 
-    return rows.mapInArrow(run, _SEGMENT)
+    return rows.mapInArrow(lean(run), _SEGMENT)
 
 
 def _keys(h: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
             yield search()
 
     sharded = segments.select("route", "key", "least", "words").repartition("route").sortWithinPartitions("route")
-    return sharded.mapInArrow(run, "route long, key long, minima array<long>")
+    return sharded.mapInArrow(lean(run), "route long, key long, minima array<long>")
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
