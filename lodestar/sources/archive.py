@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +26,7 @@ def scan(spark: SparkSession, sources: DataFrame) -> DataFrame:
     known = {r["path"]: (r["source_id"], r["source_kind"]) for r in sources.collect()}
     if not known:
         return spark.createDataFrame([], "source_id string, source_kind string, line_number bigint, raw_line string")
-    lines = spark.read.option("lineSep", "\n").text(sorted(known)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.option("lineSep", "\n").text(sorted(known)).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).select("file", "block", "first", "before")
     names = spark.createDataFrame([(_uri(spark, p), i, k) for p, (i, k) in known.items()], "file string, source_id string, source_kind string")
@@ -34,9 +35,9 @@ def scan(spark: SparkSession, sources: DataFrame) -> DataFrame:
 
 
 def _uri(spark: SparkSession, path: str) -> str:
+    """A path as file metadata has it; local ones with one slash, of which versions write one or three."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    qualified = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
-    return qualified.replace("file:/", "file:///", 1) if qualified.startswith("file:/") and not qualified.startswith("file:///") else qualified
+    return re.sub("^file:/+", "file:/", p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
 
 
 def line_problem(raw: Column, max_bytes: int = MAX_LINE) -> Column:
