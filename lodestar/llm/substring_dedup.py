@@ -235,10 +235,12 @@ def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
             cut = np.searchsorted(text, np.arange(len(words) + 1))
             index = FMIndex([ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], np.array(least, np.int64))
             start = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
-            minima = np.empty(len(start), np.int64)
-            for k in range(0, len(start), 1 << 15):
-                s = start[k : k + (1 << 15)]
+            once, again = np.unique(_keys(h, start, start + size), return_index=True, return_inverse=True)[1:]  # equal windows have one interval
+            minima = np.empty(len(once), np.int64)
+            for k in range(0, len(once), 1 << 15):
+                s = start[once[k : k + (1 << 15)]]
                 minima[k : k + len(s)] = index.minima(*index.search(ids[s[:, None] + np.arange(size)]))
+            minima = minima[again]
             offsets = np.searchsorted(text[start], np.arange(len(words) + 1)).astype(np.int32)
             kept.clear()
             return pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(minima))], ["route", "key", "minima"])
