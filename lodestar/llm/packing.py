@@ -31,8 +31,8 @@ CACHE = 700_000
 #: A-Z in lower case, as the tokenizer has them.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Where an ASCII letter or digit meets ASCII punctuation other than an apostrophe, which may begin a contraction.
-BORDER = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
+#: Runs of ASCII punctuation, but for apostrophes, which may begin a contraction, and runs beside them or beside other characters.
+BORDER = re.compile(rb"(?<![\x80-\xff!-/:-@\[-`{-~])[!-&(-/:-@\[-`{-~]++(?![\x80-\xff'])")
 
 #: Salts of a length.
 SALTS = 64
@@ -58,7 +58,7 @@ def token_ids(batch: list[bytes], path: str) -> list[bytes]:
     a special token's string are cut at white space only.
     """
     tokenizer, cache = _ids_of_words(path)
-    words = [(data if b"<|" in data else BORDER.sub(b" ", data.translate(LOWER))).split() for data in batch]
+    words = [(data if b"<|" in data else BORDER.sub(rb" \g<0> ", data.translate(LOWER))).split() for data in batch]
     different: set[bytes] = set()
     for w in words:
         different.update(w)
