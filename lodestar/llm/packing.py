@@ -31,8 +31,8 @@ CACHE = 700_000
 #: A-Z in lower case, as the tokenizer has them.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Runs of ASCII punctuation, but for apostrophes, which may begin a contraction, and runs beside them or beside other characters.
-BORDER = re.compile(rb"(?<![\x80-\xff!-/:-@\[-`{-~])[!-&(-/:-@\[-`{-~]++(?![\x80-\xff'])")
+#: Runs of ASCII punctuation between ASCII letters, digits and white space; apostrophes may begin a contraction and stay where they are.
+BORDER = re.compile(rb"(?<![^a-z0-9\s])[!-&(-/:-@\[-`{-~]++(?![^a-z0-9\s])")
 
 #: Salts of a length.
 SALTS = 64
