@@ -22,9 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: it cuts the lineage and outlives executors."""
+def written(df: DataFrame, few: bool = False) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: it cuts the lineage and outlives executors.
+
+    few: for tables that are small beside the input; a file for each eight shuffle partitions, or two a core if that is more.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,10 +28,10 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root): every node of an edge with the smallest node that it reaches."""
     a, b = F.col(left), F.col(right)
-    now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), few=True)
     state = None
     while True:
-        now = written(_stars(written(_stars(now, True)), False))
+        now = written(_stars(written(_stars(now, True), few=True), False), few=True)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if seen == state:
             break

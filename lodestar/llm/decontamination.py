@@ -134,7 +134,7 @@ def windows_free(free: np.ndarray, n: int) -> np.ndarray:
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, covered, coverage, n_tiles, longest) of the pairs whose tiles cover enough of the item."""
-    seeds = written(item_seeds(items, item_id_col, item_text_col))
+    seeds = written(item_seeds(items, item_id_col, item_text_col), few=True)
     found = seeded_documents(docs, bitmap(seeds), id_col, text_col)
     keyed = found.withColumn("text_hash", F.xxhash64("text"))
     pairs = keyed.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed").groupBy("doc_id", "text_hash", "item_id").agg(F.sum("times").alias("shared"), F.max("n_words").alias("n_words"))

@@ -142,7 +142,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", seed: int = 5) -> Model:
     """The model of labels (id, 0 or 1) from stats (doc_id, stats), without the held-out ids. Weights come from remainders 0 and 1 of an id's crc32 by 4, the calibration from remainder 3."""
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y"))
-    rows = written(stats.join(y.where(~held_out(F.col("doc_id"))), "doc_id").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4))
+    rows = written(stats.join(y.where(~held_out(F.col("doc_id"))), "doc_id").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4), few=True)
     random = np.random.default_rng(seed)
     frequencies, phases = random.normal(size=(len(STATS), FEATURES)) / np.sqrt(len(STATS)), random.uniform(0, 2 * np.pi, FEATURES)
     of = [F.col("stats")[k] for k in range(len(STATS))]

@@ -263,7 +263,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col
         raise ValueError("a window has more words than a seed and at most 15")
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     named = minimisers(rows.select("doc_id", "text"), size, seed)
-    shared = written(named.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"))
+    shared = written(named.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"), few=True)
     n = shared.count()
     bits = max(1 << 20, 1 << (BITS_EACH * n).bit_length())
     if bits <= MAX_BITS:
@@ -273,7 +273,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col
         found = _segments(rows.join(own, "doc_id").select("doc_id", "text_hash", "text", "shared"), None, size, seed)
     found = written(found)
     different = written(found.groupBy("route", "key").agg(F.min("doc_id").alias("least"), F.first("words", ignorenulls=True).alias("words")))
-    common = written(different.groupBy("route").count().where(F.col("count") > ROUTE).select("route"))  # its size is known from here on: segments need no shuffle to meet a few routes
+    common = written(different.groupBy("route").count().where(F.col("count") > ROUTE).select("route"), few=True)  # its size is known from here on: segments need no shuffle to meet a few routes
     rare = different.join(common, "route", "left_anti")
     single = _single_windows(different.join(common, "route"), size)
     places = single.select("seg_route", "seg_key", "place", "route", "key")
