@@ -155,6 +155,11 @@ def _word(word: str, prefix: bool) -> Column:
 def match(post: DataFrame, query: str, id_cols: tuple[str, ...] = ("unit_id",), columns: tuple[str, ...] = ("focus_text", "context_only_text")) -> DataFrame:
     """(id columns, length, tf_0, tf_1, ...): units that match the query, with the count of each of its phrases."""
     tree = parse(query)
+    return _counted(post, tree, id_cols, columns).where("matches").drop("matches")
+
+
+def _counted(post: DataFrame, tree: object, id_cols: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Units with any word of the query: the count of each phrase, and whether the unit matches."""
     phrases = _phrases(tree)
     wanted = F.lit(False)
     for p in phrases:
@@ -200,7 +205,7 @@ def match(post: DataFrame, query: str, id_cols: tuple[str, ...] = ("unit_id",),
         left, right = holds(tree.left), holds(tree.right)
         return left & right if tree.kind == "and" else left | right if tree.kind == "or" else left & ~right
 
-    return together.where(holds(tree)).select(*id_cols, "length", *[f"tf_{n}" for n in range(len(phrases))])
+    return together.select(*id_cols, "length", *[f"tf_{n}" for n in range(len(phrases))], holds(tree).alias("matches"))
 
 
 def _near(numbers: list[int], m: int, tree: Near, phrases: list[Phrase]):
@@ -224,15 +229,9 @@ def bm25(post: DataFrame, query: str, n_units: int, mean_length: float, weights:
         raise ValueError("only equal weights are used: the ones of the full-text table bind to its id columns")
     tree = parse(query)
     phrases = _phrases(tree)
-    counted = []
-    for p in phrases:  # how many units hold each phrase, whether they match the query or not
-        hits = match(post, " ".join(['"' + " ".join(p.words) + '"' + ("*" if p.prefix else "")]) if p.column is None else f'{p.column}:"{" ".join(p.words)}"' + ("*" if p.prefix else ""), id_cols, columns)
-        counted.append(hits.agg(F.count("*").alias("n")))
-    document_counts = counted[0].select(F.lit(0).alias("k"), "n")
-    for k, c in enumerate(counted[1:], 1):
-        document_counts = document_counts.union(c.select(F.lit(k), "n"))
-    df = {r["k"]: r["n"] for r in document_counts.collect()}  # one number for each phrase of the query
-    found = match(post, query, id_cols, columns)
+    counted = _counted(post, tree, id_cols, columns)
+    df = counted.agg(*[F.count_if(F.col(f"tf_{k}") > 0) for k in range(len(phrases))]).first()  # of all units, whether they match or not
+    found = counted.where("matches")
     score = F.lit(0.0)
     for k in range(len(phrases)):
         idf = max(math.log((n_units - df[k] + 0.5) / (df[k] + 0.5)), LEAST_IDF)

@@ -62,7 +62,7 @@ def duplicate_edges(texts: DataFrame, id_col: str = "candidate_id", text_col: st
 
 def shared_shingle_edges(texts: DataFrame, id_col: str = "candidate_id", text_col: str = "text", unicode: bool = True) -> DataFrame:
     """Edges between texts that share any shingle, without a threshold: a star from each shingle's first text."""
-    s = shingled(texts, id_col, text_col, unicode).select("id", F.explode("shingles").alias("s"))
+    s = written(shingled(texts, id_col, text_col, unicode)).select("id", F.explode("shingles").alias("s"))  # written: else a filter on the array would be worked out word by word
     first = s.groupBy("s").agg(F.min("id").alias("a"))
     return s.join(first, "s").where("id <> a").select("a", F.col("id").alias("b")).distinct().withColumn("relation", F.lit("shared_shingle"))
 

@@ -366,12 +366,12 @@ def vector_check(spark, sf_dir):
     return dense.check_vectors(t.points(spark, sf_dir).withColumn("vector", bad), 64).select("id", "problem")
 
 
-@query("""SELECT label::VARCHAR AS scenario_id, round(avg(embedding[1]::DOUBLE), 7) AS x0, round(avg(embedding[64]::DOUBLE), 7) AS x63, count(*)::BIGINT AS positives FROM embeddings WHERE vec_id % 100 < 50 AND vec_id < 100 AND vec_id % 5 = 0 GROUP BY label HAVING count(*) <= 5""")
+@query("""SELECT (vec_id // 10)::VARCHAR AS scenario_id, round(avg(embedding[1]::DOUBLE) FILTER (vec_id % 5 = 0), 7) AS x0, round(avg(embedding[64]::DOUBLE) FILTER (vec_id % 5 = 0), 7) AS x63, count(*) FILTER (vec_id % 5 = 0)::BIGINT AS positives, count(*) FILTER (vec_id % 5 <> 0)::BIGINT AS negatives FROM embeddings GROUP BY 1""")
 def feedback_centroid(spark, sf_dir):
-    s = t.points(spark, sf_dir).where("id < 100").select(F.col("label").cast("string").alias("scenario_id"), "id", "vector", ((F.col("id") % 100 < 50) & (F.col("id") % 5 == 0)).alias("positive"))
-    few = s.where("positive").groupBy("scenario_id").count().where("count <= 5").select("scenario_id")
-    c = dense.feedback_centroids(s.join(few, "scenario_id", "left_semi"), 64)
-    return c.select("scenario_id", F.round(F.col("query")[0], 7).alias("x0"), F.round(F.col("query")[63], 7).alias("x63"), F.size("positives").cast("bigint").alias("positives"))
+    """A scenario for each ten vectors, of which two are positive examples."""
+    s = t.points(spark, sf_dir).select(F.floor(F.col("id") / 10).cast("string").alias("scenario_id"), "id", "vector", (F.col("id") % 5 == 0).alias("positive"))
+    c = dense.feedback_centroids(s, 64)
+    return c.select("scenario_id", F.round(F.col("query")[0], 7).alias("x0"), F.round(F.col("query")[63], 7).alias("x63"), F.size("positives").cast("bigint").alias("positives"), F.size("negatives").cast("bigint").alias("negatives"))
 
 
 @query("""SELECT fullname AS unit_id, CASE doc_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'failed' END AS reason FROM dm WHERE doc_id % 4 < 3""")
@@ -641,9 +641,10 @@ def grouping_audit(spark, sf_dir):
     return a.select(thread.alias("thread"), "nodes", "exposed", F.size("splits").cast("bigint").alias("splits"))
 
 
-@query()
+@query(""", w AS (SELECT fullname AS id, regexp_extract_all(lower(raw_body), '[\\p{L}\\p{N}_]+') AS w FROM dm), sh AS (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+f AS (SELECT s, min(id) AS a FROM sh GROUP BY s) SELECT 'shared_shingle' AS relation, count(*)::BIGINT AS edges FROM (SELECT DISTINCT a, id FROM sh JOIN f USING (s) WHERE id <> a)""")
 def shared_shingle_groups(spark, sf_dir):
-    e = similarity.shared_shingle_edges(_pool_texts(spark, sf_dir).where("length(text) < 600"), unicode=False)
+    e = similarity.shared_shingle_edges(_pool_texts(spark, sf_dir), unicode=False)
     return e.groupBy("relation").agg(F.count("*").alias("edges"))
 
 
@@ -1007,17 +1008,17 @@ def reconciliation_at_scale(spark, sf_dir):
 
 
 def _outbox(spark, sf_dir):
-    """An outbox from the events, after one round: registered, claimed, completed; some claims are stale."""
-    e = t.read(spark, sf_dir, "events").where("event_id < 300")
+    """An outbox from the events, after one round: registered, a hundred claimed, completed; some claims are stale."""
+    e = t.read(spark, sf_dir, "events")
     empty = spark.createDataFrame([], "identity string, scope string, records bigint, status string, observed bigint, deleted bigint, attempts bigint, claimed_at string, updated_at string, error string")
-    rows = e.select(F.concat(F.lit("id-"), F.lpad(F.col("event_id").cast("string"), 5, "0")).alias("identity"), F.col("event_type").alias("scope"), F.col("user_id").cast("bigint").alias("records"))
+    rows = e.select(F.concat(F.lit("id-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("identity"), F.col("event_type").alias("scope"), F.col("user_id").cast("bigint").alias("records"))
     box = state.claim(state.register(empty, rows, "2024-01-01T00:00:00Z"), 100, "2024-01-02T00:00:00Z")
-    n = F.substring("identity", 4, 10).cast("bigint")
+    n = F.substring("identity", 4, 12).cast("bigint")
     results = box.where("status = 'in_progress'").where(n % 3 != 0).select("identity", F.lit(5).cast("bigint").alias("observed"), F.lit(4).cast("bigint").alias("deleted"), F.when(n % 3 == 1, "broken").alias("error"))
     return state.complete(box, results, "2024-01-03T00:00:00Z")
 
 
-_OUTBOX_SQL = """, ob AS (SELECT 'id-' || lpad(event_id::VARCHAR, 5, '0') AS identity, event_id AS n, row_number() OVER (ORDER BY 'id-' || lpad(event_id::VARCHAR, 5, '0')) <= 100 AS mine FROM events WHERE event_id < 300),
+_OUTBOX_SQL = """, ob AS (SELECT 'id-' || lpad(event_id::VARCHAR, 12, '0') AS identity, event_id AS n, row_number() OVER (ORDER BY event_id) <= 100 AS mine FROM events),
 st AS (SELECT identity, CASE WHEN NOT mine THEN 'pending' WHEN n % 3 = 0 THEN 'in_progress' WHEN n % 3 = 1 THEN 'failed' ELSE 'applied' END AS status, mine FROM ob)
 """
 
