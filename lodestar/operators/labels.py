@@ -9,7 +9,7 @@ from ..functions.text import nul_joined, sha_hex
 from ..schemas import ATTRIBUTION, PRODUCT_FIT, RESOLUTION, SPEAKER_INTENT, SUPPORTS, TOPIC_FIT
 from .review import evidence_failure, resolved_tasks
 
-#: The fields that identify what a row was made from.
+#: The fields that identify what a row was made from.
 IDENTITY = ("snapshot_id", "app_id", "app_profile_version", "app_profile_sha256", "message_fullname", "source_revision_id", "context_recipe_version", "chunking_version", "rubric_version", "content_hash")
 
 

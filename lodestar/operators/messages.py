@@ -35,18 +35,18 @@ def normalize(envelopes: DataFrame) -> DataFrame:
     time = F.try_variant_get(v, "$.created_utc", "double")
     no = lambda c: ~F.coalesce(c, F.lit(False))
     error = (
-        F.when(no(F.schema_of_variant(v).startswith("OBJECT")), "record must be an object")
-        .when(no(full(named, prefix)), F.concat(F.lit("name must be a full "), prefix, F.lit(" identifier")))
-        .when(~submission & no(full(link, F.lit("t3_"))), "link_id must be a full t3_ identifier")
-        .when(~missing("parent_id") & no(parent.startswith("t1_") | parent.startswith("t3_")), "parent_id must be a full t1_ or t3_ identifier when supplied")
-        .when(submission & _text(v, "title").isNull(), "title must be a string")
-        .when(submission & ~missing("selftext") & _text(v, "selftext").isNull(), "selftext must be a string or null")
-        .when(~submission & _text(v, "body").isNull(), "body must be a string")
-        .when(_text(v, "subreddit").isNull(), "subreddit must be a string")
-        .when(_text(v, "permalink").isNull(), "permalink must be a string")
-        .when(no(number("created_utc")) | no(time == F.floor(time)), "created_utc must be an integer UTC timestamp")
-        .when(~missing("score") & no(number("score")), "score must be numeric when supplied")
-        .when(~missing("depth") & no(_kind(v, "$.depth") == "BIGINT"), "depth must be an integer when supplied")
+        F.when(no(F.schema_of_variant(v).startswith("OBJECT")), "not an object")
+        .when(no(full(named, prefix)), F.concat(F.lit("name: no full name with "), prefix))
+        .when(~submission & no(full(link, F.lit("t3_"))), "link_id: no full name with t3_")
+        .when(~missing("parent_id") & no(parent.startswith("t1_") | parent.startswith("t3_")), "parent_id: no full name with t1_ or t3_")
+        .when(submission & _text(v, "title").isNull(), "title: no text")
+        .when(submission & ~missing("selftext") & _text(v, "selftext").isNull(), "selftext: neither text nor null")
+        .when(~submission & _text(v, "body").isNull(), "body: no text")
+        .when(_text(v, "subreddit").isNull(), "subreddit: no text")
+        .when(_text(v, "permalink").isNull(), "permalink: no text")
+        .when(no(number("created_utc")) | no(time == F.floor(time)), "created_utc: no whole number of seconds")
+        .when(~missing("score") & no(number("score")), "score: no number")
+        .when(~missing("depth") & no(_kind(v, "$.depth") == "BIGINT"), "depth: no whole number")
     )
     title = F.when(submission, _text(v, "title")).otherwise("")
     body = F.when(submission, F.coalesce(_text(v, "selftext"), F.lit(""))).otherwise(_text(v, "body"))

@@ -10,7 +10,7 @@ from ..functions.text import stable_rank
 #: Ranks up to this are a strong match.
 STRONG = 3
 
-#: Columns that would tell a reviewer how a row was found.
+#: Columns that would tell a reviewer how a row was found.
 HIDDEN = ("rank", "score", "retrieval", "matched_rule_ids", "selection_channels", "selection_order", "archive_score", "stratum")
 
 

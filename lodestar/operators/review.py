@@ -10,7 +10,7 @@ from ..plans.publish import written
 
 
 def cards(units: DataFrame, order: Column | None = None, scenario: Column | None = None) -> DataFrame:
-    """(candidate_id, scenario_id, selection_order, matched_rule_ids, source, context) of units or selected messages."""
+    """(candidate_id, scenario_id, selection_order, matched_rule_ids, source, context) of units or selected messages; these are a selection of bounded size, which is numbered in one order."""
     have = set(units.columns)
     col = lambda name, kind="string": F.col(name) if name in have else F.lit(None).cast(kind)
     source = F.struct(

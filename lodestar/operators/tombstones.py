@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import nul_joined, sha_hex
 
-#: Marks of the blocks of a unit's context: a message's block, and the unit's own text.
+#: Marks of the blocks of a unit's context, a message's block and the unit's own text.
 _CONTRIBUTOR = re.compile(r"\[(?:SUBMISSION|COMMENT) (t[13]_[^ \]\n]+)\]")
 _FOCUS = re.compile(r"\[FOCUS (?:SUBMISSION|COMMENT) (t[13]_[^ \]\n]+)(?: \d+:\d+)?\]")
 

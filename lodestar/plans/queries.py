@@ -53,7 +53,7 @@ def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT fullname, kind, thread_fullname, parent_fullname, subreddit, CASE WHEN turn IN (3, 4) THEN NULL ELSE created_utc END AS created_utc, source_revision_id, CASE WHEN turn = 5 THEN NULL ELSE permalink END AS permalink,
-  CASE WHEN turn = 5 THEN 'permalink must be a string' WHEN turn IN (3, 4) THEN 'created_utc must be an integer UTC timestamp' END AS norm_error FROM cm""")
+  CASE WHEN turn = 5 THEN 'permalink: no text' WHEN turn IN (3, 4) THEN 'created_utc: no whole number of seconds' END AS norm_error FROM cm""")
 def normalize_messages(spark, sf_dir):
     n = messages.normalize(_envelopes(spark, sf_dir))
     return n.select("fullname", "kind", "thread_fullname", "parent_fullname", "subreddit", "created_utc", "source_revision_id", "permalink", "norm_error")

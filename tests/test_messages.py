@@ -36,7 +36,7 @@ def test_bad_records(spark, change, word):
 
 def test_what_isn_t_an_object(spark):
     got = normal(spark, "submission", "[1]", "nope", '{"a": NaN}', "3")
-    assert {r["norm_error"] for r in got} == {"record must be an object"}
+    assert {r["norm_error"] for r in got} == {"not an object"}
 
 
 def test_rules_and_sampling_don_t_depend_on_order(spark):
