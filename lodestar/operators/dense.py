@@ -14,20 +14,28 @@ def check_vectors(points: DataFrame, dimension: int, vector: str = "vector") ->
     return points.withColumn("problem", invalid_vector(F.col(vector), dimension))
 
 
+#: Queries that are compared with every point in one pass.
+BLOCK = 10_000
+
+
 def search(queries: DataFrame, points: DataFrame, k: int, where: dict[str, object] | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the k best points of each query (query_id, query) by cosine; ties by id.
+    """(query_id, id, score, rank) of the k best points of each query (query_id, query) by cosine; ties by id. Exact.
 
-    Every point is compared with every query: the queries are a stated, small set (their number is checked), the points are
-    read once, and each task keeps no more than the window needs. `where` filters points by equality first.
+    The queries are a stated set; they are broadcast in blocks of about BLOCK, and the points are read once for each block. Tasks
+    pass on the k best of each query only. `where` filters points by equality first.
     """
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 queries at once: search in blocks")
     for key, value in (where or {}).items():
         points = points.where(F.col(key) == F.lit(value))
-    pairs = points.select("id", "vector").join(F.broadcast(queries.select("query_id", "query")), F.lit(True))
-    scored = pairs.select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    found = None
+    for n in range(blocks):
+        mine = queries.select("query_id", "query").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        pairs = points.select("id", "vector").join(F.broadcast(mine), F.lit(True))
+        scored = pairs.select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def feedback_centroids(seeds: DataFrame, dimension: int, most: int = 5) -> DataFrame:

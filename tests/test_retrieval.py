@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,15 @@ def test_rerank_uses_the_cache_and_refuses_what_isn_t_finite(spark):
         fusion.rerank(c, F.lit(float("nan")), 2).collect()
 
 
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    r = random.Random(3)
+    p = spark.createDataFrame([(k, [r.random() - 0.5 for _ in range(4)]) for k in range(60)], "id long, vector array<float>")
+    q = p.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    whole = sorted(map(tuple, dense.search(q, p, 3).collect()))
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    assert sorted(map(tuple, dense.search(q, p, 3).collect())) == whole and len(whole) == 180
+
+
 def test_ties_of_dense_search_go_by_id(spark):
     p = spark.createDataFrame([(k, [1.0, 0.0]) for k in (5, 3, 9)] + [(1, [0.0, 1.0])], "id long, vector array<float>")
     q = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, query array<float>")
