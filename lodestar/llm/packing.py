@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, slices, texts, utf8, written
+from .token_counts import byte_letters
 
 #: Words of which a worker keeps the ids; beyond it the cache starts anew.
 CACHE = 700_000
@@ -34,6 +35,12 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Runs of ASCII punctuation between ASCII letters, digits and white space; apostrophes may begin a contraction and stay where they are.
 BORDER = re.compile(rb"(?<![^a-z0-9\s])[!-&(-/:-@\[-`{-~]++(?![^a-z0-9\s])")
 
+#: Lower-case letters without, or with Latin-1, diacritics.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+
+#: Bytes as the letters that stand for them in byte-level vocabularies.
+LETTERS = {b: c for c, b in byte_letters().items()}
+
 #: Salts of a length.
 SALTS = 64
 
@@ -55,7 +62,8 @@ def token_ids(batch: list[bytes], path: str) -> list[bytes]:
 
     The tokenizer must be one that lower-cases, drops white space, and lets no token span white space or the border of letters
     or digits and punctuation: then a text's ids are those of its parts, and a worker asks for each part once. Texts with
-    a special token's string are cut at white space only.
+    a special token's string are cut at white space only. Parts of PLAIN letters are as the normaliser leaves them and one piece,
+    so that the tokenizer's model gets them at once, in the letters that stand for their bytes.
     """
     tokenizer, cache = _ids_of_words(path)
     words = [(data if b"<|" in data else BORDER.sub(rb" \g<0> ", data.translate(LOWER))).split() for data in batch]
@@ -66,8 +74,13 @@ def token_ids(batch: list[bytes], path: str) -> list[bytes]:
     if len(cache) + len(missing) > CACHE:
         cache.clear()
         missing = list(different)
-    encoded = tokenizer.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)
-    for m, e in zip(missing, encoded, strict=True):
+    odd = []
+    for m in missing:
+        if PLAIN.fullmatch(m):
+            cache[m] = array("I", [t.id for t in tokenizer.model.tokenize(m.decode("latin-1").translate(LETTERS))]).tobytes()
+        else:
+            odd.append(m)
+    for m, e in zip(odd, tokenizer.encode_batch_fast([m.decode() for m in odd], add_special_tokens=False), strict=True):
         cache[m] = array("I", e.ids).tobytes()
     return [b"".join(map(cache.__getitem__, w)) for w in words]
 
