@@ -14,48 +14,49 @@ from ..functions.text import nul_joined, sha_hex, uuid5
 #: Words of a chunk, and words that neighbouring chunks of a long paragraph share.
 MAX_WORDS, OVERLAP = 512, 64
 
+#: A word: no white space in it, by Python's own notion, which the \S of Java and RE2 doesn't share.
+WORD = r"[^\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
 
 def chunk_count(text: Column, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> Column:
-    """An estimate for budgets: one for each paragraph, more for paragraphs that need windows; at least one."""
-    words = F.transform(F.split(text, "\n"), lambda p: F.size(F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))))
+    """An upper bound for budgets: one for each paragraph, blank ones too, more for paragraphs that need windows; at least one."""
+    words = F.transform(F.filter(F.split(text, "\n"), lambda p: p != ""), lambda p: F.size(F.regexp_extract_all(p, F.lit(WORD), F.lit(0))))
     step = max_words - overlap
-    each = F.transform(F.filter(words, lambda n: n > 0), lambda n: F.when(n <= max_words, F.lit(1)).otherwise(1 + F.ceil((n - max_words) / step)).cast("bigint"))
+    each = F.transform(words, lambda n: F.when(n <= max_words, F.lit(1)).otherwise(1 + F.ceil((n - max_words) / step)).cast("bigint"))
     return F.greatest(F.aggregate(each, F.lit(0).cast("bigint"), lambda a, b: a + b), F.lit(1).cast("bigint"))
 
 
 def chunk_spans(text: str, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Code point offsets of the chunks: paragraphs are packed while their words fit; a longer one is cut into sliding windows."""
+    """Code point offsets of the chunks of a text; nothing but blank paragraphs lies between them.
+
+    Paragraphs are the lines that aren't empty, each with its line feed. They are packed while their words fit and a chunk goes
+    from the start of its first to the end of its last; a chunk doesn't start with a blank one unless it holds nothing else.
+    A paragraph of more than max_words is cut into windows that share `overlap` words and go from a word's start to a word's end.
+    A text without paragraphs is one chunk.
+    """
     if not 0 <= overlap < max_words:
         raise ValueError("the overlap must be smaller than a chunk")
     out: list[tuple[int, int]] = []
-    packed: list[tuple[int, int]] = []  # word spans of the paragraphs gathered so far
-
-    def flush() -> None:
-        if packed:
-            out.append((packed[0][0], packed[-1][1]))
-            packed.clear()
-
-    for paragraph in re.finditer(r"[^\n]+(?:\n|$)", text):
+    open_at, open_to, held = 0, 0, 0  # the chunk that is being packed, and its words
+    for paragraph in re.finditer(r"[^\n]+\n?", text):
         words = [(paragraph.start() + m.start(), paragraph.start() + m.end()) for m in re.finditer(r"\S+", paragraph[0])]
-        if not words:
-            continue
+        if held + len(words) > max_words and open_to > open_at and (held or len(words) > max_words):
+            out.append((open_at, open_to))
+            held = 0
         if len(words) > max_words:
-            flush()
-            for at in range(0, len(words), max_words - overlap):
-                window = words[at : at + max_words]
-                out.append((window[0][0], window[-1][1]))
-                if at + max_words >= len(words):
-                    break
+            last = max(0, -((max_words - len(words)) // (max_words - overlap)))  # windows after the first
+            out += [(words[k][0], words[min(k + max_words, len(words)) - 1][1]) for k in range(0, (last + 1) * (max_words - overlap), max_words - overlap)]
+            open_at = open_to = paragraph.end()
             continue
-        if len(packed) + len(words) > max_words:
-            flush()
-        packed.extend(words)
-    flush()
+        open_at = open_at if held else paragraph.start()
+        open_to, held = paragraph.end(), held + len(words)
+    if open_to > open_at:
+        out.append((open_at, open_to))
     return out or [(0, len(text))]
 
 
 def chunks(messages: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """(fullname, focus_field, focus_start, focus_end, focus_text, whole): rows are cut where they are, without a shuffle. The body is cut, or the title where the body is empty."""
+    """(fullname, focus_field, focus_start, focus_end, focus_text, whole): rows are cut where they are, without a shuffle. A comment's body is cut; a submission's body, or its title where the body is empty."""
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -66,9 +67,9 @@ def chunks(messages: DataFrame, max_words: int = MAX_WORDS, overlap: int = OVERL
             ]
             yield pd.DataFrame(rows, columns=["fullname", "focus_field", "focus_start", "focus_end", "focus_text", "whole"])
 
-    body_empty = F.col("raw_body") == ""
-    field = F.when(body_empty, "title").when(F.col("kind") == "submission", "selftext").otherwise("body")
-    text = F.when(body_empty, F.col("raw_title")).otherwise(F.col("raw_body"))
+    titled = (F.col("kind") != "comment") & (F.col("raw_body") == "")
+    field = F.when(titled, "title").when(F.col("kind") == "comment", "body").otherwise("selftext")
+    text = F.when(titled, F.col("raw_title")).otherwise(F.col("raw_body"))
     return messages.select("fullname", field.alias("field"), text.alias("text")).mapInPandas(cut, "fullname string, focus_field string, focus_start bigint, focus_end bigint, focus_text string, whole boolean")
 
 
@@ -82,7 +83,7 @@ def labelled(kind: Column, fullname: Column, text: Column) -> Column:
 
 def search_units(messages: DataFrame, chains: DataFrame, snapshot_id: str, chunking_version: str = "v2", recipe_version: str = "v1", max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
     """Units of messages with the labelled texts of their ancestors as context."""
-    texts = messages.select(F.col("fullname").alias("__a"), labelled(F.col("kind"), F.col("fullname"), F.array_join(F.filter(F.array("raw_title", "raw_body"), lambda x: x != ""), "\n\n")).alias("block"))
+    texts = messages.select(F.col("fullname").alias("__a"), labelled(F.col("kind"), F.col("fullname"), F.array_join(F.filter(F.array("raw_title", "raw_body"), lambda x: x != ""), "\n")).alias("block"))
     told = chains.select("fullname", F.posexplode_outer("ancestors").alias("pos", "__a")).join(texts, "__a", "left").groupBy("fullname").agg(F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("pos", "block", "__a")))).alias("told"))
     context = told.select("fullname", F.array_join(F.transform("told", lambda x: x["block"]), "\n\n").alias("context_only_text"), F.transform("told", lambda x: x["__a"]).alias("context_message_refs"))
     facts = messages.select("fullname", "thread_fullname", "kind", "subreddit", "created_utc", "permalink", "source_revision_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import focus_text, nul_joined, ordered_digest, seeded_ratio, sha_hex, stable_rank, uuid5
+from ..functions.text import focus_text, nul_joined, ordered_digest, seeded_ratio, sha_hex, stable_rank
 from ..functions.vectors import hash_embedding
 from ..operators import audit, context, dense, fusion, labels, lexical, messages, metrics, pooling, review, similarity, state, tombstones, units
 from ..sources import archive
@@ -168,21 +168,47 @@ def merged_messages(spark, sf_dir):
 # Units ------------------------------------------------------------------------------------------------------------------------
 
 
-@query(""", p AS (SELECT fullname, len(regexp_extract_all(unnest(str_split(raw_body, chr(10))), '\\S+')) AS n FROM dm)
-SELECT fullname, greatest(1, sum(CASE WHEN n = 0 THEN 0 WHEN n <= 64 THEN 1 ELSE 1 + ceil((n - 64) / 48.0) END))::BIGINT AS chunks FROM p GROUP BY fullname""")
+def _spans_sql(rows: str, max_words: int, overlap: int) -> str:
+    """Tables of the chunks of rows (fullname, raw_body): paragraphs, packed by a walk from one to the next, and windows of long ones."""
+    step, space = max_words - overlap, units.WORD.replace("[^", "[", 1).removesuffix("+")
+    return f"""ln AS (SELECT fullname, line, k, k = n AS last FROM (SELECT fullname, unnest(str_split(raw_body, chr(10))) AS line, generate_subscripts(str_split(raw_body, chr(10)), 1) AS k, len(str_split(raw_body, chr(10))) AS n FROM {rows})),
+pa AS (SELECT fullname, line, a, a + len(line) + CASE WHEN last THEN 0 ELSE 1 END AS b, len(regexp_extract_all(line, '{units.WORD}')) AS n, row_number() OVER (PARTITION BY fullname ORDER BY a) AS i
+  FROM (SELECT *, sum(len(line) + 1) OVER (PARTITION BY fullname ORDER BY k) - len(line) - 1 AS a FROM ln) WHERE line <> ''),
+pk AS (SELECT fullname, i, NULL::HUGEINT AS put_a, NULL::HUGEINT AS put_b, CASE WHEN n <= {max_words} THEN a END AS s, b AS e, CASE WHEN n <= {max_words} THEN n ELSE 0 END AS c FROM pa WHERE i = 1
+  UNION ALL SELECT p.fullname, p.i, CASE WHEN p.n > {max_words} OR c > 0 AND c + p.n > {max_words} THEN s END, e, CASE WHEN p.n > {max_words} THEN NULL WHEN c > 0 AND c + p.n <= {max_words} THEN s ELSE p.a END, p.b,
+    CASE WHEN p.n > {max_words} THEN 0 WHEN c > 0 AND c + p.n <= {max_words} THEN c + p.n ELSE p.n END FROM pk JOIN pa p ON p.fullname = pk.fullname AND p.i = pk.i + 1),
+wd AS (SELECT fullname, i, n, a, j, sum(len(m)) OVER (PARTITION BY fullname, i ORDER BY j) AS e, len(regexp_extract(m, '{units.WORD}')) AS l FROM
+  (SELECT fullname, i, n, a, unnest(regexp_extract_all(line, '{space}*{units.WORD}')) AS m, generate_subscripts(regexp_extract_all(line, '{space}*{units.WORD}'), 1) - 1 AS j FROM pa WHERE n > {max_words})),
+sp AS (SELECT fullname, put_a AS focus_start, put_b AS focus_end FROM pk WHERE put_a IS NOT NULL
+  UNION ALL SELECT fullname, s, e FROM (SELECT * FROM pk QUALIFY i = max(i) OVER (PARTITION BY fullname)) WHERE s IS NOT NULL
+  UNION ALL SELECT f.fullname, f.a + f.e - f.l, t.a + t.e FROM wd f JOIN wd t ON t.fullname = f.fullname AND t.i = f.i AND t.j = least(f.j + {max_words}, f.n) - 1 WHERE f.j % {step} = 0 AND (f.j = 0 OR f.j - {step} + {max_words} < f.n)
+  UNION ALL SELECT fullname, 0, len(raw_body) FROM {rows} WHERE replace(raw_body, chr(10), '') = '')"""
+
+
+_UUID_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+def _unit_name_sql(version: str) -> str:
+    """The digest that a unit's id is made of, from fullname, source_revision_id, focus_field and the offsets."""
+    return f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(fullname || chr(0) || source_revision_id || chr(0) || focus_field || chr(0) || focus_start::BIGINT || chr(0) || focus_end::BIGINT || chr(0) || '{version}'))"
+
+
+@query(""", """ + _spans_sql("dm", 64, 16) + """ SELECT fullname, greatest(1, sum(CASE WHEN n <= 64 THEN 1 ELSE 1 + ceil((n - 64) / 48.0) END))::BIGINT AS chunks FROM dm LEFT JOIN pa USING (fullname) GROUP BY fullname""")
 def chunk_count(spark, sf_dir):
     return t.document_messages(spark, sf_dir).select("fullname", units.chunk_count(F.col("raw_body"), 64, 16).alias("chunks"))
 
 
-@query()
+@query(""", """ + _spans_sql("dm", 64, 16) + """ SELECT fullname, CASE WHEN raw_body = '' THEN 'title' ELSE 'selftext' END AS focus_field, focus_start::BIGINT AS focus_start, focus_end::BIGINT AS focus_end FROM sp JOIN dm USING (fullname)""")
 def chunk_spans(spark, sf_dir):
     return units.chunks(t.document_messages(spark, sf_dir), 64, 16).select("fullname", "focus_field", "focus_start", "focus_end")
 
 
-@query(""", h AS (SELECT fullname, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(fullname || chr(0) || source_revision_id)) AS h FROM cm)
-SELECT fullname, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS unit_id FROM h""")
+@query(""", """ + _spans_sql("dm", 64, 16) + f""", h AS (SELECT fullname, focus_start, {_unit_name_sql("v1")} AS h FROM (SELECT *, CASE WHEN raw_body = '' THEN 'title' ELSE 'selftext' END AS focus_field FROM sp JOIN dm USING (fullname)))
+SELECT fullname, focus_start::BIGINT AS focus_start, {_UUID_SQL} AS unit_id FROM h""")
 def unit_identity(spark, sf_dir):
-    return t.conversation_messages(spark, sf_dir).select("fullname", uuid5(nul_joined(F.col("fullname"), F.col("source_revision_id"))).alias("unit_id"))
+    m = t.document_messages(spark, sf_dir)
+    c = units.chunks(m, 64, 16).join(m.select("fullname", "source_revision_id"), "fullname")
+    return c.select("fullname", "focus_start", units.unit_id(F.col("fullname"), F.col("source_revision_id"), F.col("focus_field"), F.col("focus_start"), F.col("focus_end"), "v1").alias("unit_id"))
 
 
 def _units(spark, sf_dir, snapshot="s1"):
@@ -190,8 +216,11 @@ def _units(spark, sf_dir, snapshot="s1"):
     return units.search_units(m, context.ancestor_chains(m), snapshot)
 
 
-@query(""", up AS (SELECT f.fullname, f.raw_body, f.kind, list('[' || upper(a.kind) || ' ' || a.fullname || ']' || chr(10) || a.raw_body ORDER BY a.turn) FILTER (a.fullname IS NOT NULL) AS blocks
-  FROM cm f LEFT JOIN cm a ON a.conv_id = f.conv_id AND a.turn < f.turn AND (a.turn >= f.turn - 4 OR a.turn = 0) GROUP BY f.fullname, f.raw_body, f.kind)
+_ABOVE_SQL = """up AS (SELECT f.fullname, f.raw_body, f.kind, list('[' || upper(a.kind) || ' ' || a.fullname || ']' || chr(10) || a.raw_body ORDER BY a.turn) FILTER (a.fullname IS NOT NULL) AS blocks
+  FROM cm f LEFT JOIN cm a ON a.conv_id = f.conv_id AND a.turn < f.turn AND (a.turn >= f.turn - 4 OR a.turn = 0) GROUP BY f.fullname, f.raw_body, f.kind)"""
+
+
+@query(f""", {_ABOVE_SQL}
 SELECT fullname AS message_fullname, sha256(coalesce(array_to_string(blocks, chr(10) || chr(10)), '')) AS context_digest,
   sha256(coalesce(array_to_string(blocks, chr(10) || chr(10)) || chr(10) || chr(10), '') || '[FOCUS ' || upper(kind) || ' ' || fullname || ']' || chr(10) || raw_body) AS text_digest FROM up""")
 def unit_context(spark, sf_dir):
@@ -202,7 +231,10 @@ def unit_context(spark, sf_dir):
     return u.select("message_fullname", sha_hex(F.col("context_only_text")).alias("context_digest"), sha_hex(whole).alias("text_digest"))
 
 
-@query()
+@query(f""", {_spans_sql("cm", 512, 64)}, {_ABOVE_SQL}, un AS (SELECT cm.fullname, source_revision_id, turn, CASE WHEN kind = 'comment' THEN 'body' WHEN cm.raw_body = '' THEN 'title' ELSE 'selftext' END AS focus_field, focus_start, focus_end,
+  substr(cm.raw_body, focus_start::BIGINT + 1, (focus_end - focus_start)::BIGINT) AS focus_text, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS above FROM sp JOIN cm USING (fullname) JOIN (SELECT fullname, blocks FROM up) USING (fullname)),
+h AS (SELECT *, {_unit_name_sql("v2")} AS h FROM un)
+SELECT {_UUID_SQL} AS unit_id, fullname AS message_fullname, focus_field, focus_start::BIGINT AS focus_start, focus_end::BIGINT AS focus_end, sha256(focus_text || chr(0) || above || chr(0) || 'v2' || chr(0) || 'v1') AS content_hash, turn <= 4 AS context_complete FROM h""")
 def search_units(spark, sf_dir):
     return _units(spark, sf_dir).select("unit_id", "message_fullname", "focus_field", "focus_start", "focus_end", "content_hash", "context_complete")
 

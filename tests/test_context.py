@@ -42,10 +42,26 @@ def test_chunks_of_one_paragraph(spark, n, count):
 
 
 def test_chunks_keep_offsets():
-    text = "\U0001f642 one two\n\n  three four five\nsix " + "x " * 20
+    assert units.chunk_spans("a b\n\nc d e\nf g h i", 5, 1) == [(0, 11), (11, 18)]  # from paragraph to paragraph, line feeds included
+    assert units.chunk_spans("  \na b\n \nc d e f\n", 5, 1) == [(3, 9), (9, 17)]  # a blank paragraph before a chunk is left out, one inside stays
+    assert units.chunk_spans("a\n" + "x y z w v u\n" + " \n", 3, 1) == [(0, 2), (2, 7), (6, 11), (10, 13), (14, 16)]
+    assert units.chunk_spans(" \n" + "x y z w\n", 3, 1) == [(0, 2), (2, 7), (6, 9)]
+    assert units.chunk_spans("", 6, 1) == [(0, 0)] and units.chunk_spans("\n\n", 6, 1) == [(0, 2)] and units.chunk_spans(" \n", 6, 1) == [(0, 2)]
+    text = "\U0001f642 one\u00a0two\n\n  three four five\nsix " + "x " * 20
     spans = units.chunk_spans(text, 6, 1)
-    assert spans[0] == (0, text.index("four five") + 9) or text[slice(*spans[0])].endswith("two")
-    assert all(0 <= a < b <= len(text) and not text[a:b][0].isspace() and not text[a:b][-1].isspace() for a, b in spans)
-    assert units.chunk_spans("", 6, 1) == [(0, 0)]
+    assert spans[0] == (0, text.index("six")) and [text[a:b].split() for a, b in spans[1:]][0] == ["six", *["x"] * 5]
     with pytest.raises(ValueError):
         units.chunk_spans("a", 3, 3)
+
+
+def test_counts_bound_the_chunks(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "\n", "  ", "a\n \nb", "a\u00a0b\u2003c d\x1ce", "x " * 9 + "\n" + "y " * 3, "\r\n a\r\n"]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string").orderBy("k").select(units.chunk_count(F.col("x"), 4, 1)).collect()]
+    assert got == [1, 1, 1, 3, 2, 4, 2] and all(len(units.chunk_spans(x, 4, 1)) <= n for x, n in zip(texts, got, strict=True))
+
+
+def test_fields_of_units(spark):
+    m = spark.createDataFrame([("t1_a", "comment", "", ""), ("t3_b", "submission", "title", ""), ("t3_c", "submission", "title", "body")], "fullname string, kind string, raw_title string, raw_body string")
+    assert {r["fullname"]: (r["focus_field"], r["focus_text"]) for r in units.chunks(m).collect()} == {"t1_a": ("body", ""), "t3_b": ("title", "title"), "t3_c": ("selftext", "body")}
