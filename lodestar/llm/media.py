@@ -4,7 +4,8 @@ A payload is a text's bytes with spaces up to a positive multiple of 192. The st
 channel of unsigned 8-bit samples, a sample a byte. A rolling gear hash over the samples (a window of 32 bytes) sets the
 cuts, so that equal passages give equal chunks wherever they stand. Chunks are keyed by SHA-256 and deduplicated by a Spark
 aggregation; a manifest lists each medium's digests in order. To rebuild a medium, manifest and chunks are joined by digest,
-streamed in order of document and sequence, concatenated and checked against the digest of the whole.
+streamed in order of row and sequence, concatenated and checked against the digest of the whole. Digests that many rows refer
+to are counted first and get salts, so that their references are dealt to several tasks.
 
 In transit, chunks are compressed with zstandard and a small dictionary made from a bounded sample of chunks; the dictionary
 changes no result. Null and empty texts give a payload of 192 spaces. Repeated rows give a row each. A null id stays null.
@@ -17,6 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, map_rows, texts, utf8
+from .common import lean, map_rows, texts, utf8, written
 
 BLOCK = 192
 RATE = 8000
@@ -33,6 +35,9 @@ RATE = 8000
 #: Chunk lengths: the least, the mean beyond it (a power of two) and the largest.
 LEAST, MEAN, MOST = 2048, 8192, 65536
 
+#: References that a digest has at least before it is salted.
+HOT = 64
+
 #: 256 pseudo-random words, by rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
@@ -86,27 +91,42 @@ def _dictionary_of(words: bytes) -> dict:
 
 
 def manifests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, seq, digest, n_bytes, media_sha, header): a row for each chunk; header on the first one only."""
+    """(row, doc_id, seq, n_chunks, digest, n_bytes, media_sha, header): a row for each chunk; the last three on a medium's first chunk only.
+
+    row names the row of docs; rows of one id, and repeated ones, are media of their own.
+    """
 
     def one(batch: pa.RecordBatch) -> dict:
-        out: list[list] = [[] for _ in range(7)]
-        for i, h, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+        out: list[list] = [[] for _ in range(8)]
+        for r, i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
             samples = payload(data)
             header, start = wav(samples), 0
-            whole = hashlib.sha256(header + samples).digest()
-            for seq, end in enumerate(cuts(samples)):
-                for column, value in zip(out, (i, h, seq, hashlib.sha256(samples[start:end]).digest(), len(data), whole, None if seq else header), strict=True):
+            whole, ends = hashlib.sha256(header + samples).digest(), cuts(samples)
+            for seq, end in enumerate(ends):
+                first = (None, None, None) if seq else (len(data), whole, header)
+                for column, value in zip(out, (r, i, seq, len(ends), hashlib.sha256(samples[start:end]).digest(), *first), strict=True):
                     column.append(value)
                 start = end
-        kinds = pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()
-        return {n: pa.array(c, k) for n, c, k in zip(("doc_id", "text_hash", "seq", "digest", "n_bytes", "media_sha", "header"), out, kinds, strict=True)}
+        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()
+        return {n: pa.array(c, k) for n, c, k in zip(("row", "doc_id", "seq", "n_chunks", "digest", "n_bytes", "media_sha", "header"), out, kinds, strict=True)}
+
+    named = texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return map_rows(named, one, "row long, doc_id long, seq int, n_chunks int, digest binary, n_bytes long, media_sha binary, header binary")
+
 
-    keyed = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return map_rows(keyed, one, "doc_id long, text_hash long, seq int, digest binary, n_bytes long, media_sha binary, header binary")
+def hot_digests(manifest: DataFrame) -> DataFrame:
+    """(digest, salts): digests with more references than half of an even share of a shuffle partition, and by how many tasks to serve them.
 
+    That are at most twice as many rows as there are shuffle partitions, whatever the input.
+    """
+    even = manifest.count() // (2 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    limit = max(HOT, even)
+    counts = manifest.groupBy("digest").count().where(F.col("count") > limit)
+    return written(counts.select("digest", F.ceil(F.col("count") / limit).cast("int").alias("salts")), few=True)
 
-def chunk_store(docs: DataFrame, words: bytes = b"", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, chunk): each different chunk once, compressed with the dictionary `words`."""
+
+def chunk_store(docs: DataFrame, words: bytes = b"", hot: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(digest, salt, chunk): each different chunk once, compressed with the dictionary `words`; a hot one once for each of its salts, others under salt 0."""
 
     def one(batch: pa.RecordBatch) -> dict:
         pack = zstandard.ZstdCompressor(level=9, write_checksum=False, **_dictionary_of(words))
@@ -120,45 +140,76 @@ def chunk_store(docs: DataFrame, words: bytes = b"", id_col: str = "doc_id", tex
                 start = end
         return {"digest": pa.array(list(made), pa.binary()), "chunk": pa.array(list(made.values()), pa.binary())}
 
-    return map_rows(texts(docs, id_col, text_col).select("text"), one, "digest binary, chunk binary").dropDuplicates(["digest"])
+    found = map_rows(texts(docs, id_col, text_col).select("text"), one, "digest binary, chunk binary")
+    if hot is None:
+        return found.dropDuplicates(["digest"]).select("digest", F.lit(0).alias("salt"), "chunk")
+    salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return found.join(F.broadcast(hot), "digest", "left").select("digest", F.explode(salts).alias("salt"), "chunk").dropDuplicates(["digest", "salt"])
+
+
+def _verified(doc_id: int | None, head: tuple, parts: list[bytes]) -> tuple:
+    """(doc_id, n_bytes, media) of a medium's first manifest row (n_bytes, media_sha, header) and its chunks."""
+    media = head[2] + b"".join(parts)
+    if hashlib.sha256(media).digest() != head[1]:
+        raise ValueError(f"the chunks of document {doc_id} don't give its medium")
+    return doc_id, head[0], media
 
 
-def rebuild(manifest: DataFrame, store: DataFrame, words: bytes, row, schema: str) -> DataFrame:
-    """row(doc_id, n_bytes, media) -> values of schema, for each medium that the manifest lists, rebuilt and verified."""
+def rebuild(manifest: DataFrame, store: DataFrame, words: bytes, row, schema: str, hot: DataFrame | None = None) -> DataFrame:
+    """row(doc_id, n_bytes, media) -> values of schema, for each medium that the manifest lists, rebuilt and verified.
+
+    An error if the store lacks a chunk. Media of one chunk are done where the chunk is found; chunks of the others meet by row.
+    """
     names, kinds = zip(*((f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")), strict=True)
+    carried = ("row", "doc_id", "seq", "n_chunks", "n_bytes", "media_sha", "header", "chunk")
+    carried_kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
+    done_kind = pa.struct(list(zip(names, kinds, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def single(batch: pa.RecordBatch) -> dict:
         unpack = zstandard.ZstdDecompressor(**_dictionary_of(words))
-        at, copies, parts, head, out = None, 0, [], None, []
+        out, done = [], []
+        for r, i, seq, n, *head, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chunk is None:
+                raise ValueError(f"the store lacks a chunk of document {i}")
+            if n == 1:
+                done.append(dict(zip(names, row(*_verified(i, head, [unpack.decompress(chunk)])), strict=True)))
+                out.append((r, None, 0, 1, None, None, None, None))
+            else:
+                done.append(None)
+                out.append((r, i, seq, n, *head, chunk))
+        columns = {c: pa.array([x[k] for x in out], kind) for k, (c, kind) in enumerate(zip(carried, carried_kinds, strict=True))}
+        return columns | {"done": pa.array(done, done_kind)}
 
-        def finish() -> None:
-            if at is not None:
-                media = head[0] + b"".join(parts)
-                if hashlib.sha256(media).digest() != head[1]:
-                    raise ValueError(f"the chunks of document {at[0]} don't give its medium")
-                out.extend([row(at[0], head[2], media)] * copies)
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in out], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor(**_dictionary_of(words))
+        parts: list[bytes] = []
+        first: tuple = ()
+
+        def listed(batch: pa.RecordBatch) -> Iterator[tuple]:
+            nonlocal parts, first
+            for _, i, seq, n, *head, chunk, made in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if made is not None:
+                    yield tuple(made.values())
+                    continue
+                if seq == 0:
+                    parts, first = [], tuple(head)
+                parts.append(unpack.decompress(chunk))
+                if seq == n - 1:
+                    yield row(*_verified(i, first, parts))
+                    parts = []
 
         for batch in batches:
-            for i, h, seq, n, sha, header, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (i, h) != at:
-                    finish()
-                    at, copies, parts, head = (i, h), 0, [], (header, sha, n)
-                if seq == 0:
-                    copies += 1
-                if seq == len(parts):  # repeated rows list each chunk as often as they stand in the table
-                    parts.append(unpack.decompress(chunk))
-            if len(out) >= 2000:
-                yield batch_of()
-                out.clear()
-        finish()
-        if out:
-            yield batch_of()
+            rows = listed(batch)
+            while some := list(islice(rows, 500)):
+                yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in some], kind) for k, (c, kind) in enumerate(zip(names, kinds, strict=True))})
 
-    listed = manifest.join(store, "digest").select("doc_id", "text_hash", "seq", "n_bytes", "media_sha", "header", "chunk")
-    return listed.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "seq").mapInArrow(lean(run), schema)
+    salt = F.lit(0)
+    if hot is not None:
+        manifest = manifest.join(F.broadcast(hot), "digest", "left")
+        salt = F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int")
+    found = manifest.withColumn("salt", salt).join(store, ["digest", "salt"], "left").select(*carried)
+    done = map_rows(found, single, f"row long, doc_id long, seq int, n_chunks int, n_bytes long, media_sha binary, header binary, chunk binary, done struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    return done.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(lean(run), schema)
 
 
 def features(samples: bytes) -> str:
@@ -180,4 +231,6 @@ DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 strin
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as a medium in chunks, rebuilds it from the store and describes it: the columns DESCRIBED."""
     words = dictionary(docs, id_col, text_col)
-    return rebuild(manifests(docs, id_col, text_col), chunk_store(docs, words, id_col, text_col), words, described, DESCRIBED)
+    manifest = written(manifests(docs, id_col, text_col))
+    hot = hot_digests(manifest)
+    return rebuild(manifest, chunk_store(docs, words, hot, id_col, text_col), words, described, DESCRIBED, hot)
