@@ -71,7 +71,7 @@ class TokenAutomaton:
     markup: str
     arcs: list[list[tuple]] = field(default_factory=list)  # per state: (test, next); test: a word or a regex
     final: int = -1
-    anchor: bytes = b""  # the longest run of words that any match contains
+    anchor: bytes = b""  # the longest run of plain mandatory words, with spaces; empty if there is none: then any text may match
 
     def __post_init__(self) -> None:
         skips: list[tuple[int, int]] = []
@@ -110,7 +110,8 @@ class TokenAutomaton:
             else:
                 runs.append(run)
                 run = []
-        self.anchor = b" " + b" ".join(max(runs, key=lambda r: sum(map(len, r)))) + b" "
+        longest = max(runs, key=lambda r: sum(map(len, r)))
+        self.anchor = b" " + b" ".join(longest) + b" " if longest else b""
 
     def _close(self, states: set[int]) -> frozenset:
         todo, seen = [*states], set(states)

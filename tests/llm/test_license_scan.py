@@ -43,5 +43,13 @@ def test_places_in_whole_texts(docs, rows, spark):
     assert counts == sorted((i is None, i or 0, len(words(t))) for i, t in rows)
 
 
+def test_templates_without_plain_mandatory_words(spark):
+    """Expectations by hand."""
+    templates = [("kind", "<<var;words=1..1;match=mit|bsd>> <<beginOptional>>licence<<endOptional>>"), ("two", "<<var;words=2..2;match=gpl|v3>>"), ("plain", "<<beginOptional>>the<<endOptional>> isc")]
+    docs = spark.createDataFrame([(1, "MIT"), (2, "a bsd licence, the ISC"), (3, "gpl v3 gpl"), (4, "licence"), (5, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [(m["label"], m["start"], m["end"]) for m in r["matches"]] for r in ls.scan_licenses(docs, templates).collect()}
+    assert got == {1: [("kind", 0, 1)], 2: [("kind", 1, 3), ("plain", 3, 5)], 3: [("two", 0, 2)], 4: [], 5: []}
+
+
 def test_empty_table(empty):
     assert ls.scan_licenses(empty).collect() == []
