@@ -4,7 +4,8 @@ Statistics are counts and shares of a text's bytes, words and lines; they see wh
 standardised and mapped to cosines at random frequencies, which approximate a Gaussian kernel. Each partition of training rows
 sums its part of the normal equations; the parts are added by row in two levels, and the solved ridge scores are calibrated
 by an isotonic fit over a histogram of the scores of other training rows (at most `BINS` bins). Only sums of a fixed size
-come to the driver, and all labelled training rows count.
+come to the driver, and all labelled training rows count. Features are rounded to multiples of 1 / UNIT and added as whole
+numbers, so sums, and with them scores, are the same in whatever order or partition rows come, and if a task runs again.
 
 Null and empty texts have statistics 0 and a score like any other. Labels that are null or whose document is missing are not
 used; repeated labels count as often as they stand there. Without training rows, or with labels of one kind, the score is
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ from .common import lean, map_rows, texts, utf8, written
 #: Random features, histogram bins of the calibration, ridge strength for a training row.
 FEATURES, BINS, RIDGE = 256, 1024, 1e-3
 
+#: Steps of a feature within 1, the constant feature, and decimals of means, deviations and scores.
+UNIT, CONSTANT, DECIMALS = 1 << 16, 1 / 16, 9
+
+#: Groups in which parts of the normal equations meet first.
+GROUPS = 32
+
 STATS = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "punctuation", "non_ascii", "blank", "distinct",
     "repeated", "most_common", "log_lines", "line_words", "distinct_lines", "one_byte_words",
@@ -83,17 +91,20 @@ class Model:
     prior: float
 
     def features(self, x: np.ndarray) -> np.ndarray:
+        """Whole numbers: the features, and the constant one, in units of 1 / UNIT."""
         z = np.clip((x - self.mean) / self.scale, -6, 6) @ self.frequencies + self.phases
-        return np.concatenate([np.sqrt(2 / len(self.phases)) * np.cos(z), np.ones((len(x), 1))], axis=1)
+        cosines = np.sqrt(2 / len(self.phases)) * np.cos(z)
+        return np.rint(np.concatenate([cosines, np.full((len(x), 1), CONSTANT)], axis=1) * UNIT)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        return self.features(x) @ self.weights / UNIT
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.knots):
             return np.full(len(x), self.prior)
         raw = self.raw(x)
-        return np.clip(0.998 * np.interp(raw, self.knots, self.levels) + 0.002 / (1 + np.exp(-np.clip(4 * (raw - 0.5), -30, 30))), 0, 1)  # a slight slope: no ties within a step
+        slope = 1 / (1 + np.exp(-np.clip(4 * (raw - 0.5), -30, 30)))  # a slight one: no ties within a step
+        return np.clip(0.998 * np.interp(raw, self.knots, self.levels) + 0.002 * slope, 0, 1).round(DECIMALS)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,31 +123,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of z z^T and of z y over all rows: each partition adds its own, and equal rows of the matrix meet in two levels."""
+def normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of z z^T and of z y over all rows (stats, y of 0 or 1): each partition adds its own, and equal rows of the matrix meet in two levels.
+
+    A product of two features is below 2^26 units, so that 64 bits hold the sums of 2^37 rows, and a batch's product is exact.
+    """
     n = FEATURES + 1
 
     def part(batches):
-        total = np.zeros((n, n + 1))
+        total = np.zeros((n, n + 1), np.int64)
         some = 0
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), np.float64).reshape(-1, len(STATS))
-            z = model.features(x)
-            total += z.T @ np.concatenate([z, b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]], axis=1)
-            some += len(x)
+            z = model.features(np.array(b.column(0).to_pylist(), np.float64).reshape(-1, len(STATS)))
+            y = b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+            total += (z.T @ np.concatenate([z, y], axis=1)).astype(np.int64)
+            some += len(z)
         if some:
-            group = int.from_bytes(np.random.default_rng().bytes(2), "big") % 32  # where a part meets others changes no sum but its rounding
+            group = TaskContext.get().partitionId() % GROUPS
             yield pa.RecordBatch.from_pydict({"i": pa.array(range(n), pa.int32()), "g": pa.array([group] * n, pa.int32()), "v": pa.array([r.tobytes() for r in total], pa.binary())})
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "v": [sum(np.frombuffer(v) for v in group["v"]).tobytes()]})
+        return pd.DataFrame({"i": [key[0]], "v": [sum(np.frombuffer(v, np.int64) for v in group["v"]).tobytes()]})
 
     parts = rows.select("stats", "y").mapInArrow(lean(part), "i int, g int, v binary")
     sums = parts.groupBy("i", "g").applyInPandas(add, "i int, v binary").groupBy("i").applyInPandas(add, "i int, v binary").collect()  # FEATURES + 1 rows
     total = np.zeros((n, n + 1))
     for i, v in sums:
-        total[i] = np.frombuffer(bytes(v))
-    return total[:, :n], total[:, n]
+        total[i] = np.frombuffer(bytes(v), np.int64)
+    return total[:, :n] / UNIT**2, total[:, n] / UNIT
+
+
+def ridge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The weights for normal equations of features that end with the constant one; RIDGE is for each row."""
+    rows = a[-1, -1] / CONSTANT**2
+    return np.linalg.solve(a + (RIDGE * max(rows, 1) + 1e-6) * np.diag([*[1.0] * (len(a) - 1), CONSTANT**2]), b)
 
 
 def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", seed: int = 5) -> Model:
@@ -150,19 +170,20 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     d, none = len(STATS), np.zeros(0)
     if not moments[0] or moments[1] in (0, moments[0]):
         return Model(np.zeros(d), np.ones(d), frequencies, phases, np.zeros(FEATURES + 1), none, none, moments[1] / moments[0] if moments[0] else 0.5)
-    scale = np.array(moments[2 + d :], float)
-    model = Model(np.array(moments[2 : 2 + d], float), np.where(scale > 1e-9, scale, 1.0), frequencies, phases, np.zeros(FEATURES + 1), none, none, moments[1] / moments[0])
-    a, b = _normal_equations(rows.where("fold <> 3"), model)
-    model.weights = np.linalg.solve(a + (RIDGE * max(a[-1, -1], 1) + 1e-6) * np.eye(len(a)), b)
+    mean, scale = np.array(moments[2 : 2 + d], float).round(DECIMALS), np.array(moments[2 + d :], float).round(DECIMALS)
+    model = Model(mean, np.where(scale > 1e-6, scale, 1.0), frequencies, phases, np.zeros(FEATURES + 1), none, none, moments[1] / moments[0])
+    model.weights = ridge(*normal_equations(rows.where("fold <> 3"), model))
 
     def binned(batch: pa.RecordBatch) -> dict:
         raw = model.raw(np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, d))
-        return {"bin": pa.array(np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)), "raw": pa.array(raw), "y": batch.column(1)}
+        units = np.rint(raw * UNIT).astype(np.int64)
+        return {"bin": pa.array(np.clip((units / UNIT + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int32)), "units": pa.array(units), "y": batch.column(1)}
 
-    bins = map_rows(rows.where("fold = 3").select("stats", "y"), binned, "bin int, raw double, y double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.avg("raw").alias("raw")).orderBy("bin").collect()  # at most BINS rows
+    sums = F.count("*").alias("n"), F.sum("y").alias("y"), F.sum("units").alias("units")
+    bins = map_rows(rows.where("fold = 3").select("stats", "y"), binned, "bin int, units long, y double").groupBy("bin").agg(*sums).orderBy("bin").collect()  # at most BINS rows
     if bins:
         n = np.array([r["n"] for r in bins], float)
-        model.knots, model.levels = isotonic(np.array([r["raw"] for r in bins]), np.array([r["y"] for r in bins]) / n, n)
+        model.knots, model.levels = isotonic(np.array([r["units"] for r in bins]) / n / UNIT, np.array([r["y"] for r in bins]) / n, n)
     return model
 
 
@@ -175,15 +196,25 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return map_rows(stats.select("doc_id", "stats"), one, "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs and the score of its texts as a further column, whose name must be free."""
-    columns = list(docs.columns)
-    at = columns.index(text_col)
+def statistics_of(text: Column) -> Column:
+    """The statistics of a text column; only that column goes to Python."""
 
-    def one(batch: pa.RecordBatch) -> dict:
-        return {c: batch.column(k) for k, c in enumerate(columns)} | {name: pa.array(model.score(_matrix(batch.column(at))))}
+    @F.arrow_udf("array<double>")
+    def of(column: pa.Array) -> pa.Array:
+        x = _matrix(column)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATS), dtype=np.int32)), pa.array(x.ravel()))
+
+    return of(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score_of(stats: Column, model: Model) -> Column:
+    """The scores of a column of statistics."""
+
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array(column.to_pylist(), np.float64).reshape(-1, len(STATS))))
 
-    return map_rows(docs, one, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
+    return of(stats)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
