@@ -7,10 +7,13 @@ count. States and transitions are made as texts need them. They rest on two prop
 encoding leaves the encoding of the rest, and a token may follow another exactly if no merge at their border comes before
 both are complete; of all tokens that end at a place exactly one fits.
 
-Texts are read in chunks. A chunk's state map, from the state before it to the state after it and the tokens between, is kept
-as (head, count, tail): the bytes before its first border of pieces, the count of what lies between the borders, and the
-bytes' state since its last border. Such maps compose associatively; a batch reads all its chunks in lockstep, and the maps of
-a text's chunks meet in a parallel prefix scan. Only heads are read twice.
+Texts are read in chunks, all chunks of a batch in lockstep. A chunk's state map goes from the state before it to the state
+after it and the tokens between. Where a piece begins within the chunk, the map is a constant but for the bytes before that
+border (the head). A chunk that lies within a piece gets its map for the states that can come in: these are found by reading
+the chunk before it from each of its first places on, as a token of the encoding ends at one of them; equal states are one
+from then on, which soon leaves one or, in repetitive text, a few. Maps of neighbouring chunks are composed in log steps, and
+the compositions applied to the state before the piece give all chunks' states (a parallel prefix scan). A state that a map
+turns out to lack is added to it, and the scan done again. Heads are read last, all at once.
 
 Null and empty texts have no tokens. Special tokens' strings in a text count as one token each, and the text between them is
 counted by itself, as the library does. A null id stays null; repeated rows are counted one by one.
@@ -184,6 +187,7 @@ class Counter:
         letters = byte_letters()
         merges = [m.split(" ") if isinstance(m, str) else m for m in kept["model"]["merges"]]
         self.machine = Transducer([tuple(bytes(letters[c] for c in half) for half in m) for m in merges])
+        self.longest = max(map(len, self.machine.tokens))
         self.special = sorted((t["content"] for t in kept["added_tokens"]), key=len, reverse=True)
         self.classes = char_classes()
 
@@ -236,27 +240,80 @@ class Counter:
             v = machine.read(state, grid[p]).astype(np.int64)
             change[p] = (v & 255) - 128
             state = v >> 8
-        # The scan: a chunk with a border leaves its own state, whatever came in; one without hands on what its head makes of it.
-        head = np.where(edge.any(axis=0), edge.argmax(axis=0), CHUNK)
-        out = state
-        known = head < CHUNK
-        done = np.zeros(chunks, bool)
-        done[0] = True  # the stream begins with a border
-        while not done.all():
-            ready = np.flatnonzero(~done & np.concatenate(([False], known[:-1])))
-            now = out[ready - 1].copy()
-            for p in range(int(head[ready].max())):
-                live = np.flatnonzero(head[ready] > p)
-                lanes = ready[live]
-                v = machine.read(now[live], grid[p, lanes]).astype(np.int64)
-                change[p, lanes] = (v & 255) - 128
-                now[live] = v >> 8
-            whole = head[ready] == CHUNK
-            out[ready[whole]] = now[whole]
-            known[ready] = True
-            done[ready] = True
+        within = ~edge.any(axis=0)
+        if within.any():
+            self._scan(grid, within, state, change)
+        head = np.where(within, 0, edge.argmax(axis=0))
+        lanes = np.flatnonzero(head)
+        now = state[lanes - 1]
+        for p in range(int(head.max(initial=0))):
+            live = head[lanes] > p
+            lanes, now = lanes[live], now[live]
+            v = machine.read(now, grid[p, lanes]).astype(np.int64)
+            change[p, lanes] = (v & 255) - 128
+            now = v >> 8
         return change.T.ravel()[:n]
 
+    def _scan(self, grid: np.ndarray, within: np.ndarray, state: np.ndarray, change: np.ndarray) -> None:
+        """Sets the states after, and the changes by, the chunks that lie within a piece. The stream's first chunk is none of them."""
+        chunk = np.flatnonzero(within)
+        first = chunk[~within[chunk - 1]]
+        depth = np.zeros(len(within), np.int64)  # place of a chunk in its run
+        depth[chunk] = chunk - first[np.searchsorted(first, chunk, side="right") - 1]
+        later = self._entering(grid, chunk[depth[chunk] > 0])
+        nodes = self._mapped(grid, np.concatenate([first, later[0]]), np.concatenate([state[first - 1], later[1]]))
+        while True:
+            key, into, out, total = nodes  # of each chunk's map: (chunk, state before) -> state after, change
+            none = len(key)
+            jump = np.append(self._node(key, into, key + 1, out), none)  # the next chunk's node
+            at = np.full(len(within), none)
+            at[first] = self._node(key, into, first, state[first - 1])
+            span = 1
+            while span <= depth.max():
+                to = chunk[(depth[chunk] >= span) & (depth[chunk] < 2 * span)]
+                at[to] = jump[at[to - span]]
+                jump, span = jump[jump], 2 * span
+            lost = chunk[(at[chunk] == none) & (depth[chunk] > 0)]
+            lost = lost[at[lost - 1] < none]
+            if not len(lost):
+                break
+            more = self._mapped(grid, lost, out[at[lost - 1]])
+            both = [np.concatenate(x) for x in zip(nodes, more, strict=True)]
+            order = np.lexsort((both[1], both[0]))
+            nodes = tuple(x[order] for x in both)
+        state[chunk] = out[at[chunk]]
+        change[0, chunk] = total[at[chunk]]
+
+    @staticmethod
+    def _node(key: np.ndarray, into: np.ndarray, chunk: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The place of each (chunk, state) among the sorted (key, into); their number where it isn't there."""
+        of, wanted = key << 32 | into, chunk << 32 | state
+        k = np.searchsorted(of, wanted)
+        return np.where(of[np.minimum(k, len(of) - 1)] == wanted, k, len(of))
+
+    def _entering(self, grid: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(chunk, state): states in which chunks may begin, by reading the chunk before each from all places where a token can begin."""
+        lane, state = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for p in range(CHUNK if len(chunk) else 0):
+            if p < self.longest:
+                lane, state = np.concatenate([lane, chunk]), np.concatenate([state, np.zeros(len(chunk), np.int64)])
+            state = self.machine.read(state, grid[p, lane - 1]).astype(np.int64) >> 8
+            if p % 16 == 15 or p == CHUNK - 1:
+                once = np.unique(lane << 32 | state)
+                lane, state = once >> 32, once & 0xFFFFFFFF
+        return lane, state
+
+    def _mapped(self, grid: np.ndarray, chunk: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(chunk, state before, state after, change), sorted: chunks read from states."""
+        once = np.unique(chunk << 32 | state)
+        chunk, state = once >> 32, once & 0xFFFFFFFF
+        now, total = state, np.zeros(len(chunk), np.int64)
+        for p in range(CHUNK):
+            v = self.machine.read(now, grid[p, chunk]).astype(np.int64)
+            total += (v & 255) - 128
+            now = v >> 8
+        return chunk, state, now, total
+
 
 _workers: dict[str, Counter] = {}
 

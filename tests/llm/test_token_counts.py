@@ -22,6 +22,17 @@ def test_counts_are_the_library_s(monkeypatch):
     assert [int(counter.count([t])[0]) for t in odd[-60:]] == want[-60:] and counter.count(odd).tolist() == want
 
 
+def test_long_texts_without_borders(monkeypatch):
+    """One piece of many chunks: repetitive, random, and of letters that need several bytes."""
+    r = random.Random(4)
+    texts = ["x" * 70_000, "ab" * 30_001, "".join(r.choice("aeinorst") for _ in range(60_000)), "".join(r.choice("的一是不了人我在有") for _ in range(20_000)), "=" * 40_000 + " " + "-" * 30_001]
+    library, counter = Tokenizer.from_file(PATH), tc.Counter(PATH)
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counter.count(texts).tolist() == want and [int(counter.count([t])[0]) for t in texts] == want
+    monkeypatch.setattr(tc.Counter, "_entering", lambda self, grid, chunk: (chunk[:0], chunk[:0]))  # states that no map foresees are added
+    assert counter.count([t[:9000] for t in texts]).tolist() == [len(library.encode(t[:9000], add_special_tokens=False).ids) for t in texts]
+
+
 def test_rows(docs, rows, empty):
     library = Tokenizer.from_file(PATH)
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_tokens"]) for r in tc.count_tokens(docs, PATH).collect())
