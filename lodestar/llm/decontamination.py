@@ -1,20 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of documents and items (ASCII letters in lower case) are hashed; runs of MATCH words are seeds. A bitmap of fixed size,
-made from the items' seeds, drops documents without any seed while they are read. The seeds left are joined with the items'
-seeds by Spark, and a pair goes on if the seeds that it shares can cover enough of the item: a tile of k words has at least
-k / MATCH seeds. For these pairs, tiles are found greedily: the longest match of words that no tile has yet is marked on both
-sides, until none of MATCH words is left; window lengths and hashes follow the running Karp-Rabin scheme. An item counts as
-leaked if tiles cover at least `coverage` of its words, in whatever order they stand in the document.
+made from the items' seeds, drops documents without any seed while they are read; those left are written. Their seeds are
+joined with the items' seeds by Spark, and a pair goes on if the seeds that it shares can cover enough of the item: a tile of
+k words has at least k / MATCH seeds. For these pairs, tiles are found greedily: the longest matches of words that no tile has
+yet are marked on both sides, until none of MATCH words is left. The longest length is found by bisection over hashes of runs,
+which running Karp-Rabin gives for any length from one pass of sums; matches of that length are marked in order of item and
+document place, equal ones of a document through one pointer, so that repeated phrases cost no pair of places each. An item
+counts as leaked if tiles cover at least `coverage` of its words, in whatever order they stand in the document.
 
 Items with fewer than MATCH words (null and empty ones too) have no seed and never leak; documents with null or empty texts
-never hold any. Repeated documents and items give a row for each pair of ids once. Rows with a null id are not reported.
+never hold any. Repeated documents and items give a row for each pair of ids once; where an id repeats with different texts,
+each pair of texts is judged by itself and the largest values are reported. Rows with a null id are not reported. Very long
+texts are worked on whole; only the runs that they share with an item count towards the work on a pair.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, slices, texts, utf8, written
 from .license_scan import WORD_BYTES
-from .words import windows, word_hashes
+from .words import Rolling, windows, word_hashes
 
 #: Words of a seed, and of the shortest tile.
 MATCH = 5
@@ -42,15 +44,22 @@ def _seeds(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return g[inside].view(np.int64), text[: len(g)][inside], np.bincount(text, minlength=len(batch))
 
 
+def _items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item_id, item_hash, item): different items with an id."""
+    named = texts(items, id_col, text_col).where("doc_id IS NOT NULL").distinct()
+    return named.select(F.col("doc_id").alias("item_id"), F.xxhash64("text").alias("item_hash"), F.col("text").alias("item"))
+
+
 def item_seeds(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(seed, item_id, times, n_words): an item's seeds, how often each stands in it, and its words."""
+    """(seed, item_id, item_hash, times, n_words): an item's seeds, how often each stands in it, and its words."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        seeds, text, words = _seeds(utf8(batch.column(1)))
-        return {"seed": pa.array(seeds), "item_id": batch.column(0).take(pa.array(text)), "n_words": pa.array(words[text])}
+        seeds, text, words = _seeds(utf8(batch.column(2)))
+        of = pa.array(text)
+        return {"seed": pa.array(seeds), "item_id": batch.column(0).take(of), "item_hash": batch.column(1).take(of), "n_words": pa.array(words[text])}
 
-    rows = map_rows(texts(items, id_col, text_col).where("doc_id IS NOT NULL").distinct(), one, "seed long, item_id long, n_words long")
-    return rows.groupBy("seed", "item_id").agg(F.count("*").alias("times"), F.max("n_words").alias("n_words"))
+    rows = map_rows(_items(items, id_col, text_col), one, "seed long, item_id long, item_hash long, n_words long")
+    return rows.groupBy("seed", "item_id", "item_hash").agg(F.count("*").alias("times"), F.max("n_words").alias("n_words"))
 
 
 def _places(c):
@@ -89,58 +98,72 @@ def seeded_documents(docs: DataFrame, marks: np.ndarray, id_col: str = "doc_id",
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = MATCH) -> list[tuple[int, int, int]]:
     """(start in item, start in doc, length) of the greedy tiling of two arrays of word hashes, longest first, ties by item and document place."""
-    free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
+    shared = np.isin(windows(doc, least), windows(item, least))
+    covered = np.zeros(len(doc) + 1, np.int64)  # places of doc within a run that the item has too: tiles lie there
+    starts = np.flatnonzero(shared)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + least, -1)
+    kept = np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+    cut = np.flatnonzero(np.diff(kept) > 1) + 1
+    kept = np.insert(kept, cut, -1)  # a place that is never free between runs that aren't neighbours
+    doc = np.where(kept >= 0, doc[kept], np.uint64(0))
+    free_i, free_d = np.ones(len(item), bool), kept >= 0
+    rolling_i, rolling_d = Rolling(item), Rolling(doc)
     found: list[tuple[int, int, int]] = []
-    length = len(item)
-    while length >= least:
-        gi, gd = windows(item, length), windows(doc, length)
-        ok_i = np.flatnonzero(windows_free(free_i, length))
-        ok_d = np.flatnonzero(windows_free(free_d, length))
-        ok_d = ok_d[np.isin(gd[ok_d], gi[ok_i])]
-        at: dict[int, list[int]] = {}
-        for d in ok_d.tolist():
-            at.setdefault(int(gd[d]), []).append(d)
-        queue: list[tuple[int, int, int]] = []
-        for i in ok_i.tolist():
-            for d in at.get(int(gi[i]), ()):
-                most = min(len(item) - i, len(doc) - d)
-                same = (item[i : i + most] == doc[d : d + most]) & free_i[i : i + most] & free_d[d : d + most]
-                n = most if same.all() else int(same.argmin())
-                if n >= length:
-                    queue.append((-n, i, d))
-                if n == len(item) - i:
-                    break  # no later place gives this start a longer match
-        heapq.heapify(queue)
-        while queue:
-            n, i, d = heapq.heappop(queue)
-            both = free_i[i : i - n] & free_d[d : d - n]
-            if both.all():
-                free_i[i : i - n] = free_d[d : d - n] = False
-                found.append((i, d, -n))
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, hashes) in the item, and in doc, of free runs that both have."""
+        places, hashes = [], []
+        for rolling, free in ((rolling_i, free_i), (rolling_d, free_d)):
+            at = np.flatnonzero(windows_free(free, length))
+            places.append(at)
+            hashes.append(rolling.windows(length)[at])
+        both = [np.isin(hashes[0], hashes[1]), np.isin(hashes[1], hashes[0])]
+        return places[0][both[0]], hashes[0][both[0]], places[1][both[1]], hashes[1][both[1]]
+
+    longest = min(len(item), len(doc))
+    while longest >= least:
+        low, high = least - 1, longest  # a common run of `low` words exists, or low is too short; none beyond high does
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        if low < least:
+            break
+        places_i, hashes_i, places_d, hashes_d = common(low)
+        order = np.argsort(hashes_d, kind="stable")
+        groups, begin = np.unique(hashes_d[order], return_index=True)
+        end = np.append(begin[1:], len(order))
+        queue = places_d[order]
+        for i, g in zip(places_i.tolist(), np.searchsorted(groups, hashes_i).tolist(), strict=True):
+            if not free_i[i : i + low].all():
                 continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([False], both, [False])).astype(np.int8)))
-            for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):  # what other tiles have left of the match
-                if hi - lo >= length:
-                    heapq.heappush(queue, (lo - hi, i + lo, d + lo))
-        length = least if least < length < 2 * least else length // 2 if length > least else 0
+            while begin[g] < end[g]:
+                d = int(queue[begin[g]])
+                begin[g] += 1  # taken, or not free and never free again
+                if free_d[d : d + low].all() and np.array_equal(item[i : i + low], doc[d : d + low]):
+                    free_i[i : i + low] = free_d[d : d + low] = False
+                    found.append((i, int(kept[d]), low))
+                    break
+        longest = low - 1
     return found
 
 
 def windows_free(free: np.ndarray, n: int) -> np.ndarray:
     """Whether each run of n places is free."""
     total = np.concatenate(([0], np.cumsum(free)))
-    return total[n:] - total[:-n] == n
+    return total[n:] - total[: max(0, len(total) - n)] == n
 
 
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, covered, coverage, n_tiles, longest) of the pairs whose tiles cover enough of the item."""
     seeds = written(item_seeds(items, item_id_col, item_text_col), few=True)
-    found = seeded_documents(docs, bitmap(seeds), id_col, text_col)
-    keyed = found.withColumn("text_hash", F.xxhash64("text"))
-    pairs = keyed.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed").groupBy("doc_id", "text_hash", "item_id").agg(F.sum("times").alias("shared"), F.max("n_words").alias("n_words"))
-    pairs = pairs.where(F.col("shared") * MATCH >= F.ceil(F.col("n_words") * coverage)).select("doc_id", "text_hash", "item_id")
-    item_texts = texts(items, item_id_col, item_text_col).select(F.col("doc_id").alias("item_id"), F.col("text").alias("item")).distinct()
-    both = pairs.join(keyed.drop("seeds").distinct(), ["doc_id", "text_hash"]).join(item_texts, "item_id").select("doc_id", "item_id", "text", "item")
+    found = written(seeded_documents(docs, bitmap(seeds), id_col, text_col).withColumn("text_hash", F.xxhash64("text")))
+    shared = found.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
+    pairs = shared.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.sum("times").alias("shared"), F.max("n_words").alias("n_words"))
+    pairs = pairs.where(F.col("shared") * MATCH >= F.ceil(F.col("n_words") * coverage)).drop("shared", "n_words")
+    doc_texts = found.drop("seeds").dropDuplicates(["doc_id", "text_hash"])
+    item_texts = _items(items, item_id_col, item_text_col).dropDuplicates(["item_id", "item_hash"])
+    both = pairs.join(doc_texts, ["doc_id", "text_hash"]).join(item_texts, ["item_id", "item_hash"]).select("doc_id", "item_id", "text", "item")
 
     def one(batch: pa.RecordBatch) -> dict:
         out: list[list] = [[] for _ in range(7)]

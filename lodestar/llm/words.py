@@ -42,10 +42,34 @@ def word_hashes(texts: list[bytes], table: bytes = BLANKS) -> tuple[np.ndarray,
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n hashes (Karp-Rabin: a polynomial in STEP, then mixed); empty if there are fewer."""
+    """A hash of each run of n hashes (Karp-Rabin: a polynomial in STEP, then mixed), in n steps; empty if there are fewer. For short runs."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         total = total * STEP + h[k : len(h) - n + 1 + k]
     return mixed(total)
+
+
+class Rolling:
+    """Hashes of runs of any length over one array of hashes, running Karp-Rabin: a run's hash is the difference of two sums.
+
+    Sums of h[i] * STEP^i modulo 2^64 are made once; STEP is odd, so it has an inverse, which takes the run's place out again.
+    """
+
+    def __init__(self, h: np.ndarray) -> None:
+        n = len(h)
+        inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * _powers(STEP, n), dtype=np.uint64)))
+        self.back = _powers(inverse, n)
+
+    def windows(self, n: int) -> np.ndarray:
+        """The hash of each run of n; empty if there are fewer."""
+        if not 0 < n < len(self.sums):
+            return np.zeros(0, np.uint64)
+        return mixed((self.sums[n:] - self.sums[:-n]) * self.back[: len(self.sums) - n])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo 2^64."""
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(0, n - 1), base))), dtype=np.uint64)[:n]
