@@ -5,12 +5,15 @@ word or beginning of a word from the abuse lexicon, and `severe`, one that holds
 training sample shows to be tied to the label most (at most `LEXICON` entries that hardly ever stand in clean documents). The
 chain predicts abusive, severe and toxic in this order. Each model is a logistic regression over the presence of the chosen
 features and the probabilities of the categories before it; for training, those are out-of-fold predictions, so that a later
-model sees them as uncertain as they will be for new documents.
-
-Features are chosen, and the models fitted, on a bounded sample of labelled rows: the SAMPLE rows of the smallest id hashes.
-Every document is scored over its whole text. Null and empty texts have no features and get the models' base rates. Null
-labels, and labels without a document, are not used; without both kinds of label every probability is the share of label 1.
-Repeated rows are scored one by one; a null id stays null.
+model sees them as uncertain as they will be for new documents. A fold's predictions come from the other folds alone: they
+choose the features, they make the lexicon and with it the derived categories, and they fit the models. Folds are dealt by a
+hash of the id. The penalty is the one of PENALTIES whose out-of-fold predictions of toxic have the least log loss.
+
+Features are chosen, and the models fitted, on a bounded sample of labelled rows: the SAMPLE ids of the smallest hashes.
+An id with several labels counts as toxic if one of them says so; of an id with several texts the one of least hash is taken.
+Every document is scored over its whole text, however long. Null and empty texts have no features and get the models' base
+rates. Null labels, and labels without a document, are not used; without both kinds of label every probability is the share
+of label 1. Ties among features go by their bytes. Repeated rows are scored one by one; a null id stays null.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ SAMPLE, FEATURES, LEXICON, FOLDS = 8000, 2048, 512, 5
 #: Least difference of a feature's shares in toxic and clean rows, in standard errors.
 LEAST_Z = 2.0
 
+#: Strengths of the penalty to choose from, and gradient steps for that and for the models.
+PENALTIES, TRIAL_STEPS, STEPS = (0.001, 0.01, 0.1), 60, 300
+
 CATEGORIES = ("abusive", "severe", "toxic")
 
 
@@ -69,7 +75,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def _fit(at: np.ndarray, row: np.ndarray, earlier: np.ndarray, y: np.ndarray, features: int, decay: float = 0.001, steps: int = 300) -> np.ndarray:
+def _fit(at: np.ndarray, row: np.ndarray, earlier: np.ndarray, y: np.ndarray, features: int, decay: float, steps: int = STEPS) -> np.ndarray:
     """Logistic regression with a quadratic penalty, by accelerated gradient steps over columns of unit norm."""
     n, k = earlier.shape
     columns = np.concatenate([np.bincount(at, minlength=features), (earlier**2).sum(axis=0), [n]])
@@ -97,55 +103,125 @@ def _fit(at: np.ndarray, row: np.ndarray, earlier: np.ndarray, y: np.ndarray, fe
     return w * scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def _rows_of(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and row of each entry of lists of features."""
+    return np.array([j for r in lists for j in r], np.int64), np.repeat(np.arange(len(lists)), [len(r) for r in lists])
+
+
+def _values(w: np.ndarray, at: np.ndarray, row: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """The probabilities of rows (entries, earlier categories) by weights."""
+    n, k = earlier.shape
+    return _sigmoid(np.bincount(row, weights=w[at], minlength=n) + earlier @ w[len(w) - 1 - k : -1] + w[-1])
+
+
+@dataclass
+class View:
+    """What a set of training rows says: the vocabulary, which entries are the lexicon, and all rows' entries in that vocabulary."""
+
+    vocabulary: dict[bytes, int]
+    lexicon: np.ndarray
+    inside: np.ndarray  # the rows that it rests on
+    at: np.ndarray
+    row: np.ndarray
+
+    def targets(self, y: np.ndarray) -> list[np.ndarray]:
+        hits = np.bincount(self.row, weights=self.lexicon[self.at], minlength=len(y))
+        return [y * (hits >= 1), y * (hits >= 3), y]
+
+    def fit(self, earlier: np.ndarray, y: np.ndarray, decay: float, steps: int = STEPS) -> np.ndarray:
+        """Weights by the inside rows."""
+        number, used = np.cumsum(self.inside) - 1, self.inside[self.row]
+        return _fit(self.at[used], number[self.row[used]], earlier[self.inside], y[self.inside].astype(float), len(self.vocabulary), decay, steps)
+
+    def predict(self, w: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        return _values(w, self.at, self.row, earlier)
+
+
+def _chosen(counts: DataFrame, clean, toxic, n0: int, n1: int) -> list:
+    """(f, z, clean, toxic) of the features whose shares in n0 clean and n1 toxic rows differ most: at most FEATURES rows."""
+    share = (clean + toxic + 1) / (n0 + n1 + 2)
+    z = (toxic / n1 - clean / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
+    kept = counts.select("f", z.alias("z"), clean.alias("clean"), toxic.alias("toxic")).where("clean + toxic >= 3")
+    return kept.where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, y, fold, text): at most SAMPLE rows, one for an id."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
-    sample = written(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id"))  # at most SAMPLE rows of two numbers
+    taken = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    found = texts(docs, id_col, text_col).join(F.broadcast(taken), "doc_id")  # at most SAMPLE rows of two numbers
+    one = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    sample = written(training_sample(docs, labels, label_col, id_col, text_col), few=True)
 
     def counted(batch: pa.RecordBatch) -> dict:
-        seen: dict[bytes, list[int]] = {}
-        for y, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+        seen: dict[tuple[bytes, int], list[int]] = {}
+        for y, fold, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
             for f in present(data):
-                seen.setdefault(f, [0, 0])[y] += 1
-        return {"f": pa.array(list(seen), pa.binary()), "clean": pa.array([v[0] for v in seen.values()], pa.int64()), "toxic": pa.array([v[1] for v in seen.values()], pa.int64())}
+                seen.setdefault((f, fold), [0, 0])[y] += 1
+        columns = [f for f, _ in seen], [k for _, k in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]
+        return {n: pa.array(c, kind) for n, c, kind in zip(("f", "fold", "clean", "toxic"), columns, (pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)}
 
-    sizes = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    sizes = {(r[0], r[1]): r[2] for r in sample.groupBy("fold", "y").count().collect()}
+    n0, n1 = (sum(n for (_, y), n in sizes.items() if y == kind) for kind in (0, 1))
     if not n0 or not n1:
         return Chain({}, [], n1 / (n0 + n1) if n0 + n1 else 0.5)
-    found = map_rows(sample.select("y", "text"), counted, "f binary, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    share = (F.col("clean") + F.col("toxic") + 1) / (n0 + n1 + 2)
-    z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    best = found.where("clean + toxic >= 3").withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()  # at most FEATURES rows
-    chain = Chain({bytes(r["f"]): k for k, r in enumerate(best)}, [], n1 / (n0 + n1))
-    lexicon = np.zeros(len(best), bool)
-    lexicon[[k for k, r in enumerate(best) if r["z"] > 3 and r["clean"] / n0 < 0.02 * r["toxic"] / n1][:LEXICON]] = True
+    of = lambda kind, fold: F.sum(F.when(F.col("fold") == fold, F.col(kind)).otherwise(0)).alias(f"{kind}_{fold}")
+    counts = map_rows(sample.select("y", "fold", "text"), counted, "f binary, fold int, clean long, toxic long").groupBy("f").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), *[of(kind, fold) for kind in ("clean", "toxic") for fold in range(FOLDS)]
+    )
+    counts = written(counts.where("clean + toxic >= 3"), few=True)
+    best = {}  # by the fold that is left out; None: all rows
+    for fold in (None, *range(FOLDS)):
+        rest = [sizes.get((fold, kind), 0) for kind in (0, 1)]
+        left = [F.col(kind) - (F.lit(0) if fold is None else F.col(f"{kind}_{fold}")) for kind in ("clean", "toxic")]
+        if n0 > rest[0] and n1 > rest[1]:
+            best[fold] = _chosen(counts, *left, n0 - rest[0], n1 - rest[1])
+    union = {f: k for k, f in enumerate(sorted({bytes(r["f"]) for rows in best.values() for r in rows}))}
 
     def indexed(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "y": batch.column(1), "at": pa.array([sorted(chain.indices(x)) for x in utf8(batch.column(2))], pa.list_(pa.int32()))}
-
-    rows = map_rows(sample.select("doc_id", "y", "text"), indexed, "doc_id long, y int, at array<int>").orderBy("doc_id", "y", "at").collect()  # at most SAMPLE rows, unless ids repeat
-    y, lists = np.array([r["y"] for r in rows]), [r["at"] for r in rows]
-    at, row = np.array([j for r in lists for j in r], np.int64), np.repeat(np.arange(len(lists)), [len(r) for r in lists])
-    hits = np.bincount(row, weights=lexicon[at], minlength=len(lists))
-    targets = [y * (hits >= 1), y * (hits >= 3), y]
-    fold = np.arange(len(lists)) % FOLDS
-    earlier, weights = np.zeros((len(lists), 0)), []
-    for k, target in enumerate(targets):
-        target = target.astype(float)
-        weights.append(_fit(at, row, earlier, target, len(best)))
-        if k < len(targets) - 1:
-            out = np.zeros(len(lists))
-            for f in range(FOLDS):
-                inside = fold != f
-                number = np.cumsum(inside) - 1
-                used = inside[row]
-                w = _fit(at[used], number[row[used]], earlier[inside], target[inside], len(best))
-                x = np.bincount(row, weights=w[at], minlength=len(lists)) + earlier @ w[len(best) : -1] + w[-1]
-                out[~inside] = _sigmoid(x)[~inside]
-            earlier = np.concatenate([earlier, out[:, None]], axis=1)
-    chain.weights = weights
-    return chain
+        found = [sorted(union[f] for f in present(x) if f in union) for x in utf8(batch.column(3))]
+        return {"doc_id": batch.column(0), "y": batch.column(1), "fold": batch.column(2), "at": pa.array(found, pa.list_(pa.int32()))}
+
+    rows = map_rows(sample, indexed, "doc_id long, y int, fold int, at array<int>").orderBy("doc_id").collect()  # at most SAMPLE rows, with indices of chosen features
+    y, folds = np.array([r["y"] for r in rows]), np.array([r["fold"] for r in rows])
+    every_at, every_row = _rows_of([r["at"] for r in rows])
+
+    def view(fold: int | None) -> View:
+        own = {bytes(r["f"]): k for k, r in enumerate(best[fold])}
+        number = np.full(len(union) + 1, -1)
+        number[[union[f] for f in own]] = range(len(own))
+        at = number[every_at]
+        inside = folds != (-1 if fold is None else fold)
+        toxic, clean = max(1, int(y[inside].sum())), max(1, int((1 - y[inside]).sum()))
+        lexicon = np.zeros(len(own), bool)
+        lexicon[[k for k, r in enumerate(best[fold]) if r["z"] > 3 and r["clean"] / clean < 0.02 * r["toxic"] / toxic][:LEXICON]] = True
+        return View(own, lexicon, inside, at[at >= 0], every_row[at >= 0])
+
+    whole, none = view(None), np.zeros((len(y), 0))
+    parts = [(folds == fold, view(fold)) for fold in range(FOLDS) if fold in best and (folds == fold).any()]
+
+    def out_of_fold(earlier: np.ndarray, k: int, decay: float, steps: int) -> np.ndarray:
+        """Predictions of category k: each fold's by the others; the share of the category where they have one kind of label only."""
+        out = np.full(len(y), whole.targets(y)[k].mean())
+        for own, v in parts:
+            out[own] = v.predict(v.fit(earlier, v.targets(y)[k], decay, steps), earlier)[own]
+        return out
+
+    def loss(decay: float) -> float:
+        p = np.clip(out_of_fold(none, 2, decay, TRIAL_STEPS), 1e-6, 1 - 1e-6)
+        return float(-np.where(y == 1, np.log(p), np.log(1 - p)).mean())
+
+    decay = min(PENALTIES, key=loss)
+    earlier, weights = none, []
+    for k, target in enumerate(whole.targets(y)):
+        weights.append(whole.fit(earlier, target, decay))
+        if k < len(CATEGORIES) - 1:
+            earlier = np.concatenate([earlier, out_of_fold(earlier, k, decay, STEPS)[:, None]], axis=1)
+    return Chain(whole.vocabulary, weights, n1 / (n0 + n1))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
