@@ -1,20 +1,25 @@
-"""Substring dedup: windows of words that stand in an earlier document too, found with a compressed FM-index per shard.
+"""Substring dedup: passages that stand in an earlier document too, found with a compressed FM-index per shard.
 
 Documents are streamed three times. First, each window of `size` words names the least hash among its runs of SEED words (its
 minimiser); equal windows name equal ones, so only windows whose minimiser stands in two documents matter. These minimisers
 go into a bitmap of at most MAX_BITS bits, or, if there are too many for it, are joined with the documents. Second, the
 windows left are cut into segments of neighbours with the same minimiser, at most size - SEED + 1 windows each. A segment's
-minimiser is its route: equal windows meet in one shard whatever documents they come from, and equal segments are kept once,
-with their smallest document id. Routes with more than ROUTE different segments are cut into single windows, routed by the
-window's own hash, so that a shard's part stays small however common a passage is. Each part of a shard is indexed: ranks of
-words, their order by the following 16 words, and the Burrows-Wheeler transform in a wavelet matrix of bit-packed levels with
-counts. The segments are streamed through backward search, which narrows each window to its interval of the index, and the
-interval's smallest document id comes from a table of range minima. Third, each document drops the words that are covered by
-windows with a smaller id elsewhere.
+minimiser is its route: equal windows meet in one shard whatever documents they come from. A shard's different segments, each
+with the smallest document id that holds it, are indexed in parts: ranks of words, the suffix array by doubling, and the
+Burrows-Wheeler transform in a wavelet matrix of bit-packed levels with counts. Then the segments, as their first documents
+have them, are streamed through the index: backward search from each place narrows an interval word by word, as long as the
+least document id in it, by a table of range minima, is smaller than the segment's own. The words read are the place's
+matching statistic, and matches of `size` words or more are reported. A later document that holds the same segment has all of
+it repeated. Third, each document drops the words that its matches cover.
+
+Routes with more than ROUTE different segments are cut finer, by the three least hashes of a window, so that a shard's part
+stays small however common a passage is. What is then still too common is dealt by the windows themselves, and there, as all
+of a route's windows are equal, the smallest id needs no index.
 
 Words are runs of bytes other than ASCII white space, unchanged. Null and empty texts have no words. Texts of fewer than
 `size` words lose nothing. Rows with a null id neither lose words nor make others lose any; rows of the same id don't count as
-earlier for each other. Words are compared by 64-bit hashes.
+earlier for each other. Words are compared by 64-bit hashes. Matches end where segments end, so a long repeated passage is
+reported in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -39,12 +44,21 @@ BITS_EACH, MAX_BITS = 32, 1 << 28
 #: Different segments of a route, and of an index.
 ROUTE, PART = 2000, 12_000
 
+#: Least hashes by which common routes are cut finer.
+FINER = 3
+
+#: Places that are searched at once.
+LANES = 1 << 16
+
+#: Words that backward search reads before it looks at document ids.
+BLIND = 3
+
 #: Segments that a task remembers as already sent with their words.
 SENT = 100_000
 
 
 class FMIndex:
-    """Sequences of word ids (1 and up), each with a number, for backward search of at most 15 words."""
+    """Sequences of word ids (1 and up), each with a number, for backward search."""
 
     def __init__(self, sequences: list[np.ndarray], numbers: np.ndarray) -> None:
         sizes = np.array([len(s) + 1 for s in sequences])
@@ -54,10 +68,11 @@ class FMIndex:
         inside[ends - 1] = False
         text[inside] = np.concatenate(sequences)
         n = len(text)
-        rank = text
-        for h in (1, 2, 4, 8):  # the order by 2, 4, 8 and 16 words
+        rank, h = text, 1
+        while h < sizes.max() and rank.max() < n - 1:  # the order by 2, 4, 8 ... words, up to a whole sequence
             key = rank * (n + 2) + np.concatenate([rank[h:] + 1, np.zeros(min(h, n), np.int64)])[:n]
             rank = np.unique(key, return_inverse=True)[1]
+            h *= 2
         order = np.argsort(rank, kind="stable")
         self.n, self.letters = n, int(text.max()) + 1
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.letters))))  # letters smaller than each
@@ -74,7 +89,8 @@ class FMIndex:
         every = np.arange(self.letters)
         self.origin = self._descend(every, np.zeros(self.letters, np.int64))
         owner = np.repeat(np.arange(len(sequences)), sizes)
-        self.least = [numbers[owner[order]]]  # minima over 2^k places from each on
+        self.numbers, ranks = np.unique(numbers, return_inverse=True)
+        self.least = [ranks[owner[order]].astype(np.int32)]  # ranks of numbers: minima over 2^k places from each on
 
     def _descend(self, letter: np.ndarray, place: np.ndarray) -> np.ndarray:
         for k, (packed, counts, zeros) in enumerate(self.levels):
@@ -83,17 +99,13 @@ class FMIndex:
             place = np.where(letter >> (len(self.levels) - 1 - k) & 1, zeros + ones, place - ones)
         return place
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of each row of patterns, by backward search."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, k]
-            both = self._descend(np.concatenate([c, c]), np.concatenate([lo, hi])) - np.concatenate([self.origin[c]] * 2)
-            lo, hi = self.before[c] + both[: len(c)], self.before[c] + both[len(c) :]
-        return lo, hi
+    def extend(self, letter: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the words that letter and then those of [lo, hi) begin with: a step of backward search."""
+        both = self._descend(np.concatenate([letter, letter]), np.concatenate([lo, hi])) - np.concatenate([self.origin[letter]] * 2)
+        return self.before[letter] + both[: len(letter)], self.before[letter] + both[len(letter) :]
 
     def minima(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The least number in each interval (none is empty)."""
+        """The rank of the least number in each interval (none is empty)."""
         level = np.frexp((hi - lo).astype(float))[1] - 1
         for k in range(len(self.least), int(level.max(initial=0)) + 1):
             last, half = self.least[-1], 1 << (k - 1)
@@ -105,6 +117,23 @@ class FMIndex:
             out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k)])
         return out
 
+    def longest(self, text: np.ndarray, end: np.ndarray, begin: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """For each place `end` of text (word ids): how many words up to it, none before `begin`, stand together in a sequence of a number below `below`; BLIND or fewer count as none."""
+        length, limit = np.zeros(len(end), np.int64), np.searchsorted(self.numbers, below)
+        lane, lo, hi = np.arange(len(end)), np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
+        read = 0
+        while len(lane):
+            lo, hi = self.extend(text[end[lane] - read], lo, hi)
+            read += 1
+            found = hi > lo
+            if read > BLIND:
+                found[found] = self.minima(lo[found], hi[found]) < limit[lane[found]]
+            lane, lo, hi = lane[found], lo[found], hi[found]
+            length[lane] = read
+            more = end[lane] - read >= begin[lane]
+            lane, lo, hi = lane[more], lo[more], hi[more]
+        return np.where(length > BLIND, length, 0)
+
 
 def _minimisers(h: np.ndarray, text: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(minimiser of the window that starts at each word, whether there is such a window within a text)."""
@@ -146,7 +175,7 @@ def _bitmap(shared: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-_SEGMENT = "doc_id long, text_hash long, start int, n_windows int, route long, key long, words string"
+_SEGMENT = "doc_id long, text_hash long, start int, length int, route long, key long, words string"
 
 
 def _segments(rows: DataFrame, marks: np.ndarray | None, size: int, seed: int) -> DataFrame:
@@ -189,8 +218,8 @@ def _segments(rows: DataFrame, marks: np.ndarray | None, size: int, seed: int) -
                         sent.clear()
                     sent.add((r, k))
                     words.append(data[x:y].decode())
-                columns = (ids[where], hashes[where], (i - number[where]).astype(np.int32), (j - i + 1).astype(np.int32), m[i], key)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.string())], ["doc_id", "text_hash", "start", "n_windows", "route", "key", "words"])
+                columns = (ids[where], hashes[where], (i - number[where]).astype(np.int32), (j - i + size).astype(np.int32), m[i], key)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.string())], ["doc_id", "text_hash", "start", "length", "route", "key", "words"])
 
     return rows.mapInArrow(lean(run), _SEGMENT)
 
@@ -204,24 +233,13 @@ def _keys(h: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _single_windows(segments: DataFrame, size: int) -> DataFrame:
-    """(seg_route, seg_key, place, route, key, least, words): the windows of segments, each a segment and a route of its own."""
-
-    def one(batch: pa.RecordBatch) -> dict:
-        h, text, begin, end, data = word_hashes(utf8(batch.column(3)))
-        start = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
-        key, owner = _keys(h, start, start + size), text[start]
-        head = np.searchsorted(text, owner)
-        picked = {n: batch.column(k).take(pa.array(owner)) for k, n in enumerate(("seg_route", "seg_key", "least"))}
-        words = [data[x:y].decode() for x, y in zip(begin[start].tolist(), end[start + size - 1].tolist(), strict=True)]
-        return {"seg_route": picked["seg_route"], "seg_key": picked["seg_key"], "place": pa.array((start - head).astype(np.int32)), "route": pa.array(key), "key": pa.array(key), "least": picked["least"], "words": pa.array(words, pa.string())}
-
-    return map_rows(segments.select("route", "key", "least", "words"), one, "seg_route long, seg_key long, place int, route long, key long, least long, words string")
+_MATCHED = "route long, key long, least long, most long, length int, matches array<struct<start:int,length:int>>"
 
 
 def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
-    """(route, key, minima array<long>): for each segment (route, key, least, words) the smallest id at any place of each of its windows.
+    """_MATCHED for segments (route, key, least, most, length, words): where `size` words or more also stand in segments of a smaller `least`.
 
+    matches are the longest such runs, none within another; segments without any, and with one document only, are left out.
     Each route must have few different segments: a shard is a partition of routes, indexed in parts of about PART segments.
     """
 
@@ -229,21 +247,25 @@ def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
         kept: list[tuple] = []
 
         def search() -> pa.RecordBatch:
-            route, key, least, words = zip(*kept, strict=True)
+            route, key, least, most, length, words = zip(*kept, strict=True)
+            least, length = np.array(least, np.int64), np.array(length, np.int64)
             h, text, *_ = word_hashes([w.encode() for w in words])
             ids = np.unique(h, return_inverse=True)[1].astype(np.int64) + 1
-            cut = np.searchsorted(text, np.arange(len(words) + 1))
-            index = FMIndex([ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], np.array(least, np.int64))
-            start = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
-            once, again = np.unique(_keys(h, start, start + size), return_index=True, return_inverse=True)[1:]  # equal windows have one interval
-            minima = np.empty(len(once), np.int64)
-            for k in range(0, len(once), 1 << 15):
-                s = start[once[k : k + (1 << 15)]]
-                minima[k : k + len(s)] = index.minima(*index.search(ids[s[:, None] + np.arange(size)]))
-            minima = minima[again]
-            offsets = np.searchsorted(text[start], np.arange(len(words) + 1)).astype(np.int32)
+            cut = np.cumsum(length) - length
+            index = FMIndex([ids[a : a + n] for a, n in zip(cut.tolist(), length.tolist(), strict=True)], least)
+            end = np.flatnonzero(np.arange(len(ids)) - cut[text] >= size - 1)
+            found = np.concatenate([index.longest(ids, e, cut[text[e]], least[text[e]]) for e in (end[k : k + LANES] for k in range(0, len(end), LANES))])
+            start = end - found + 1
+            within = np.append((start[1:] <= start[:-1]) & (text[end[1:]] == text[end[:-1]]), False)  # the next match holds this one
+            hit = (found >= size) & ~within
+            owner = text[end[hit]]
+            count = np.bincount(owner, minlength=len(words))
+            told = np.flatnonzero((count > 0) | (np.array(most) > least))
+            matches = pa.StructArray.from_arrays([pa.array((start[hit] - cut[owner]).astype(np.int32)), pa.array(found[hit].astype(np.int32))], ["start", "length"])
+            offsets = np.concatenate(([0], np.cumsum(count[told]))).astype(np.int32)  # what is left out has no matches
+            columns = [pa.array(np.array(x, np.int64)[told]) for x in (route, key, least, most)]
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(minima))], ["route", "key", "minima"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(length[told].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), matches)], ["route", "key", "least", "most", "length", "matches"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -253,14 +275,64 @@ def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
         if kept:
             yield search()
 
-    sharded = segments.select("route", "key", "least", "words").repartition("route").sortWithinPartitions("route")
-    return sharded.mapInArrow(lean(run), "route long, key long, minima array<long>")
+    sharded = segments.select("route", "key", "least", "most", "length", "words").repartition("route").sortWithinPartitions("route")
+    return sharded.mapInArrow(lean(run), _MATCHED)
+
 
+def _finer(segments: DataFrame, size: int, seed: int, least: int) -> DataFrame:
+    """(seg_route, seg_key, place, first, route, key, length, words): segments cut into runs of windows with the same `least` least hashes; 0: into windows."""
+    names = ("seg_route", "seg_key", "first")
 
-def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, starts array<struct<start int, mask int>>): bit k of mask: the window at word start + k also stands in a document with a smaller id."""
-    if not seed < size <= 15:
-        raise ValueError("a window has more words than a seed and at most 15")
+    def one(batch: pa.RecordBatch) -> dict:
+        h, text, begin, end, data = word_hashes(utf8(batch.column(3)))
+        start = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :])
+        if least:
+            seeds = np.sort(np.lib.stride_tricks.sliding_window_view(windows(h, seed), size - seed + 1)[start], axis=1)[:, :least]
+            route = np.full(len(start), least, np.uint64)
+            for column in seeds.T:
+                route = mixed(route ^ mixed(column + route))
+            near = np.concatenate(([False], (route[1:] == route[:-1]) & (start[1:] == start[:-1] + 1) & (text[start[1:]] == text[start[:-1]])))
+            i, j = start[~near], start[np.append(~near[1:], True)]
+            route = route[~near].view(np.int64)
+        else:
+            i, j = start, start
+            route = _keys(h, i, j + size)
+        owner = text[i]
+        picked = {n: batch.column(k).take(pa.array(owner)) for k, n in enumerate(names)}
+        words = pa.array([data[x:y].decode() for x, y in zip(begin[i].tolist(), end[j + size - 1].tolist(), strict=True)] if least else [None] * len(i), pa.string())
+        place, length = ((i - np.searchsorted(text, owner)).astype(np.int32), (j - i + size).astype(np.int32))
+        return picked | {"place": pa.array(place), "route": pa.array(route), "key": pa.array(_keys(h, i, j + size)), "length": pa.array(length), "words": words}
+
+    return map_rows(segments.select("route", "key", "least", "words"), one, "seg_route long, seg_key long, first long, place int, route long, key long, length int, words string")
+
+
+def _one_sequence(segments: DataFrame) -> DataFrame:
+    """_MATCHED for segments of which a route has only one: none stands in another."""
+    return segments.where("most > least").select("route", "key", "least", "most", "length", F.expr("cast(array() AS array<struct<start:int,length:int>>)").alias("matches"))
+
+
+def _matched(segments: DataFrame, size: int, seed: int, cuts: tuple[int, ...] = (FINER, 0)) -> DataFrame:
+    """_MATCHED for segments (route, key, least, most, length, words) of any routes; common ones are cut by the first of `cuts`, and so on."""
+    common = written(segments.groupBy("route").count().where(F.col("count") > ROUTE).select("route"), few=True)  # its size is known from here on: segments need no shuffle to meet a few routes
+    done = matching_statistics(segments.join(common, "route", "left_anti"), size)
+    if common.isEmpty():
+        return done
+    whole = segments.join(common, "route")
+    cut = written(_finer(whole, size, seed, cuts[0]))
+    once = written(cut.groupBy("route", "key").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.first("length").alias("length"), F.first("words").alias("words")))
+    found = (_matched(once, size, seed, cuts[1:]) if cuts[0] else _one_sequence(once)).select("route", "key", "least", "matches")
+    own = F.when(F.col("first") > F.col("least"), F.array(F.struct(F.lit(0).alias("start"), "length"))).otherwise(F.col("matches"))
+    placed = F.transform(own, lambda m: F.struct((m["start"] + F.col("place")).alias("start"), m["length"].alias("length")))
+    back = cut.join(found, ["route", "key"]).select("seg_route", "seg_key", placed.alias("m")).where(F.size("m") > 0)
+    back = back.groupBy(F.col("seg_route").alias("route"), F.col("seg_key").alias("key")).agg(F.flatten(F.collect_list("m")).alias("matches"))
+    told = whole.drop("words").join(back, ["route", "key"], "left").where("most > least OR matches IS NOT NULL")
+    return done.union(told.select("route", "key", "least", "most", "length", F.coalesce("matches", F.expr("cast(array() AS array<struct<start:int,length:int>>)"))))
+
+
+def repeated_passages(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, matches array<struct<start, length>>): runs of `size` words or more, from word start on, that also stand in a document with a smaller id."""
+    if not seed < size:
+        raise ValueError("a passage must have more words than a seed")
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     named = minimisers(rows.select("doc_id", "text"), size, seed)
     shared = written(named.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"), few=True)
@@ -272,23 +344,16 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col
         own = named.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("shared"))
         found = _segments(rows.join(own, "doc_id").select("doc_id", "text_hash", "text", "shared"), None, size, seed)
     found = written(found)
-    different = written(found.groupBy("route", "key").agg(F.min("doc_id").alias("least"), F.first("words", ignorenulls=True).alias("words")))
-    common = written(different.groupBy("route").count().where(F.col("count") > ROUTE).select("route"), few=True)  # its size is known from here on: segments need no shuffle to meet a few routes
-    rare = different.join(common, "route", "left_anti")
-    single = _single_windows(different.join(common, "route"), size)
-    places = single.select("seg_route", "seg_key", "place", "route", "key")
-    ones = single.groupBy("route", "key").agg(F.min("least").alias("least"), F.first("words").alias("words"))
-    of_rare = matching_statistics(rare, size)
-    of_ones = matching_statistics(ones, size).select("route", "key", F.col("minima")[0].alias("least"))
-    of_common = places.join(of_ones, ["route", "key"]).groupBy("seg_route", "seg_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("minima"))
-    minima = of_rare.union(of_common)
-    bits_of = F.aggregate(F.transform("minima", lambda x, k: F.when(x < F.col("doc_id"), F.call_function("shiftleft", F.lit(1), k)).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    hit = found.select("doc_id", "text_hash", "start", "route", "key").join(minima, ["route", "key"]).select("doc_id", "text_hash", "start", bits_of.alias("mask")).where("mask <> 0")
-    return hit.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "mask")).alias("starts"))
-
-
-def without_repeats(docs: DataFrame, repeats: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, text): each row's words that no repeated window covers, joined by one space."""
+    different = found.groupBy("route", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("length").alias("length"), F.first("words", ignorenulls=True).alias("words"))
+    matched = _matched(written(different), size, seed).select("route", "key", "least", "length", "matches")
+    own = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.lit(0).alias("start"), "length"))).otherwise(F.col("matches"))
+    placed = F.transform(own, lambda m: F.struct((m["start"] + F.col("begin")).alias("start"), m["length"].alias("length")))
+    hit = found.select("doc_id", "text_hash", F.col("start").alias("begin"), "route", "key").join(matched, ["route", "key"]).select("doc_id", "text_hash", placed.alias("m")).where(F.size("m") > 0)
+    return hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("matches"))
+
+
+def without_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, text): each row's words that no repeated passage covers, joined by one space."""
     rows = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def small(batch: pa.RecordBatch) -> dict:
@@ -296,19 +361,19 @@ def without_repeats(docs: DataFrame, repeats: DataFrame, size: int = SIZE, id_co
         return {"doc_id": batch.column(0), "text_hash": batch.column(1), "packed": pa.array([pack.compress(x) for x in utf8(batch.column(2))], pa.binary())}
 
     packed = map_rows(rows, small, "doc_id long, text_hash long, packed binary")  # texts cross the network once, compressed
-    joined = packed.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "packed", "starts")
+    joined = packed.join(repeats, ["doc_id", "text_hash"], "left").select("doc_id", "packed", "matches.start", "matches.length")
 
     def one(batch: pa.RecordBatch) -> dict:
         out: list[list] = [[], [], []]
         unpack = zstandard.ZstdDecompressor()
-        for data, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for data, start, length in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
             words = unpack.decompress(data).split()
             kept = words
-            if starts:
+            if start:
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.array([x["start"] + k for x in starts for k in range(32) if x["mask"] >> k & 1])
+                at = np.array(start)
                 np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
+                np.add.at(edge, at + np.array(length), -1)
                 kept = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0).tolist()]
             out[0].append(len(words))
             out[1].append(len(words) - len(kept))

@@ -30,7 +30,7 @@ key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
 
 
 def run(docs):
-    return sorted((tuple(r) for r in sd.without_repeats(docs, sd.repeated_windows(docs)).collect()), key=key)
+    return sorted((tuple(r) for r in sd.without_repeats(docs, sd.repeated_passages(docs)).collect()), key=key)
 
 
 def test_against_brute_force(docs, rows):
@@ -51,7 +51,7 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("change", [{"MAX_BITS": 0}, {"ROUTE": 2}, {"ROUTE": 0, "PART": 5}, {"SENT": 3, "PART": 20}])
+@pytest.mark.parametrize("change", [{"MAX_BITS": 0}, {"ROUTE": 2}, {"ROUTE": 0, "PART": 5}, {"ROUTE": 9, "PART": 50}, {"SENT": 3, "PART": 20, "LANES": 7, "BLIND": 0}])
 def test_every_path_gives_the_same(spark, monkeypatch, change):
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
@@ -60,20 +60,50 @@ def test_every_path_gives_the_same(spark, monkeypatch, change):
     assert run(docs) == sorted(brute(rows), key=key)
 
 
-def test_index_against_scanning():
+def holds(sequence, words):
+    return any(list(sequence[k : k + len(words)]) == list(words) for k in range(len(sequence) - len(words) + 1))
+
+
+def test_matching_statistics_against_scanning(monkeypatch):
+    monkeypatch.setattr(sd, "BLIND", 0)
     r = np.random.default_rng(4)
-    seqs = [r.integers(1, 5, r.integers(1, 40)) for _ in range(60)]
+    seqs = [r.integers(1, 4, r.integers(1, 40)) for _ in range(60)]
     numbers = r.integers(0, 1000, 60)
     index = sd.FMIndex(seqs, numbers)
-    for size in (1, 3, 13, 15):
-        patterns = np.array([s[k : k + size] for s in seqs for k in range(len(s) - size + 1)])
-        if not len(patterns):
-            continue
-        lo, hi = index.search(patterns)
-        found = index.minima(lo, hi)
-        for p, a, b, least in zip(patterns, lo, hi, found, strict=True):
-            at = [n for s, n in zip(seqs, numbers, strict=True) for k in range(len(s) - size + 1) if (s[k : k + size] == p).all()]
-            assert b - a == len(at) and least == min(at)
+    text = np.concatenate(seqs)
+    cut = np.cumsum([0, *map(len, seqs)])
+    end = np.arange(len(text))
+    owner = np.searchsorted(cut, end, side="right") - 1
+    below = numbers[owner]
+    found = index.longest(text, end, cut[owner], below)
+    for e, o, n in zip(end.tolist(), owner.tolist(), found.tolist(), strict=True):
+        earlier = [s for s, k in zip(seqs, numbers, strict=True) if k < numbers[o]]
+        want = max((n for n in range(1, e - cut[o] + 2) if any(holds(s, text[e - n + 1 : e + 1]) for s in earlier)), default=0)
+        assert n == want
+    assert found.max() > 5
+
+
+def test_matches_of_segments(spark):
+    """Match lengths beyond the threshold, not windows: (start, length) of the longest runs that earlier segments hold."""
+    w = [f"w{k}" for k in range(30)]
+    rows = [(1, 10, 5, 5, " ".join(w[:21])), (1, 11, 7, 9, " ".join(["x"] + w[2:19] + ["y"])), (1, 12, 6, 6, " ".join(w[8:21] + ["z"])), (2, 13, 8, 8, " ".join(w[5:18])), (1, 14, 9, 9, " ".join(w[3:17] + ["q"] + w[:6]))]
+    table = spark.createDataFrame([(a, b, c, d, len(t.split()), t) for a, b, c, d, t in rows], "route long, key long, least long, most long, length int, words string")
+    got = {r["key"]: [tuple(m) for m in r["matches"]] for r in sd.matching_statistics(table.coalesce(1)).collect()}
+    assert got[11] == [(1, 17)] and got[12] == [(0, 13)] and got[14] == [(0, 14)] and 10 not in got
+
+
+def test_longer_passages(spark):
+    r = random.Random(2)
+    word = lambda: f"w{r.randrange(10**6)}"
+    shared, rows = [word() for _ in range(60)], []
+    for i in range(30):
+        k = r.randint(15, 60)
+        rows.append((i, " ".join([word() for _ in range(9)] + shared[60 - k :] + [word() for _ in range(9)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x) for x in sd.without_repeats(docs, sd.repeated_passages(docs, 40, 10)).collect()), key=key)
+    assert got == sorted(brute(rows, 40), key=key) and sum(x[2] for x in got) > 200
+    with pytest.raises(ValueError):
+        sd.repeated_passages(docs, 5, 5)
 
 
 def test_empty_table(empty):
