@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges beyond which a step writes its least neighbours, so that Spark can split the join at a node that very many edges meet.
+SPLIT = 1_000_000
+
+
+def _stars(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     """One step: (hi, lo) edges to (hi, lo) edges of which the lower ends are closer to the smallest node."""
     down = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     around = down.union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))) if large else down
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if split:
+        least = written(least)
     moved = around.join(least, "u")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -31,9 +37,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     now = written(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), few=True)
     state = None
     while True:
-        now = written(_stars(written(_stars(now, True), few=True), False), few=True)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if seen == state:
+        if seen == state or not seen[0]:
             break
-        state = seen
+        state, split = seen, seen[0] > SPLIT
+        now = written(_stars(written(_stars(now, True, split), few=True), False, split), few=True)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -1,8 +1,9 @@
 """SimHash near duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most two bits share at least six of their eight positional bytes, and so at least
-two of the four pairs of neighbouring bytes. The index posts each distinct fingerprint under the six choices of two such
-pairs (32 bits). In a list of at most `list_limit` fingerprints, shared positional bytes are tallied for its pairs, those
+two of the four pairs of neighbouring bytes. A list for each single byte would hold a 256th of all fingerprints and its pairs
+would grow with their square, so the index posts each distinct fingerprint under the six choices of two byte pairs (32 bits),
+and the tally over the eight positional bytes is worked out for the pairs that meet there. In a list of at most `list_limit` fingerprints, shared positional bytes are tallied for its pairs, those
 with the guaranteed six are kept and verified bit by bit. A longer list is posted again under the six choices of two more
 bytes; such a list has at most 65,536 different fingerprints, and there each fingerprint is linked with its neighbours at
 one or two bits through a table of the 16 free bits, so that the work is linear and no pair is left out. Only a spanning
@@ -144,5 +145,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, list_limit: int = 64, id_
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes, list_limit)).withColumnRenamed("node", "fp")
     named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(named, few=True)
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), few=True)  # tables: so Spark can split the joins at a large group
     return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

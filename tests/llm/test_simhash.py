@@ -69,7 +69,11 @@ def test_links_span_all_near_fingerprints(spark, limit):
     assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, want.values()))
 
 
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("split", [0, 10**6])
+def test_components_of_long_chains(spark, monkeypatch, split):
+    import lodestar.llm.components
+
+    monkeypatch.setattr(lodestar.llm.components, "SPLIT", split)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 999), (5, 5), (None, 3), (300, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 1000: 999, 999: 999}
