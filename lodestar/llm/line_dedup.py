@@ -1,10 +1,10 @@
 """Line dedup with DataFrame functions only: hashes of lines are range-partitioned and streamed in order of document and position.
 
 Each line's key (ASCII white space stripped at both ends, A-Z lower-cased) is hashed to 128 bits. Occurrences are
-range-partitioned by (hash, slice), where a slice holds 1/64 of the document ids, so that a line that stands in a third of
-all documents is spread over many tasks; within a partition they are sorted by document (largest first) and position, and
-the first occurrence of each slice is streamed out with the slice's number of documents. These heads, at most 64 for a hash,
-settle which document keeps the line. The result is a bitmap of the lines to keep for each document that loses any, as runs
+range-partitioned by (hash, slice), where a slice holds an even share of the document ids, with a slice for each SLICE_LINES
+lines, so that a line that stands in a third of all documents is spread over many tasks however many there are; within a partition they are sorted by document (largest first) and position, and
+the first occurrence of each slice is streamed out with the slice's number of documents. These heads, at most one a slice for
+a hash, settle which document keeps the line. The result is a bitmap of the lines to keep for each document that loses any, as runs
 of kept lines; texts are not part of it.
 
 Documents without a bitmap keep all lines. Null and empty texts are one empty line. Rows with a null id are neither counted
@@ -22,7 +22,8 @@ from .common import ascii_lower, free_name, texts, written
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
 
-SLICES = 64
+#: Slices of document ids at least, and lines for each further one.
+SLICES, SLICE_LINES = 64, 1 << 22
 
 
 def _lines(text):
@@ -37,9 +38,10 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, i
     t = texts(docs, id_col, text_col).where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
     lines = t.select("doc_id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(BLANKS)))
     keyed = lines.where(F.char_length("line") >= min_chars).select(
-        "doc_id", "text_hash", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int").alias("slice")
+        "doc_id", "text_hash", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("h")
     )
     keyed = written(keyed)  # hashes of lines, which the bounds of the ranges, the ranges and the join below all read
+    keyed = keyed.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(max(SLICES, keyed.count() // SLICE_LINES))).cast("int"))
     ranged = keyed.repartitionByRange("h", "slice").sortWithinPartitions("h", "slice", F.desc("doc_id"), "pos")
     stream = Window.partitionBy("h", "slice").orderBy(F.desc("doc_id"), "pos")
     first_in_doc = F.when(F.col("doc_id") == F.lag("doc_id").over(stream), 0).otherwise(1)
