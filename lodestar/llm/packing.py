@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, texts, utf8, written
+from .common import free_name, map_rows, slices, texts, utf8, written
 from .token_counts import byte_letters
 
 #: Words of which a worker keeps the ids; beyond it the cache starts anew.
@@ -41,8 +41,8 @@ PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
 #: Bytes as the letters that stand for them in byte-level vocabularies.
 LETTERS = {b: c for c, b in byte_letters().items()}
 
-#: Salts of a length.
-SALTS = 64
+#: Salts of a length at least, and pieces for each further one.
+SALTS, SALT_PIECES = 64, 1 << 20
 
 _workers: dict[str, tuple] = {}
 
@@ -157,21 +157,27 @@ def slots(found: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 
 def pack(lengths: DataFrame, size: int = 4096, order: tuple[str, ...] = ()) -> DataFrame:
-    """Adds sequence_id and offset to rows with a column `length` (1 to size). Rows of a length are ranked by `order`."""
-    histogram = {r[0]: r[1] for r in lengths.groupBy("length").count().collect()}  # at most `size` bins
+    """Adds sequence_id and offset to rows with a column `length` (1 to size). Rows of a length are ranked by `order`. An error if lengths has such columns."""
+    names = list(lengths.columns)
+    if taken := {"sequence_id", "offset"} & {c.lower() for c in names}:
+        raise ValueError(f"the table has columns of these names: {sorted(taken)}")
+    salt, first, rank, count = (free_name(lengths, f"__{c}") for c in ("salt", "before", "rank", "count"))
+    histogram = {r[0]: r[1] for r in lengths.groupBy("length").agg(F.count("*")).collect()}  # at most `size` bins
     table = slots(patterns(histogram, size))
     keys = (table[:, 0] << 44) | table[:, 1]
-    salted = lengths.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    before = salted.groupBy("length", "__salt").count().withColumn("__before", F.sum("count").over(Window.partitionBy("length").orderBy("__salt")) - F.col("count")).drop("count")
-    own = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("__own", own).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__own") + F.col("__before")).select(*lengths.columns, "__rank")
-    names = list(lengths.columns)
+    salts = max(SALTS, sum(histogram.values()) // SALT_PIECES)
+    salted = lengths.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)))
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias(count))
+    running = F.sum(count).over(Window.partitionBy("length").orderBy(salt))
+    counts = counts.select("length", salt, (running - F.col(count)).alias(first))
+    own = F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1
+    ranked = salted.withColumn(rank, own).join(counts, ["length", salt]).select(*[F.col(f"`{c}`") for c in names], (F.col(rank) + F.col(first)).alias(rank))
     n, at = len(names), names.index("length")
 
     def one(batch: pa.RecordBatch) -> dict:
-        length, rank = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (at, n))
-        row = table[np.searchsorted(keys, (length << 44) | rank, side="right") - 1]
-        sequence, copy = np.divmod(rank - row[:, 1], row[:, 2])
+        length, place = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (at, n))
+        row = table[np.searchsorted(keys, (length << 44) | place, side="right") - 1]
+        sequence, copy = np.divmod(place - row[:, 1], row[:, 2])
         return {c: batch.column(k) for k, c in enumerate(names)} | {"sequence_id": pa.array(row[:, 3] + sequence), "offset": pa.array(row[:, 4] + copy * length)}
 
     return map_rows(ranked, one, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lengths.schema) + ", sequence_id long, offset long")

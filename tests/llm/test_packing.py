@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,5 +58,19 @@ def test_every_id_lies_in_one_piece(docs, rows):
     assert total / (256 * len(seqs)) > 0.97
 
 
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(k, 1 + k % 9, "x", "y", "z", "w") for k in range(50)], "k long, length int, __salt string, __rank string, __before string, count string")
+    got = packing.pack(rows, 10, ("k",))
+    assert got.columns == [*rows.columns, "sequence_id", "offset"] and sorted(r["k"] for r in got.collect()) == list(range(50))
+    with pytest.raises(ValueError):
+        packing.pack(rows.withColumn("offset", rows["k"]), 10, ("k",))
+
+
+def test_salts_follow_the_number_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_PIECES", 3)
+    rows = spark.createDataFrame([(k, 4096) for k in range(400)], "k long, length int").repartition(7)
+    assert sorted(r["sequence_id"] for r in packing.pack(rows, 4096, ("k",)).collect()) == list(range(400))
+
+
 def test_empty_table(empty):
     assert packing.pack_documents(empty, PATH).collect() == []
