@@ -42,7 +42,7 @@ SIZE, SEED = 13, 5
 BITS_EACH, MAX_BITS = 32, 1 << 28
 
 #: Different segments of a route, and of an index.
-ROUTE, PART = 2000, 12_000
+ROUTE, PART = 1000, 12_000
 
 #: Least hashes by which common routes are cut finer.
 FINER = 3
