@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,5 +99,41 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(at, step)
 
 
+#: Bits of a bitmap for each hash, and in all at most (32 MB).
+BITS_EACH, MAX_BITS = 32, 1 << 28
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray | None:
+    """A bitmap in which two bits are set for each 64-bit hash of a column; None if MAX_BITS don't serve that many."""
+    bits = max(1 << 20, 1 << (BITS_EACH * hashes.count()).bit_length())
+    if bits > MAX_BITS:
+        return None
+    places = F.array(F.pmod(column, F.lit(bits)), F.pmod(F.shiftrightunsigned(column, 32), F.lit(bits)))
+    rows = hashes.select(F.explode(places).alias("p")).select((F.col("p") / 32768).cast("int").alias("part"), (F.col("p") % 32768).alias("p"))
+    out = np.zeros(bits // 8, np.uint8)
+    for part, b in rows.groupBy("part").agg(F.bitmap_construct_agg("p")).toLocalIterator():  # bits / 32768 rows of 4 kB
+        out[part * 4096 : (part + 1) * 4096] = np.frombuffer(bytes(b), np.uint8)
+    return out
+
+
+def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both their bits set: all that the bitmap was made of, and few others."""
+    mask = len(marks) * 8 - 1
+    a, b = hashes & mask, (hashes >> 32 & 0xFFFFFFFF) & mask
+    return ((marks[a >> 3] >> (a & 7)) & (marks[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+
+def in_bitmap(marks: np.ndarray | None, column: Column) -> Column:
+    """marked() of a column; true without a bitmap. Only the hashes go to Python."""
+    if marks is None:
+        return F.lit(True)
+
+    @F.arrow_udf("boolean")
+    def of(hashes: pa.Array) -> pa.Array:
+        return pa.array(marked(marks, hashes.to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    return of(column)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,7 +2,7 @@
 
 Documents are streamed three times. First, each window of `size` words names the least hash among its runs of SEED words (its
 minimiser); equal windows name equal ones, so only windows whose minimiser stands in two documents matter. These minimisers
-go into a bitmap of at most MAX_BITS bits, or, if there are too many for it, are joined with the documents. Second, the
+go into a bitmap of bounded size, or, if there are too many for it, are joined with the documents. Second, the
 windows left are cut into segments of neighbours with the same minimiser, at most size - SEED + 1 windows each. A segment's
 minimiser is its route: equal windows meet in one shard whatever documents they come from. A shard's different segments, each
 with the smallest document id that holds it, are indexed in parts: ranks of words, the suffix array by doubling, and the
@@ -32,15 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, map_rows, slices, texts, utf8, written
+from .common import bitmap, lean, map_rows, marked, slices, texts, utf8, written
 from .words import mixed, windows, word_hashes
 
 #: Words of a window, and of the runs from which its minimiser is chosen.
 SIZE, SEED = 13, 5
 
-#: Bits of the bitmap for each shared minimiser, and in all at most (32 MB); beyond it, minimisers are joined.
-BITS_EACH, MAX_BITS = 32, 1 << 28
-
 #: Different segments of a route, and of an index.
 ROUTE, PART = 1000, 12_000
 
@@ -166,15 +163,6 @@ def minimisers(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame
     return map_rows(docs, one, "m long, doc_id long")
 
 
-def _bitmap(shared: DataFrame, bits: int) -> np.ndarray:
-    places = F.array(F.pmod("m", F.lit(bits)), F.pmod(F.shiftrightunsigned("m", 32), F.lit(bits)))
-    rows = shared.select(F.explode(places).alias("p")).select((F.col("p") / 32768).cast("int").alias("part"), (F.col("p") % 32768).alias("p"))
-    out = np.zeros(bits // 8, np.uint8)
-    for part, b in rows.groupBy("part").agg(F.bitmap_construct_agg("p")).toLocalIterator():  # bits / 32768 rows of 4 kB
-        out[part * 4096 : (part + 1) * 4096] = np.frombuffer(bytes(b), np.uint8)
-    return out
-
-
 _SEGMENT = "doc_id long, text_hash long, start int, length int, route long, key long, words string"
 
 
@@ -189,9 +177,7 @@ def _segments(rows: DataFrame, marks: np.ndarray | None, size: int, seed: int) -
                 least, inside = _minimisers(h, text, size, seed)
                 m = least.view(np.int64)
                 if marks is not None:
-                    mask = len(marks) * 8 - 1
-                    a, b = m & mask, (m >> 32 & 0xFFFFFFFF) & mask
-                    inside = inside & ((marks[a >> 3] >> (a & 7)) & (marks[b >> 3] >> (b & 7)) & 1).astype(bool)
+                    inside = inside & marked(marks, m)
                 else:
                     for k, own in enumerate(part.column(3).to_pylist()):
                         lo, hi = np.searchsorted(text[: len(m)], [k, k + 1])
@@ -336,10 +322,9 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_co
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     named = minimisers(rows.select("doc_id", "text"), size, seed)
     shared = written(named.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"), few=True)
-    n = shared.count()
-    bits = max(1 << 20, 1 << (BITS_EACH * n).bit_length())
-    if bits <= MAX_BITS:
-        found = _segments(rows, _bitmap(shared, bits), size, seed)
+    marks = bitmap(shared, "m")
+    if marks is not None:
+        found = _segments(rows, marks, size, seed)
     else:
         own = named.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("shared"))
         found = _segments(rows.join(own, "doc_id").select("doc_id", "text_hash", "text", "shared"), None, size, seed)
