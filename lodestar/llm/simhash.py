@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, list_limit: int = 64, id_
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes, list_limit)).withColumnRenamed("node", "fp")
     named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, few=True)
-    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), few=True)  # tables: so Spark can split the joins at a large group
+    named = written(named)
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id")))  # tables: so Spark can split the joins at a large group
     return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
