@@ -84,6 +84,35 @@ def relabelled(points: DataFrame, old: str, new: str) -> DataFrame:
     return points.withColumn("snapshot_id", F.when(F.col("snapshot_id") == old, F.lit(new)).otherwise(F.col("snapshot_id")))
 
 
+def delete_points(points: DataFrame, identities: DataFrame, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
+    """(points that stay, counts) after deletion by identity and by context reference within a snapshot.
+
+    identities: message_fullname, source_revision_id (null: any), unit_id (null or no such column: any). A point goes directly if
+    one of them names it, and as a context contributor if its context_message_refs hold one of their names; one that goes
+    directly is not counted again. Points without references can't be judged: a table without that column is an error, and so
+    is a null in it. counts: requested, deleted, context_deleted, before, after.
+    """
+    if not snapshot_id.strip():
+        raise ValueError("a deletion needs a snapshot")
+    if "context_message_refs" not in points.columns:
+        raise ValueError("the points don't have context references; index them anew")
+    given = identities if "unit_id" in identities.columns else identities.withColumn("unit_id", F.lit(None).cast("string"))
+    empty = (F.coalesce("message_fullname", F.lit("")) == "") | (F.col("source_revision_id") == "") | (F.col("unit_id") == "")
+    name = F.when(F.coalesce(empty, F.lit(False)), F.raise_error(F.lit("an identity has an empty field")).cast("string")).otherwise(F.col("message_fullname"))
+    wanted = given.select(name.alias("__m"), F.col("source_revision_id").alias("__r"), F.col("unit_id").alias("__u")).distinct()
+    here = points.where(F.col("snapshot_id") == snapshot_id)
+    named = (F.col("message_fullname") == F.col("__m")) & (F.col("__r").isNull() | (F.col("__r") == F.col("source_revision_id"))) & (F.col("__u").isNull() | (F.col("__u") == F.col("id")))
+    direct = here.join(wanted, named, "left_semi").select("id", F.lit("direct").alias("__how"))
+    unknown = F.raise_error(F.concat(F.lit("no context references at point "), F.col("id").cast("string"))).cast("array<string>")
+    refs = here.select("id", F.explode(F.coalesce("context_message_refs", unknown)).alias("__m"))
+    context = refs.join(wanted.select("__m").distinct(), "__m", "left_semi").select("id", F.lit("context").alias("__how"))
+    gone = direct.union(context).groupBy("id").agg(F.max("__how").alias("__how"))  # direct goes before context
+    marked = points.join(gone.withColumn("snapshot_id", F.lit(snapshot_id)), ["id", "snapshot_id"], "left")
+    told = marked.agg(F.count_if(F.col("__how") == "direct").alias("deleted"), F.count_if(F.col("__how") == "context").alias("context_deleted"), F.count("*").alias("before"), F.count_if(F.col("__how").isNull()).alias("after"))
+    counts = wanted.agg(F.count("*").alias("requested")).join(told)
+    return marked.where("__how IS NULL").select(*points.columns), counts
+
+
 def deletion_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     """How many points there were, are and went; an error if a point is new."""
     kept = after.join(before, "id", "left_anti").agg(F.count("*").alias("foreign"))

@@ -114,3 +114,13 @@ def control_sample(messages: DataFrame, target: int, seed: int, order: list[Colu
 def thread_freeze(selected: DataFrame) -> DataFrame:
     """How many messages and different threads were selected."""
     return selected.agg(F.count("*").alias("selected"), F.countDistinct("thread_fullname").alias("threads"))
+
+
+def thread_cap(rows: DataFrame, most: int | None = None, order: str = "rank", thread: str = "thread_fullname") -> DataFrame:
+    """The first `most` rows of each thread in an order; all rows where no limit is set."""
+    if most is None:
+        return rows
+    if most <= 0:
+        raise ValueError("the limit must be positive")
+    place = F.row_number().over(Window.partitionBy(thread).orderBy(order))
+    return rows.withColumn("__place", place).where((F.col("__place") <= most) | F.col(thread).isNull()).drop("__place")

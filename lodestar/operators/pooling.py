@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_rank
+from .ordering import numbered
 
 #: Ranks up to this are a strong match.
 STRONG = 3
@@ -73,8 +74,11 @@ def retained_sources(pool: DataFrame, units: DataFrame, retained: DataFrame) ->
 
 
 def interleaved(pool: DataFrame, seed: int | None = None) -> DataFrame:
-    """pool in the order ranked 1, control 1, ranked 2, control 2, ... With a seed, each side is ordered by its digest first."""
+    """pool in the order ranked 1, control 1, ranked 2, control 2, ..., and then what is left of the longer side. With a seed, each side is ordered by its digest first."""
     key = stable_rank(seed, F.col("pool_id")) if seed is not None else F.col("pool_order")
-    turn = F.row_number().over(Window.partitionBy("is_control").orderBy(key, "pool_id"))
-    rows = pool.withColumn("__turn", turn)
-    return rows.withColumn("card_order", F.row_number().over(Window.orderBy("__turn", "is_control"))).drop("__turn")
+    rows = numbered(pool.withColumn("__key", key), ["is_control", "__key", "pool_id"], "__place")
+    sides = {r[0]: r[1] for r in pool.groupBy("is_control").count().collect()}
+    ranked, controls = F.lit(sides.get(False, 0)), F.lit(sides.get(True, 0))
+    turn = F.when(F.col("is_control"), F.col("__place") - ranked).otherwise(F.col("__place"))
+    earlier = F.least(turn - 1, ranked) + F.least(turn - 1, controls) + F.when(F.col("is_control") & (turn <= ranked), 1).otherwise(0)
+    return rows.withColumn("card_order", (earlier + 1).cast("int")).select(*pool.columns, "card_order")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import seeded_ratio
 from ..plans.publish import written
+from .ordering import numbered
 
 
 def cards(units: DataFrame, order: Column | None = None, scenario: Column | None = None) -> DataFrame:
-    """(candidate_id, scenario_id, selection_order, matched_rule_ids, source, context) of units or selected messages; these are a selection of bounded size, which is numbered in one order."""
+    """(candidate_id, scenario_id, selection_order, matched_rule_ids, source, context) of units or selected messages, numbered in one order; ties go by candidate."""
     have = set(units.columns)
     col = lambda name, kind="string": F.col(name) if name in have else F.lit(None).cast(kind)
     source = F.struct(
@@ -19,8 +20,12 @@ def cards(units: DataFrame, order: Column | None = None, scenario: Column | None
     )
     context = F.struct(col("context_text").alias("text"), col("context_complete", "boolean").alias("context_complete"), col("context_message_refs", "array<string>").alias("message_fullnames"))
     candidate = F.coalesce(col("unit_id"), col("fullname"))
-    place = F.row_number().over(Window.orderBy(order if order is not None else candidate))
-    return units.select(candidate.alias("candidate_id"), (scenario if scenario is not None else F.lit(None).cast("string")).alias("scenario_id"), place.cast("bigint").alias("selection_order"), col("matched_rule_ids", "array<string>").alias("matched_rule_ids"), source.alias("source"), context.alias("context"))
+    told = units.select(
+        candidate.alias("candidate_id"), (scenario if scenario is not None else F.lit(None).cast("string")).alias("scenario_id"), (order if order is not None else candidate).alias("__order"),
+        col("matched_rule_ids", "array<string>").alias("matched_rule_ids"), source.alias("source"), context.alias("context"),
+    )
+    placed = numbered(told, ["__order", "candidate_id"], "selection_order")
+    return placed.select("candidate_id", "scenario_id", "selection_order", "matched_rule_ids", "source", "context")
 
 
 def balanced_queue(rows: DataFrame, limit: int) -> DataFrame:

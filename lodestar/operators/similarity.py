@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, sha_hex, shingles, stable_rank, word_tokens
 from ..plans.publish import written
 from .graph import components
+from .ordering import running_total
 
 #: Words of a shingle, least Jaccard similarity, and texts that are too short to compare.
 SHINGLE, JACCARD = 5, 0.9
@@ -38,11 +39,14 @@ def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float = JACCARD,
         ranked = x.select("id", "n", F.explode("shingles").alias("s")).join(frequency, "s")
         kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
         w = Window.partitionBy("id").orderBy("f", "s")
-        return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= kept).select("s", F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
+        return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= kept).select("s", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), (F.col("n") - F.col("r")).alias(f"left_{name}"))
 
     a, b = prefixes(left, "a"), prefixes(right, "b")
     sized = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = a.join(b, "s").where(sized & (F.col("a") < F.col("b")) if same else sized).select("a", "b").distinct()
+    # Common elements stand in one order in both sets: from a pair's first one on, no more can be common than either set has left.
+    most = F.least("left_a", "left_b") + 1
+    pairs = a.join(b, "s").where(sized & (F.col("a") < F.col("b")) if same else sized).groupBy("a", "b").agg(F.max(most).alias("most"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    pairs = pairs.where(F.col("most") >= F.ceil(F.lit(threshold) / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)).select("a", "b")
     sets = lambda x, name: x.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
     both = pairs.join(sets(left, "a"), "a").join(sets(right, "b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -89,12 +93,46 @@ def groups(pool: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(named, "root").select(F.col("node").alias("candidate_id"), "group_id", "group_size")
 
 
+#: Groups of which the driver may hold key and size at once.
+FEW = 100_000
+
+
+def _filled(sizes: DataFrame, target: int) -> DataFrame:
+    """(group_id) of the groups (key, group_id, tasks) that, in the order of their keys, are taken while they fit; the first always is.
+
+    Running totals find the first group that doesn't fit; those before it are taken, and of those behind it only the ones no
+    larger than the room that is left go on. Each pass works on all groups at once; the last FEW are settled on the driver.
+    """
+    spark, room, first = sizes.sparkSession, target, True
+    rest, taken = written(sizes.select("key", "group_id", "tasks")), sizes.select("group_id").limit(0)
+    while room > 0:
+        if rest.count() <= FEW:
+            ids = []
+            for _, group, tasks in sorted(rest.collect()):
+                if room > 0 and (tasks <= room or (first and not ids)):
+                    ids.append((group,))
+                    room -= tasks
+            return taken.unionByName(spark.createDataFrame(ids, "group_id string"))
+        run = written(running_total(rest, ["key", "group_id"], F.col("tasks"), "total"))
+        place = F.struct("key", "group_id")
+        head = run.orderBy("key", "group_id").first()
+        stop = run.where(F.col("total") > room).orderBy("key", "group_id").first()
+        if first and head["tasks"] > room:
+            return spark.createDataFrame([(head["group_id"],)], "group_id string")
+        if stop is None:
+            return taken.unionByName(run.select("group_id"))
+        at = F.struct(F.lit(stop["key"]).alias("key"), F.lit(stop["group_id"]).alias("group_id"))
+        taken = taken.unionByName(run.where(place < at).select("group_id"))
+        room, first = room - (stop["total"] - stop["tasks"]), False
+        rest = written(run.where((place > at) & (F.col("tasks") <= room)).select("key", "group_id", "tasks"))
+    return taken
+
+
 def group_split(pool: DataFrame, grouped: DataFrame, seed: int, test_fraction: float = 0.5, forced: DataFrame | None = None) -> DataFrame:
     """(candidate_id, group_id, split) for the tasks of pool: groups in seeded order go to test while they fit.
 
     Sizes count tasks. The first group is taken even if it is too large; groups of forced candidates go to dev; filling stops
-    at the target, which is rounded half to even. The fold needs the groups in one order: it reads one row for each group, and
-    stops taking rows once the target is reached.
+    at the target, which is rounded half to even.
     """
     if not 0 < test_fraction < 1:
         raise ValueError("the test fraction must be between 0 and 1")
@@ -102,15 +140,8 @@ def group_split(pool: DataFrame, grouped: DataFrame, seed: int, test_fraction: f
     if forced is not None:
         held = grouped.join(forced.select("candidate_id").distinct(), "candidate_id", "left_semi").select("group_id").distinct()
         sizes = sizes.join(held, "group_id", "left_anti")
-    target = pool.agg(F.bround(F.count("*") * F.lit(test_fraction), 0).cast("bigint").alias("target"))
-    ordered = sizes.agg(F.sort_array(F.collect_list(F.struct(stable_rank(seed, "group", F.col("group_id")).alias("key"), "group_id", "tasks"))).alias("g")).join(target)
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("taken"))
-
-    def take(state: Column, group: Column) -> Column:
-        fits = (state["n"] < F.col("target")) & ((state["n"] + group["tasks"] <= F.col("target")) | (F.size(state["taken"]) == 0))
-        return F.struct(F.when(fits, state["n"] + group["tasks"]).otherwise(state["n"]).alias("n"), F.when(fits, F.concat(state["taken"], F.array(group["group_id"]))).otherwise(state["taken"]).alias("taken"))
-
-    test = ordered.select(F.explode(F.aggregate("g", start, take)["taken"]).alias("group_id")).withColumn("__test", F.lit(True))
+    target = pool.agg(F.bround(F.count("*") * F.lit(test_fraction), 0).cast("bigint")).first()[0]
+    test = _filled(sizes.withColumn("key", stable_rank(seed, "group", F.col("group_id"))), target).withColumn("__test", F.lit(True))
     return grouped.join(test, "group_id", "left").select("candidate_id", "group_id", F.when(F.col("__test"), "test").otherwise("dev").alias("split"))
 
 

@@ -167,6 +167,100 @@ def operate(spark: SparkSession, outbox: DataFrame, corpus: str, ledger: DataFra
     return state.complete(claimed, outcome, now), result
 
 
+def purge(spark: SparkSession, root: str, ledger: DataFrame, snapshot_id: str, backup: str) -> dict:
+    """Deletes what a ledger names from the generation of units in force under root, after a verified backup.
+
+    Where nothing is left to delete, nothing is written. Otherwise the generation is copied to `backup` and read back, the
+    deletion is staged as a new generation, and that one is put in force only if its content differs; if anything fails, the
+    old one stays in force. The old generation stays as the previous one, for publish.rollback.
+    """
+    old = publish.current(spark, root)
+    if old is None:
+        raise ValueError(f"no generation is in force under {root}")
+    units = publish.published(spark, old)
+    if bad := tombstones.checked_ledger(ledger).where("problem IS NOT NULL").select("problem").distinct().collect():
+        raise ValueError(f"the ledger has {[r[0] for r in bad]}")
+    if ledger.isEmpty():
+        raise ValueError("the ledger is empty")
+    digest = tombstones.ledger_digest(ledger).first()["digest"]
+    after, counts = tombstones.apply_tombstones(units, ledger, snapshot_id)
+    told = counts.first().asDict()
+    result = {"ledger": digest, "prior": old, "counts": told, "executed": {"backup": False, "propagation": False, "publication": False}}
+    if not told["matched"]:
+        return result | {"status": "no_op", "current": old}
+    before = publish.fingerprint(units)
+    identity = {"of": publish.read_manifest(spark, old)["run_id"], "fingerprint": before}
+    publish.publish(units, backup, identity)
+    if publish.fingerprint(publish.published(spark, backup)) != before:
+        raise ValueError("the backup isn't what was backed up")
+    result["executed"]["backup"] = True
+    staged = f"{root}/generation-{publish.identity_hash(identity | {'ledger': digest})[:16]}"
+    manifest = publish.publish(after, staged, identity | {"ledger": digest}, {"counts": told})
+    if manifest["rows"] != units.count() - told["deleted"]:
+        raise ValueError("the new generation doesn't have the rows that it should")
+    result["executed"]["propagation"] = True
+    changed = publish.fingerprint(publish.published(spark, staged)) != before
+    if changed:
+        publish.switch(spark, root, staged)
+    result["executed"]["publication"] = changed
+    return result | {"status": "applied", "current": staged if changed else old, "backup": backup}
+
+
+def run_operation(spark: SparkSession, outbox: DataFrame, root: str, ledger: DataFrame, snapshot_id: str, backup: str, now: str) -> tuple[DataFrame, dict]:
+    """(outbox, reconciliation): registers a ledger's deletion, checks what is left of it to do, replays it if it failed before, purges and records.
+
+    A deletion that is in progress elsewhere is an error; one that was applied, and of which nothing is left to do, is not run again.
+    """
+    digest = tombstones.ledger_digest(ledger).first()["digest"]
+    identity = publish.identity_hash({"ledger": digest, "snapshot_id": snapshot_id, "root": root})
+    row = spark.createDataFrame([(identity, f"{snapshot_id}:{root}", ledger.count())], "identity string, scope string, records bigint")
+    box = publish.written(state.register(outbox, row, now))
+    status = box.where(F.col("identity") == identity).first()["status"]
+    if status == "in_progress":
+        raise ValueError("this deletion is in progress; recover stale claims first")
+    left = tombstones.apply_tombstones(publish.published(spark, publish.current(spark, root)), ledger, snapshot_id)[1].first()["matched"]
+    if status == "applied" and not left:
+        return box, {"identity": identity, "status": "no_op", "precheck": left}
+    again = F.when(F.col("identity") == identity, F.lit("failed")).otherwise(F.col("status"))
+    mine = box if status == "pending" else state.replay(box.withColumn("status", again).where(F.col("identity") == identity), now).unionByName(box.where(F.col("identity") != identity))
+    others = mine.where(F.col("identity") != identity)
+    claimed = publish.written(state.claim(mine.where(F.col("identity") == identity), 1, now))
+    try:
+        result = purge(spark, root, ledger, snapshot_id, backup)
+        outcome = [(identity, result["counts"]["matched"], result["counts"]["deleted"], None)]
+    except Exception as error:  # what went wrong is recorded, and can be replayed
+        result = {"status": "failed", "error": str(error)}
+        outcome = [(identity, None, None, str(error)[:500])]
+    done = state.complete(claimed, spark.createDataFrame(outcome, "identity string, observed bigint, deleted bigint, error string"), now)
+    return publish.written(others.unionByName(done)), result | {"identity": identity, "precheck": left}
+
+
+def audit_by_source(spark: SparkSession, sources: DataFrame, records: Callable[[str], DataFrame], corpus_units: DataFrame, resolved: DataFrame, out: str) -> DataFrame:
+    """Matches (exposure_id, source_id, line) over all sources; a source that was audited before, under the same checksum and exposures, isn't read again.
+
+    records gives a source's identities (source_id, line, four fields). Each source's matches and records are published by themselves.
+    """
+    wanted = publish.fingerprint(resolved)
+    found = None
+    for r in sources.select("source_id", "expected_checksum").orderBy("source_id").collect():  # one row for each file
+        identity = {"source_id": r["source_id"], "checksum": r["expected_checksum"], "exposures": wanted, "corpus": publish.fingerprint(corpus_units)}
+        folder = f"{out}/sources/{publish.identity_hash(identity)[:16]}"
+        if publish.read_manifest(spark, folder) is None:
+            hits = audit.targeted(records(r["source_id"]), resolved).join(resolved.where("identified").select("exposure_id", *audit.KEYS), list(audit.KEYS)).select("exposure_id", "source_id", "line").distinct()
+            publish.publish(hits, folder, identity)
+        one = publish.published(spark, folder)
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else spark.createDataFrame([], "exposure_id string, source_id string, line bigint")
+
+
+def rematch(spark: SparkSession, index: str, run_id: str, resolved: DataFrame) -> DataFrame:
+    """match_exposures on a published index of archive records; an error if it isn't the run that it should be."""
+    manifest = publish.read_manifest(spark, index)
+    if manifest is None or manifest["run_id"] != run_id:
+        raise ValueError(f"{index} isn't the run {run_id}")
+    return audit.match_exposures(resolved, publish.published(spark, index))
+
+
 def package(spark: SparkSession, folders: list[str], out: str) -> dict:
     """Copies published datasets into one folder and checks that their rows came along."""
     rows = {}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
@@ -23,10 +24,13 @@ def identity_hash(identity: dict) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir's folder; a temporary one only where none is set."""
+    """spark.checkpoint.dir's folder. Only where all run on one machine, and none is set, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestar-"))
     return sc.getCheckpointDir()
 
 
@@ -85,6 +89,65 @@ def published(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/data")
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the rows' content, whatever their order or files: count and two sums of row hashes."""
+    from pyspark.sql import functions as F
+
+    texts = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(texts, F.lit(salt)).cast("decimal(38,0)")) for salt in (1, 2)]
+    return hashlib.sha256(canonical_json([str(x) for x in df.agg(F.count("*"), *sums).first()])).hexdigest()
+
+
+def _write_json(spark: SparkSession, path: str, value: dict) -> None:
+    """Writes a file beside and renames it; one of that name goes away just before."""
+    fs, part = _fs(spark, f"{path}.tmp")
+    out = fs.create(part, True)
+    out.write(canonical_json(value))
+    out.close()
+    target = _fs(spark, path)[1]
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"can't write {path}")
+
+
+def _read_json(spark: SparkSession, path: str) -> dict | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        p = _fs(spark, f"{path}.tmp")[1]  # of a run that ended between delete and rename
+        if not fs.exists(p):
+            return None
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The folder of the generation that is in force under root."""
+    found = _read_json(spark, f"{root}/current.json")
+    return found and found["folder"]
+
+
+def switch(spark: SparkSession, root: str, folder: str) -> dict:
+    """Puts a complete generation in force; the one before is kept as previous."""
+    if read_manifest(spark, folder) is None:
+        raise ValueError(f"{folder} isn't complete")
+    before = _read_json(spark, f"{root}/current.json")
+    now = {"folder": folder, "previous": before and before["folder"]}
+    _write_json(spark, f"{root}/current.json", now)
+    return now
+
+
+def rollback(spark: SparkSession, root: str) -> str:
+    """Puts the previous generation in force again; an error if there is none."""
+    found = _read_json(spark, f"{root}/current.json")
+    if not found or not found["previous"]:
+        raise ValueError("there is no generation to go back to")
+    return switch(spark, root, found["previous"])["folder"]
+
+
 def check_budget(df: DataFrame, limit_bytes: int, bytes_of=None) -> int:
     """The size of df as JSON lines; an error beyond the limit."""
     from ..functions.text import json_bytes

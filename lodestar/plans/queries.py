@@ -165,6 +165,11 @@ def merged_messages(spark, sf_dir):
     return context.merged_messages(m, other).select("fullname", "subreddit")
 
 
+@query("""SELECT fullname FROM cm QUALIFY row_number() OVER (PARTITION BY thread_fullname ORDER BY created_utc DESC) <= 3""")
+def thread_cap(spark, sf_dir):
+    return messages.thread_cap(t.conversation_messages(spark, sf_dir).withColumn("rank", -F.col("created_utc")), 3).select("fullname")
+
+
 # Units ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -351,7 +356,15 @@ def scenario_merge(spark, sf_dir):
     return lexical.scenario_merge(_hits(spark, sf_dir), 20).select("scenario_id", "unit_id", F.round("score", 9).alias("score"), "rank", "position")
 
 
-@query()
+_PIECE = "[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]+"
+
+
+@query(_TOKENS_SQL + _hit_sql("sn", 0, [_tf("idiot"), _tf("moron")], "t0 > 0 OR t1 > 0") + f""", pc AS (SELECT unit_id, rank, raw_body, regexp_extract_all(raw_body, '{_PIECE}') AS ms FROM hsn0 JOIN dm ON fullname = unit_id WHERE rank <= 10),
+wd AS (SELECT *, regexp_extract(m, '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT unit_id, rank, raw_body, len(ms) AS n, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS j FROM pc)),
+ht AS (SELECT *, lower(w) IN ('idiot', 'moron') AS hit FROM wd), wn AS (SELECT unit_id, j, n, sum(hit::INTEGER) OVER (PARTITION BY unit_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS c FROM ht),
+bs AS (SELECT unit_id, arg_min(j, j - c * 1000000) AS pos FROM wn WHERE j < greatest(1, n - 15) GROUP BY unit_id), tl AS (SELECT unit_id, sum(len(m))::BIGINT AS told FROM wd GROUP BY unit_id)
+SELECT unit_id, rank, CASE WHEN pos > 0 THEN '…' ELSE '' END || string_agg(CASE WHEN j = pos THEN '' ELSE left(m, len(m) - len(w)) END || CASE WHEN hit THEN '<mark>' || w || '</mark>' ELSE w END, '' ORDER BY j) || CASE WHEN pos + 16 < n THEN '…' ELSE substr(raw_body, told + 1) END AS snippet
+FROM ht JOIN bs USING (unit_id) JOIN tl USING (unit_id) WHERE j >= pos AND j < pos + 16 GROUP BY unit_id, rank, pos, n, raw_body, told""")
 def search_snippets(spark, sf_dir):
     u = _document_units(spark, sf_dir)
     top = _ranked(spark, sf_dir, "idiot OR moron", 10)
@@ -413,10 +426,21 @@ def index_pending(spark, sf_dir):
     return dense.pending(u, jobs, "s1", "r").select("unit_id", "reason")
 
 
-@query("""SELECT count(*)::BIGINT AS before, count(*) FILTER (vec_id % 10 <> 0)::BIGINT AS after, count(*) FILTER (vec_id % 10 = 0)::BIGINT AS deleted, true AS consistent FROM embeddings""")
+@query(""", u AS (SELECT doc_id % 3 <> 0 AS here, fullname IN (SELECT message_fullname FROM ts WHERE source_revision_id IS NULL) AS named, 't3_d' || (doc_id + 1) IN (SELECT message_fullname FROM ts) AS told FROM dm)
+SELECT (SELECT count(DISTINCT (message_fullname, source_revision_id)) FROM ts)::BIGINT AS requested, count(*) FILTER (here AND named)::BIGINT AS deleted, count(*) FILTER (here AND told AND NOT named)::BIGINT AS context_deleted, count(*)::BIGINT AS before, count(*) FILTER (NOT here OR NOT (named OR told))::BIGINT AS after FROM u""")
 def dense_deletion(spark, sf_dir):
-    p = t.points(spark, sf_dir)
-    return dense.deletion_counts(p, p.where("id % 10 <> 0"))
+    """Points of two snapshots, each with a reference to the next document; the ledger names toxic documents, half of them in a revision that isn't theirs."""
+    u = _document_units(spark, sf_dir).withColumn("id", F.col("unit_id"))
+    points = u.withColumn("snapshot_id", F.when(F.substring("unit_id", 5, 20).cast("bigint") % 3 == 0, "s0").otherwise("s1"))
+    return dense.delete_points(points, t.tombstones(spark, sf_dir), "s1")[1]
+
+
+@query(""", u AS (SELECT fullname, doc_id % 3 <> 0 AS here, fullname IN (SELECT message_fullname FROM ts WHERE source_revision_id IS NULL) AS named, 't3_d' || (doc_id + 1) IN (SELECT message_fullname FROM ts) AS told FROM dm)
+SELECT fullname AS id FROM u WHERE NOT here OR NOT (named OR told)""")
+def dense_after_deletion(spark, sf_dir):
+    u = _document_units(spark, sf_dir).withColumn("id", F.col("unit_id"))
+    points = u.withColumn("snapshot_id", F.when(F.substring("unit_id", 5, 20).cast("bigint") % 3 == 0, "s0").otherwise("s1"))
+    return dense.delete_points(points, t.tombstones(spark, sf_dir), "s1")[0].select("id")
 
 
 @query("""SELECT CASE WHEN vec_id % 2 = 0 THEN 's2' ELSE 's1' END AS snapshot_id, count(*)::BIGINT AS n FROM embeddings GROUP BY 1""")
@@ -498,7 +522,12 @@ def _variant_run(spark, sf_dir, variant: str, limit: int = 30) -> DataFrame:
     return fusion.rerank(union.select("candidate_id", "rank"), score, limit * 2).select("candidate_id", F.col("rerank_rank").alias("rank"))
 
 
-@query()
+@query(f""", {_BRANCH_SQL}, fu AS (SELECT candidate_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM br GROUP BY candidate_id ORDER BY s DESC, candidate_id LIMIT 30),
+rb AS (SELECT candidate_id, row_number() OVER (ORDER BY candidate_id::BIGINT % 17 DESC, candidate_id)::INTEGER AS rank FROM fu),
+ce AS (SELECT list(x ORDER BY i)::FLOAT[] AS embedding FROM (SELECT i, avg(v::DOUBLE) AS x FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings JOIN rb ON vec_id::VARCHAR = candidate_id WHERE rank <= 2) GROUP BY i)),
+ag AS (SELECT p.vec_id::VARCHAR AS candidate_id FROM embeddings p, ce q ORDER BY {_COSINE_SQL} DESC, p.vec_id LIMIT 30)
+SELECT 'A' AS variant, candidate_id, rank::INTEGER AS rank FROM br WHERE branch = 'lexical' AND rank <= 30 UNION ALL SELECT 'B', candidate_id, rank FROM rb
+UNION ALL SELECT 'C', candidate_id, row_number() OVER (ORDER BY candidate_id::BIGINT % 17 DESC, candidate_id)::INTEGER FROM (SELECT candidate_id FROM rb UNION SELECT candidate_id FROM ag)""")
 def compare_variants(spark, sf_dir):
     runs = [_variant_run(spark, sf_dir, v).withColumn("variant", F.lit(v)) for v in "ABC"]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
@@ -600,7 +629,7 @@ def _pool_texts(spark, sf_dir):
 
 @query(_SHINGLES_SQL + "SELECT a, b FROM exact")
 def exact_duplicates(spark, sf_dir):
-    return similarity.exact_pairs(similarity.shingled(_pool_texts(spark, sf_dir), unicode=False))
+    return similarity.exact_pairs(similarity.shingled(_pool_texts(spark, sf_dir)))
 
 
 @query(_SHINGLES_SQL + "SELECT a, b, round(j, 9) AS jaccard FROM near")
@@ -653,13 +682,13 @@ def split_leaks(spark, sf_dir):
     return similarity.crossing_groups(similarity.group_split(pool, g, SEED))
 
 
-@query(""", w AS (SELECT fullname AS id, regexp_extract_all(lower(raw_body), '[\\p{L}\\p{N}_]+') AS w FROM dm UNION ALL SELECT 'b' || item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') FROM benchmark),
+@query(""", w AS (SELECT fullname AS id, regexp_extract_all(replace(lower(raw_body), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS w FROM dm UNION ALL SELECT 'b' || item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') FROM benchmark),
 sh AS (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)), sz AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 pr AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s WHERE a.id LIKE 't3%' AND b.id LIKE 'b%' GROUP BY 1, 2)
 SELECT DISTINCT a AS candidate_id FROM pr JOIN sz x ON x.id = a JOIN sz y ON y.id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.2""")
 def development_exposure(spark, sf_dir):
     dev = t.read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text")
-    return similarity.exposed(_pool_texts(spark, sf_dir), dev, unicode=False, threshold=0.2)
+    return similarity.exposed(_pool_texts(spark, sf_dir), dev, threshold=0.2)
 
 
 @query(""", ed AS (SELECT fullname AS a, parent_fullname AS b FROM cm WHERE parent_fullname IS NOT NULL)
@@ -673,10 +702,10 @@ def grouping_audit(spark, sf_dir):
     return a.select(thread.alias("thread"), "nodes", "exposed", F.size("splits").cast("bigint").alias("splits"))
 
 
-@query(""", w AS (SELECT fullname AS id, regexp_extract_all(lower(raw_body), '[\\p{L}\\p{N}_]+') AS w FROM dm), sh AS (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+@query(""", w AS (SELECT fullname AS id, regexp_extract_all(replace(lower(raw_body), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS w FROM dm), sh AS (SELECT DISTINCT id, md5(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 f AS (SELECT s, min(id) AS a FROM sh GROUP BY s) SELECT 'shared_shingle' AS relation, count(*)::BIGINT AS edges FROM (SELECT DISTINCT a, id FROM sh JOIN f USING (s) WHERE id <> a)""")
 def shared_shingle_groups(spark, sf_dir):
-    e = similarity.shared_shingle_edges(_pool_texts(spark, sf_dir), unicode=False)
+    e = similarity.shared_shingle_edges(_pool_texts(spark, sf_dir))
     return e.groupBy("relation").agg(F.count("*").alias("edges"))
 
 
@@ -969,11 +998,11 @@ def _archive(spark, sf_dir):
     c = d.where("n % 2 = 1")
     c = c.unionByName(c.where("n % 15 = 0"))
     e = d.where("n % 4 <> 3").select(F.col("fullname").alias("exposure_id"), F.when(F.col("n") % 4 == 1, F.col("fullname")).alias("candidate_id"), F.when(F.col("n") % 4 == 0, F.col("fullname")).alias("message_fullname"), "source_revision_id", "thread_fullname", "focus_text")
-    units_ = audit.identities(c.dropDuplicates(["fullname"]).withColumn("unit_id", F.col("fullname")), unicode=False, keep=("unit_id",))
-    return audit.identities(a, unicode=False, keep=("source_id", "line")), audit.identities(c, unicode=False), e, units_
+    units_ = audit.identities(c.dropDuplicates(["fullname"]).withColumn("unit_id", F.col("fullname")), keep=("unit_id",))
+    return audit.identities(a, keep=("source_id", "line")), audit.identities(c), e, units_
 
 
-_AUDIT_SQL = """, ar AS (SELECT fullname, source_revision_id AS r, lower(raw_body) AS text, subreddit AS source_id, doc_id AS n FROM dm WHERE doc_id % 9 <> 0 UNION ALL SELECT fullname, source_revision_id, lower(raw_body), subreddit, doc_id FROM dm WHERE doc_id % 9 <> 0 AND doc_id % 10 = 0),
+_AUDIT_SQL = """, ar AS (SELECT fullname, source_revision_id AS r, replace(lower(raw_body), 'ß', 'ss') AS text, subreddit AS source_id, doc_id AS n FROM dm WHERE doc_id % 9 <> 0 UNION ALL SELECT fullname, source_revision_id, replace(lower(raw_body), 'ß', 'ss'), subreddit, doc_id FROM dm WHERE doc_id % 9 <> 0 AND doc_id % 10 = 0),
 co AS (SELECT fullname, doc_id AS n FROM dm WHERE doc_id % 2 = 1 UNION ALL SELECT fullname, doc_id FROM dm WHERE doc_id % 2 = 1 AND doc_id % 15 = 0),
 ex AS (SELECT fullname AS exposure_id, doc_id AS n, CASE WHEN doc_id % 4 = 2 THEN 0 WHEN doc_id % 9 = 0 THEN 0 WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS m FROM dm WHERE doc_id % 4 <> 3)
 """
@@ -982,7 +1011,7 @@ ex AS (SELECT fullname AS exposure_id, doc_id AS n, CASE WHEN doc_id % 4 = 2 THE
 @query(_AUDIT_SQL + "SELECT exposure_id, CASE WHEN m = 0 THEN 'unresolved' ELSE 'matched' END AS status, m::BIGINT AS archive_matches FROM ex")
 def archive_match(spark, sf_dir):
     a, _, e, u = _archive(spark, sf_dir)
-    return audit.match_exposures(audit.resolve_exposures(e, u, unicode=False), a)
+    return audit.match_exposures(audit.resolve_exposures(e, u), a)
 
 
 @query(_AUDIT_SQL + "SELECT source_id, count(*)::BIGINT AS records, count(*) FILTER (n % 2 = 1)::BIGINT AS matched_records FROM ar GROUP BY source_id")
@@ -1004,7 +1033,7 @@ def archive_collisions(spark, sf_dir):
 def partitioned_collisions(spark, sf_dir):
     """Only records that an exposure could match are looked at, and only identities of the archive are listed."""
     a, c, e, u = _archive(spark, sf_dir)
-    return audit.collisions(audit.targeted(a, audit.resolve_exposures(e, u, unicode=False)), c, archive_only=True).select("fullname", "archive_count", "corpus_count")
+    return audit.collisions(audit.targeted(a, audit.resolve_exposures(e, u)), c, archive_only=True).select("fullname", "archive_count", "corpus_count")
 
 
 @query(_AUDIT_SQL + "SELECT CASE WHEN m = 0 THEN 'unresolved' ELSE 'matched' END AS status, count(*)::BIGINT AS exposures, sum(m)::BIGINT AS archive_matches FROM ex GROUP BY 1")

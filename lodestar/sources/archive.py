@@ -10,12 +10,15 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.publish import canonical_json
+from ..plans.publish import canonical_json, written
 from ..schemas import SOURCE
 
 #: Bytes of a line, with its end.
 MAX_LINE = 8 << 20
 
+#: File blocks of which the counts are broadcast, and bytes of a file that a task may hold to work out its digest.
+BLOCKS, WHOLE_FILE = 500_000, 256 << 20
+
 
 def scan(spark: SparkSession, sources: DataFrame) -> DataFrame:
     """(source_id, source_kind, line_number, raw_line) of registered sources (their number is that of files).
@@ -30,7 +33,10 @@ def scan(spark: SparkSession, sources: DataFrame) -> DataFrame:
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).select("file", "block", "first", "before")
     names = spark.createDataFrame([(_uri(spark, p), i, k) for p, (i, k) in known.items()], "file string, source_id string, source_kind string")
-    numbered = lines.join(F.broadcast(before), ["file", "block"]).join(F.broadcast(names), "file")
+    before = written(before)
+    if before.count() <= BLOCKS:
+        before = F.broadcast(before)
+    numbered = lines.join(before, ["file", "block"]).join(F.broadcast(names), "file")
     return numbered.select("source_id", "source_kind", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_number"), F.col("value").alias("raw_line"))
 
 
@@ -73,6 +79,16 @@ def checksum(spark: SparkSession, path: str, block: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
+def checksums(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """SHA-256 of files: a task reads each file of at most WHOLE_FILE bytes; longer ones go through the driver in blocks."""
+    if not paths:
+        return {}
+    files = spark.read.format("binaryFile").load(sorted(set(paths)))
+    path = F.regexp_replace("path", "^file:/+", "file:/").alias("path")
+    found = {r[0]: r[1] for r in files.where(F.col("length") <= WHOLE_FILE).select(path, F.sha2("content", 256)).collect()}  # a row for each file
+    return {p: found.get(_uri(spark, p)) or checksum(spark, p) for p in paths}
+
+
 def register(spark: SparkSession, declarations: list[dict], existing: DataFrame | None = None) -> DataFrame:
     """The register of sources: ids must differ and paths must exist; sources known already stay as they are, and one with another path, month, checksum or scope is an error."""
     ids = [d["source_id"] for d in declarations]
@@ -97,18 +113,28 @@ def register(spark: SparkSession, declarations: list[dict], existing: DataFrame
 
 def validate(spark: SparkSession, sources: DataFrame) -> DataFrame:
     """Register rows with their status after a full read: complete, complete_with_errors or failed (unreadable, or another checksum)."""
-    rows = []
-    for r in sources.collect():  # one row for each file
-        try:
-            digest = checksum(spark, r["path"])
-            stats = reader_stats(quarantined(scan(spark, sources.where(F.col("source_id") == r["source_id"])))).first()
-            status = "failed" if r["expected_checksum"] not in (None, digest) else "complete" if stats is None or not stats["invalid"] else "complete_with_errors"
-            rows.append((r["source_id"], status, digest, stats["lines_seen"] if stats else 0, stats["invalid"] if stats else 0))
-        except Exception as error:  # an unreadable source is a result, not a fault of the run
-            rows.append((r["source_id"], "failed", str(error)[:200], 0, 0))
+    listed = sources.collect()  # one row for each file
+    try:  # all at once
+        digests = checksums(spark, [r["path"] for r in listed])
+        stats = {r["source_id"]: r for r in reader_stats(quarantined(scan(spark, sources))).collect()}
+        rows = [_verdict(r, digests[r["path"]], stats.get(r["source_id"])) for r in listed]
+    except Exception:  # one that can't be read fails them all: now each by itself
+        rows = []
+        for r in listed:
+            try:
+                rows.append(_verdict(r, checksum(spark, r["path"]), reader_stats(quarantined(scan(spark, sources.where(F.col("source_id") == r["source_id"])))).first()))
+            except Exception as error:  # an unreadable source is a result, not a fault of the run
+                rows.append((r["source_id"], "failed", str(error)[:200], 0, 0))
     return spark.createDataFrame(rows, "source_id string, status string, detail string, lines_seen bigint, invalid bigint")
 
 
+def _verdict(source, digest: str, stats) -> tuple:
+    """The row of validate() for a source with its digest and its row of reader_stats, or none if it has no lines."""
+    invalid = stats["invalid"] if stats else 0
+    status = "failed" if source["expected_checksum"] not in (None, digest) else "complete_with_errors" if invalid else "complete"
+    return source["source_id"], status, digest, stats["lines_seen"] if stats else 0, invalid
+
+
 def strict(lines: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Columns of JSON lines (raw_line) by declared type; any row with a missing, mistyped or undeclared field is an error.
 
