@@ -1,37 +1,13 @@
-"""Declared schemas of the data model. Nothing is inferred from data."""
+"""The register of sources, and the words that labels may hold."""
 
 from __future__ import annotations
 
 SOURCE = "source_id string, path string, source_kind string, declared_month string, source_role string, usage_scope string, expected_checksum string, status string"
-ENVELOPE = "source_id string, source_kind string, line_number bigint, raw_line string"
-PROVENANCE = "array<struct<source_id:string,line_number:bigint>>"
-MESSAGE = (
-    "fullname string, kind string, thread_fullname string, parent_fullname string, raw_title string, raw_body string, subreddit string, created_utc bigint, "
-    f"source_revision_id string, permalink string, provenance {PROVENANCE}, archive_score double, depth bigint, selection_channels array<string>, matched_rule_ids array<string>"
-)
-UNIT = (
-    "unit_id string, snapshot_id string, message_fullname string, thread_fullname string, source_revision_id string, subreddit string, created_utc bigint, permalink string, kind string, "
-    "focus_field string, focus_start bigint, focus_end bigint, focus_text string, context_only_text string, context_text string, context_complete boolean, "
-    "missing_context_ids array<string>, context_message_refs array<string>, content_hash string, chunking_version string"
-)
-RANKED = "candidate_id string, scenario_id string, rank int, score double"
-POOL = "pool_id string, candidate_id string, scenario_id string, is_control boolean"
-LABEL = "candidate_id string, scenario_id string, topic_fit string, speaker_intent string, product_fit string, resolution_in_available_context string, evaluator_kind string, evaluator_version string"
-EVIDENCE = "array<struct<message_fullname:string,source_revision_id:string,field:string,start:bigint,end:bigint,quote:string,supports:string,attribution:string>>"
-TOMBSTONE = "message_fullname string, source_revision_id string, reason string"
-SPLIT = "candidate_id string, scenario_id string, group_id string, split string"
-OUTBOX = (
-    "identity string, scope string, records bigint, status string, observed bigint, deleted bigint, attempts bigint, claimed_at string, updated_at string, error string"
-)
-INDEX_JOB = "snapshot_id string, recipe_hash string, unit_id string, content_hash string, status string"
-EXPOSURE = "candidate_id string, message_fullname string, source_revision_id string, thread_fullname string, focus_text string"
-EDGE = "a string, b string, relation string"
 
 #: The words a label field may hold.
 TOPIC_FIT = ("yes", "no", "unknown")
 SPEAKER_INTENT = ("seeking_solution", "describing_pain", "sharing_experience", "answering_someone", "self_promotion", "quoting", "unknown")
 PRODUCT_FIT = ("compatible", "incompatible", "needs_clarification", "not_evaluated")
 RESOLUTION = ("resolved", "no_resolution_observed", "unknown")
-EVALUATOR_KIND = ("human", "model", "mock")
 ATTRIBUTION = ("focal_author", "quoted_other", "uncertain")
 SUPPORTS = ("topic_fit", "need_clarity", "author_requirement", "product_fit")

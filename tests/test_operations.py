@@ -167,7 +167,9 @@ def test_threads_are_capped_only_if_asked(spark):
         messages.thread_cap(rows, 0)
 
 
-def test_one_order_over_many_ranges(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_one_order_over_many_ranges(spark, monkeypatch, small):
+    monkeypatch.setattr(ordering, "SMALL", small)
     rows = spark.createDataFrame([(k * 7919 % 1000, k % 5) for k in range(1000)], "k int, n int").repartition(6)
     got = {r["k"]: (r["place"], r["total"]) for r in ordering.running_total(ordering.numbered(rows, ["k"], "place"), ["k"], F.col("n"), "total").collect()}
     n, total = {r["k"]: r["n"] for r in rows.collect()}, 0
@@ -182,6 +184,7 @@ def test_groups_are_filled_as_by_a_plain_walk(spark, monkeypatch, few):
     import random
 
     monkeypatch.setattr(similarity, "FEW", few)
+    monkeypatch.setattr(ordering, "SMALL", few)
     r = random.Random(few)
     for target, sizes in ((40, [r.randint(1, 9) for _ in range(60)]), (5, [9, 1, 2, 3]), (0, [1, 2]), (100, [3, 4]), (30, [20, 25, 6, 9, 3, 1, 5])):
         rows = [(f"{r.random():.9f}", f"g{k}", n) for k, n in enumerate(sizes)]
