@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 
+def _within(partition: tuple[str, ...]):
+    return Window.partitionBy(*(partition or (F.lit(0),)))
+
+
 def variant_merge(hits: DataFrame, limit: int, partition: tuple[str, ...] = ()) -> DataFrame:
     """One ranking of (candidate_id, variant, rank, score): each candidate at its best (rank, variant), ranked anew by (rank, variant, id)."""
     best = hits.groupBy(*partition, "candidate_id").agg(F.min_by(F.struct("variant", "score", "rank"), F.struct("rank", "variant")).alias("b"))
-    w = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    ordered = best.withColumn("rank", F.row_number().over(w.orderBy("b.rank", "b.variant", "candidate_id")))
+    ordered = best.withColumn("rank", F.row_number().over(_within(partition).orderBy("b.rank", "b.variant", "candidate_id")))
     return ordered.where(F.col("rank") <= limit).select(*partition, "candidate_id", "rank", F.col("b.score").alias("score"), F.col("b.variant").alias("variant"))
 
 
@@ -30,7 +33,7 @@ def rrf(branches: DataFrame, k: float = 60.0, weights: dict[str, float] | None =
     fused = votes.groupBy(*partition, "candidate_id").agg(F.sort_array(F.collect_list(F.struct("branch", (weight / (F.lit(k) + F.col("rank"))).alias("vote"), "rank", "score"))).alias("v"))
     total = F.aggregate(F.transform("v", lambda x: x["vote"]), F.lit(0.0), lambda a, b: a + b)
     rows = fused.select(*partition, "candidate_id", total.alias("rrf_score"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["branch"], x["rank"]))).alias("branch_ranks"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["branch"], x["score"]))).alias("branch_scores"))
-    w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(F.desc("rrf_score"), "candidate_id")
+    w = _within(partition).orderBy(F.desc("rrf_score"), "candidate_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
@@ -40,7 +43,7 @@ def overlap_score(query: str, text: Column) -> Column:
     return F.size(F.array_intersect(wanted, F.array_distinct(tokens(text)))).cast("double")
 
 
-def rerank(candidates: DataFrame, score: Column, limit: int, cache: DataFrame | None = None, key: Column | None = None) -> DataFrame:
+def rerank(candidates: DataFrame, score: Column, limit: int, cache: DataFrame | None = None, key: Column | None = None, partition: tuple[str, ...] = ()) -> DataFrame:
     """The first `limit` candidates by rank, scored and ordered anew by (score, id). Scores found in the cache (key, score) are not worked out."""
     head = candidates.where(F.col("rank") <= limit)
     if cache is None:
@@ -50,15 +53,15 @@ def rerank(candidates: DataFrame, score: Column, limit: int, cache: DataFrame |
         joined = head.withColumn("__k", key).join(known, F.col("__k") == F.col("__key"), "left")
         scored = joined.withColumn("cached", F.col("__key").isNotNull()).withColumn("rerank_score", F.when(F.col("cached"), F.col("__score")).otherwise(score)).drop("__k", "__key", "__score")
     finite = F.when(F.isnan("rerank_score") | (F.abs("rerank_score") == F.lit(float("inf"))), F.raise_error(F.lit("a rerank score isn't finite")).cast("double")).otherwise(F.col("rerank_score"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("rerank_score"), "candidate_id")
+    w = _within(partition).orderBy(F.desc("rerank_score"), "candidate_id")
     return scored.withColumn("rerank_score", finite).withColumn("rerank_rank", F.row_number().over(w))
 
 
-def feedback_union(original: DataFrame, feedback: DataFrame, limit: int) -> DataFrame:
+def feedback_union(original: DataFrame, feedback: DataFrame, limit: int, partition: tuple[str, ...] = ()) -> DataFrame:
     """Candidates of the original ranking, then those new in the feedback ranking, in their order; origin: original, already_seen or new."""
-    a = original.groupBy("candidate_id").agg(F.min("rank").alias("a"))
-    b = feedback.groupBy("candidate_id").agg(F.min("rank").alias("b"))
-    both = a.join(b, "candidate_id", "full_outer")
+    a = original.groupBy(*partition, "candidate_id").agg(F.min("rank").alias("a"))
+    b = feedback.groupBy(*partition, "candidate_id").agg(F.min("rank").alias("b"))
+    both = a.join(b, [*partition, "candidate_id"], "full_outer")
     origin = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "original").otherwise("already_seen")
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("a").isNull(), F.coalesce("a", "b"), "candidate_id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("candidate_id", "rank", origin.alias("origin"))
+    w = _within(partition).orderBy(F.col("a").isNull(), F.coalesce("a", "b"), "candidate_id")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(*partition, "candidate_id", "rank", origin.alias("origin"))

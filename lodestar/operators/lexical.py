@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import tokens
+from ..plans.publish import written
 
 #: Fixed values of BM25 and of the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -154,13 +155,12 @@ def _word(word: str, prefix: bool) -> Column:
 
 def match(post: DataFrame, query: str, id_cols: tuple[str, ...] = ("unit_id",), columns: tuple[str, ...] = ("focus_text", "context_only_text")) -> DataFrame:
     """(id columns, length, tf_0, tf_1, ...): units that match the query, with the count of each of its phrases."""
-    tree = parse(query)
-    return _counted(post, tree, id_cols, columns).where("matches").drop("matches")
+    return _counted(post, [parse(query)], id_cols, columns).where("matches_0").drop("matches_0")
 
 
-def _counted(post: DataFrame, tree: object, id_cols: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
-    """Units with any word of the query: the count of each phrase, and whether the unit matches."""
-    phrases = _phrases(tree)
+def _counted(post: DataFrame, trees: list[object], id_cols: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Units with any word of the queries: the count of each phrase (numbered through all queries), and whether the unit matches each query."""
+    phrases = [p for tree in trees for p in _phrases(tree)]
     wanted = F.lit(False)
     for p in phrases:
         for k, w in enumerate(p.words):
@@ -205,7 +205,7 @@ def _counted(post: DataFrame, tree: object, id_cols: tuple[str, ...], columns: t
         left, right = holds(tree.left), holds(tree.right)
         return left & right if tree.kind == "and" else left | right if tree.kind == "or" else left & ~right
 
-    return together.select(*id_cols, "length", *[f"tf_{n}" for n in range(len(phrases))], holds(tree).alias("matches"))
+    return together.select(*id_cols, "length", *[f"tf_{n}" for n in range(len(phrases))], *[holds(tree).alias(f"matches_{j}") for j, tree in enumerate(trees)])
 
 
 def _near(numbers: list[int], m: int, tree: Near, phrases: list[Phrase]):
@@ -228,16 +228,42 @@ def bm25(post: DataFrame, query: str, n_units: int, mean_length: float, weights:
     if weights != (1.0, 1.0):
         raise ValueError("only equal weights are used: the ones of the full-text table bind to its id columns")
     tree = parse(query)
-    phrases = _phrases(tree)
-    counted = _counted(post, tree, id_cols, columns)
-    df = counted.agg(*[F.count_if(F.col(f"tf_{k}") > 0) for k in range(len(phrases))]).first()  # of all units, whether they match or not
-    found = counted.where("matches")
+    counted = _counted(post, [tree], id_cols, columns)
+    numbers = range(len(_phrases(tree)))
+    score = _score(numbers, _frequencies(counted, numbers), n_units, mean_length)
+    return counted.where("matches_0").select(*id_cols, (-score).alias("score"))
+
+
+def _frequencies(counted: DataFrame, numbers: range) -> list[int]:
+    """In how many units each phrase stands, whether they match or not."""
+    return list(counted.agg(*[F.count_if(F.col(f"tf_{n}") > 0) for n in numbers]).first())
+
+
+def _score(numbers: range, frequencies: list[int], n_units: int, mean_length: float) -> Column:
     score = F.lit(0.0)
-    for k in range(len(phrases)):
-        idf = max(math.log((n_units - df[k] + 0.5) / (df[k] + 0.5)), LEAST_IDF)
-        tf = F.col(f"tf_{k}").cast("double")
+    for n in numbers:
+        idf = max(math.log((n_units - frequencies[n] + 0.5) / (frequencies[n] + 0.5)), LEAST_IDF)
+        tf = F.col(f"tf_{n}").cast("double")
         score = score + F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("length") / mean_length))
-    return found.select(*id_cols, (-score).alias("score"))
+    return score
+
+
+def search(post: DataFrame, queries: list[tuple[str, int, str]], n_units: int, mean_length: float, k: int, columns: tuple[str, ...] = ("focus_text", "context_only_text")) -> DataFrame:
+    """(scenario_id, query_no, unit_id, score, rank): the k best units of each stated query (scenario_id, query_no, text).
+
+    The postings are read and grouped once for all queries; what holds any of their words is written, then counted and scored.
+    """
+    trees = [parse(text) for _, _, text in queries]
+    counted = written(_counted(post, trees, ("unit_id",), columns))
+    sizes = [len(_phrases(tree)) for tree in trees]
+    frequencies = _frequencies(counted, range(sum(sizes)))
+    hits, first = [], 0
+    for j, (scenario, number, _) in enumerate(queries):
+        score = _score(range(first, first + sizes[j]), frequencies, n_units, mean_length)
+        hits.append(F.when(F.col(f"matches_{j}"), F.struct(F.lit(scenario).alias("scenario_id"), F.lit(number).alias("query_no"), (-score).alias("score"))))
+        first += sizes[j]
+    found = counted.select("unit_id", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.scenario_id", "hit.query_no", "unit_id", "hit.score")
+    return top_k(found, k, ("scenario_id", "query_no"))
 
 
 def top_k(scored: DataFrame, k: int, partition: tuple[str, ...] = (), id_col: str = "unit_id") -> DataFrame:

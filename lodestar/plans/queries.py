@@ -324,14 +324,13 @@ def postings_terms(spark, sf_dir):
     return post.groupBy("term").agg(F.countDistinct("unit_id").alias("units"), F.sum(F.size("positions")).cast("bigint").alias("tokens")).orderBy(F.desc("units"), "term").limit(50)
 
 
-def _hits(spark, sf_dir):
+#: The stated lexical queries: scenario, number, text.
+_TEXTS = [("insults", 0, "idiot"), ("insults", 1, "moron"), ("insults", 2, "stupid OR clown"), ("licences", 0, "license"), ("licences", 1, '"rights reserved"')]
+
+
+def _hits(spark, sf_dir, depth: int = 30):
     post, (n, mean) = _postings(spark, sf_dir)
-    out = None
-    for scenario, texts in (("insults", ["idiot", "moron", "stupid OR clown"]), ("licences", ["license", '"rights reserved"'])):
-        for k, text in enumerate(texts):
-            one = lexical.top_k(lexical.bm25(post, text, n, mean), 30).select(F.lit(scenario).alias("scenario_id"), F.lit(k).alias("query_no"), "unit_id", "score", "rank")
-            out = one if out is None else out.unionByName(one)
-    return out
+    return lexical.search(post, _TEXTS, n, mean, depth)
 
 
 def _hit_sql(scenario: str, k: int, tfs: list[str], where: str) -> str:
@@ -458,85 +457,103 @@ def hash_embeddings(spark, sf_dir):
 # Fusion -----------------------------------------------------------------------------------------------------------------------
 
 
+def _document_points(spark, sf_dir):
+    """The points that are vectors of documents, under the names of their messages."""
+    d = t.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).distinct()
+    return t.points(spark, sf_dir).join(d, "id", "left_semi").select(F.concat(F.lit("t3_d"), F.col("id").cast("string")).alias("id"), "vector")
+
+
+_POINTS_SQL = "pv AS (SELECT 't3_d' || vec_id AS id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
+
+#: How deep the branches' rankings, the fused ones and the runs go.
+_DEPTH, _FUSED, _RUN = 60, 40, 40
+_SCENARIO = ("scenario_id",)
+
+
 def _branches(spark, sf_dir):
-    """Two rankings of the points for one query: by cosine, and by a hash order that stands in for another branch."""
-    d = _dense(spark, sf_dir, 60).where("query_id = 0").select(F.col("id").cast("string").alias("candidate_id"), F.lit("dense").alias("branch"), "rank", "score")
-    p = t.points(spark, sf_dir).orderBy(stable_rank(1, F.col("id").cast("string"))).limit(60).withColumn("rank", F.row_number().over(fusion.Window.orderBy(stable_rank(1, F.col("id").cast("string")))))
-    return d.unionByName(p.select(F.col("id").cast("string").alias("candidate_id"), F.lit("lexical").alias("branch"), "rank", (-F.col("rank")).cast("double").alias("score")))
+    """The rankings of all documents for each scenario: by its lexical queries, merged, and by cosine to its query point (0 and 100)."""
+    hits = lexical.scenario_merge(_hits(spark, sf_dir, _DEPTH), _DEPTH)
+    words = hits.select("scenario_id", F.col("unit_id").alias("candidate_id"), F.lit("lexical").alias("branch"), F.col("position").alias("rank"), "score")
+    stated = t.points(spark, sf_dir).where("id IN (0, 100)").select(F.when(F.col("id") == 0, "insults").otherwise("licences").alias("query_id"), F.col("vector").alias("query"))
+    near = dense.search(stated, _document_points(spark, sf_dir), _DEPTH)
+    return words.unionByName(near.select(F.col("query_id").alias("scenario_id"), F.col("id").alias("candidate_id"), F.lit("dense").alias("branch"), "rank", "score"))
+
 
+_BRANCH_SQL = _HITS_SQL.replace("rank <= 30", f"rank <= {_DEPTH}") + f""", lx AS (SELECT scenario_id, unit_id AS candidate_id, 'lexical' AS branch, row_number() OVER (PARTITION BY scenario_id ORDER BY score, unit_id) AS rank FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY scenario_id, unit_id ORDER BY score, query_no) = 1)),
+{_POINTS_SQL}, qv AS (SELECT CASE vec_id WHEN 0 THEN 'insults' ELSE 'licences' END AS scenario_id, embedding FROM embeddings WHERE vec_id IN (0, 100)),
+br AS (SELECT * FROM lx WHERE rank <= {_DEPTH} UNION ALL SELECT * FROM (SELECT scenario_id, p.id, 'dense', row_number() OVER (PARTITION BY scenario_id ORDER BY {_COSINE_SQL} DESC, p.id) AS rank FROM qv q, pv p) WHERE rank <= {_DEPTH})"""
 
-_BRANCH_SQL = f"""br AS (SELECT * FROM (SELECT p.vec_id::VARCHAR AS candidate_id, 'dense' AS branch, row_number() OVER (ORDER BY {_COSINE_SQL} DESC, p.vec_id) AS rank FROM embeddings q, embeddings p WHERE q.vec_id = 0) WHERE rank <= 60
-UNION ALL SELECT * FROM (SELECT vec_id::VARCHAR AS candidate_id, 'lexical' AS branch, row_number() OVER (ORDER BY sha256('1' || chr(0) || vec_id::VARCHAR)) AS rank FROM embeddings) WHERE rank <= 60)"""
+_FUSED_SQL = f"""fu AS (SELECT scenario_id, candidate_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM br GROUP BY scenario_id, candidate_id QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY s DESC, candidate_id) <= {_FUSED})"""
 
 
-@query(f""", {_BRANCH_SQL}, fu AS (SELECT candidate_id, sum(CASE branch WHEN 'dense' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) AS s, string_agg(branch || ':' || rank, ',' ORDER BY branch) AS ranks FROM br GROUP BY candidate_id)
-SELECT candidate_id, round(s, 9) AS rrf_score, ranks, row_number() OVER (ORDER BY s DESC, candidate_id)::INTEGER AS rank FROM fu ORDER BY s DESC, candidate_id LIMIT 40""")
+@query(f"""{_BRANCH_SQL}, fu AS (SELECT scenario_id, candidate_id, sum(CASE branch WHEN 'dense' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank)) AS s, string_agg(branch || ':' || rank, ',' ORDER BY branch) AS ranks FROM br GROUP BY scenario_id, candidate_id)
+SELECT scenario_id, candidate_id, round(s, 9) AS rrf_score, ranks, row_number() OVER (PARTITION BY scenario_id ORDER BY s DESC, candidate_id)::INTEGER AS rank FROM fu QUALIFY rank <= {_FUSED}""")
 def rrf_fusion(spark, sf_dir):
-    f = fusion.rrf(_branches(spark, sf_dir), 60, {"dense": 2.0}, 40)
+    f = fusion.rrf(_branches(spark, sf_dir), 60, {"dense": 2.0}, _FUSED, _SCENARIO)
     ranks = joined(F.transform(F.array_sort(F.map_keys("branch_ranks")), lambda k: F.concat(k, F.lit(":"), F.element_at(F.col("branch_ranks"), k).cast("string"))))
-    return f.select("candidate_id", F.round("rrf_score", 9).alias("rrf_score"), ranks.alias("ranks"), "rank")
+    return f.select("scenario_id", "candidate_id", F.round("rrf_score", 9).alias("rrf_score"), ranks.alias("ranks"), "rank")
 
 
-@query(f""", {_BRANCH_SQL}, best AS (SELECT candidate_id, min(rank * 10 + CASE branch WHEN 'dense' THEN 0 ELSE 1 END) AS k FROM br GROUP BY candidate_id)
-SELECT candidate_id, row_number() OVER (ORDER BY k, candidate_id)::INTEGER AS rank, (k % 10)::INTEGER AS variant FROM best ORDER BY k, candidate_id LIMIT 30""")
+@query(f"""{_BRANCH_SQL}, best AS (SELECT scenario_id, candidate_id, min(rank * 10 + CASE branch WHEN 'dense' THEN 0 ELSE 1 END) AS k FROM br GROUP BY scenario_id, candidate_id)
+SELECT scenario_id, candidate_id, row_number() OVER (PARTITION BY scenario_id ORDER BY k, candidate_id)::INTEGER AS rank, (k % 10)::INTEGER AS variant FROM best QUALIFY rank <= {_FUSED}""")
 def variant_merge(spark, sf_dir):
     hits = _branches(spark, sf_dir).withColumn("variant", F.when(F.col("branch") == "dense", 0).otherwise(1))
-    return fusion.variant_merge(hits, 30).select("candidate_id", "rank", "variant")
+    return fusion.variant_merge(hits, _FUSED, _SCENARIO).select("scenario_id", "candidate_id", "rank", "variant")
 
 
-@query(f""", {_BRANCH_SQL}, a AS (SELECT candidate_id, rank AS a FROM br WHERE branch = 'dense'), b AS (SELECT candidate_id, rank AS b FROM br WHERE branch = 'lexical'), j AS (SELECT coalesce(a.candidate_id, b.candidate_id) AS candidate_id, a, b FROM a FULL JOIN b USING (candidate_id))
-SELECT candidate_id, row_number() OVER (ORDER BY a IS NULL, coalesce(a, b), candidate_id)::INTEGER AS rank, CASE WHEN a IS NULL THEN 'new' WHEN b IS NULL THEN 'original' ELSE 'already_seen' END AS origin FROM j QUALIFY rank <= 80""")
+@query(f"""{_BRANCH_SQL}, a AS (SELECT scenario_id, candidate_id, rank AS a FROM br WHERE branch = 'dense'), b AS (SELECT scenario_id, candidate_id, rank AS b FROM br WHERE branch = 'lexical'), j AS (SELECT scenario_id, candidate_id, a, b FROM a FULL JOIN b USING (scenario_id, candidate_id))
+SELECT scenario_id, candidate_id, row_number() OVER (PARTITION BY scenario_id ORDER BY a IS NULL, coalesce(a, b), candidate_id)::INTEGER AS rank, CASE WHEN a IS NULL THEN 'new' WHEN b IS NULL THEN 'original' ELSE 'already_seen' END AS origin FROM j QUALIFY rank <= 80""")
 def feedback_union(spark, sf_dir):
-    b = _branches(spark, sf_dir)
-    return fusion.feedback_union(b.where("branch = 'dense'"), b.where("branch = 'lexical'"), 80)
+    b = written(_branches(spark, sf_dir))
+    return fusion.feedback_union(b.where("branch = 'dense'"), b.where("branch = 'lexical'"), 80, _SCENARIO)
 
 
 _OVERLAP_SQL = "len(list_distinct(list_filter(regexp_extract_all(lower(raw_body), '[\\p{L}\\p{N}]+'), lambda x: x IN ('version', 'license', 'the'))))::DOUBLE"
 
 
-@query(f""", h AS (SELECT fullname AS candidate_id, raw_body, row_number() OVER (ORDER BY sha256('20260912' || chr(0) || fullname), fullname) AS rank FROM dm QUALIFY rank <= 100), s AS (SELECT candidate_id, {_OVERLAP_SQL} AS s, rank FROM h)
-SELECT candidate_id, CASE WHEN rank <= 10 THEN 9.0::DOUBLE ELSE s END AS rerank_score, rank <= 10 AS cached, row_number() OVER (ORDER BY CASE WHEN rank <= 10 THEN 9.0 ELSE s END DESC, candidate_id)::INTEGER AS rerank_rank FROM s""")
+@query(f"""{_BRANCH_SQL}, {_FUSED_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY s DESC, candidate_id) AS rank FROM fu),
+s AS (SELECT scenario_id, candidate_id, {_OVERLAP_SQL} AS s, candidate_id IN (SELECT candidate_id FROM h WHERE rank <= 10) AS cached FROM h JOIN dm ON fullname = candidate_id)
+SELECT scenario_id, candidate_id, CASE WHEN cached THEN 9.0::DOUBLE ELSE s END AS rerank_score, cached, row_number() OVER (PARTITION BY scenario_id ORDER BY CASE WHEN cached THEN 9.0 ELSE s END DESC, candidate_id)::INTEGER AS rerank_rank FROM s""")
 def rerank_cached(spark, sf_dir):
-    top = messages.top_by_hash(t.document_messages(spark, sf_dir), 100, SEED)
-    w = fusion.Window.orderBy(stable_rank(SEED, F.col("fullname")), "fullname")
-    c = top.select(F.col("fullname").alias("candidate_id"), "raw_body", F.row_number().over(w).alias("rank"))
+    """The fused candidates of each scenario, scored anew; the first ten of each have their scores in the cache."""
+    found = written(fusion.rrf(_branches(spark, sf_dir), limit=_FUSED, partition=_SCENARIO).select("scenario_id", "candidate_id", "rank"))
+    texts = t.document_messages(spark, sf_dir).select(F.col("fullname").alias("candidate_id"), "raw_body")
     key = sha_hex(nul_joined("model-1", F.col("candidate_id")))
-    cache = c.where("rank <= 10").select(key.alias("key"), F.lit(9.0).alias("score"))
-    return fusion.rerank(c, fusion.overlap_score("version license the", F.col("raw_body")), 100, cache, key).select("candidate_id", "rerank_score", "cached", "rerank_rank")
-
-
-def _variant_run(spark, sf_dir, variant: str, limit: int = 30) -> DataFrame:
-    """One of the compared pipelines for the query point 0: A lexical; B both branches fused and reranked; C also a feedback pass with the mean of B's first two."""
-    b = _branches(spark, sf_dir)
-    if variant == "A":
-        return b.where("branch = 'lexical'").select("candidate_id", "rank").where(F.col("rank") <= limit)
-    score = (F.col("candidate_id").cast("bigint") % 17).cast("double")
-    fused = fusion.rerank(fusion.rrf(b, limit=limit), score, limit).select("candidate_id", F.col("rerank_rank").alias("rank"))
-    if variant == "B":
-        return fused
-    p = t.points(spark, sf_dir)
-    seeds = p.join(fused.where("rank <= 2").select(F.col("candidate_id").cast("bigint").alias("id")), "id").select(F.lit("q").alias("scenario_id"), "id", "vector", F.lit(True).alias("positive"))
+    cache = found.where("rank <= 10").select(key.alias("key"), F.lit(9.0).alias("score")).distinct()
+    c = texts.join(F.broadcast(found), "candidate_id")  # _FUSED rows a scenario
+    return fusion.rerank(c, fusion.overlap_score("version license the", F.col("raw_body")), _FUSED, cache, key, _SCENARIO).select("scenario_id", "candidate_id", "rerank_score", "cached", "rerank_rank")
+
+
+def _variant_runs(spark, sf_dir) -> dict[str, DataFrame]:
+    """The compared pipelines over all scenarios: A lexical; B both branches fused and reranked; C also a feedback pass with the mean of B's first two that have a vector."""
+    b = written(_branches(spark, sf_dir))
+    score = (F.substring("candidate_id", 5, 20).cast("bigint") % 17).cast("double")
+    again = lambda x, limit: fusion.rerank(x, score, limit, partition=_SCENARIO).select("scenario_id", "candidate_id", F.col("rerank_rank").alias("rank"))
+    fused = written(again(fusion.rrf(b, limit=_FUSED, partition=_SCENARIO), _FUSED))
+    p = _document_points(spark, sf_dir)
+    seeds = p.join(F.broadcast(fused.where("rank <= 2").select("scenario_id", F.col("candidate_id").alias("id"))), "id").withColumn("positive", F.lit(True))
     centre = dense.feedback_centroids(seeds, 64).select(F.col("scenario_id").alias("query_id"), F.col("query").cast("array<float>").alias("query"))
-    again = dense.search(centre, p, limit).select(F.col("id").cast("string").alias("candidate_id"), "rank")
-    union = fusion.feedback_union(fused, again, limit * 2)
-    return fusion.rerank(union.select("candidate_id", "rank"), score, limit * 2).select("candidate_id", F.col("rerank_rank").alias("rank"))
+    nearest = dense.search(written(centre), p, _FUSED).select(F.col("query_id").alias("scenario_id"), F.col("id").alias("candidate_id"), "rank")
+    union = fusion.feedback_union(fused, nearest, 2 * _FUSED, _SCENARIO).select("scenario_id", "candidate_id", "rank")
+    return {"A": b.where("branch = 'lexical'").select("scenario_id", "candidate_id", "rank"), "B": fused, "C": again(union, 2 * _FUSED)}
 
 
-@query(f""", {_BRANCH_SQL}, fu AS (SELECT candidate_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM br GROUP BY candidate_id ORDER BY s DESC, candidate_id LIMIT 30),
-rb AS (SELECT candidate_id, row_number() OVER (ORDER BY candidate_id::BIGINT % 17 DESC, candidate_id)::INTEGER AS rank FROM fu),
-ce AS (SELECT list(x ORDER BY i)::FLOAT[] AS embedding FROM (SELECT i, avg(v::DOUBLE) AS x FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings JOIN rb ON vec_id::VARCHAR = candidate_id WHERE rank <= 2) GROUP BY i)),
-ag AS (SELECT p.vec_id::VARCHAR AS candidate_id FROM embeddings p, ce q ORDER BY {_COSINE_SQL} DESC, p.vec_id LIMIT 30)
-SELECT 'A' AS variant, candidate_id, rank::INTEGER AS rank FROM br WHERE branch = 'lexical' AND rank <= 30 UNION ALL SELECT 'B', candidate_id, rank FROM rb
-UNION ALL SELECT 'C', candidate_id, row_number() OVER (ORDER BY candidate_id::BIGINT % 17 DESC, candidate_id)::INTEGER FROM (SELECT candidate_id FROM rb UNION SELECT candidate_id FROM ag)""")
+_RERANKED_SQL = "SELECT scenario_id, candidate_id, row_number() OVER (PARTITION BY scenario_id ORDER BY substr(candidate_id, 5)::BIGINT % 17 DESC, candidate_id)::INTEGER AS rank FROM"
+
+
+@query(f"""{_BRANCH_SQL}, {_FUSED_SQL}, rb AS ({_RERANKED_SQL} fu),
+ce AS (SELECT scenario_id, list(x ORDER BY i)::FLOAT[] AS embedding FROM (SELECT scenario_id, i, avg(v::DOUBLE) AS x FROM (SELECT scenario_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM pv JOIN rb ON id = candidate_id WHERE rank <= 2) GROUP BY scenario_id, i) GROUP BY scenario_id),
+ag AS (SELECT scenario_id, p.id AS candidate_id FROM pv p, ce q QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY {_COSINE_SQL} DESC, p.id) <= {_FUSED})
+SELECT 'A' AS variant, scenario_id, candidate_id, rank::INTEGER AS rank FROM br WHERE branch = 'lexical' UNION ALL SELECT 'B', scenario_id, candidate_id, rank FROM rb
+UNION ALL SELECT 'C', * FROM ({_RERANKED_SQL} (SELECT scenario_id, candidate_id FROM rb UNION SELECT scenario_id, candidate_id FROM ag))""")
 def compare_variants(spark, sf_dir):
-    runs = [_variant_run(spark, sf_dir, v).withColumn("variant", F.lit(v)) for v in "ABC"]
+    runs = [r.withColumn("variant", F.lit(v)) for v, r in _variant_runs(spark, sf_dir).items()]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
-@query(f""", {_BRANCH_SQL}, fu AS (SELECT candidate_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM br GROUP BY candidate_id ORDER BY s DESC, candidate_id LIMIT 30)
-SELECT candidate_id, row_number() OVER (ORDER BY candidate_id::BIGINT % 17 DESC, candidate_id)::INTEGER AS rank FROM fu""")
+@query(f"{_BRANCH_SQL}, {_FUSED_SQL} {_RERANKED_SQL} fu")
 def compare_fused_reranked(spark, sf_dir):
-    return _variant_run(spark, sf_dir, "B")
+    return _variant_runs(spark, sf_dir)["B"]
 
 
 # Tombstones -------------------------------------------------------------------------------------------------------------------
@@ -713,18 +730,15 @@ def shared_shingle_groups(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    """Ranked runs: documents by hash for three scenarios, some of them in several."""
-    d = t.document_messages(spark, sf_dir)
-    out = None
-    for k, name in enumerate(("s-a", "s-b", "s-c")):
-        one = messages.top_by_hash(d, 40, 10 + k).select(F.col("fullname").alias("candidate_id"), F.lit(name).alias("scenario_id"), F.row_number().over(fusion.Window.orderBy(stable_rank(10 + k, F.col("fullname")))).alias("rank"), F.lit(f"{name}.jsonl").alias("run"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("score", (-F.col("rank")).cast("double"))
+    """A run for each stated query point (ids divisible by 100): the documents nearest to it of all that have a vector. Some are in several runs."""
+    stated = t.points(spark, sf_dir).where("id % 100 = 0").select(F.concat(F.lit("s-"), F.col("id").cast("string")).alias("query_id"), F.col("vector").alias("query"))
+    found = dense.search(stated, _document_points(spark, sf_dir), _RUN)
+    return found.select(F.col("id").alias("candidate_id"), F.col("query_id").alias("scenario_id"), "rank", F.concat("query_id", F.lit(".jsonl")).alias("run"), "score")
 
 
-_RUNS_SQL = ", " + ", ".join(f"r{k} AS (SELECT fullname AS candidate_id, '{n}' AS scenario_id, row_number() OVER (ORDER BY sha256('{10 + k}' || chr(0) || fullname)) AS rank FROM dm QUALIFY rank <= 40)" for k, n in enumerate(("s-a", "s-b", "s-c"))) + ", rn AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)"
+_RUNS_SQL = f""", {_POINTS_SQL}, rn AS (SELECT p.id AS candidate_id, 's-' || q.vec_id AS scenario_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE_SQL} DESC, p.id) AS rank FROM embeddings q, pv p WHERE q.vec_id % 100 = 0 QUALIFY rank <= {_RUN})"""
 
-_POOL_SQL = _RUNS_SQL + """, ct AS (SELECT thread_fullname AS candidate_id FROM cm WHERE turn = 0 UNION SELECT candidate_id FROM r0), ctl AS (SELECT candidate_id, sha256('20260912' || chr(0) || 'control' || chr(0) || candidate_id) AS k FROM ct WHERE candidate_id NOT IN (SELECT candidate_id FROM rn)),
+_POOL_SQL = _RUNS_SQL + """, ct AS (SELECT thread_fullname AS candidate_id FROM cm WHERE turn = 0 UNION SELECT candidate_id FROM rn WHERE scenario_id = 's-0'), ctl AS (SELECT candidate_id, sha256('20260912' || chr(0) || 'control' || chr(0) || candidate_id) AS k FROM ct WHERE candidate_id NOT IN (SELECT candidate_id FROM rn)),
 room AS (SELECT 90 - least(count(*), 30) AS room FROM ctl),
 rk AS (SELECT *, row_number() OVER (ORDER BY sha256('20260912' || chr(0) || 'ranked' || chr(0) || candidate_id || chr(0) || scenario_id), candidate_id, scenario_id) AS o FROM rn),
 a AS (SELECT rk.* FROM rk, room WHERE o <= room), b AS (SELECT candidate_id, row_number() OVER (ORDER BY k, candidate_id) AS o FROM ctl),
@@ -735,7 +749,7 @@ pool AS (SELECT *, row_number() OVER (ORDER BY is_control, o) AS pool_order FROM
 
 def _pool(spark, sf_dir):
     r = _runs(spark, sf_dir)
-    controls = t.conversation_messages(spark, sf_dir).where("kind = 'submission'").select(F.col("fullname").alias("candidate_id")).unionByName(r.where("scenario_id = 's-a'").select("candidate_id"))
+    controls = t.conversation_messages(spark, sf_dir).where("kind = 'submission'").select(F.col("fullname").alias("candidate_id")).unionByName(r.where("scenario_id = 's-0'").select("candidate_id"))
     return pooling.blinded_pool(r, controls, 90, SEED)
 
 
@@ -853,7 +867,7 @@ def label_stubs(spark, sf_dir):
     return labels.stubs(_pool(spark, sf_dir)).select("candidate_id", "scenario_id", "topic_fit", "evaluator_kind")
 
 
-@query(_POOL_SQL + """, lb AS (SELECT pool_order AS o, candidate_id, scenario_id FROM pool WHERE pool_order % 6 <> 0 UNION ALL SELECT 1000 + pool_order, candidate_id, scenario_id FROM pool WHERE pool_order % 20 = 1 UNION ALL SELECT 5000, 'stranger', 's-a'),
+@query(_POOL_SQL + """, lb AS (SELECT pool_order AS o, candidate_id, scenario_id FROM pool WHERE pool_order % 6 <> 0 UNION ALL SELECT 1000 + pool_order, candidate_id, scenario_id FROM pool WHERE pool_order % 20 = 1 UNION ALL SELECT 5000, 'stranger', 's-0'),
 ck AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, scenario_id ORDER BY o) > 1 AS dup, EXISTS (SELECT 1 FROM pool p WHERE p.candidate_id = lb.candidate_id AND p.scenario_id IS NOT DISTINCT FROM lb.scenario_id) AS inside FROM lb)
 SELECT candidate_id, scenario_id, CASE WHEN o % 10 = 3 THEN 'topic_fit' WHEN o % 14 = 2 THEN concat_ws(',', 'compatible_without_claims') ELSE concat_ws(',', CASE WHEN dup THEN 'duplicate' END, CASE WHEN o % 15 = 4 THEN 'unverified_claim' END, CASE WHEN NOT inside THEN 'not_in_pool' END) END AS failures FROM ck
 UNION ALL SELECT candidate_id, scenario_id, 'missing' FROM pool WHERE pool_order % 6 = 0""")
@@ -861,7 +875,7 @@ def label_import(spark, sf_dir):
     p = written(_pool(spark, sf_dir))
     o = F.col("row")
     stem = p.select("candidate_id", "scenario_id", F.col("pool_order").cast("bigint").alias("row"))
-    rows = stem.where("row % 6 <> 0").unionByName(stem.where("row % 20 = 1").withColumn("row", o + 1000)).unionByName(spark.createDataFrame([("stranger", "s-a", 5000)], "candidate_id string, scenario_id string, row bigint"))
+    rows = stem.where("row % 6 <> 0").unionByName(stem.where("row % 20 = 1").withColumn("row", o + 1000)).unionByName(spark.createDataFrame([("stranger", "s-0", 5000)], "candidate_id string, scenario_id string, row bigint"))
     filled = rows.select("*", F.when(o % 10 == 3, "maybe").otherwise("yes").alias("topic_fit"), F.lit("unknown").alias("speaker_intent"), F.when((o % 10 != 3) & ((o % 14 == 2) | (o % 15 == 4)), "compatible").otherwise("not_evaluated").alias("product_fit"), F.lit("unknown").alias("resolution_in_available_context"), F.lit("human").alias("evaluator_kind"), F.when(o % 14 == 2, F.array().cast("array<string>")).when(o % 15 == 4, F.array(F.lit("c1"), F.lit("c9"))).alias("supported_claim_ids"))
     return labels.import_labels(p, filled, ["c1", "c2"]).select("candidate_id", "scenario_id", joined("failures").alias("failures"))
 
@@ -943,11 +957,11 @@ def run_metrics(spark, sf_dir):
     return m.withColumns({c: F.round(c, 9) for c in _ROUNDED})
 
 
-@query(_JUDGED_SQL.replace("{where}", "WHERE (rj.n % 2 = 0 AND rj.scenario_id = 's-a') OR rj.n % 3 = 0") + _METRICS_SQL)
+@query(_JUDGED_SQL.replace("{where}", "WHERE (rj.n % 2 = 0 AND rj.scenario_id = 's-0') OR rj.n % 3 = 0") + _METRICS_SQL)
 def run_metrics_split(spark, sf_dir):
     """Metrics of the tasks of a split, which holds some tasks and some candidates in all scenarios."""
     r = _runs(spark, sf_dir).withColumn("n", F.substring("candidate_id", 5, 20).cast("bigint"))
-    split = r.where("n % 2 = 0 AND scenario_id = 's-a'").select("candidate_id", "scenario_id").unionByName(r.where("n % 3 = 0").select("candidate_id", F.lit(None).cast("string").alias("scenario_id")))
+    split = r.where("n % 2 = 0 AND scenario_id = 's-0'").select("candidate_id", "scenario_id").unionByName(r.where("n % 3 = 0").select("candidate_id", F.lit(None).cast("string").alias("scenario_id")))
     return _scenario_metrics(spark, sf_dir, split).withColumns({c: F.round(c, 9) for c in _ROUNDED})
 
 
