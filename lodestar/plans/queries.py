@@ -748,7 +748,7 @@ pool AS (SELECT *, row_number() OVER (ORDER BY is_control, o) AS pool_order FROM
 
 
 def _pool(spark, sf_dir):
-    r = _runs(spark, sf_dir)
+    r = written(_runs(spark, sf_dir))
     controls = t.conversation_messages(spark, sf_dir).where("kind = 'submission'").select(F.col("fullname").alias("candidate_id")).unionByName(r.where("scenario_id = 's-0'").select("candidate_id"))
     return pooling.blinded_pool(r, controls, 90, SEED)
 
@@ -925,7 +925,7 @@ def identity_coverage(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     """The runs as a pool of all tasks but every fifth rank, with labels by the candidate's number."""
-    r = _runs(spark, sf_dir).withColumn("n", F.substring("candidate_id", 5, 20).cast("bigint"))
+    r = written(_runs(spark, sf_dir)).withColumn("n", F.substring("candidate_id", 5, 20).cast("bigint"))
     pool = r.where("rank % 5 <> 0").select("candidate_id", "scenario_id", F.when(F.col("rank") % 4 == 0, "unknown").otherwise("adjacent").alias("stratum"))
     given = r.where("n % 3 <> 0").select("candidate_id", "scenario_id", F.when(F.col("n") % 7 == 0, "unknown").when(F.col("n") % 2 == 0, "yes").otherwise("no").alias("topic_fit"), F.when(F.col("n") % 11 == 0, "model").otherwise("human").alias("evaluator_kind"), F.concat(F.lit("v"), (F.col("n") % 2).cast("string")).alias("evaluator_version"))
     run = metrics.positions(r.select("candidate_id", "scenario_id", "rank", (F.col("n") % 10 != 0).alias("context_complete")))
