@@ -71,3 +71,24 @@ def test_ties_of_dense_search_go_by_id(spark):
     q = spark.createDataFrame([("q", [2.0, 0.0])], "query_id string, query array<float>")
     for parts in (1, 4):
         assert [(r["id"], r["rank"]) for r in dense.search(q, p.repartition(parts), 3).orderBy("rank").collect()] == [(3, 1), (5, 2), (9, 3)]
+
+
+def test_stated_queries_in_one_pass_are_the_single_ones(spark):
+    rows = [("a", "red fox and red hen", "x"), ("b", "fox", "red"), ("c", "hen hen", "x"), ("d", "", None), ("e", "the fox, the hen", "fox")]
+    u = spark.createDataFrame(rows, "unit_id string, focus_text string, context_only_text string")
+    post, (n, mean) = lexical.postings(u), lexical.statistics(u)
+    queries = [("s", 0, "fox"), ("s", 1, '"red hen" OR the'), ("t", 0, "fox NOT hen"), ("t", 1, "he*"), ("t", 2, "nowhere")]
+    got = {tuple(r) for r in lexical.search(post, queries, n, mean, 2).collect()}
+    want = {(s, k, r["unit_id"], r["score"], r["rank"]) for s, k, text in queries for r in lexical.top_k(lexical.bm25(post, text, n, mean), 2).collect()}
+    assert got == want and {(s, k) for s, k, *_ in got} == {("s", 0), ("s", 1), ("t", 0), ("t", 1)}
+    empty = spark.createDataFrame([], u.schema)
+    assert lexical.search(lexical.postings(empty), queries, 0, 0.0, 2).isEmpty()
+
+
+def test_rankings_are_kept_apart_by_partition(spark):
+    c = spark.createDataFrame([("p", "a", 1, 2.0), ("p", "b", 2, 5.0), ("q", "a", 1, 1.0)], "scenario_id string, candidate_id string, rank int, s double")
+    got = fusion.rerank(c, F.col("s"), 2, partition=("scenario_id",))
+    assert {(r["scenario_id"], r["candidate_id"], r["rerank_rank"]) for r in got.collect()} == {("p", "b", 1), ("p", "a", 2), ("q", "a", 1)}
+    new = spark.createDataFrame([("q", "b", 1), ("q", "a", 2)], "scenario_id string, candidate_id string, rank int")
+    union = fusion.feedback_union(c, new, 5, ("scenario_id",))
+    assert {tuple(r) for r in union.select("scenario_id", "candidate_id", "rank", "origin").collect()} == {("p", "a", 1, "original"), ("p", "b", 2, "original"), ("q", "a", 1, "already_seen"), ("q", "b", 2, "new")}
