@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, line_dedup, media, packing, quality, simhash, substring_dedup, token_counts, toxicity
+from . import decontamination, license_scan, line_dedup, media, merkle, packing, periodic_runs, quality, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -108,9 +110,68 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
+def op12_sql(levels: int = 12, tops: int = 6) -> str:
+    """Trees of up to 8^levels leaves and 8^tops trees; a CTE for each level's nodes, siblings and folded digests."""
+
+    def enc(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def climb(p: str, n: int) -> str:
+        """From {p}_n0 (tree, i, d) and {p}_f0 (tree, i, cur, proof, rest): {p}_n<n> and {p}_f<n>."""
+        out = ""
+        for k in range(n):
+            run = "OVER (PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN"
+            out += f"""
+{p}_s{k} AS MATERIALIZED (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) > 1 AS more, coalesce(string_agg(d, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef, coalesce(string_agg(d, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft FROM {p}_n{k}),
+{p}_n{k + 1} AS MATERIALIZED (SELECT tree, i // 8 AS i, CASE WHEN bool_or(more) THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d FROM {p}_s{k} GROUP BY tree, i // 8),
+{p}_f{k + 1} AS MATERIALIZED (SELECT f.tree, f.i // 8 AS i, rid, CASE WHEN more THEN sha256(bef || cur || aft) ELSE cur END AS cur, CASE WHEN more THEN proof || bef || aft ELSE proof END AS proof FROM {p}_f{k} f JOIN {p}_s{k} USING (tree, i)),"""
+        return out
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii((doc_id::VARCHAR)[k])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda e, _: xor(e >> 1, 3988292384::BIGINT * (e & 1))))"
+    head = " || ".join(enc(c) for c in merkle.FIELDS[:-1])
+    return f"""
+WITH docs AS (SELECT *, row_number() OVER () AS rid, CASE WHEN coalesce(xor({crc}, 4294967295) % 3 = 0, false) THEN {lower} ELSE text END AS later FROM documents),
+hashed AS (SELECT rid, doc_id, coalesce('1' || lang, '0') AS tree, sha256({head} || {enc("text")}) AS leaf, sha256({head} || {enc("later")}) AS later FROM docs),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+a_n0 AS (SELECT tree, i, leaf AS d FROM leaves), a_f0 AS (SELECT tree, i, rid, later AS cur, '' AS proof FROM leaves),{climb("a", levels)}
+t_n0 AS MATERIALIZED (SELECT '' AS tree, tree AS rid, d, row_number() OVER (ORDER BY tree) - 1 AS i FROM a_n{levels}),
+t_f0 AS (SELECT t.tree, t.i, f.rid, cur, proof FROM a_f{levels} f JOIN t_n0 t ON f.tree = t.rid),{climb("t", tops)}
+done AS (SELECT rid, cur, proof FROM t_f{tops})
+SELECT doc_id, leaf, s.d AS subroot, r.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = r.d AS verified
+FROM leaves JOIN done USING (rid) JOIN a_n{levels} s USING (tree) CROSS JOIN t_n{tops} r"""
+
+
+def _periodic_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The words to put in a document's places: a tail with a period, for ids whose CRC-32 in decimal ends in 0."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null ids keep their words in order."""
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), reorder=_periodic_tail).withColumn("best", periodic_runs.longest_run())
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(F.try_divide(length * 1000, period)).cast("long").alias("exponent_milli"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op4_toxicity_chain": op4_toxicity_chain, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontamination": op8_decontamination, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash}
+    return {"op1_media_chunks": op1_media_chunks, "op2_license_scan": op2_license_scan, "op3_packing": op3_packing, "op4_toxicity_chain": op4_toxicity_chain, "op5_quality": op5_quality, "op6_line_dedup": op6_line_dedup, "op7_substring_dedup": op7_substring_dedup, "op8_decontamination": op8_decontamination, "op9_token_counts": op9_token_counts, "op10_simhash": op10_simhash, "op12_merkle_manifest": op12_merkle_manifest, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": op2_sql(), "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op2_license_scan": op2_sql(), "op6_line_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op12_merkle_manifest": op12_sql()}
