@@ -60,6 +60,19 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+#: Full case folding by rule: what a letter folds to beyond its lower case, and the letters that fold to several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.casefold() != c}
+_LONG = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def casefold(c: Column) -> Column:
+    """Text under full Unicode case folding; null stays null. Only texts that hold a letter with a longer fold pay for more than one pass."""
+    single = {a: b for a, b in _FOLDS.items() if len(b) == 1} | {chr(k): chr(k + 32) for k in range(65, 91)}
+    one = F.translate(c, "".join(single), "".join(single.values()))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _LONG.items()])
+    return F.when(one.rlike(f"[{''.join(_LONG)}]"), F.aggregate(pairs, one, lambda text, p: F.replace(text, p["a"], p["b"]))).otherwise(one)
+
+
 @F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     """Compatibility-composed and case-folded; null becomes the empty text."""

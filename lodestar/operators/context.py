@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .messages import top_by_hash
+from .messages import one_per_name, top_by_hash
 
 
 def ancestor_chains(messages: DataFrame, focus: DataFrame | None = None, max_parents: int = 4) -> DataFrame:
@@ -56,11 +56,21 @@ def hydration_classes(archive: DataFrame, selected: DataFrame, tombstones: DataF
     return joined.withColumn("class", kind).select(*archive.columns, "class")
 
 
-def hydrate(archive: DataFrame, selected: DataFrame, tombstones: DataFrame, context_target: int, control_target: int, seed: int) -> DataFrame:
-    """Context and control messages to keep, with the column class: the least by seeded digest (controls by seed + 1). A target of 0 keeps none."""
+def archive_order(rows: DataFrame) -> list[Column]:
+    """The order of archive rows: by source and line where the provenance is told, then by revision."""
+    place = [F.col("provenance")[0]["source_id"], F.col("provenance")[0]["line_number"]] if "provenance" in rows.columns else []
+    return [*place, F.col("source_revision_id")]
+
+
+def hydrate(archive: DataFrame, selected: DataFrame, tombstones: DataFrame, context_target: int, control_target: int, seed: int, order: list[Column] | None = None) -> DataFrame:
+    """Context and control messages to keep, with the column class: the least by seeded digest (controls by seed + 1). A target of 0 keeps none.
+
+    Of rows that repeat a name within a class, the first in `order` (archive_order by default) counts.
+    """
     classes = hydration_classes(archive, selected, tombstones)
-    context = top_by_hash(classes.where("class = 'context'"), context_target, seed)
-    return context.unionByName(top_by_hash(classes.where("class = 'control'"), control_target, seed + 1))
+    first = lambda kind: one_per_name(classes.where(F.col("class") == kind), order or archive_order(archive))
+    context = top_by_hash(first("context"), context_target, seed)
+    return context.unionByName(top_by_hash(first("control"), control_target, seed + 1))
 
 
 def merged_messages(selected: DataFrame, context: DataFrame) -> DataFrame:

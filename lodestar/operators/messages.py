@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import focus_text, revision_id, stable_rank
+from ..functions.text import casefold, focus_text, revision_id, stable_rank
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -86,10 +86,10 @@ def matched_rules(text: Column, rules: dict[str, list[list[str]]]) -> Column:
 
 
 def discover(messages: DataFrame, rules: dict[str, list[list[str]]], text: Column | None = None) -> DataFrame:
-    """Messages that any rule matches, with the rules' ids and the channel. Scores and depth play no part."""
-    folded = F.lower(F.concat_ws("\n", "raw_title", "raw_body")) if text is None else text
+    """Messages that any rule matches, with the rules' ids and the channel. Terms and texts are case-folded. Scores and depth play no part."""
+    folded = casefold(F.concat_ws("\n", "raw_title", "raw_body")) if text is None else text
     found = messages.withColumn("matched_rule_ids", matched_rules(folded, rules)).where(F.size("matched_rule_ids") > 0)
-    return found.withColumn("selection_channels", F.array(F.lit("rule")))
+    return found.withColumn("selection_channels", F.array(F.lit("topic_rule")))
 
 
 def one_per_name(messages: DataFrame, order: list[Column], name: str = "fullname", last: bool = False) -> DataFrame:

@@ -81,9 +81,9 @@ def labelled(kind: Column, fullname: Column, text: Column) -> Column:
     return F.concat(F.lit("["), F.upper(kind), F.lit(" "), fullname, F.lit("]\n"), text)
 
 
-def search_units(messages: DataFrame, chains: DataFrame, snapshot_id: str, chunking_version: str = "v2", recipe_version: str = "v1", max_words: int = MAX_WORDS, overlap: int = OVERLAP) -> DataFrame:
-    """Units of messages with the labelled texts of their ancestors as context."""
-    texts = messages.select(F.col("fullname").alias("__a"), labelled(F.col("kind"), F.col("fullname"), F.array_join(F.filter(F.array("raw_title", "raw_body"), lambda x: x != ""), "\n")).alias("block"))
+def search_units(messages: DataFrame, chains: DataFrame, snapshot_id: str, chunking_version: str = "v2", recipe_version: str = "v1", max_words: int = MAX_WORDS, overlap: int = OVERLAP, context_from: DataFrame | None = None) -> DataFrame:
+    """Units of messages with the labelled texts of their ancestors as context; context_from has the ancestors' texts (messages by default)."""
+    texts = (messages if context_from is None else context_from).select(F.col("fullname").alias("__a"), labelled(F.col("kind"), F.col("fullname"), F.array_join(F.filter(F.array("raw_title", "raw_body"), lambda x: x != ""), "\n")).alias("block"))
     told = chains.select("fullname", F.posexplode_outer("ancestors").alias("pos", "__a")).join(texts, "__a", "left").groupBy("fullname").agg(F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("pos", "block", "__a")))).alias("told"))
     context = told.select("fullname", F.array_join(F.transform("told", lambda x: x["block"]), "\n\n").alias("context_only_text"), F.transform("told", lambda x: x["__a"]).alias("context_message_refs"))
     facts = messages.select("fullname", "thread_fullname", "kind", "subreddit", "created_utc", "permalink", "source_revision_id")

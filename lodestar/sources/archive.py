@@ -10,34 +10,39 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.publish import canonical_json, written
+from ..plans.publish import written
 from ..schemas import SOURCE
+from .sinks import write_shard
+from .units import MAX_LINE, read_units
 
-#: Bytes of a line, with its end.
-MAX_LINE = 8 << 20
+#: Bytes of a file that a task may hold to work out its digest.
+WHOLE_FILE = 256 << 20
 
-#: File blocks of which the counts are broadcast, and bytes of a file that a task may hold to work out its digest.
-BLOCKS, WHOLE_FILE = 500_000, 256 << 20
 
-
-def scan(spark: SparkSession, sources: DataFrame) -> DataFrame:
+def scan(spark: SparkSession, sources: DataFrame, unit_bytes: int | None = None) -> DataFrame:
     """(source_id, source_kind, line_number, raw_line) of registered sources (their number is that of files).
 
-    Line numbers are physical, from 1, and count bad rows too. Lines aren't moved for it: each task numbers its own, and the
-    counts of a file's earlier blocks, a row for each block, are added. A broken compressed file is an error.
+    Line numbers are physical, from 1, and count bad rows too. Many tasks read a file, by byte ranges or zstandard frames; each
+    numbers its lines, and the lines of a file's earlier units are added: a row for each unit, from a first pass. Plans that write the lines anyway take read_units and `numbered` and read once.
     """
-    known = {r["path"]: (r["source_id"], r["source_kind"]) for r in sources.collect()}
+    known = [r.asDict() for r in sources.collect()]
     if not known:
         return spark.createDataFrame([], "source_id string, source_kind string, line_number bigint, raw_line string")
-    lines = spark.read.option("lineSep", "\n").text(sorted(known)).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    before = blocks.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).select("file", "block", "first", "before")
-    names = spark.createDataFrame([(_uri(spark, p), i, k) for p, (i, k) in known.items()], "file string, source_id string, source_kind string")
-    before = written(before)
-    if before.count() <= BLOCKS:
-        before = F.broadcast(before)
-    numbered = lines.join(before, ["file", "block"]).join(F.broadcast(names), "file")
-    return numbered.select("source_id", "source_kind", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_number"), F.col("value").alias("raw_line"))
+    lines = read_units(spark, known, unit_bytes)
+    told = numbered(lines, written(unit_counts(lines)))
+    return told.select("source_id", "source_kind", "line_number", F.col("value").cast("string").alias("raw_line"))
+
+
+def unit_counts(lines: DataFrame) -> DataFrame:
+    """(source_id, unit, lines) of rows (source_id, unit, ...): the lines of each unit."""
+    return lines.groupBy("source_id", "unit").agg(F.count("*").alias("lines"))
+
+
+def numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (source_id, unit, place, ...) with line_number, by the lines of each unit (source_id, unit, lines)."""
+    earlier = F.sum("lines").over(Window.partitionBy("source_id").orderBy("unit")) - F.col("lines")
+    before = counts.select("source_id", "unit", earlier.alias("__before"))
+    return rows.join(before, ["source_id", "unit"]).withColumn("line_number", F.col("__before") + F.col("place") + 1).drop("__before")
 
 
 def _uri(spark: SparkSession, path: str) -> str:
@@ -163,33 +168,10 @@ def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_lines(df: DataFrame, path: str, order: list[str], compress: bool = True) -> str:
     """One file of JSON lines with sorted keys, zstandard if asked, in the given order; for hand-over of bounded shards. Returns its SHA-256.
 
-    Rows pass through the driver one partition at a time; the file appears under its name when it is whole.
+    Tasks write a frame for each range of the order, the commit lists those that count, and one task joins them (sinks); no row
+    passes through the driver. The file appears under its name when it is whole.
     """
-    import zstandard
-
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, part = hadoop.Path(path), hadoop.Path(path + ".tmp")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
-    packer = zstandard.ZstdCompressor().compressobj() if compress else None
-    digest = hashlib.sha256()
-
-    def put(data: bytes) -> None:
-        if data:
-            digest.update(data)
-            out.write(data)
-
-    for row in df.orderBy(*order).toLocalIterator():
-        line = canonical_json(row.asDict(recursive=True)) + b"\n"
-        put(packer.compress(line) if packer else line)
-    put(packer.flush() if packer else b"")
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"can't publish {path}")
-    return digest.hexdigest()
+    return write_shard(df.orderBy(*order), path, compress)
 
 
 def load_config(path: str) -> dict:

@@ -6,7 +6,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from lodestar.plans import publish
-from lodestar.sources import archive
+from lodestar.sources import archive, units
 from lodestar.streaming import ingest
 
 
@@ -105,3 +105,81 @@ def test_stream_reads_each_file_once(spark, tmp_path):
         ingest.ingest_available(spark, str(folder), "submission", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r["fullname"] for r in spark.read.parquet(f"{tmp_path}/out/messages").collect()) == ["t3_0", "t3_1"]
     assert spark.read.parquet(f"{tmp_path}/out/rejected").count() == 1
+
+
+def archive_lines(rows):
+    return sorted((r["source_id"], r["line_number"], r["raw_line"]) for r in rows.select("source_id", "line_number", "raw_line").collect())
+
+
+@pytest.mark.parametrize("unit_bytes", [1, 7, 64, 1000, 1 << 20])
+def test_units_give_every_line_once(spark, tmp_path, unit_bytes):
+    """Plain and compressed files, cut anywhere: the lines and their numbers are those of a plain reading."""
+    texts = {"a.jsonl": b"one\ntwo\n\nthree is longer\nx", "b.jsonl": b"\n\n\n", "c.jsonl": b"", "d.jsonl": b"only", "e.jsonl": "é\n".encode() * 9 + b"\xff\n"}
+    paths, want = {}, []
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+        paths[name] = str(tmp_path / name)
+        cuts = [data[k : k + 5] for k in range(0, len(data), 5)]
+        paths[name + ".zst"] = write(tmp_path / (name + ".zst"), *cuts) if cuts else write(tmp_path / (name + ".zst"), b"")
+    reg = archive.register(spark, [{"source_id": n, "path": p, "source_kind": "comment"} for n, p in paths.items()])
+    for name in paths:
+        data = texts[name.removesuffix(".zst")]
+        lines = data.split(b"\n")
+        want += [(name, k, line.decode("utf-8", "replace")) for k, line in enumerate(lines[:-1] if not lines[-1] else lines, 1)]
+    assert archive_lines(archive.scan(spark, reg, unit_bytes)) == sorted(want)
+
+
+def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = [b'{"id":%d,"pad":"%s"}\n' % (k, b"x" * (k % 50)) for k in range(20_000)]
+    path = write(tmp_path / "big.zst", *[b"".join(rows[k : k + 700]) for k in range(0, len(rows), 700)])
+    lines = units.read_units(spark, [{"source_id": "s", "source_kind": "comment", "path": path}], 4000)
+    parts = lines.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert lines.rdd.getNumPartitions() > 5 and len(parts) > 5 and max(r["count"] for r in parts) < 4000
+    got = archive_lines(archive.scan(spark, sources(spark, path), 4000))
+    assert [(n, json.loads(x)["id"]) for _, n, x in got] == [(k + 1, k) for k in range(20_000)]
+    assert "monotonically_increasing_id" not in archive.scan(spark, sources(spark, path))._jdf.queryExecution().toString()
+    listed = units.list_units(spark, [{"source_id": "s", "source_kind": "comment", "path": path}], 4000)
+    assert listed.count() == len(units.ranges(path, 4000)) and units.lines_in(listed).count() == 20_000
+
+
+def test_frames_of_all_kinds(tmp_path):
+    pieces = [b"a" * 300_000, b"", b"xyz\n" * 50_000, bytes(range(256)) * 2000]
+    packed = [zstandard.ZstdCompressor(write_checksum=k % 2 == 0, write_content_size=k > 1).compress(p) for k, p in enumerate(pieces)]
+    skipped = b"\x50\x2a\x4d\x18\x05\x00\x00\x00hello"
+    data = packed[0] + skipped + b"".join(packed[1:])
+    (tmp_path / "f.zst").write_bytes(data)
+    with open(tmp_path / "f.zst", "rb") as f:
+        found = units.frames(f, len(data))
+    assert [data[a:b] for a, b in found] == packed
+    entries = b"".join(len(p).to_bytes(4, "little") + len(x).to_bytes(4, "little") for p, x in zip(packed, pieces, strict=True))
+    table = b"\x5e\x2a\x4d\x18" + (len(entries) + 9).to_bytes(4, "little") + entries + len(packed).to_bytes(4, "little") + b"\x00" + units.SEEKABLE.to_bytes(4, "little")
+    whole = b"".join(packed) + table
+    (tmp_path / "g.zst").write_bytes(whole)
+    with open(tmp_path / "g.zst", "rb") as f:
+        assert [whole[a:b] for a, b in units.frames(f, len(whole))] == packed
+    with open(tmp_path / "f.zst", "rb") as f, pytest.raises(ValueError, match="cut"):
+        units.frames(f, len(packed[0]) - 3)
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_shards_are_written_by_tasks(spark, tmp_path, compress):
+    path = str(tmp_path / "shard.jsonl")
+    df = spark.range(1000).select((F.lit(1000) - F.col("id")).alias("n"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, F.array("id")).alias("list")).repartition(7)
+    digest = archive.write_lines(df, path, ["n"], compress)
+    data = (tmp_path / "shard.jsonl").read_bytes()
+    assert hashlib.sha256(data).hexdigest() == digest
+    lines = (zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() if compress else data).decode().splitlines()
+    want = sorted((r.asDict() for r in df.collect()), key=lambda r: r["n"])
+    assert lines == [publish.canonical_json(r).decode() for r in want]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["shard.jsonl"]
+
+
+def test_a_failed_write_leaves_the_old_shard(spark, tmp_path):
+    path = str(tmp_path / "s.jsonl")
+    archive.write_lines(spark.range(3), path, ["id"], False)
+    bad = spark.range(10).select(F.when(F.col("id") == 7, F.raise_error(F.lit("no")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        archive.write_lines(bad, path, ["id"], False)
+    assert (tmp_path / "s.jsonl").read_text() == '{"id":0}\n{"id":1}\n{"id":2}\n'
+    archive.write_lines(spark.range(0), path, ["id"], False)
+    assert (tmp_path / "s.jsonl").read_text() == ""
