@@ -1,4 +1,4 @@
-"""Training-data operators: ten document-scale operators and the queries that apply them.
+"""Training-data operators: thirteen document-scale operators and the queries that apply them.
 
 Nothing outside this subpackage imports it; ``lodestar.llm.queries`` holds the query registry.
 """
