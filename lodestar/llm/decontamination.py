@@ -1,9 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
 Words of documents and items (ASCII letters in lower case) are hashed; runs of MATCH words are seeds. A bitmap of fixed size,
-made from the items' seeds, drops documents without any seed while they are read; those left are written. Their seeds are
-joined with the items' seeds by Spark, and a pair goes on if the seeds that it shares can cover enough of the item: a tile of
-k words has at least k / MATCH seeds. For these pairs, tiles are found greedily: the longest matches of words that no tile has
+made from the items' seeds, drops documents without any seed while they are read; those left are written. A pair can leak only
+if the seeds that it shares can cover enough of the item: a tile of k words has at least k / MATCH seeds. So Spark joins the
+documents' seeds with the rarest of each item's alone, as many as it takes that the commoner ones left out couldn't suffice by
+themselves; a phrase that stands everywhere makes no pairs but of items that hold little else. The seeds that such a pair
+shares are then counted, and pairs with too few go. For those left, tiles are found greedily: the longest matches of words that no tile has
 yet are marked on both sides, until none of MATCH words is left. The longest length is found by bisection over hashes of runs,
 which running Karp-Rabin gives for any length from one pass of sums; matches of that length are marked in order of item and
 document place, equal ones of a document through one pointer, so that repeated phrases cost no pair of places each. An item
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, slices, texts, utf8, written
@@ -154,13 +156,24 @@ def windows_free(free: np.ndarray, n: int) -> np.ndarray:
     return total[n:] - total[: max(0, len(total) - n)] == n
 
 
+def likely_pairs(found: DataFrame, seeds: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, text_hash, item_id, item_hash) of the pairs that share enough seeds (found: doc_id, text_hash, seeds; seeds: item_seeds)."""
+    held = found.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct()
+    told = seeds.join(held.groupBy("seed").agg(F.count("*").alias("held")), "seed")  # a seed that no document holds can't be shared
+    least = F.ceil(F.ceil(F.col("n_words") * coverage) / MATCH)
+    commoner = Window.partitionBy("item_id", "item_hash").orderBy(F.desc("held"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = written(told.withColumn("least", least).withColumn("rare", F.sum("times").over(commoner) >= F.col("least")), few=True)
+    met = held.join(told.where("rare").select("seed", "item_id", "item_hash"), "seed").select("doc_id", "text_hash", "item_id", "item_hash").distinct()
+    shared = met.join(told.select("item_id", "item_hash", "seed", "times", "least"), ["item_id", "item_hash"]).join(held, ["doc_id", "text_hash", "seed"])
+    counted = shared.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.sum("times").alias("shared"), F.max("least").alias("least"))
+    return counted.where("shared >= least").select("doc_id", "text_hash", "item_id", "item_hash")
+
+
 def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, covered, coverage, n_tiles, longest) of the pairs whose tiles cover enough of the item."""
     seeds = written(item_seeds(items, item_id_col, item_text_col), few=True)
     found = written(seeded_documents(docs, bitmap(seeds), id_col, text_col).withColumn("text_hash", F.xxhash64("text")))
-    shared = found.select("doc_id", "text_hash", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed")
-    pairs = shared.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.sum("times").alias("shared"), F.max("n_words").alias("n_words"))
-    pairs = pairs.where(F.col("shared") * MATCH >= F.ceil(F.col("n_words") * coverage)).drop("shared", "n_words")
+    pairs = likely_pairs(found, seeds, coverage)
     doc_texts = found.drop("seeds").dropDuplicates(["doc_id", "text_hash"])
     item_texts = _items(items, item_id_col, item_text_col).dropDuplicates(["item_id", "item_hash"])
     both = pairs.join(doc_texts, ["doc_id", "text_hash"]).join(item_texts, ["item_id", "item_hash"]).select("doc_id", "item_id", "text", "item")

@@ -78,8 +78,9 @@ def cuts(data: bytes) -> list[int]:
 
 
 def dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 1500, size: int = 1 << 17) -> bytes:
-    """A zstandard dictionary from at most `rows` texts; empty where there are too few."""
-    some = [payload(r[0].encode())[:4096] for r in texts(docs, id_col, text_col).select("text").limit(rows).collect()]
+    """A zstandard dictionary from the first 4,096 bytes of at most `rows` texts, all that comes to the driver; empty where there are too few."""
+    heads = texts(docs, id_col, text_col).select(F.substring(F.col("text").cast("binary"), 1, 4096).alias("head"))
+    some = [payload(bytes(r[0]))[:4096] for r in heads.limit(rows).collect()]
     try:
         return zstandard.train_dictionary(size, some).as_bytes() if len(some) > 64 else b""
     except zstandard.ZstdError:
@@ -158,7 +159,7 @@ def _verified(doc_id: int | None, head: tuple, parts: list[bytes]) -> tuple:
 def rebuild(manifest: DataFrame, store: DataFrame, words: bytes, row, schema: str, hot: DataFrame | None = None) -> DataFrame:
     """row(doc_id, n_bytes, media) -> values of schema, for each medium that the manifest lists, rebuilt and verified.
 
-    An error if the store lacks a chunk. Media of one chunk are done where the chunk is found; chunks of the others meet by row.
+    An error if the store lacks a chunk. Media of one chunk are done where the chunk is found, and only their finished values move on; chunks of the others meet by row.
     """
     names, kinds = zip(*((f.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")), strict=True)
     carried = ("row", "doc_id", "seq", "n_chunks", "n_bytes", "media_sha", "header", "chunk")

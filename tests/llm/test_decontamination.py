@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lodestar.llm import decontamination as dc
 from tests.llm.conftest import sentence
 
@@ -107,3 +109,19 @@ def test_reordered_passages_are_found_and_clean_documents_stay(spark, docs, rows
                 want[i, k] = c
     assert set(got) == set(want) >= {(1000 + k, k) for k in range(12)}
     assert dc.leaks(empty, bench).collect() == [] and dc.leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_a_phrase_that_stands_everywhere_makes_no_pairs(spark):
+    """Items and documents share one phrase; only those that share more meet, and the leaks are those of all pairs."""
+    r = random.Random(8)
+    phrase = "in the light of what was said above"
+    items = [(k, f"{sentence(r, 40)} {phrase} {sentence(r, 10)}") for k in range(60)] + [(99, phrase)]
+    docs = [(k, f"{sentence(r, 30)} {phrase} {sentence(r, 5)} " + (items[k][1] if k < 5 else "")) for k in range(150)]
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    seeds = dc.written(dc.item_seeds(bench))
+    found = dc.written(dc.seeded_documents(table, dc.bitmap(seeds)).withColumn("text_hash", F.xxhash64("text")))
+    assert found.count() == 150
+    pairs = {(x["doc_id"], x["item_id"]) for x in dc.likely_pairs(found, seeds).collect()}
+    leaked = {(k, k) for k in range(5)} | {(k, 99) for k in range(150)}
+    assert leaked <= pairs and len(pairs) < len(leaked) + 100  # of 9,150; words beside the phrase agree here and there
+    assert {(x["doc_id"], x["item_id"]) for x in dc.leaks(table, bench).collect()} == leaked

@@ -72,3 +72,19 @@ def test_equal_chunks_are_stored_once_and_a_wrong_chunk_is_found(docs):
     broken = store.withColumn("chunk", F.first("chunk").over(Window.orderBy("digest")))
     with pytest.raises(Exception, match="don't give its medium|Decompressed"):
         media.rebuild(media.manifests(docs), broken, b"", media.described, media.DESCRIBED).collect()
+
+
+def test_a_medium_by_hand():
+    """Header and statistics of one small payload, written out."""
+    samples = media.payload(b"ab")
+    assert samples == b"ab" + b" " * 190
+    assert media.wav(samples) == bytes.fromhex("52494646" "e4000000" "57415645" "666d7420" "10000000" "0100" "0100" "401f0000" "401f0000" "0100" "0800" "64617461" "c0000000")
+    # 190 samples of 32 - 128 = -96, one of 97 - 128 = -31, one of 98 - 128 = -30
+    level, rms = (190 * -96 - 31 - 30) / 192, ((190 * 96**2 + 31**2 + 30**2) / 192) ** 0.5
+    assert media.features(samples) == f"wav8;seconds=0.024;level={level:.4f};rms={rms:.4f};zcr={1 / 192:.5f};peak=96;chunks=1"
+
+
+def test_the_dictionary_takes_heads_only(spark):
+    long = spark.createDataFrame([(i, f"{i} " * 50_000) for i in range(80)] + [(None, None)], "doc_id long, text string")
+    heads = spark.createDataFrame([(i, (f"{i} " * 50_000)[:4096]) for i in range(80)] + [(None, None)], "doc_id long, text string")
+    assert media.dictionary(long.coalesce(1)) == media.dictionary(heads.coalesce(1)) and media.dictionary(long.limit(3)) == b""
