@@ -60,17 +60,24 @@ def word_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-#: Full case folding by rule: what a letter folds to beyond its lower case, and the letters that fold to several.
-_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.casefold() != c}
-_LONG = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+#: By rule: letters that lower case leaves as they are and full case folding doesn't, and what they fold to.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1F000)) if c.lower() == c != c.casefold()}
+
+
+#: Those of everyday writing, which are always replaced; for the others a text is looked through first.
+_COMMON = "ßςſﬁﬂ"
 
 
 def casefold(c: Column) -> Column:
-    """Text under full Unicode case folding; null stays null. Only texts that hold a letter with a longer fold pay for more than one pass."""
-    single = {a: b for a, b in _FOLDS.items() if len(b) == 1} | {chr(k): chr(k + 32) for k in range(65, 91)}
-    one = F.translate(c, "".join(single), "".join(single.values()))
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _LONG.items()])
-    return F.when(one.rlike(f"[{''.join(_LONG)}]"), F.aggregate(pairs, one, lambda text, p: F.replace(text, p["a"], p["b"]))).otherwise(one)
+    """Text under full Unicode case folding, as far as the JVM's lower case knows the letters; null stays null."""
+    low = F.lower(c)
+    for letter in _COMMON:
+        low = F.replace(low, F.lit(letter), F.lit(_FOLDS[letter]))
+    rest = {a: b for a, b in _FOLDS.items() if a not in _COMMON}
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rest.items()])
+    near = "".join(a for a in rest if ord(a) < 0x250)
+    some = low.rlike(f"[{near}\\x{{250}}-\\x{{10FFFF}}]") & low.rlike(f"[{''.join(rest)}]")  # the first test is quick, and enough for Latin text
+    return F.when(some, F.aggregate(pairs, low, lambda text, p: F.replace(text, p["a"], p["b"]))).otherwise(low)
 
 
 @F.pandas_udf(StringType())

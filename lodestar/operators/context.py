@@ -45,13 +45,18 @@ def ancestor_chains(messages: DataFrame, focus: DataFrame | None = None, max_par
     )
 
 
+def with_tombstoned(rows: DataFrame, tombstones: DataFrame, name: str) -> DataFrame:
+    """rows with a column that says whether a tombstone names them, in all revisions or in theirs."""
+    t = tombstones.groupBy(F.col("message_fullname").alias("__t")).agg(F.count_if(F.col("source_revision_id").isNull()).alias("__any"), F.collect_set("source_revision_id").alias("__revisions"))
+    gone = F.col("__t").isNotNull() & ((F.col("__any") > 0) | F.coalesce(F.array_contains("__revisions", F.col("source_revision_id")), F.lit(False)))
+    return rows.join(t, F.col("fullname") == F.col("__t"), "left").withColumn(name, gone).drop("__t", "__any", "__revisions")
+
+
 def hydration_classes(archive: DataFrame, selected: DataFrame, tombstones: DataFrame) -> DataFrame:
     """archive with a column class: tombstoned, selected, context or control; the tests apply in this order."""
-    t = tombstones.select(F.col("message_fullname").alias("__t"), F.col("source_revision_id").alias("__r")).distinct()
     names = selected.select(F.col("fullname").alias("__s")).distinct()
     threads = selected.select(F.col("thread_fullname").alias("__h")).distinct()
-    gone = archive.join(t, (archive["fullname"] == t["__t"]) & (t["__r"].isNull() | (t["__r"] == archive["source_revision_id"])), "left_semi").select("fullname", "source_revision_id").distinct().withColumn("__gone", F.lit(True))
-    joined = archive.join(gone, ["fullname", "source_revision_id"], "left").join(names, F.col("fullname") == F.col("__s"), "left").join(threads, F.col("thread_fullname") == F.col("__h"), "left")
+    joined = with_tombstoned(archive, tombstones, "__gone").join(names, F.col("fullname") == F.col("__s"), "left").join(threads, F.col("thread_fullname") == F.col("__h"), "left")
     kind = F.when(F.col("__gone"), "tombstoned").when(F.col("__s").isNotNull(), "selected").when(F.col("__h").isNotNull(), "context").otherwise("control")
     return joined.withColumn("class", kind).select(*archive.columns, "class")
 

@@ -228,7 +228,7 @@ def bm25(post: DataFrame, query: str, n_units: int, mean_length: float, weights:
     if weights != (1.0, 1.0):
         raise ValueError("only equal weights are used: the ones of the full-text table bind to its id columns")
     tree = parse(query)
-    counted = _counted(post, [tree], id_cols, columns)
+    counted = written(_counted(post, [tree], id_cols, columns))  # the frequencies and the scores both read it
     numbers = range(len(_phrases(tree)))
     score = _score(numbers, _frequencies(counted, numbers), n_units, mean_length)
     return counted.where("matches_0").select(*id_cols, (-score).alias("score"))
@@ -248,13 +248,13 @@ def _score(numbers: range, frequencies: list[int], n_units: int, mean_length: fl
     return score
 
 
-def search(post: DataFrame, queries: list[tuple[str, int, str]], n_units: int, mean_length: float, k: int, columns: tuple[str, ...] = ("focus_text", "context_only_text")) -> DataFrame:
-    """(scenario_id, query_no, unit_id, score, rank): the k best units of each stated query (scenario_id, query_no, text).
+def search(post: DataFrame, queries: list[tuple[str, int, str]], n_units: int, mean_length: float, k: int, columns: tuple[str, ...] = ("focus_text", "context_only_text"), id_cols: tuple[str, ...] = ("unit_id",)) -> DataFrame:
+    """(scenario_id, query_no, id columns, score, rank): the k best units of each stated query (scenario_id, query_no, text).
 
     The postings are read and grouped once for all queries; what holds any of their words is written, then counted and scored.
     """
     trees = [parse(text) for _, _, text in queries]
-    counted = written(_counted(post, trees, ("unit_id",), columns))
+    counted = written(_counted(post, trees, id_cols, columns))
     sizes = [len(_phrases(tree)) for tree in trees]
     frequencies = _frequencies(counted, range(sum(sizes)))
     hits, first = [], 0
@@ -262,8 +262,8 @@ def search(post: DataFrame, queries: list[tuple[str, int, str]], n_units: int, m
         score = _score(range(first, first + sizes[j]), frequencies, n_units, mean_length)
         hits.append(F.when(F.col(f"matches_{j}"), F.struct(F.lit(scenario).alias("scenario_id"), F.lit(number).alias("query_no"), (-score).alias("score"))))
         first += sizes[j]
-    found = counted.select("unit_id", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.scenario_id", "hit.query_no", "unit_id", "hit.score")
-    return top_k(found, k, ("scenario_id", "query_no"))
+    found = counted.select(*id_cols, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.scenario_id", "hit.query_no", *id_cols, "hit.score")
+    return top_k(found, k, ("scenario_id", "query_no"), id_cols[-1])
 
 
 def top_k(scored: DataFrame, k: int, partition: tuple[str, ...] = (), id_col: str = "unit_id") -> DataFrame:

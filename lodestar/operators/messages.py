@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefold, focus_text, revision_id, stable_rank
 
+#: Fixed value: the channel of messages that a rule selects.
+CHANNEL = "topic_rule"
+
 
 def _kind(v: Column, path: str) -> Column:
     """The JSON type of a field: BOOLEAN, BIGINT, DECIMAL, DOUBLE, STRING, ...; null if the field is missing or null."""
@@ -72,8 +75,9 @@ def with_focus_text(messages: DataFrame) -> DataFrame:
 
 
 def matched_rules(text: Column, rules: dict[str, list[list[str]]]) -> Column:
-    """Ids of the rules, in their order, of which every group has a term in the text. The text must be folded already."""
-    def holds(groups: list[list[str]]) -> Column:
+    """Ids of the rules, in their order, of which every group has a term in the text. The text must be folded already; it is worked out once."""
+
+    def holds(text: Column, groups: list[list[str]]) -> Column:
         every = F.lit(bool(groups))
         for group in groups:
             some = F.lit(False)
@@ -82,14 +86,17 @@ def matched_rules(text: Column, rules: dict[str, list[list[str]]]) -> Column:
             every = every & some
         return every
 
-    return F.array_compact(F.array(*[F.when(holds(groups), F.lit(rule)) for rule, groups in rules.items()])) if rules else F.array().cast("array<string>")
+    if not rules:
+        return F.array().cast("array<string>")
+    found = F.transform(F.array(text), lambda t: F.array_compact(F.array(*[F.when(holds(t, groups), F.lit(rule)) for rule, groups in rules.items()])))
+    return found[0]
 
 
 def discover(messages: DataFrame, rules: dict[str, list[list[str]]], text: Column | None = None) -> DataFrame:
     """Messages that any rule matches, with the rules' ids and the channel. Terms and texts are case-folded. Scores and depth play no part."""
     folded = casefold(F.concat_ws("\n", "raw_title", "raw_body")) if text is None else text
     found = messages.withColumn("matched_rule_ids", matched_rules(folded, rules)).where(F.size("matched_rule_ids") > 0)
-    return found.withColumn("selection_channels", F.array(F.lit("topic_rule")))
+    return found.withColumn("selection_channels", F.array(F.lit(CHANNEL)))
 
 
 def one_per_name(messages: DataFrame, order: list[Column], name: str = "fullname", last: bool = False) -> DataFrame:

@@ -12,33 +12,75 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold, stable_rank
 from ..operators import audit, context, fusion, lexical, messages, review, state, tombstones, units
 from ..sources import archive
+from ..streaming import bounded
 from . import publish
 
 
-def discovery(spark: SparkSession, sources: DataFrame, rules: dict[str, list[list[str]]], target: int, seed: int, out: str, ledger: DataFrame | None = None, max_records: int | None = None, queue_limit: int = 100) -> dict:
+#: A unit and a place within it as one number, in the place of a line number until those are known.
+_PLACES = 1 << 40
+
+
+def _classified(lines: DataFrame, classes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(source_id, unit, place, class, m) of archive lines: quarantined, rejected, or what `classes` (messages -> messages with class) says; m is the message."""
+    bad = archive.line_problem(F.col("raw_line")).isNotNull()
+    code = F.col("unit").cast("bigint") * _PLACES + F.col("place")
+    told = lines.select("source_id", "source_kind", F.when(bad, -code - 1).otherwise(code).alias("line_number"), F.when(~bad, F.col("raw_line")).alias("raw_line"))
+    read = classes(messages.normalize(told))
+    at = F.col("provenance")[0]["line_number"]
+    place = F.when(at < 0, -at - 1).otherwise(at)
+    kind = F.when(at < 0, "quarantined").when(F.col("norm_error").isNotNull(), "rejected").otherwise(F.col("class"))
+    own = [c for c in read.columns if c not in ("norm_error", "class", "provenance")]
+    return read.select(F.col("provenance")[0]["source_id"].alias("source_id"), F.floor(place / _PLACES).cast("int").alias("unit"), (place % _PLACES).alias("place"), kind.alias("class"), F.struct(*own).alias("m"))
+
+
+def _messages(state: DataFrame) -> DataFrame:
+    """The messages of a scan's state, with their provenance."""
+    return state.select("m.*", F.array(F.struct("source_id", "line_number")).alias("provenance"))
+
+
+def _found(alive: DataFrame, rules: dict[str, list[list[str]]]) -> DataFrame:
+    """Messages with the rules that they match and, where any does, the channel."""
+    ids = messages.matched_rules(casefold(F.concat_ws("\n", "raw_title", "raw_body")), rules)
+    told = alive.withColumn("matched_rule_ids", ids)
+    return told.withColumn("selection_channels", F.when(F.size("matched_rule_ids") > 0, F.array(F.lit(messages.CHANNEL))).otherwise(F.col("selection_channels")))
+
+
+def discovery(spark: SparkSession, sources: DataFrame, rules: dict[str, list[list[str]]], target: int, seed: int, out: str, ledger: DataFrame | None = None, max_records: int | None = None, queue_limit: int = 100, **scan) -> dict:
     """Reads sources, quarantines, normalises, drops tombstoned messages, matches rules, samples, and publishes selection, cards, queue and worksheet.
 
-    With max_records only so many first lines (by source and line number) are read, and the manifest says scan_complete = false.
-    The same identity finds the finished datasets. Counts of every step are in the manifest.
+    The archive is read once, and a run that was stopped goes on where it was (streaming.bounded; `scan` is passed to it). With
+    max_records only so many first lines (by source and line number) are read, and the manifest says scan_complete = false. The
+    same identity, which holds what the files contain, finds the finished datasets. Counts of every step are in the manifest;
+    matched counts messages, before repeated names are left out.
     """
-    identity = {"sources": [r.asDict() for r in sources.orderBy("source_id").collect()], "rules": rules, "target": target, "seed": seed, "max_records": max_records, "ledger": ledger and tombstones.ledger_digest(ledger).first()["digest"]}
+    digest = tombstones.ledger_digest(ledger).first()["digest"] if ledger is not None else None
+    identity = {"sources": archive.facts(spark, sources), "rules": rules, "target": target, "seed": seed, "max_records": max_records, "ledger": digest}
+    run_id = publish.identity_hash(identity)
     if done := publish.read_manifest(spark, f"{out}/selection"):
-        if done["run_id"] != publish.identity_hash(identity):
+        if done["run_id"] != run_id:
             raise ValueError(f"{out} holds another run")
         return done
-    lines = archive.quarantined(archive.scan(spark, sources))
-    total = lines.count()
-    capped = max_records is not None and total > max_records
-    if capped:
-        lines = lines.orderBy("source_id", "line_number").limit(max_records)
-    normal = publish.written(messages.normalize(lines.where("problem IS NULL")))
-    good = messages.valid(normal)
-    alive = tombstones.without_tombstoned(good, ledger) if ledger is not None else good
-    found = messages.one_per_name(messages.discover(alive, rules), [F.col("provenance")[0]["source_id"], F.col("provenance")[0]["line_number"]])
-    selected = publish.written(messages.top_by_hash(found, target, seed))
-    counts = {"lines": total, "quarantined": lines.where("problem IS NOT NULL").count(), "rejected": messages.rejected(normal).count(), "tombstoned": good.count() - alive.count(), "matched": found.count(), **messages.thread_freeze(selected).first().asDict()}
+    gone = ledger.select("message_fullname", "source_revision_id") if ledger is not None else spark.createDataFrame([], "message_fullname string, source_revision_id string")
+
+    def classes(normal: DataFrame) -> DataFrame:
+        told = _found(context.with_tombstoned(normal, gone, "__gone"), rules)
+        return told.withColumn("class", F.when(F.col("__gone"), "tombstoned").when(F.size("matched_rule_ids") > 0, "matched").otherwise("other")).drop("__gone")
+
+    kept = {"matched": bounded.Kept(target, seed)}
+    if max_records is None:
+        result = bounded.bounded_scan(spark, sources, lambda lines: _classified(lines, classes), kept, f"{out}/scan-{run_id[:16]}", **scan)
+        by_class = {r["class"]: r["n"] for r in result.counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+        selected, capped = publish.written(_messages(result.state)), False
+    else:
+        lines, capped = archive.first_lines(spark, sources, max_records)
+        told = publish.written(_classified(lines.withColumn("raw_line", F.col("value").cast("string")), classes))
+        by_class = {r["class"]: r["n"] for r in told.groupBy("class").agg(F.count("*").alias("n")).collect()}
+        best = bounded.least(told.where("class = 'matched'").withColumn("rank", stable_rank(seed, F.col("m.fullname"))), kept)
+        selected = publish.written(_messages(archive.numbered(best, publish.written(archive.unit_counts(lines)))))
+    counts = {"lines": sum(by_class.values()), **{c: by_class.get(c, 0) for c in ("quarantined", "rejected", "tombstoned", "matched")}, **messages.thread_freeze(selected).first().asDict()}
     cards = publish.written(review.cards(selected, F.col("created_utc") * 0 + F.xxhash64(F.lit(seed), "fullname")))
     publish.publish(cards, f"{out}/cards", identity)
     if counts["selected"]:
@@ -48,17 +90,60 @@ def discovery(spark: SparkSession, sources: DataFrame, rules: dict[str, list[lis
     return publish.publish(selected, f"{out}/selection", identity, {"scan_complete": not capped, "counts": counts})
 
 
-def build_corpus(selected: DataFrame, hydrated: DataFrame, snapshot_id: str, out: str, ledger: DataFrame | None = None, max_bytes: int = 10 << 30, max_words: int = units.MAX_WORDS, overlap: int = units.OVERLAP) -> dict:
-    """Publishes units and postings of a snapshot: selected messages with hydrated context; a budget is checked on an estimate first."""
+def hydration(spark: SparkSession, sources: DataFrame, selection: DataFrame, context_target: int, control_target: int, seed: int, out: str, ledger: DataFrame | None = None, max_records: int | None = None, **scan) -> dict:
+    """Publishes the selection's context (least digests of `seed` among messages of its threads) and controls (of seed + 1, other messages), and a report.
+
+    The archive is read once; a run that was stopped goes on where it was and ends with the rows of one undisturbed run. Of
+    messages that repeat a name the first by source and line counts. A scan that meets more than max_records lines, without
+    quarantined ones, withholds both shards: nothing is published, and the report says complete = false.
+    """
+    digest = tombstones.ledger_digest(ledger).first()["digest"] if ledger is not None else None
+    chosen = publish.written(selection.select("fullname", "thread_fullname").distinct())
+    identity = {"sources": archive.facts(spark, sources), "selection": publish.fingerprint(selection), "context": context_target, "controls": control_target, "seed": seed, "max_records": max_records, "ledger": digest}
+    run_id = publish.identity_hash(identity)
+    if done := publish.read_manifest(spark, f"{out}/context"):
+        if done["run_id"] != run_id:
+            raise ValueError(f"{out} holds another run")
+        return done
+    gone = ledger.select("message_fullname", "source_revision_id") if ledger is not None else spark.createDataFrame([], "message_fullname string, source_revision_id string")
+    kept = {"context": bounded.Kept(context_target, seed), "control": bounded.Kept(control_target, seed + 1)}
+    result = bounded.bounded_scan(spark, sources, lambda lines: _classified(lines, lambda normal: context.hydration_classes(normal, chosen, gone)), kept, f"{out}/scan-{run_id[:16]}", max_records=max_records, **scan)
+    report: dict[str, dict[str, int]] = {}
+    for r in result.counts.orderBy("source_id", "class").collect():  # at most six rows for each file
+        report.setdefault(r["source_id"], {})[r["class"]] = r["n"]
+    roles = {r["source_id"]: r["source_role"] for r in sources.collect()}
+    facts = {"complete": result.complete, "sources": report, "context_from_context_only": sum(c.get("context", 0) for s, c in report.items() if roles[s] == "context_only")}
+    if not result.complete:
+        return {"run_id": run_id, "withheld": ["context", "controls"], **facts}
+    rows = publish.written(result.state)
+    publish.publish(_messages(rows.where("class = 'control'")), f"{out}/controls", identity)
+    return publish.publish(_messages(rows.where("class = 'context'")), f"{out}/context", identity, facts)
+
+
+def build_corpus(selected: DataFrame, hydrated: DataFrame, snapshot_id: str, out: str, ledger: DataFrame | None = None, max_bytes: int = 10 << 30, max_words: int = units.MAX_WORDS, overlap: int = units.OVERLAP, chunking_version: str = "v2", recipe_version: str = "v1") -> dict:
+    """Publishes units and postings of a snapshot: selected messages, with the hydrated ones as their context; a budget is checked on an estimate first.
+
+    The identity of the run is that of all its inputs: rows of both tables, ledger, snapshot, sizes and versions. A selection without rows, or with a name twice, is an error.
+    """
     spark = selected.sparkSession
-    merged = publish.written(context.merged_messages(selected, hydrated))
-    alive = tombstones.without_tombstoned(merged, ledger) if ledger is not None else merged
-    focus = alive.join(selected.select("fullname").distinct(), "fullname", "left_semi")
+    digest = tombstones.ledger_digest(ledger).first()["digest"] if ledger is not None else None
+    identity = {"selected": publish.fingerprint(selected), "hydrated": publish.fingerprint(hydrated), "ledger": digest, "snapshot": snapshot_id, "max_bytes": max_bytes, "max_words": max_words, "overlap": overlap, "chunking": chunking_version, "recipe": recipe_version}
+    for name in ("units", "postings"):
+        if (done := publish.read_manifest(spark, f"{out}/{name}")) and done["run_id"] != publish.identity_hash(identity):
+            raise ValueError(f"{out} holds another run")
+    if done and (built := publish.read_manifest(spark, f"{out}/units")):
+        return built
+    rows, names = selected.agg(F.count("*"), F.countDistinct("fullname")).first()
+    if not rows or rows > names:
+        raise ValueError("the selection is empty" if not rows else "the selection holds a name twice")
+    living = (lambda x: tombstones.without_tombstoned(x, ledger)) if ledger is not None else (lambda x: x)
+    chosen = living(selected)
+    alive = publish.written(context.merged_messages(chosen, living(hydrated)))
+    focus = alive.join(chosen.select("fullname"), "fullname", "left_semi")
     estimate = focus.agg(F.sum(units.chunk_count(F.concat_ws("\n", "raw_title", "raw_body"), max_words, overlap))).first()[0] or 0
     if estimate * 8192 > max_bytes:
         raise ValueError(f"about {estimate} units are more than the budget of {max_bytes} bytes")
-    identity = {"snapshot": snapshot_id, "max_words": max_words, "overlap": overlap, "messages": focus.agg(F.sum(F.xxhash64("fullname", "source_revision_id").cast("decimal(38,0)")).cast("string").alias("x")).first()["x"]}
-    made = units.search_units(focus, context.ancestor_chains(alive, focus), snapshot_id, max_words=max_words, overlap=overlap)
+    made = units.search_units(focus, context.ancestor_chains(alive, focus), snapshot_id, chunking_version, recipe_version, max_words, overlap, context_from=alive)
     manifest = publish.publish(made, f"{out}/units", identity)
     stored = publish.published(spark, f"{out}/units")
     n, mean = lexical.statistics(stored)
@@ -67,16 +152,11 @@ def build_corpus(selected: DataFrame, hydrated: DataFrame, snapshot_id: str, out
 
 
 def lexical_scenarios(spark: SparkSession, corpus: str, scenarios: list[dict], per_query: int = 100, limit: int = 100) -> DataFrame:
-    """Ranked rows of each scenario's lexical queries over a published corpus, merged by best score."""
+    """Ranked rows of each scenario's lexical queries over a published corpus, merged by best score; the postings are grouped once for all of them."""
     post, facts = publish.published(spark, f"{corpus}/postings"), publish.read_manifest(spark, f"{corpus}/postings")
-    keys = ("snapshot_id", "unit_id")
-    hits = None
-    for s in scenarios:
-        for k, text in enumerate(s["lexical_queries"]):
-            scored = lexical.bm25(post, text, facts["units"], facts["mean_length"], id_cols=keys)
-            one = lexical.top_k(scored, per_query).select(F.lit(s["scenario_id"]).alias("scenario_id"), F.lit(k).alias("query_no"), "unit_id", "score", "rank")
-            hits = one if hits is None else hits.unionByName(one)
-    return lexical.scenario_merge(hits, limit)
+    stated = [(s["scenario_id"], k, text) for s in scenarios for k, text in enumerate(s["lexical_queries"])]
+    hits = lexical.search(post, stated, facts["units"], facts["mean_length"], per_query, id_cols=("snapshot_id", "unit_id"))
+    return lexical.scenario_merge(hits.drop("snapshot_id"), limit)
 
 
 @dataclass
@@ -128,9 +208,11 @@ def union_runs(runs: DataFrame) -> DataFrame:
 
 def exposure_audit(archive_records: DataFrame, corpus_units: DataFrame, exposures: DataFrame, out: str, partitioned: bool = False) -> dict:
     """Publishes matches, coverage and collisions of an archive (source_id, line, four fields). The partitioned form keeps only records that an exposure could match."""
+    identity = {"partitioned": partitioned, "archive": publish.fingerprint(archive_records), "exposures": publish.fingerprint(exposures), "corpus": publish.fingerprint(corpus_units)}
+    if (done := publish.read_manifest(archive_records.sparkSession, f"{out}/matches")) and done["run_id"] != publish.identity_hash(identity):
+        raise ValueError(f"{out} holds another run")
     resolved = publish.written(audit.resolve_exposures(exposures, corpus_units))
     seen = publish.written(audit.targeted(archive_records, resolved) if partitioned else archive_records)
-    identity = {"partitioned": partitioned, "archive": archive_records.count(), "exposures": exposures.count()}
     manifest = publish.publish(audit.match_exposures(resolved, seen), f"{out}/matches", identity)
     publish.publish(audit.coverage(seen, corpus_units.select(*audit.KEYS)), f"{out}/coverage", identity)
     publish.publish(audit.collisions(seen, corpus_units.select(*audit.KEYS), archive_only=partitioned), f"{out}/collisions", identity)
@@ -235,22 +317,32 @@ def run_operation(spark: SparkSession, outbox: DataFrame, root: str, ledger: Dat
     return publish.written(others.unionByName(done)), result | {"identity": identity, "precheck": left}
 
 
-def audit_by_source(spark: SparkSession, sources: DataFrame, records: Callable[[str], DataFrame], corpus_units: DataFrame, resolved: DataFrame, out: str) -> DataFrame:
-    """Matches (exposure_id, source_id, line) over all sources; a source that was audited before, under the same checksum and exposures, isn't read again.
+def audit_by_source(spark: SparkSession, sources: DataFrame, records: Callable[[list[str]], DataFrame], corpus_units: DataFrame, resolved: DataFrame, out: str, at_once: int = 1000) -> DataFrame:
+    """Matches (exposure_id, source_id, line) over all sources; a source that was audited before, with the same content, corpus and exposures, isn't read again.
 
-    records gives a source's identities (source_id, line, four fields). Each source's matches and records are published by themselves.
+    records gives the identities (source_id, line, four fields) of the sources that are named to it. New sources are audited
+    at_once to a job and published as one run, whose manifest says which contents it holds; a failure loses no earlier run.
     """
-    wanted = publish.fingerprint(resolved)
-    found = None
-    for r in sources.select("source_id", "expected_checksum").orderBy("source_id").collect():  # one row for each file
-        identity = {"source_id": r["source_id"], "checksum": r["expected_checksum"], "exposures": wanted, "corpus": publish.fingerprint(corpus_units)}
-        folder = f"{out}/sources/{publish.identity_hash(identity)[:16]}"
-        if publish.read_manifest(spark, folder) is None:
-            hits = audit.targeted(records(r["source_id"]), resolved).join(resolved.where("identified").select("exposure_id", *audit.KEYS), list(audit.KEYS)).select("exposure_id", "source_id", "line").distinct()
-            publish.publish(hits, folder, identity)
-        one = publish.published(spark, folder)
-        found = one if found is None else found.unionByName(one)
-    return found if found is not None else spark.createDataFrame([], "exposure_id string, source_id string, line bigint")
+    common = {"exposures": publish.fingerprint(resolved), "corpus": publish.fingerprint(corpus_units)}
+    wanted = {publish.identity_hash(common | f): f["source_id"] for f in archive.facts(spark, sources)}
+    runs = publish.listed(spark, f"{out}/runs", "run=")
+    held: dict[str, int] = {}
+    for k in runs:
+        if manifest := publish.read_manifest(spark, f"{out}/runs/run={k}"):
+            held |= {content: k for content in manifest["contents"] if content in wanted}
+    every = sorted((s, c) for c, s in wanted.items() if c not in held)
+    for first in range(0, len(every), at_once):
+        new = {c: s for s, c in every[first : first + at_once]}
+        number = max([*runs, *held.values()], default=-1) + 1
+        named = spark.createDataFrame(list(new.items()), "content string, source_id string")
+        hits = audit.targeted(records(sorted(new.values())), resolved).join(resolved.where("identified").select("exposure_id", *audit.KEYS), list(audit.KEYS)).select("exposure_id", "source_id", "line").distinct()
+        publish.publish(hits.join(F.broadcast(named), "source_id"), f"{out}/runs/run={number}", common | {"contents": sorted(new)}, {"contents": sorted(new)})  # a row for each file is broadcast
+        held |= dict.fromkeys(new, number)
+    found = spark.createDataFrame([], "exposure_id string, source_id string, line bigint")
+    for k in sorted(set(held.values())):
+        mine = spark.createDataFrame([(c,) for c, n in held.items() if n == k], "content string")
+        found = found.unionByName(publish.published(spark, f"{out}/runs/run={k}").join(F.broadcast(mine), "content", "left_semi").drop("content"))
+    return found
 
 
 def rematch(spark: SparkSession, index: str, run_id: str, resolved: DataFrame) -> DataFrame:

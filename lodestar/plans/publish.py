@@ -83,6 +83,24 @@ def publish(df: DataFrame, folder: str, identity: dict, extra: dict | None = Non
     return manifest
 
 
+def overwritten(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at path, in the place of what is there, read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def listed(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers of the folders prefix<number> within a folder, in order."""
+    fs, p = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix(prefix)) for n in names if re.fullmatch(re.escape(prefix) + r"\d+", n))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def published(spark: SparkSession, folder: str) -> DataFrame:
     if read_manifest(spark, folder) is None:
         raise ValueError(f"{folder} isn't complete")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions.text import focus_text, nul_joined, ordered_digest, seeded_rati
 from ..functions.vectors import hash_embedding
 from ..operators import audit, context, dense, fusion, labels, lexical, messages, metrics, pooling, review, similarity, state, tombstones, units
 from ..sources import archive
+from . import pipelines, publish
 from . import tables as t
 from .publish import written
 
@@ -88,17 +90,31 @@ def seeded_bernoulli(spark, sf_dir):
     return m.where(seeded_ratio(SEED, F.col("fullname"), F.lit("")) < 0.1).select("fullname")
 
 
-RULES = {"licence": [["license", "licence", "rights"], ["version", "reserved"]], "insult": [["idiot", "moron", "stupid"]], "rare": [["creative"], ["commons"]]}
+RULES = {"licence": [["license", "licence", "rights"], ["version", "reserved"]], "insult": [["idiot", "moron", "stupid"]], "rare": [["creative"], ["commons"]], "street": [["straße"], ["hausnummer", "ﬁnden"]]}
+
+
 _RULE_SQL = """ (contains(lower(raw_body), 'license') OR contains(lower(raw_body), 'licence') OR contains(lower(raw_body), 'rights')) AND (contains(lower(raw_body), 'version') OR contains(lower(raw_body), 'reserved'))"""
 _INSULT_SQL = "(contains(lower(raw_body), 'idiot') OR contains(lower(raw_body), 'moron') OR contains(lower(raw_body), 'stupid'))"
 
 
-@query(f"""SELECT fullname, concat_ws(',', CASE WHEN {_RULE_SQL} THEN 'licence' END, CASE WHEN {_INSULT_SQL} THEN 'insult' END) AS rules FROM dm WHERE ({_RULE_SQL}) OR {_INSULT_SQL}
+def _rule_sql(groups: list[list[str]]) -> str:
+    """A rule over the folded text; the terms are folded here."""
+    return " AND ".join("(" + " OR ".join(f"contains(folded, '{term.casefold()}')" for term in group) + ")" for group in groups)
+
+
+# Some texts get words whose folding isn't their lower case.
+_FOLDED_SQL = """, fo AS (SELECT fullname, replace(replace(lower(raw_body || CASE WHEN doc_id % 6 = 0 THEN ' Die Straße, HAUSNUMMER 1' WHEN doc_id % 7 = 0 THEN ' die STRASSE zu ﬁnden' WHEN doc_id % 8 = 0 THEN ' Strasse' ELSE '' END), 'ß', 'ss'), 'ﬁ', 'fi') AS folded FROM dm)
+"""
+
+
+@query(_FOLDED_SQL + "SELECT fullname, rules, 'topic_rule' AS channels FROM (SELECT fullname, concat_ws(',', " + ", ".join(f"CASE WHEN {_rule_sql(groups)} THEN '{rule}' END" for rule, groups in RULES.items()) + """) AS rules FROM fo) WHERE rules <> ''
 ORDER BY sha256('20260912' || chr(0) || fullname), fullname LIMIT 200""")
 def discovery_select(spark, sf_dir):
     """Tombstones first, then rules, then the least digests; here without tombstones."""
-    found = messages.discover(t.document_messages(spark, sf_dir), RULES)
-    return messages.top_by_hash(found, 200, SEED).select("fullname", joined("matched_rule_ids").alias("rules"))
+    n = F.col("created_utc")
+    more = F.when(n % 6 == 0, " Die Straße, HAUSNUMMER 1").when(n % 7 == 0, " die STRASSE zu ﬁnden").when(n % 8 == 0, " Strasse").otherwise("")
+    found = messages.discover(t.document_messages(spark, sf_dir).withColumn("raw_body", F.concat("raw_body", more)), RULES)
+    return messages.top_by_hash(found, 200, SEED).select("fullname", joined("matched_rule_ids").alias("rules"), joined("selection_channels").alias("channels"))
 
 
 @query("""SELECT count(*)::BIGINT AS selected, count(DISTINCT thread_fullname)::BIGINT AS threads FROM cm WHERE turn > 0""")
@@ -151,11 +167,14 @@ def hydration_classes(spark, sf_dir):
     return context.hydration_classes(*_hydration(spark, sf_dir)).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query(_CLASS_SQL + """SELECT * FROM (SELECT fullname, class FROM cls WHERE class = 'context' ORDER BY sha256('20260912' || chr(0) || fullname), fullname LIMIT 50)
-UNION ALL SELECT * FROM (SELECT fullname, class FROM cls WHERE class = 'control' ORDER BY sha256('20260913' || chr(0) || fullname), fullname LIMIT 20)""")
+@query(_CLASS_SQL + """SELECT * FROM (SELECT fullname, class, created_utc AS first_seen FROM cls WHERE class = 'context' ORDER BY sha256('20260912' || chr(0) || fullname), fullname LIMIT 50)
+UNION ALL SELECT * FROM (SELECT fullname, class, created_utc FROM cls WHERE class = 'control' ORDER BY sha256('20260913' || chr(0) || fullname), fullname LIMIT 20)""")
 def hydrate_partition(spark, sf_dir):
+    """Every second message is in the archive once more, later; the first of a name counts."""
     m, selected, gone = _hydration(spark, sf_dir)
-    return context.hydrate(m, selected, gone, 50, 20, SEED).select("fullname", "class")
+    n = F.col("created_utc")
+    again = m.where(n % 2 == 0).withColumn("created_utc", n + 10**9)
+    return context.hydrate(again.unionByName(m), selected, gone, 50, 20, SEED, [n]).select("fullname", "class", n.alias("first_seen"))
 
 
 @query("""SELECT fullname, CASE WHEN turn % 2 = 0 THEN 'context' ELSE subreddit END AS subreddit FROM cm""")
@@ -177,15 +196,16 @@ def _spans_sql(rows: str, max_words: int, overlap: int) -> str:
     """Tables of the chunks of rows (fullname, raw_body): paragraphs, packed by a walk from one to the next, and windows of long ones."""
     step, space = max_words - overlap, units.WORD.replace("[^", "[", 1).removesuffix("+")
     return f"""ln AS (SELECT fullname, line, k, k = n AS last FROM (SELECT fullname, unnest(str_split(raw_body, chr(10))) AS line, generate_subscripts(str_split(raw_body, chr(10)), 1) AS k, len(str_split(raw_body, chr(10))) AS n FROM {rows})),
-pa AS (SELECT fullname, line, a, a + len(line) + CASE WHEN last THEN 0 ELSE 1 END AS b, len(regexp_extract_all(line, '{units.WORD}')) AS n, row_number() OVER (PARTITION BY fullname ORDER BY a) AS i
+pa AS MATERIALIZED (SELECT fullname, line, a, a + len(line) + CASE WHEN last THEN 0 ELSE 1 END AS b, len(regexp_extract_all(line, '{units.WORD}')) AS n, row_number() OVER (PARTITION BY fullname ORDER BY a) AS i
   FROM (SELECT *, sum(len(line) + 1) OVER (PARTITION BY fullname ORDER BY k) - len(line) - 1 AS a FROM ln) WHERE line <> ''),
-pk AS (SELECT fullname, i, NULL::HUGEINT AS put_a, NULL::HUGEINT AS put_b, CASE WHEN n <= {max_words} THEN a END AS s, b AS e, CASE WHEN n <= {max_words} THEN n ELSE 0 END AS c FROM pa WHERE i = 1
-  UNION ALL SELECT p.fullname, p.i, CASE WHEN p.n > {max_words} OR c > 0 AND c + p.n > {max_words} THEN s END, e, CASE WHEN p.n > {max_words} THEN NULL WHEN c > 0 AND c + p.n <= {max_words} THEN s ELSE p.a END, p.b,
-    CASE WHEN p.n > {max_words} THEN 0 WHEN c > 0 AND c + p.n <= {max_words} THEN c + p.n ELSE p.n END FROM pk JOIN pa p ON p.fullname = pk.fullname AND p.i = pk.i + 1),
+pl AS MATERIALIZED (SELECT fullname, list({{'n': n, 'a': a, 'b': b}} ORDER BY a) AS ps FROM pa GROUP BY fullname),
+pk AS (SELECT fullname, 1 AS i, ps, NULL::HUGEINT AS put_a, NULL::HUGEINT AS put_b, CASE WHEN ps[1].n <= {max_words} THEN ps[1].a END AS s, ps[1].b AS e, CASE WHEN ps[1].n <= {max_words} THEN ps[1].n ELSE 0 END AS c FROM pl
+  UNION ALL SELECT fullname, i + 1, ps, CASE WHEN p.n > {max_words} OR c > 0 AND c + p.n > {max_words} THEN s END, e, CASE WHEN p.n > {max_words} THEN NULL WHEN c > 0 AND c + p.n <= {max_words} THEN s ELSE p.a END, p.b,
+    CASE WHEN p.n > {max_words} THEN 0 WHEN c > 0 AND c + p.n <= {max_words} THEN c + p.n ELSE p.n END FROM (SELECT *, ps[i + 1] AS p FROM pk WHERE i < len(ps))),
 wd AS (SELECT fullname, i, n, a, j, sum(len(m)) OVER (PARTITION BY fullname, i ORDER BY j) AS e, len(regexp_extract(m, '{units.WORD}')) AS l FROM
   (SELECT fullname, i, n, a, unnest(regexp_extract_all(line, '{space}*{units.WORD}')) AS m, generate_subscripts(regexp_extract_all(line, '{space}*{units.WORD}'), 1) - 1 AS j FROM pa WHERE n > {max_words})),
 sp AS (SELECT fullname, put_a AS focus_start, put_b AS focus_end FROM pk WHERE put_a IS NOT NULL
-  UNION ALL SELECT fullname, s, e FROM (SELECT * FROM pk QUALIFY i = max(i) OVER (PARTITION BY fullname)) WHERE s IS NOT NULL
+  UNION ALL SELECT fullname, s, e FROM pk WHERE i = len(ps) AND s IS NOT NULL
   UNION ALL SELECT f.fullname, f.a + f.e - f.l, t.a + t.e FROM wd f JOIN wd t ON t.fullname = f.fullname AND t.i = f.i AND t.j = least(f.j + {max_words}, f.n) - 1 WHERE f.j % {step} = 0 AND (f.j = 0 OR f.j - {step} + {max_words} < f.n)
   UNION ALL SELECT fullname, 0, len(raw_body) FROM {rows} WHERE replace(raw_body, chr(10), '') = '')"""
 
@@ -244,6 +264,23 @@ def search_units(spark, sf_dir):
     return _units(spark, sf_dir).select("unit_id", "message_fullname", "focus_field", "focus_start", "focus_end", "content_hash", "context_complete")
 
 
+@query(""", have AS (SELECT * FROM cm WHERE turn < 3 AND NOT (turn = 1 AND conv_id % 4 = 0) AND NOT (turn = 2 AND conv_id % 5 = 0)),
+cx AS (SELECT f.fullname, f.conv_id, list('[' || upper(a.kind) || ' ' || a.fullname || ']' || chr(10) || a.raw_body ORDER BY a.turn) FILTER (a.fullname IS NOT NULL) AS blocks, list(a.fullname ORDER BY a.turn) FILTER (a.fullname IS NOT NULL) AS refs
+  FROM cm f LEFT JOIN have a ON a.conv_id = f.conv_id AND (a.turn <> 1 OR f.conv_id % 5 <> 0) WHERE f.turn = 3 GROUP BY f.fullname, f.conv_id)
+SELECT fullname AS message_fullname, coalesce(array_to_string(refs, ','), '') AS refs, sha256(coalesce(array_to_string(blocks, chr(10) || chr(10)), '')) AS context_digest,
+  CASE WHEN conv_id % 5 = 0 THEN 't1_c' || conv_id || '_2' WHEN conv_id % 4 = 0 THEN 't1_c' || conv_id || '_1' ELSE '' END AS missing, conv_id % 4 <> 0 AND conv_id % 5 <> 0 AS context_complete FROM cx""")
+def corpus_context(spark, sf_dir):
+    """A published corpus: the third answers are selected, the messages above them are hydrated; some of those are absent, others are tombstoned."""
+    m = t.conversation_messages(spark, sf_dir)
+    turn, thread = F.col("created_utc") % 1000, F.floor(F.col("created_utc") / 1000)
+    hydrated = m.where((turn < 3) & ~((turn == 1) & (thread % 4 == 0)))
+    ledger = m.where((turn == 2) & (thread % 5 == 0)).select(F.col("fullname").alias("message_fullname"), F.lit(None).cast("string").alias("source_revision_id"), F.lit("asked").alias("reason"))
+    out = f"{publish.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    pipelines.build_corpus(m.where(turn == 3), hydrated, "s1", out, ledger, max_bytes=1 << 60, max_words=1_000_000, overlap=0)
+    u = publish.published(spark, f"{out}/units")
+    return u.select("message_fullname", joined("context_message_refs").alias("refs"), sha_hex(F.col("context_only_text")).alias("context_digest"), joined("missing_context_ids").alias("missing"), "context_complete")
+
+
 # Full text --------------------------------------------------------------------------------------------------------------------
 
 
@@ -471,17 +508,18 @@ _SCENARIO = ("scenario_id",)
 
 
 def _branches(spark, sf_dir):
-    """The rankings of all documents for each scenario: by its lexical queries, merged, and by cosine to its query point (0 and 100)."""
+    """The rankings of all documents for each scenario, one for every point whose id is divisible by 100: by its kind's lexical queries, merged, and by cosine to the point."""
     hits = lexical.scenario_merge(_hits(spark, sf_dir, _DEPTH), _DEPTH)
-    words = hits.select("scenario_id", F.col("unit_id").alias("candidate_id"), F.lit("lexical").alias("branch"), F.col("position").alias("rank"), "score")
-    stated = t.points(spark, sf_dir).where("id IN (0, 100)").select(F.when(F.col("id") == 0, "insults").otherwise("licences").alias("query_id"), F.col("vector").alias("query"))
+    kind = F.when(F.col("id") % 200 == 0, "insults").otherwise("licences")
+    stated = t.points(spark, sf_dir).where("id % 100 = 0").select(kind.alias("kind"), F.concat_ws("-", kind, "id").alias("query_id"), F.col("vector").alias("query"))
+    words = hits.join(stated, F.col("scenario_id") == F.col("kind")).select(F.col("query_id").alias("scenario_id"), F.col("unit_id").alias("candidate_id"), F.lit("lexical").alias("branch"), F.col("position").alias("rank"), "score")
     near = dense.search(stated, _document_points(spark, sf_dir), _DEPTH)
     return words.unionByName(near.select(F.col("query_id").alias("scenario_id"), F.col("id").alias("candidate_id"), F.lit("dense").alias("branch"), "rank", "score"))
 
 
-_BRANCH_SQL = _HITS_SQL.replace("rank <= 30", f"rank <= {_DEPTH}") + f""", lx AS (SELECT scenario_id, unit_id AS candidate_id, 'lexical' AS branch, row_number() OVER (PARTITION BY scenario_id ORDER BY score, unit_id) AS rank FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY scenario_id, unit_id ORDER BY score, query_no) = 1)),
-{_POINTS_SQL}, qv AS (SELECT CASE vec_id WHEN 0 THEN 'insults' ELSE 'licences' END AS scenario_id, embedding FROM embeddings WHERE vec_id IN (0, 100)),
-br AS (SELECT * FROM lx WHERE rank <= {_DEPTH} UNION ALL SELECT * FROM (SELECT scenario_id, p.id, 'dense', row_number() OVER (PARTITION BY scenario_id ORDER BY {_COSINE_SQL} DESC, p.id) AS rank FROM qv q, pv p) WHERE rank <= {_DEPTH})"""
+_BRANCH_SQL = _HITS_SQL.replace("rank <= 30", f"rank <= {_DEPTH}") + f""", qv AS (SELECT kind, kind || '-' || vec_id AS scenario_id, embedding FROM (SELECT *, CASE WHEN vec_id % 200 = 0 THEN 'insults' ELSE 'licences' END AS kind FROM embeddings WHERE vec_id % 100 = 0)),
+lx AS (SELECT qv.scenario_id, unit_id AS candidate_id, 'lexical' AS branch, rank FROM qv JOIN (SELECT scenario_id AS kind, unit_id, row_number() OVER (PARTITION BY scenario_id ORDER BY score, unit_id) AS rank FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY scenario_id, unit_id ORDER BY score, query_no) = 1)) USING (kind)),
+{_POINTS_SQL}, br AS (SELECT * FROM lx WHERE rank <= {_DEPTH} UNION ALL SELECT * FROM (SELECT scenario_id, p.id, 'dense', row_number() OVER (PARTITION BY scenario_id ORDER BY {_COSINE_SQL} DESC, p.id) AS rank FROM qv q, pv p) WHERE rank <= {_DEPTH})"""
 
 _FUSED_SQL = f"""fu AS (SELECT scenario_id, candidate_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM br GROUP BY scenario_id, candidate_id QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY s DESC, candidate_id) <= {_FUSED})"""
 
@@ -520,7 +558,7 @@ def rerank_cached(spark, sf_dir):
     texts = t.document_messages(spark, sf_dir).select(F.col("fullname").alias("candidate_id"), "raw_body")
     key = sha_hex(nul_joined("model-1", F.col("candidate_id")))
     cache = found.where("rank <= 10").select(key.alias("key"), F.lit(9.0).alias("score")).distinct()
-    c = texts.join(F.broadcast(found), "candidate_id")  # _FUSED rows a scenario
+    c = texts.join(found, "candidate_id")
     return fusion.rerank(c, fusion.overlap_score("version license the", F.col("raw_body")), _FUSED, cache, key, _SCENARIO).select("scenario_id", "candidate_id", "rerank_score", "cached", "rerank_rank")
 
 
@@ -531,7 +569,7 @@ def _variant_runs(spark, sf_dir) -> dict[str, DataFrame]:
     again = lambda x, limit: fusion.rerank(x, score, limit, partition=_SCENARIO).select("scenario_id", "candidate_id", F.col("rerank_rank").alias("rank"))
     fused = written(again(fusion.rrf(b, limit=_FUSED, partition=_SCENARIO), _FUSED))
     p = _document_points(spark, sf_dir)
-    seeds = p.join(F.broadcast(fused.where("rank <= 2").select("scenario_id", F.col("candidate_id").alias("id"))), "id").withColumn("positive", F.lit(True))
+    seeds = p.join((fused.where("rank <= 2").select("scenario_id", F.col("candidate_id").alias("id"))), "id").withColumn("positive", F.lit(True))
     centre = dense.feedback_centroids(seeds, 64).select(F.col("scenario_id").alias("query_id"), F.col("query").cast("array<float>").alias("query"))
     nearest = dense.search(written(centre), p, _FUSED).select(F.col("query_id").alias("scenario_id"), F.col("id").alias("candidate_id"), "rank")
     union = fusion.feedback_union(fused, nearest, 2 * _FUSED, _SCENARIO).select("scenario_id", "candidate_id", "rank")
@@ -692,11 +730,12 @@ def group_split(spark, sf_dir):
     return similarity.group_split(pool, g, SEED, 0.5, forced)
 
 
-@query("SELECT 'none' AS group_id, 0::BIGINT AS splits FROM dm WHERE false")
+@query(_SPLIT_SQL + """SELECT group_id, count(DISTINCT split)::BIGINT AS splits FROM (
+  SELECT group_id, CASE WHEN substr(id, 5)::BIGINT % 10 = 3 THEN 'test' WHEN root IN (SELECT root FROM fold WHERE took) THEN 'test' ELSE 'dev' END AS split FROM roots JOIN mem USING (root)) GROUP BY group_id HAVING splits > 1""")
 def split_leaks(spark, sf_dir):
-    """Groups that cross splits: there must be none."""
-    pool, g = _groups(spark, sf_dir)
-    return similarity.crossing_groups(similarity.group_split(pool, g, SEED))
+    """Groups that cross splits. A sound split has none, so every tenth message is moved to the test side first."""
+    moved = F.when(F.substring("candidate_id", 5, 20).cast("bigint") % 10 == 3, "test").otherwise(F.col("split"))
+    return similarity.crossing_groups(group_split(spark, sf_dir).withColumn("split", moved))
 
 
 @query(""", w AS (SELECT fullname AS id, regexp_extract_all(replace(lower(raw_body), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS w FROM dm UNION ALL SELECT 'b' || item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') FROM benchmark),
@@ -1073,13 +1112,13 @@ def snapshot_reconciliation(spark, sf_dir):
     return state.reconcile(u.where("n % 4 <> 0"), now, u.where("n % 5 = 0"))
 
 
-@query("""SELECT a AS kind, count(*)::BIGINT AS units, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::BIGINT AS large FROM (SELECT CASE WHEN o_orderkey IS NULL THEN 'line only' WHEN l_orderkey IS NULL THEN 'order only' ELSE 'both' END AS a, l_quantity FROM lineitem FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey) GROUP BY 1""")
+@query(""", was AS (SELECT o_orderkey AS k, o_orderstatus AS h FROM orders WHERE o_orderkey % 3 <> 0), now AS (SELECT l_orderkey AS k, max(l_linestatus) AS h FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1)
+SELECT CASE WHEN now.k IS NOT NULL AND now.k % 7 = 0 THEN 'blocked' WHEN was.k IS NULL THEN 'added' WHEN now.k IS NULL THEN 'removed' WHEN was.h IS DISTINCT FROM now.h THEN 'changed' ELSE 'same' END AS state, count(*)::BIGINT AS units, sum(coalesce(was.k, now.k))::BIGINT AS keys FROM was FULL JOIN now ON was.k = now.k GROUP BY 1""")
 def reconciliation_at_scale(spark, sf_dir):
-    """The full outer join of reconciliation over larger tables."""
-    lines = t.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
-    orders = t.read(spark, sf_dir, "orders").select("o_orderkey").where("o_orderkey % 3 <> 0")
-    kind = F.when(F.col("o_orderkey").isNull(), "line only").when(F.col("l_orderkey").isNull(), "order only").otherwise("both")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "full_outer").groupBy(kind.alias("kind")).agg(F.count("*").alias("units"), F.count_if(F.col("l_quantity") > 25).alias("large"))
+    """Reconciliation over larger tables: orders before, the orders of the lines now."""
+    was = t.read(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderstatus").alias("content_hash"))
+    now = t.read(spark, sf_dir, "lineitem").where("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("unit_id")).agg(F.max("l_linestatus").alias("content_hash"))
+    return state.reconcile(was, now, now.where("unit_id % 7 = 0")).groupBy("state").agg(F.count("*").alias("units"), F.sum("unit_id").alias("keys"))
 
 
 def _outbox(spark, sf_dir):
@@ -1141,9 +1180,9 @@ def reader_stats(spark, sf_dir):
     return archive.reader_stats(_lines(spark, sf_dir)).select("source_id", "lines_seen", "valid", "invalid", F.array_min("invalid_line_numbers").alias("first_invalid"), "bytes", "complete")
 
 
-@query("""SELECT event_type AS status, count(*)::BIGINT AS n FROM events GROUP BY 1""")
+@query("""SELECT status, count(event_id)::BIGINT AS n FROM (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS status) LEFT JOIN events ON event_type = status GROUP BY 1""")
 def job_status_counts(spark, sf_dir):
-    return t.read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return state.status_counts(t.read(spark, sf_dir, "events").select(F.col("event_type").alias("status")), statuses=("click", "error", "purchase", "refund", "signup", "view"))
 
 
 @query("""SELECT sum(strlen('{"fullname":"' || fullname || '","subreddit":"' || subreddit || '"}') + 1)::BIGINT AS bytes FROM cm""")

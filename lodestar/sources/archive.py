@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.publish import written
 from ..schemas import SOURCE
 from .sinks import write_shard
-from .units import MAX_LINE, read_units
+from .units import MAX_LINE, located, read_units
 
-#: Bytes of a file that a task may hold to work out its digest.
-WHOLE_FILE = 256 << 20
+#: Bytes of a file that are read at a time for its digest.
+BLOCK = 8 << 20
 
 
 def scan(spark: SparkSession, sources: DataFrame, unit_bytes: int | None = None) -> DataFrame:
@@ -33,6 +34,15 @@ def scan(spark: SparkSession, sources: DataFrame, unit_bytes: int | None = None)
     return told.select("source_id", "source_kind", "line_number", F.col("value").cast("string").alias("raw_line"))
 
 
+def first_lines(spark: SparkSession, sources: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """The first `most` lines by source and line number, as rows of units.SCHEMA, and whether there are more. Nothing is sorted: a line's place follows from the lines of earlier units."""
+    lines = read_units(spark, [r.asDict() for r in sources.collect()])
+    counts = written(unit_counts(lines))
+    earlier = F.sum("lines").over(Window.orderBy("source_id", "unit")) - F.col("lines")  # a row for each unit
+    kept = lines.join(counts.select("source_id", "unit", earlier.alias("__before")), ["source_id", "unit"]).where(F.col("__before") + F.col("place") < most).drop("__before")
+    return kept, (counts.agg(F.sum("lines")).first()[0] or 0) > most
+
+
 def unit_counts(lines: DataFrame) -> DataFrame:
     """(source_id, unit, lines) of rows (source_id, unit, ...): the lines of each unit."""
     return lines.groupBy("source_id", "unit").agg(F.count("*").alias("lines"))
@@ -45,12 +55,6 @@ def numbered(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.join(before, ["source_id", "unit"]).withColumn("line_number", F.col("__before") + F.col("place") + 1).drop("__before")
 
 
-def _uri(spark: SparkSession, path: str) -> str:
-    """A path as file metadata has it; local ones with one slash, of which versions write one or three."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return re.sub("^file:/+", "file:/", p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString())
-
-
 def line_problem(raw: Column, max_bytes: int = MAX_LINE) -> Column:
     """too_long, invalid_json, not_an_object or null. NaN and doubled keys aren't JSON here, which is stricter than some parsers."""
     v = F.try_parse_json(raw)
@@ -71,27 +75,43 @@ def reader_stats(marked: DataFrame) -> DataFrame:
     )
 
 
-def checksum(spark: SparkSession, path: str, block: int = 1 << 20) -> str:
-    """SHA-256 of a file's bytes, read in blocks through Hadoop's file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    digest = hashlib.sha256()
-    try:
-        while data := bytes(stream.readNBytes(block)):
-            digest.update(data)
-    finally:
-        stream.close()
-    return digest.hexdigest()
+def checksum(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file's bytes."""
+    return checksums(spark, [path])[path]
 
 
 def checksums(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """SHA-256 of files: a task reads each file of at most WHOLE_FILE bytes; longer ones go through the driver in blocks."""
+    """SHA-256 of files, a task for each; no more than a block of a file is held at a time."""
     if not paths:
         return {}
-    files = spark.read.format("binaryFile").load(sorted(set(paths)))
-    path = F.regexp_replace("path", "^file:/+", "file:/").alias("path")
-    found = {r[0]: r[1] for r in files.where(F.col("length") <= WHOLE_FILE).select(path, F.sha2("content", 256)).collect()}  # a row for each file
-    return {p: found.get(_uri(spark, p)) or checksum(spark, p) for p in paths}
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, name = located(path)
+                digest = hashlib.sha256()
+                with system.open_input_stream(name, compression=None) as f:
+                    while data := f.read(BLOCK):
+                        digest.update(data)
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "digest": pa.array([digest.hexdigest()])})
+
+    named = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+    found = named.repartition(max(1, min(len(set(paths)), 10_000)), "path").mapInArrow(digests, "path string, digest string")
+    return {r["path"]: r["digest"] for r in found.collect()}  # a row for each file
+
+
+def facts(spark: SparkSession, sources: DataFrame) -> list[dict]:
+    """What names the content of sources: their rows with the checksum of the file, or the declared one together with the file's size and time."""
+    rows = [r.asDict() for r in sources.orderBy("source_id").collect()]  # one row for each file
+    real = checksums(spark, [r["path"] for r in rows if not r.get("expected_checksum")])
+    for r in rows:
+        r["checksum"] = real.get(r["path"])
+        if r["checksum"] is None:
+            system, name = located(r["path"])
+            info = system.get_file_info(name)
+            r |= {"bytes": info.size, "modified": info.mtime_ns}
+        r.pop("status", None)
+    return rows
 
 
 def register(spark: SparkSession, declarations: list[dict], existing: DataFrame | None = None) -> DataFrame:

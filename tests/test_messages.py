@@ -63,3 +63,14 @@ def test_identities(spark):
     ratio = spark.range(1).select(seeded_ratio(20260912, F.lit("9781d34b-e9f9-5b4b-ac5e-5dbe224b0cb3"), F.lit(""))).first()[0]
     assert round(ratio, 6) == 0.896116
     assert spark.range(1).select(nul_joined(1, F.lit("a"))).first()[0] == "1\0a"
+
+
+def test_case_folding_is_the_full_one(spark):
+    from lodestar.functions.text import casefold
+
+    texts = ["", "Straße STRASSE", "ﬁnden ΟΔΟΣ ὈΔΥΣΣΕΎΣ", "İstanbul ŉ ſ K Å µ", "ꭰᎠ \U00010400 \U0001e900", "ᾳ ᾼ ᾲ ẞ ΐ", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(casefold(F.col("t"))).collect()]
+    assert got == [t if t is None else t.casefold() for t in texts]
+    letters = spark.createDataFrame([(chr(k),) for k in range(0x80, 0x1F000) if not 0xD800 <= k < 0xE000], "c string")
+    wrong = [r["c"] for r in letters.select("c", F.lower("c").alias("low"), casefold(F.col("c")).alias("f")).collect() if r["f"] != r["c"].casefold() and r["low"] == r["c"].lower()]
+    assert wrong == []  # all letters that the JVM's lower case knows

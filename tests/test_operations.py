@@ -82,24 +82,27 @@ def test_audits_resume_by_source_and_rematch_is_bound(spark, tmp_path):
     keys = "fullname string, revision string, thread string, text string"
     every = spark.createDataFrame([(f"s{k % 2}", k, f"n{k}", "r", "t", "x") for k in range(10)], f"source_id string, line bigint, {keys}")
     resolved = spark.createDataFrame([("e1", "n1", "r", "t", "x", True), ("e2", "n2", "r", "t", "x", True), ("e3", "n99", "r", "t", "x", True), ("e4", None, None, None, None, False)], f"exposure_id string, {keys}, identified boolean")
-    sources = spark.createDataFrame([("s0", "c0"), ("s1", "c1")], "source_id string, expected_checksum string")
+    for k in range(2):
+        (tmp_path / f"s{k}").write_text(f"content {k}")
+    sources = spark.createDataFrame([(f"s{k}", f"{tmp_path}/s{k}") for k in range(2)], "source_id string, path string")
     units = every.select("fullname", "revision", "thread", "text").limit(3)
     read = []
 
-    def records(source):
-        read.append(source)
+    def records(names):
+        read.extend(names)
         if len(read) == 2:
             raise RuntimeError("cut off")
-        return every.where(F.col("source_id") == source)
+        return every.where(F.col("source_id").isin(names))
 
     with pytest.raises(RuntimeError):
-        pipelines.audit_by_source(spark, sources, records, units, resolved, f"{tmp_path}/audit")
-    got = pipelines.audit_by_source(spark, sources, records, units, resolved, f"{tmp_path}/audit")
+        pipelines.audit_by_source(spark, sources, records, units, resolved, f"{tmp_path}/audit", at_once=1)
+    got = pipelines.audit_by_source(spark, sources, records, units, resolved, f"{tmp_path}/audit", at_once=1)
     assert read == ["s0", "s1", "s1"] and sorted(map(tuple, got.collect())) == [("e1", "s1", 1), ("e2", "s0", 2)]
     assert pipelines.audit_by_source(spark, sources, records, units, resolved, f"{tmp_path}/audit").count() == 2 and len(read) == 3
-    changed = sources.withColumn("expected_checksum", F.when(F.col("source_id") == "s0", "other").otherwise(F.col("expected_checksum")))
-    pipelines.audit_by_source(spark, changed, records, units, resolved, f"{tmp_path}/audit")
-    assert read[3:] == ["s0"]
+    (tmp_path / "s0").write_text("content 7")  # of equal size, and no checksum is declared
+    assert pipelines.audit_by_source(spark, sources, records, units, resolved, f"{tmp_path}/audit").count() == 2 and read[3:] == ["s0"]
+    pipelines.audit_by_source(spark, sources, records, units.limit(2), resolved, f"{tmp_path}/audit")
+    assert read[4:] == ["s0", "s1"]  # another corpus
     m = publish.publish(every, f"{tmp_path}/index", {"n": 1})
     assert {r["exposure_id"]: r["status"] for r in pipelines.rematch(spark, f"{tmp_path}/index", m["run_id"], resolved).collect()} == {"e1": "matched", "e2": "matched", "e3": "unresolved", "e4": "unresolved"}
     with pytest.raises(ValueError, match="isn't the run"):
@@ -203,12 +206,11 @@ def test_sides_alternate(spark):
     assert sorted(r["card_order"] for r in pooling.interleaved(pool, 3).collect()) == list(range(1, 9))
 
 
-def test_checksums_of_files(spark, tmp_path, monkeypatch):
+def test_checksums_of_files(spark, tmp_path):
     import hashlib
 
     for n in (1, 5000):
         (tmp_path / f"f{n}").write_bytes(b"x" * n)
-    monkeypatch.setattr(archive, "WHOLE_FILE", 100)  # the longer one goes through the driver
     paths = [str(tmp_path / "f1"), str(tmp_path / "f5000")]
     assert archive.checksums(spark, paths) == {p: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in paths} and archive.checksums(spark, []) == {}
 
