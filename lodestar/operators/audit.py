@@ -28,7 +28,12 @@ def resolve_exposures(exposures: DataFrame, corpus: DataFrame, unicode: bool = T
 
 def match_exposures(resolved: DataFrame, archive: DataFrame) -> DataFrame:
     """(exposure_id, status, archive_matches): matched where an archive record (source_id, line, four fields) has the very identity."""
-    hits = resolved.where("identified").join(archive, list(KEYS)).groupBy("exposure_id").agg(F.countDistinct("source_id", "line").alias("archive_matches"))
+    return matched(resolved, resolved.where("identified").join(archive, list(KEYS)).select("exposure_id", "source_id", "line"))
+
+
+def matched(resolved: DataFrame, found: DataFrame) -> DataFrame:
+    """(exposure_id, status, archive_matches) of all exposures, from the archive records (exposure_id, source_id, line) found for them."""
+    hits = found.groupBy("exposure_id").agg(F.countDistinct("source_id", "line").alias("archive_matches"))
     every = resolved.select("exposure_id").distinct().join(hits, "exposure_id", "left")
     return every.select("exposure_id", F.when(F.col("archive_matches").isNull(), "unresolved").otherwise("matched").alias("status"), F.coalesce("archive_matches", F.lit(0).cast("bigint")).alias("archive_matches"))
 

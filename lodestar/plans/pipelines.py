@@ -256,9 +256,10 @@ def purge(spark: SparkSession, root: str, ledger: DataFrame, snapshot_id: str, b
     deletion is staged as a new generation, and that one is put in force only if its content differs; if anything fails, the
     old one stays in force. The old generation stays as the previous one, for publish.rollback.
     """
-    old = publish.current(spark, root)
-    if old is None:
+    seen, pointer = publish.head(spark, root)
+    if pointer is None:
         raise ValueError(f"no generation is in force under {root}")
+    old = pointer["folder"]
     units = publish.published(spark, old)
     if bad := tombstones.checked_ledger(ledger).where("problem IS NOT NULL").select("problem").distinct().collect():
         raise ValueError(f"the ledger has {[r[0] for r in bad]}")
@@ -283,7 +284,7 @@ def purge(spark: SparkSession, root: str, ledger: DataFrame, snapshot_id: str, b
     result["executed"]["propagation"] = True
     changed = publish.fingerprint(publish.published(spark, staged)) != before
     if changed:
-        publish.switch(spark, root, staged)
+        publish.switch(spark, root, staged, seen)  # a generation that came meanwhile isn't overwritten
     result["executed"]["publication"] = changed
     return result | {"status": "applied", "current": staged if changed else old, "backup": backup}
 
@@ -345,6 +346,22 @@ def audit_by_source(spark: SparkSession, sources: DataFrame, records: Callable[[
     return found
 
 
+def archive_index(records: DataFrame, folder: str, identity: dict, buckets: int = 64) -> DataFrame:
+    """Publishes archive records (source_id, line, four fields) in buckets of a hash of their identity, for matches that don't move them."""
+    return publish.bucketed(records.withColumn("identity", F.xxhash64(*audit.KEYS)), folder, identity, "identity", buckets)
+
+
+def match_indexed(spark: SparkSession, folder: str, resolved: DataFrame) -> DataFrame:
+    """match_exposures on an archive_index: only the exposures move."""
+    index = publish.open_bucketed(spark, folder)
+    wanted = resolved.where("identified").withColumn("identity", F.xxhash64(*audit.KEYS)).select("exposure_id", "identity", *[F.col(k).alias(f"__{k}") for k in audit.KEYS])
+    same = F.lit(True)
+    for k in audit.KEYS:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    hits = index.join(wanted, "identity").where(same).select("exposure_id", "source_id", "line")
+    return audit.matched(resolved, hits)
+
+
 def rematch(spark: SparkSession, index: str, run_id: str, resolved: DataFrame) -> DataFrame:
     """match_exposures on a published index of archive records; an error if it isn't the run that it should be."""
     manifest = publish.read_manifest(spark, index)

@@ -116,54 +116,135 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(canonical_json([str(x) for x in df.agg(F.count("*"), *sums).first()])).hexdigest()
 
 
-def _write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Writes a file beside and renames it; one of that name goes away just before."""
-    fs, part = _fs(spark, f"{path}.tmp")
+class Conflict(ValueError):
+    """Another writer came first."""
+
+
+def _entry(root: str, number: int) -> str:
+    return f"{root}/_log/{number:010d}.json"
+
+
+def commit(spark: SparkSession, root: str, value: dict, after: int) -> int:
+    """Adds entry after + 1 to the numbered log of root; of writers that add the same number exactly one succeeds, the others get Conflict.
+
+    The entry is written beside the log and gets its name, whole, in one step that fails where the name is taken: a hard link on
+    local disks, a rename without overwriting elsewhere. Readers see an entry whole or not at all, and the log is never without its last one.
+    """
+    number, jvm = after + 1, spark.sparkContext._jvm
+    fs, target = _fs(spark, _entry(root, number))
+    part = _fs(spark, f"{root}/_log/_{uuid.uuid4().hex}.json")[1]
     out = fs.create(part, True)
     out.write(canonical_json(value))
     out.close()
-    target = _fs(spark, path)[1]
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"can't write {path}")
+    try:
+        if fs.getScheme() == "file":
+            local = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)) for p in (target, part)]
+            jvm.java.nio.file.Files.createLink(*local)
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, target, none)
+    except Exception as error:
+        if "AlreadyExists" not in str(error):
+            raise
+        raise Conflict(f"entry {number} of {root} was written by another") from None
+    finally:
+        fs.delete(part, False)
+    return number
 
 
-def _read_json(spark: SparkSession, path: str) -> dict | None:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        p = _fs(spark, f"{path}.tmp")[1]  # of a run that ended between delete and rename
-        if not fs.exists(p):
-            return None
-    stream = fs.open(p)
+def head(spark: SparkSession, root: str) -> tuple[int, dict | None]:
+    """(number, value) of the last entry of root's log; (0, None) where there is none."""
+    fs, p = _fs(spark, f"{root}/_log")
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    number = max((int(n[:10]) for n in names if re.fullmatch(r"\d{10}\.json", n)), default=0)
+    if not number:
+        return 0, None
+    stream = fs.open(_fs(spark, _entry(root, number))[1])
     try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
+        return number, json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The folder of the generation that is in force under root."""
-    found = _read_json(spark, f"{root}/current.json")
+    found = head(spark, root)[1]
     return found and found["folder"]
 
 
-def switch(spark: SparkSession, root: str, folder: str) -> dict:
-    """Puts a complete generation in force; the one before is kept as previous."""
+def switch(spark: SparkSession, root: str, folder: str, after: int | None = None) -> dict:
+    """Puts a complete generation in force; the one before is kept as previous. after: the log entry that the caller has seen; Conflict if there is a later one."""
     if read_manifest(spark, folder) is None:
         raise ValueError(f"{folder} isn't complete")
-    before = _read_json(spark, f"{root}/current.json")
+    number, before = head(spark, root)
+    if after is not None and after != number:
+        raise Conflict(f"{root} is at entry {number}, not {after}")
     now = {"folder": folder, "previous": before and before["folder"]}
-    _write_json(spark, f"{root}/current.json", now)
+    commit(spark, root, now, number)
     return now
 
 
 def rollback(spark: SparkSession, root: str) -> str:
     """Puts the previous generation in force again; an error if there is none."""
-    found = _read_json(spark, f"{root}/current.json")
+    number, found = head(spark, root)
     if not found or not found["previous"]:
         raise ValueError("there is no generation to go back to")
-    return switch(spark, root, found["previous"])["folder"]
+    return switch(spark, root, found["previous"], number)["folder"]
+
+
+def ordered_digest(df: DataFrame, order: list[str], arity: int = 4096) -> str:
+    """A digest of rows in an order that leaves no ties, for tables of any size: the same however they are partitioned.
+
+    Rows are numbered by running totals over ranges; the digests of `arity` neighbours at a time are hashed together, level by
+    level, so that no task holds more than that many digests. An empty table has the digest of the empty text.
+    """
+    from pyspark.sql import functions as F
+
+    from ..operators.ordering import numbered
+
+    line = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    level = written(numbered(df.select(*order, line.alias("digest")), order, "place").select((F.col("place") - 1).alias("place"), "digest"))
+    n = level.count()
+    while n > 1:
+        runs = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "digest"))), lambda x: x["digest"]), "")
+        level, n = written(level.groupBy(F.floor(F.col("place") / arity).alias("place")).agg(F.sha2(runs, 256).alias("digest"))), -(-n // arity)
+    found = level.first()
+    return found["digest"] if found else hashlib.sha256(b"").hexdigest()
+
+
+def bucketed(df: DataFrame, folder: str, identity: dict, key: str, buckets: int = 64) -> DataFrame:
+    """Publishes df in buckets of a key, sorted within; joins on the key then move the other side only. A finished run of the same identity is reused."""
+    spark = df.sparkSession
+    name = f"lodestar_{hashlib.sha256(folder.encode()).hexdigest()[:24]}"
+    found = read_manifest(spark, folder)
+    if found and found["run_id"] != identity_hash(identity):
+        raise ValueError(f"{folder} holds another run")
+    if not found:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, f"{folder}/table")
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", f"{folder}/table").format("parquet").saveAsTable(name)
+        fs, part = _fs(spark, f"{folder}/_manifest.json")
+        out = fs.create(part, True)
+        out.write(canonical_json({"run_id": identity_hash(identity), "identity": identity, "rows": spark.table(name).count(), "key": key, "buckets": buckets, "schema": df.schema.json()}))
+        out.close()
+        if not fs.rename(part, _fs(spark, f"{folder}/manifest.json")[1]):
+            raise OSError(f"can't publish {folder}")
+    return open_bucketed(spark, folder)
+
+
+def open_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that bucketed() published; a session that doesn't know it is told its buckets."""
+    from pyspark.sql.types import StructType
+
+    facts = read_manifest(spark, folder)
+    if facts is None or "buckets" not in facts:
+        raise ValueError(f"{folder} isn't a complete table in buckets")
+    name = f"lodestar_{hashlib.sha256(folder.encode()).hexdigest()[:24]}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(facts["schema"])).fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{facts['key']}`) SORTED BY (`{facts['key']}`) INTO {facts['buckets']} BUCKETS LOCATION '{folder}/table'")
+    return spark.table(name)
 
 
 def check_budget(df: DataFrame, limit_bytes: int, bytes_of=None) -> int:
