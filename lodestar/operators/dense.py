@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import nul_joined, sha_hex
-from ..functions.vectors import centroid, cosine, invalid_vector
+from ..functions.vectors import centroid, invalid_vector
 
 
 def check_vectors(points: DataFrame, dimension: int, vector: str = "vector") -> DataFrame:
@@ -14,28 +21,86 @@ def check_vectors(points: DataFrame, dimension: int, vector: str = "vector") ->
     return points.withColumn("problem", invalid_vector(F.col(vector), dimension))
 
 
-#: Queries that are compared with every point in one pass.
-BLOCK = 10_000
+#: Queries of a block at most, their numbers in all, and the scores that a task works out at a time.
+BLOCK, BLOCK_NUMBERS, SCORES = 10_000, 1 << 22, 1 << 22
 
 
 def search(queries: DataFrame, points: DataFrame, k: int, where: dict[str, object] | None = None) -> DataFrame:
     """(query_id, id, score, rank) of the k best points of each query (query_id, query) by cosine; ties by id. Exact.
 
-    The queries are a stated set; they are broadcast in blocks of about BLOCK, and the points are read once for each block. Tasks
-    pass on the k best of each query only. `where` filters points by equality first.
+    The queries are a stated set; blocks of at most BLOCK of them and BLOCK_NUMBERS numbers are broadcast, and the points are read
+    once for each block. A task multiplies points and queries as matrices, works out the scores of those that could be among the k
+    best again, each by itself, and passes on the k best of each query; there is no row for a pair. `where` filters points by equality
+    first. A point whose vector is null, has null in it or another dimension, or has no direction, has no score and no rank; queries must have one.
     """
     for key, value in (where or {}).items():
         points = points.where(F.col(key) == F.lit(value))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
+    spark = queries.sparkSession
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", points.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    size = queries.agg(F.max(F.size("query")).alias("d"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-size["n"] // BLOCK), -(-size["n"] * (size["d"] or 0) // BLOCK_NUMBERS))
+    found = spark.createDataFrame([], schema)
     for n in range(blocks):
-        mine = queries.select("query_id", "query").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        pairs = points.select("id", "vector").join(F.broadcast(mine), F.lit(True))
-        scored = pairs.select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("score"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found
+        mine = [(r["query_id"], r["query"]) for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "query").collect()]  # bounded as above
+        if mine:
+            found = found.unionByName(_best(spark, mine, points.select("id", "vector"), k, schema))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(spark: SparkSession, queries: list[tuple], points: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """(query_id, id, score): of each task's points the k best of each query."""
+    sent = spark.sparkContext.broadcast((pa.array([q for q, _ in queries], to_arrow_type(schema["query_id"].dataType)), np.array([v for _, v in queries], np.float64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        length = np.sqrt((q * q).sum(axis=1))
+        if not (length > 0).all():
+            raise ValueError("a query has no direction")
+        unit = np.ascontiguousarray((q / length[:, None]).T)
+        least = np.full(len(q), -np.inf)  # the k-th best score so far
+        pool: list[pa.Table] = []
+        held = 0
+
+        def settle() -> None:
+            """Keeps the k best of each query."""
+            nonlocal pool, held
+            every = pa.concat_tables(pool)
+            every = every.take(pc.sort_indices(every, [("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+            of = every["q"].to_numpy()
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            last = np.flatnonzero(place == k - 1)
+            least[of[last]] = every["score"].to_numpy()[last]
+            kept = every.take(pa.array(np.flatnonzero(place < k)))
+            pool, held = [kept], 0
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, SCORES // max(len(q), q.shape[1]))):
+                part = batch.slice(at, max(1, SCORES // max(len(q), q.shape[1])))
+                vectors = part.column(1)
+                whole = np.flatnonzero(pc.equal(pc.list_value_length(vectors), q.shape[1]).fill_null(False).to_numpy(zero_copy_only=False))
+                p = vectors.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), q.shape[1])
+                norm = np.sqrt((p * p).sum(axis=1))
+                good = norm > 0  # a null in a vector is NaN here
+                p, norm, ids = p[good], norm[good], part.column(0).take(pa.array(whole[good]))
+                if not len(p):
+                    continue
+                near = (p @ unit) / norm[:, None]
+                bound = np.maximum(least, np.partition(near, len(p) - k, axis=0)[len(p) - k] if len(p) > k else -np.inf) - 1e-9
+                i, j = np.nonzero(near >= bound)
+                for first in range(0, len(i), step := max(1, SCORES // q.shape[1])):
+                    a, b = i[first : first + step], j[first : first + step]
+                    score = (p[a] * q[b]).sum(axis=1) / (norm[a] * length[b])  # the same for equal vectors, wherever they stand
+                    pool.append(pa.table({"q": pa.array(b, pa.int64()), "id": ids.take(pa.array(a)), "score": pa.array(score)}))
+                    held += len(a)
+                if held > max(SCORES, 4 * k * len(q)):
+                    settle()
+        if pool:
+            settle()
+            for part in pool[0].to_batches():
+                yield pa.RecordBatch.from_arrays([names.take(part.column(0)), part.column(1), part.column(2)], names=schema.names)
+
+    return points.mapInArrow(run, schema)
 
 
 def feedback_centroids(seeds: DataFrame, dimension: int, most: int = 5) -> DataFrame:

@@ -92,3 +92,25 @@ def test_rankings_are_kept_apart_by_partition(spark):
     new = spark.createDataFrame([("q", "b", 1), ("q", "a", 2)], "scenario_id string, candidate_id string, rank int")
     union = fusion.feedback_union(c, new, 5, ("scenario_id",))
     assert {tuple(r) for r in union.select("scenario_id", "candidate_id", "rank", "origin").collect()} == {("p", "a", 1, "original"), ("p", "b", 2, "original"), ("q", "a", 1, "already_seen"), ("q", "b", 2, "new")}
+
+
+def test_blocked_search_is_exact(spark, monkeypatch):
+    """Against a plain sort, with ties, points without a score, several blocks and small steps."""
+    import numpy as np
+
+    g = np.random.default_rng(3)
+    vectors = g.integers(-2, 3, (300, 6)).astype(np.float32)
+    rows = [(f"p{k:03d}", vectors[k].tolist()) for k in range(300)] + [("null", None), ("short", [1.0]), ("hole", [1.0, None, 1.0, 1.0, 1.0, 1.0]), ("zero", [0.0] * 6)]
+    queries = [(k, g.integers(1, 3, 6).astype(np.float32).tolist()) for k in range(9)]
+    p, q = spark.createDataFrame(rows, "id string, vector array<float>").repartition(5), spark.createDataFrame(queries, "query_id long, query array<float>")
+    want = []
+    for name, x in queries:
+        scored = sorted((-round(float(np.dot(np.float64(x), np.float64(v)) / np.linalg.norm(np.float64(x)) / np.linalg.norm(np.float64(v))), 12), i) for i, v in rows[:300] if any(v))
+        want += [(name, i, -s, rank) for rank, (s, i) in enumerate(scored[:7], 1)]
+    for block, scores in ((10_000, 1 << 22), (2, 64)):
+        monkeypatch.setattr(dense, "BLOCK", block)
+        monkeypatch.setattr(dense, "SCORES", scores)
+        got = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 12)) for r in dense.search(q, p, 7).collect())
+        assert got == sorted((n, rank, i, s) for n, i, s, rank in want)
+    assert dense.search(q, p.limit(0), 3).count() == 0 == dense.search(q.limit(0), p, 3).count()
+    assert "Join" not in dense.search(q, p, 7)._jdf.queryExecution().executedPlan().toString()
