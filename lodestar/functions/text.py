@@ -98,9 +98,13 @@ def fold(c: Column, unicode: bool = True) -> Column:
 
 
 def shingles(words: Column, n: int) -> Column:
-    """Different hashes of the runs of n words; empty if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    """Different hashes of the runs of n words, in order; empty if there are fewer. Each word is hashed once."""
+
+    def runs(h: Column) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - n + 1, F.lit(0))), lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+
+    hashed = F.array(F.transform(words, lambda w: F.xxhash64(w)))  # an array of one array: so the hashes are a variable below
+    return F.array_sort(F.array_distinct(F.transform(hashed, runs)[0]))
 
 
 def ordered_digest(rows: Column, *order: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, sha_hex, shingles, stable_rank, word_tokens
-from ..plans.publish import written
+from ..plans.publish import spread, written
 from .graph import components
 from .ordering import running_total
 
@@ -15,10 +15,11 @@ SHINGLE, JACCARD = 5, 0.9
 
 
 def shingled(texts: DataFrame, id_col: str = "candidate_id", text_col: str = "text", unicode: bool = True) -> DataFrame:
-    """(id, joined, shingles, n) of the texts with at least SHINGLE words."""
-    words = texts.select(F.col(id_col).alias("id"), word_tokens(fold(F.col(text_col), unicode)).alias("w")).where(F.size("w") >= SHINGLE)
-    s = words.select("id", sha_hex(F.array_join("w", " ")).alias("joined"), shingles(F.col("w"), SHINGLE).alias("shingles"))
-    return s.withColumn("n", F.size("shingles"))
+    """(id, joined, shingles, n) of the texts with at least SHINGLE words; shingles are sorted."""
+    rows = spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    words = rows.select("id", word_tokens(fold(F.col("text"), unicode)).alias("w"))
+    s = words.select("id", F.size("w").alias("words"), sha_hex(F.array_join("w", " ")).alias("joined"), shingles(F.col("w"), SHINGLE).alias("shingles"))
+    return s.where(F.col("words") >= SHINGLE).select("id", "joined", "shingles", F.size("shingles").alias("n"))
 
 
 def exact_pairs(s: DataFrame) -> DataFrame:
@@ -27,38 +28,105 @@ def exact_pairs(s: DataFrame) -> DataFrame:
     return s.join(first, "joined").where("id <> a").select("a", F.col("id").alias("b"))
 
 
-def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float = JACCARD, same: bool = False) -> DataFrame:
-    """(a, b, jaccard) of the pairs of shingle sets (id, shingles, n) at the threshold or more; exact.
+#: Pairs of a common shingle for each row of the prefixes, beyond which common shingles go to the end of the order; lists that count as common; rounds of it.
+PAIRS_EACH, COMMON, ROUNDS = 20, 64, 3
+
+
+def _met(prefixes: list[DataFrame]) -> tuple[int, int]:
+    """(pairs that the lists of equal shingles make, rows) of prefixes (id, n, s)."""
+    every = prefixes[0] if len(prefixes) == 1 else prefixes[0].unionByName(prefixes[1])
+    found = every.groupBy("s").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
+    return found["pairs"] or 0, found["rows"] or 0
 
-    Sets at a similarity t share an element among the first n - ceil(t n) + 1 of each in any common order; the order here is
-    rarest first, so that common shingles hardly ever stand in a prefix. Sizes must lie within a factor t.
-    """
-    frequency = written(left.select(F.explode("shingles").alias("s")).union(right.select(F.explode("shingles").alias("s"))).groupBy("s").agg(F.count("*").alias("f")))
 
-    def prefixes(x: DataFrame, name: str) -> DataFrame:
-        ranked = x.select("id", "n", F.explode("shingles").alias("s")).join(frequency, "s")
-        kept = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-        w = Window.partitionBy("id").orderBy("f", "s")
-        return ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= kept).select("s", F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
+def prefixes(sides: list[DataFrame], threshold: float = JACCARD) -> list[DataFrame]:
+    """(id, n, s): of each set (id, shingles, n) of each side the first n - ceil(t n) + 1 shingles in an order that all sets share.
 
-    a, b = prefixes(left, "a"), prefixes(right, "b")
-    sized = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = a.join(b, "s").where(sized & (F.col("a") < F.col("b")) if same else sized).select("a", "b").distinct()
+    Sets at a similarity t have one of these in common, whatever the order. It is that of the hashes, which needs no count and no
+    shuffle. Only where lists of equal shingles would make many pairs, the common ones are put at the end of the order, and
+    the sets that had one in their prefix are looked at again; so sets without common shingles are never spread out.
+    """
+    kept = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
+    found = [written(x.select("id", "n", F.explode(F.slice("shingles", 1, kept)).alias("s"))) for x in sides]
+    common = None
+    for _ in range(ROUNDS):
+        pairs, rows = _met(found)
+        if pairs <= PAIRS_EACH * rows:
+            break
+        every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        new = every.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") > COMMON).select("s")
+        new = written(new if common is None else new.join(common, "s", "left_anti"))
+        if new.isEmpty():
+            break
+        common = new if common is None else written(common.union(new))
+        for k, x in enumerate(sides):
+            again = written(found[k].join(new, "s", "left_semi").select("id").distinct())
+            spread_out = x.join(again, "id", "left_semi").select("id", "n", F.explode("shingles").alias("s")).join(common.withColumn("last", F.lit(True)), "s", "left")
+            ordered = spread_out.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(False)).alias("last"), "s"))).alias("all"))  # a set's own shingles
+            redone = ordered.select("id", "n", F.explode(F.slice("all", 1, kept)).alias("x")).select("id", "n", F.col("x.s").alias("s"))
+            found[k] = written(found[k].join(again, "id", "left_anti").unionByName(redone))
+    return found
+
+
+def _sized(threshold: float) -> Column:
+    """Whether the sizes of sets a and b allow the threshold."""
+    return (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
+
+
+def _side(x: DataFrame, name: str) -> DataFrame:
+    return x.select("s", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(c).alias(f"{c}_{name}") for c in x.columns if c not in ("s", "id", "n")])
+
+
+def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs whose sets are similar enough."""
     sets = lambda x, name: x.select(F.col("id").alias(name), F.col("shingles").alias(f"s_{name}"))
     both = pairs.join(sets(left, "a"), "a").join(sets(right, "b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.select("a", "b", (common / (F.size("s_a") + F.size("s_b") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float = JACCARD, same: bool = False) -> DataFrame:
+    """(a, b, jaccard) of the pairs of shingle sets (id, shingles, n) at the threshold or more; exact. same: left and right are one table, and a < b."""
+    found = prefixes([left] if same else [left, right], threshold)
+    pairs = _side(found[0], "a").join(_side(found[-1], "b"), "s").where(_sized(threshold) & (F.col("a") < F.col("b")) if same else _sized(threshold))
+    return _verified(pairs.select("a", "b").distinct(), left, right, threshold)
+
+
+def _first_texts(s: DataFrame) -> DataFrame:
+    """(id, shingles, n) of the first text of each exact group."""
+    return s.groupBy("joined").agg(F.min_by(F.struct("id", "shingles", "n"), "id").alias("m")).select("m.*")
+
+
 def near_pairs(s: DataFrame, threshold: float = JACCARD) -> DataFrame:
     """(a, b, jaccard) between the first texts of the exact groups; copies follow by exact_pairs."""
-    first = s.groupBy("joined").agg(F.min_by(F.struct("id", "shingles", "n"), "id").alias("m")).select("m.*")
+    first = written(_first_texts(s))
     return prefix_pairs(first, first, threshold, same=True)
 
 
+def near_links(s: DataFrame, threshold: float = JACCARD) -> DataFrame:
+    """(a, b): verified links that connect what all of near_pairs connect, about as many as there are members.
+
+    Where lists of equal shingles are long, each member is compared with the least of its lists first. What that links is one
+    component, and only members of different components are compared with each other then.
+    """
+    first = written(_first_texts(s))
+    (found,) = prefixes([first], threshold)
+    pairs, rows = _met([found])
+    if pairs <= PAIRS_EACH * rows:
+        near = _side(found, "a").join(_side(found, "b"), "s").where(_sized(threshold) & (F.col("a") < F.col("b")))
+        return _verified(near.select("a", "b").distinct(), first, first, threshold).select("a", "b")
+    least = found.groupBy("s").agg(F.min(F.struct("id", "n")).alias("m")).select("s", F.col("m.id").alias("a"), F.col("m.n").alias("n_a"))
+    stars = least.join(_side(found, "b"), "s").where(_sized(threshold) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    links = written(_verified(stars, first, first, threshold).select("a", "b"))
+    roots = written(components(first.select(F.col("id").alias("node")), links).select(F.col("node").alias("id"), "root"))
+    told = written(found.join(roots, "id"))
+    across = _side(told, "a").join(_side(told, "b"), "s").where(_sized(threshold) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
+    return links.union(_verified(across.select("a", "b").distinct(), first, first, threshold).select("a", "b"))
+
+
 def duplicate_edges(texts: DataFrame, id_col: str = "candidate_id", text_col: str = "text", unicode: bool = True) -> DataFrame:
     s = written(shingled(texts, id_col, text_col, unicode))
-    return exact_pairs(s).withColumn("relation", F.lit("exact_text")).union(near_pairs(s).select("a", "b", F.lit("near_duplicate")))
+    return exact_pairs(s).withColumn("relation", F.lit("exact_text")).union(near_links(s).select("a", "b", F.lit("near_duplicate")))
 
 
 def shared_shingle_edges(texts: DataFrame, id_col: str = "candidate_id", text_col: str = "text", unicode: bool = True) -> DataFrame:

@@ -72,3 +72,38 @@ def test_metrics_golden(spark):
     assert m["precision_judged"] == pytest.approx(2 / 3) and m["precision_returned"] is None and m["precision_slots"] is None
     with pytest.raises(Exception, match="contradicting"):
         metrics.judgements(labels.unionByName(labels.limit(1).selectExpr("'c2' AS candidate_id", "'no' AS topic_fit", "evaluator_kind", "scenario_id", "evaluator_version")), pool).collect()
+
+
+@pytest.mark.parametrize("each", [20, 0])
+def test_pairs_and_links_against_all_pairs(spark, monkeypatch, each):
+    """Near copies in clusters and a common passage: the pairs are those of a plain comparison, and links connect the same texts with fewer of them."""
+    monkeypatch.setattr(similarity, "PAIRS_EACH", each)
+    monkeypatch.setattr(similarity, "COMMON", 3)
+    r = random.Random(each)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    common = [word() for _ in range(30)]
+    texts = {}
+    for c in range(6):
+        base = [word() for _ in range(300)]
+        for k in range(8):
+            w = [*base, *common]
+            w[r.randrange(300)] = word()
+            texts[f"c{c}_{k}"] = " ".join(w)
+    for k in range(30):
+        texts[f"x{k:02d}"] = " ".join([word() for _ in range(r.randint(20, 80))] + common)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.9}
+    s = similarity.written(similarity.shingled(spark.createDataFrame(list(texts.items()), "candidate_id string, text string")))
+    assert {(x["a"], x["b"]) for x in similarity.near_pairs(s).collect()} == want and len(want) > 100
+    links = {(x["a"], x["b"]) for x in similarity.near_links(s).collect()}
+
+    def groups(edges):
+        root = {i: i for i in texts}
+        for _ in texts:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert links <= want and groups(links) == groups(want) and (each or len(links) < len(want) / 2)
+    p, d = s.where("id LIKE 'c0%'"), s.where("id LIKE 'c%' AND id NOT LIKE '%_0'")
+    assert {(x["a"], x["b"]) for x in similarity.prefix_pairs(p, d).collect()} == {(a, b) for a, b in want | {(b, a) for a, b in want} | {(a, a) for a in texts} if a.startswith("c0") and b.startswith("c") and not b.endswith("_0")}
