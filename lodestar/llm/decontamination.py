@@ -13,7 +13,7 @@ counts as leaked if tiles cover at least `coverage` of its words, in whatever or
 
 Items with fewer than MATCH words (null and empty ones too) have no seed and never leak; documents with null or empty texts
 never hold any. Repeated documents and items give a row for each pair of ids once; where an id repeats with different texts,
-each pair of texts is judged by itself and the largest values are reported. Rows with a null id are not reported. Very long
+each pair of texts is judged by itself and the largest values are reported. Rows with a null id are not reported. Further columns, whatever their names, are not looked at. Very long
 texts are worked on whole; only the runs that they share with an item count towards the work on a pair.
 """
 

@@ -7,7 +7,8 @@ made deterministic while texts are read. Words are runs of ASCII letters and dig
 lower-cased. A match is the longest one from its start, and the next one of that template starts after its end.
 
 Null and empty texts have no word and no match. Repeated rows are scanned one by one. Columns besides the id and the text
-are not looked at. A row with a null id keeps that null id.
+are not looked at, whatever their names. A row with a null id keeps that null id. Very long texts are scanned whole. Of matches of a
+template that begin at one word the longest counts, so none tie; templates don't hinder each other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,10 +32,15 @@ _GRANT = "<<beginOptional>>this <<var;words=1..1;match=work|software|file|progra
 #: Labels and their templates. A label may have several.
 TEMPLATES = [
     ("apache-2.0", f"{_GRANT} the apache license <<beginOptional>>version<<endOptional>> 2 0"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license <<beginOptional>>you may obtain a copy of the license at <<var;words=0..8;match=[a-z0-9]+>><<endOptional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<var;words=0..1;match=1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<var;words=0..1;match=2>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<var;words=0..1;match=3>> neither the name of <<var;words=1..12;match=[^ ]+>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>>"),
     ("cc-by-family", f"{_GRANT} <<beginOptional>>a creative commons attribution<<endOptional>> cc by <<var;words=0..2;match=nc|nd|sa>> <<var;words=1..1;match=[1-4]>> <<var;words=1..1;match=[05]>> <<beginOptional>>international<<endOptional>>"),
     ("gpl-notice", f"{_GRANT} the gnu <<beginOptional>>lesser<<endOptional>> general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;words=1..1;match=[1-3]>> <<beginOptional>>or at your option any later version<<endOptional>>"),
+    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu <<beginOptional>><<var;words=1..1;match=lesser|affero>><<endOptional>> general public license as published by the free software foundation either version <<var;words=1..1;match=[1-3]>> of the license or at your option any later version"),
+    ("isc", "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("mit", f"{_GRANT} the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 <<beginOptional>>if a copy of the mpl was not distributed with this file you can obtain one at <<var;words=0..6;match=[a-z0-9]+>><<endOptional>>"),
     ("proprietary", "<<beginOptional>>copyright <<beginOptional>>c<<endOptional>> <<var;words=1..1;match=[0-9]{4}>> <<var;words=0..6;match=[a-z]+>><<endOptional>> all rights reserved"),
 ]
 

@@ -7,7 +7,7 @@ the first occurrence of each slice is streamed out with the slice's number of do
 a hash, settle which document keeps the line. The result is a bitmap of the lines to keep for each document that loses any, as runs
 of kept lines; texts are not part of it.
 
-Documents without a bitmap keep all lines. Null and empty texts are one empty line. Rows with a null id are neither counted
+Documents without a bitmap keep all lines. Very long texts, and very many lines, are worked on whole. Null and empty texts are one empty line. Rows with a null id are neither counted
 nor cut. Rows of the same id count as one document and keep or lose a line together. Columns besides the id and the text
 are not looked at.
 """

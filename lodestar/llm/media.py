@@ -8,7 +8,7 @@ streamed in order of row and sequence, concatenated and checked against the dige
 to are counted first and get salts, so that their references are dealt to several tasks.
 
 In transit, chunks are compressed with zstandard and a small dictionary made from a bounded sample of chunks; the dictionary
-changes no result. Null and empty texts give a payload of 192 spaces. Repeated rows give a row each. A null id stays null.
+changes no result. Null and empty texts give a payload of 192 spaces. Very long texts are cut and stored whole. Repeated rows, and texts that tie, give a row each. A null id stays null.
 Columns besides the id and the text are not looked at.
 """
 

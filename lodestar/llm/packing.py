@@ -7,7 +7,8 @@ more patterns after each bin. The patterns' slots become ranges of ranks within
 its rank, which is worked out with salted windows so that a common length isn't ranked by one task.
 
 A null text is the empty one, which is a single end token. A null id stays null; rows that repeat are packed each. An empty
-table gives an empty result. Columns besides the id and the text are not looked at.
+table gives an empty result. Very long texts are cut into pieces. Pieces of equal length tie;
+they are ranked by salt and then by document and start. Columns besides the id and the text are not looked at.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ bytes; such a list has at most 65,536 different fingerprints, and there each fin
 one or two bits through a table of the 16 free bits, so that the work is linear and no pair is left out. Only a spanning
 forest of each of those lists is passed on.
 
-Texts: A-Z lower-cased, words are runs of other bytes than ASCII white space. Null and empty texts have fingerprint 0 and
+Texts: A-Z lower-cased, words are runs of other bytes than ASCII white space. Very long texts are taken whole. Null and empty texts have fingerprint 0 and
 are linked with all others that have it. Equal fingerprints are one node, so repeated rows and ties cost one posting. A row
 with a null id gets a fingerprint and its group's smallest id, but never names a group; component_id is null where a group
 has no id at all.

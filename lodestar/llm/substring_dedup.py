@@ -16,7 +16,7 @@ Routes with more than ROUTE different segments are cut finer, by the three least
 stays small however common a passage is. What is then still too common is dealt by the windows themselves, and there, as all
 of a route's windows are equal, the smallest id needs no index.
 
-Words are runs of bytes other than ASCII white space, unchanged. Null and empty texts have no words. Texts of fewer than
+Words are runs of bytes other than ASCII white space, unchanged. Null and empty texts have no words; very long ones are worked on whole. Texts of fewer than
 `size` words lose nothing. Rows with a null id neither lose words nor make others lose any; rows of the same id don't count as
 earlier for each other. Words are compared by 64-bit hashes. Matches end where segments end, so a long repeated passage is
 reported in overlapping pieces.

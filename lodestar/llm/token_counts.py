@@ -16,7 +16,8 @@ the compositions applied to the state before the piece give all chunks' states (
 turns out to lack is added to it, and the scan done again. Heads are read last, all at once.
 
 Null and empty texts have no tokens. Special tokens' strings in a text count as one token each, and the text between them is
-counted by itself, as the library does. A null id stays null; repeated rows are counted one by one.
+counted by itself, as the library does. A null id stays null; repeated rows, and so texts that tie, are counted one by one.
+Very long texts are counted whole. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

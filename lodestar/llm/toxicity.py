@@ -6,14 +6,15 @@ training sample shows to be tied to the label most (at most `LEXICON` entries th
 chain predicts abusive, severe and toxic in this order. Each model is a logistic regression over the presence of the chosen
 features and the probabilities of the categories before it; for training, those are out-of-fold predictions, so that a later
 model sees them as uncertain as they will be for new documents. A fold's predictions come from the other folds alone: they
-choose the features, they make the lexicon and with it the derived categories, and they fit the models. Folds are dealt by a
-hash of the id. The penalty is the one of PENALTIES whose out-of-fold predictions of toxic have the least log loss.
+choose the features, they make the lexicon and with it the derived categories, and they fit the models. One thing isn't nested:
+the earlier probabilities of the rows that fit a fold's later model come from models that saw that fold. Folds are dealt by a hash of the id. The penalty is the one of PENALTIES whose out-of-fold predictions of toxic have the least log loss.
 
 Features are chosen, and the models fitted, on a bounded sample of labelled rows: the SAMPLE ids of the smallest hashes.
 An id with several labels counts as toxic if one of them says so; of an id with several texts the one of least hash is taken.
 Every document is scored over its whole text, however long. Null and empty texts have no features and get the models' base
 rates. Null labels, and labels without a document, are not used; without both kinds of label every probability is the share
-of label 1. Ties among features go by their bytes. Repeated rows are scored one by one; a null id stays null.
+of label 1. Ties among features go by their bytes. Repeated rows are scored one by one; a null id stays null. Further columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -184,11 +185,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
     def indexed(batch: pa.RecordBatch) -> dict:
         found = [sorted(union[f] for f in present(x) if f in union) for x in utf8(batch.column(3))]
-        return {"doc_id": batch.column(0), "y": batch.column(1), "fold": batch.column(2), "at": pa.array(found, pa.list_(pa.int32()))}
+        return {"doc_id": batch.column(0), "y": batch.column(1), "fold": batch.column(2), "at": pa.array([np.array(x, "<i4").tobytes() for x in found], pa.binary())}
 
-    rows = map_rows(sample, indexed, "doc_id long, y int, fold int, at array<int>").orderBy("doc_id").collect()  # at most SAMPLE rows, with indices of chosen features
+    rows = map_rows(sample, indexed, "doc_id long, y int, fold int, at binary").orderBy("doc_id").collect()  # at most SAMPLE rows, with four bytes for each chosen feature that they have
     y, folds = np.array([r["y"] for r in rows]), np.array([r["fold"] for r in rows])
-    every_at, every_row = _rows_of([r["at"] for r in rows])
+    every_at, every_row = _rows_of([np.frombuffer(bytes(r["at"]), "<i4").tolist() for r in rows])
 
     def view(fold: int | None) -> View:
         own = {bytes(r["f"]): k for k, r in enumerate(best[fold])}

@@ -53,3 +53,23 @@ def test_templates_without_plain_mandatory_words(spark):
 
 def test_empty_table(empty):
     assert ls.scan_licenses(empty).collect() == []
+
+
+def test_published_headers(spark):
+    """Headers as they stand in source files, with comment signs and line breaks."""
+    texts = {
+        "apache-2.0": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n * 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n * 3. Neither the name of the Académie nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    changed = {k: t.replace("permitted", "allowed").replace("compliance", "accordance").replace("redistribute", "spread").replace("without fee", "without a fee").replace("Mozilla", "other") for k, t in texts.items()}
+    rows = [(k, t) for k, t in enumerate([*texts.values(), *changed.values()])]
+    got = {r["doc_id"]: r for r in ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in enumerate(texts):
+        mine = [m for m in got[k]["matches"] if m["label"] == label]
+        assert mine and max(m["end"] - m["start"] for m in mine) >= got[k]["n_words"] - 3
+        assert all(m["end"] - m["start"] < 25 for m in got[k + len(texts)]["matches"])
+    a = {label: ls.TokenAutomaton(label, markup) for label, markup in ls.TEMPLATES}
+    assert all(re.search(" " + a[x].regex(), " " + " ".join(words(texts[x])) + " ") for x in ("bsd", "isc", "mpl-2.0"))
