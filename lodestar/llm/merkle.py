@@ -30,7 +30,7 @@ ARITY_BITS = 3
 ARITY = 1 << ARITY_BITS
 
 #: Leaves of a piece, about, at most and at least, and pieces that a step of the reduction merges.
-PIECE, SMALL, FAN = 1 << 18, 512, 16
+PIECE, SMALL, FAN = 1 << 16, 512, 16
 
 #: The fields of a document's leaf, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

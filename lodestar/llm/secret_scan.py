@@ -54,6 +54,9 @@ WIDE = len(LETTERS)
 #: Letters of a token, and of a word that counts as ordinary writing, at least.
 LEAST, WORD = 20, 4
 
+#: Bytes in which letters are counted at a time.
+STEP = 1 << 20
+
 #: Level of the screens against a uniform source; share of false discoveries.
 SCREEN, RATE = 0.001, 0.01
 
@@ -182,10 +185,13 @@ def _scan(batch: pa.RecordBatch) -> tuple[list, list, np.ndarray]:
     mark = np.zeros(len(b) + 1, np.int8)
     mark[first[ordinary]] += 1
     mark[end[ordinary]] -= 1
-    at = np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int8))
-    letters = np.bincount(code[at], minlength=WIDE)
-    nearby = at[np.concatenate((np.diff(at) == 1, [False]))] if len(at) else at
-    pairs = np.bincount(code[nearby].astype(np.int64) * WIDE + code[nearby + 1], minlength=WIDE * WIDE)
+    word = np.cumsum(mark, dtype=np.int8).astype(bool)
+    letters, pairs = np.zeros(WIDE, np.int64), np.zeros(WIDE * WIDE, np.int64)
+    for s in range(0, len(b), STEP):  # so that a very long text doesn't take eight bytes for each of its own
+        own, after, c = word[s : s + STEP][: len(b) - s], word[s + 1 : s + 1 + STEP], code[s : s + STEP + 1]
+        letters += np.bincount(c[: len(own)][own], minlength=WIDE)
+        both = np.flatnonzero(own & after[: len(own)])
+        pairs += np.bincount(c[both].astype(np.int64) * WIDE + c[both + 1], minlength=WIDE * WIDE)
     starts = np.cumsum([0] + [len(r) + 1 for r in rows])
     long = length >= 16
     first, end = first[long], end[long]

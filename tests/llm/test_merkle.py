@@ -53,7 +53,7 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("pieces,fan", [(1 << 18, 16), (6, 2)])
+@pytest.mark.parametrize("pieces,fan", [(1 << 16, 16), (6, 2)])
 def test_manifest_equals_the_plain_tree(spark, docs, monkeypatch, pieces, fan):
     monkeypatch.setattr(m, "PIECE", pieces)
     monkeypatch.setattr(m, "FAN", fan)

@@ -102,5 +102,21 @@ def test_encodings_and_discoveries():
     assert s.least_bin({0: 5}) is None and s.least_bin({}) is None
 
 
+@pytest.mark.parametrize("step", [1 << 20, 7])
+def test_ordinary_words_are_counted_plainly(monkeypatch, step):
+    import pyarrow as pa
+
+    monkeypatch.setattr(s, "STEP", step)
+    texts = ["Some wordy text, ab abc\nabcd " + "x" * 19 + " " + "y" * 20, "", "é abcdé tail", "no-more_words"]
+    words = [w for t in texts for w in re.findall(r"[A-Za-z0-9+/_-]+", t) if 4 <= len(w) < 20]
+    counts = s._scan(pa.RecordBatch.from_pydict({"id": pa.array(range(4)), "text": pa.array(texts)}))[2]
+    plain_letters, plain_pairs = np.zeros(s.WIDE, int), np.zeros((s.WIDE, s.WIDE), int)
+    for w in words:
+        c = [s.LETTERS.index(x) for x in w]
+        np.add.at(plain_letters, c, 1)
+        np.add.at(plain_pairs, (c[:-1], c[1:]), 1)
+    assert (counts == np.concatenate((plain_letters, plain_pairs.ravel()))).all()
+
+
 def test_empty_table(empty):
     assert s.scan_secrets(empty).collect() == []
