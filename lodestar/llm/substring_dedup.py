@@ -18,8 +18,8 @@ of a route's windows are equal, the smallest id needs no index.
 
 Words are runs of bytes other than ASCII white space, unchanged. Null and empty texts have no words; very long ones are worked on whole. Texts of fewer than
 `size` words lose nothing. Rows with a null id neither lose words nor make others lose any; rows of the same id don't count as
-earlier for each other. Words are compared by 64-bit hashes. Matches end where segments end, so a long repeated passage is
-reported in overlapping pieces.
+earlier for each other. Words are compared by 64-bit hashes. Matches end where segments end; those whose windows follow on each
+other are joined at last, so a repeated passage is reported whole, as long as it is: a stretch of which every window stands in some earlier document.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ ROUTE, PART = 1000, 12_000
 #: Least hashes by which common routes are cut finer.
 FINER = 3
 
+#: Bytes of words after which a task indexes what it holds, at the end of a route.
+PART_BYTES = 8 << 20
+
 #: Places that are searched at once.
 LANES = 1 << 16
 
@@ -231,6 +234,7 @@ def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
+        held = 0
 
         def search() -> pa.RecordBatch:
             route, key, least, most, length, words = zip(*kept, strict=True)
@@ -255,9 +259,11 @@ def matching_statistics(segments: DataFrame, size: int = SIZE) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(kept) >= PART and kept[-1][0] != row[0]:
+                if (len(kept) >= PART or held >= PART_BYTES) and kept[-1][0] != row[0]:
                     yield search()
+                    held = 0
                 kept.append(row)
+                held += len(row[5])
         if kept:
             yield search()
 
@@ -316,7 +322,7 @@ def _matched(segments: DataFrame, size: int, seed: int, cuts: tuple[int, ...] =
 
 
 def repeated_passages(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, matches array<struct<start, length>>): runs of `size` words or more, from word start on, that also stand in a document with a smaller id."""
+    """(doc_id, text_hash, matches array<struct<start, length>>): the longest stretches, from word start on, of which every window of `size` words also stands in a document with a smaller id."""
     if not seed < size:
         raise ValueError("a passage must have more words than a seed")
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -334,7 +340,26 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_co
     own = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.lit(0).alias("start"), "length"))).otherwise(F.col("matches"))
     placed = F.transform(own, lambda m: F.struct((m["start"] + F.col("begin")).alias("start"), m["length"].alias("length")))
     hit = found.select("doc_id", "text_hash", F.col("start").alias("begin"), "route", "key").join(matched, ["route", "key"]).select("doc_id", "text_hash", placed.alias("m")).where(F.size("m") > 0)
-    return hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("matches"))
+    pieces = hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("matches"))  # a document's own pieces
+    return joined_pieces(pieces, size)
+
+
+def joined_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
+    """pieces (doc_id, text_hash, matches) with matches in order, and as one where the windows of one follow on those of another."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
+
+    def one(batch: pa.RecordBatch) -> dict:
+        out = []
+        for matches in batch.column(2).to_pylist():
+            at = np.array([(m["start"], m["start"] + m["length"]) for m in matches], np.int64)
+            at = at[np.argsort(at[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(at[:, 1])
+            first = np.flatnonzero(np.concatenate(([True], at[1:, 0] > reach[:-1] - size + 1)))
+            last = np.append(first[1:], len(at)) - 1
+            out.append([{"start": a, "length": b - a} for a, b in zip(at[first, 0].tolist(), reach[last].tolist(), strict=True)])
+        return {"doc_id": batch.column(0), "text_hash": batch.column(1), "matches": pa.array(out, kind)}
+
+    return map_rows(pieces, one, "doc_id long, text_hash long, matches array<struct<start:int,length:int>>")
 
 
 def without_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -109,3 +109,34 @@ def test_longer_passages(spark):
 
 def test_empty_table(empty):
     assert run(empty) == []
+
+
+@pytest.mark.parametrize("change", [{}, {"ROUTE": 2}, {"ROUTE": 0, "PART": 5, "PART_BYTES": 40}])
+def test_repeats_are_reported_whole(spark, monkeypatch, change):
+    """The stretches of windows that stand earlier, each as one match, however long; plainly from all windows."""
+    for name, value in change.items():
+        monkeypatch.setattr(sd, name, value)
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    long = [word() for _ in range(400)]
+    rows = [(0, " ".join(long)), (1, " ".join([word(), *long[50:390], word()])), (2, " ".join([*long[:100], word(), *long[100:140], *long[7:60]])), (3, " ".join(long[:12])), *[(i + 10, t) for i, t in near_copies()]]
+    least = {}
+    split = {i: t.split() for i, t in rows}
+    for i, w in split.items():
+        for k in range(len(w) - 12):
+            g = tuple(w[k : k + 13])
+            least[g] = min(least.get(g, i), i)
+    want = {}
+    for i, w in split.items():
+        starts = [k for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < i]
+        runs = []
+        for k in starts:
+            if runs and runs[-1][1] == k - 1:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        if runs:
+            want[i] = [(a, b - a + 13) for a, b in runs]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: [tuple(m) for m in x["matches"]] for x in sd.repeated_passages(docs).collect()}
+    assert got == want and want[1] == [(1, 340)] and want[2][0] == (0, 100)
