@@ -12,11 +12,16 @@ def _within(partition: tuple[str, ...]):
     return Window.partitionBy(*(partition or (F.lit(0),)))
 
 
+def _ranked(rows: DataFrame, order: list[Column | str], limit: int, partition: tuple[str, ...]) -> DataFrame:
+    """The first `limit` rows of each partition in an order, with their rank. Where there is no partition, tasks keep their first `limit` rows and only those meet."""
+    first = rows if partition else rows.orderBy(*order).limit(limit)
+    return first.withColumn("rank", F.row_number().over(_within(partition).orderBy(*order))).where(F.col("rank") <= limit)
+
+
 def variant_merge(hits: DataFrame, limit: int, partition: tuple[str, ...] = ()) -> DataFrame:
     """One ranking of (candidate_id, variant, rank, score): each candidate at its best (rank, variant), ranked anew by (rank, variant, id)."""
     best = hits.groupBy(*partition, "candidate_id").agg(F.min_by(F.struct("variant", "score", "rank"), F.struct("rank", "variant")).alias("b"))
-    ordered = best.withColumn("rank", F.row_number().over(_within(partition).orderBy("b.rank", "b.variant", "candidate_id")))
-    return ordered.where(F.col("rank") <= limit).select(*partition, "candidate_id", "rank", F.col("b.score").alias("score"), F.col("b.variant").alias("variant"))
+    return _ranked(best, ["b.rank", "b.variant", "candidate_id"], limit, partition).select(*partition, "candidate_id", "rank", F.col("b.score").alias("score"), F.col("b.variant").alias("variant"))
 
 
 def rrf(branches: DataFrame, k: float = 60.0, weights: dict[str, float] | None = None, limit: int = 100, partition: tuple[str, ...] = ()) -> DataFrame:
@@ -33,8 +38,7 @@ def rrf(branches: DataFrame, k: float = 60.0, weights: dict[str, float] | None =
     fused = votes.groupBy(*partition, "candidate_id").agg(F.sort_array(F.collect_list(F.struct("branch", (weight / (F.lit(k) + F.col("rank"))).alias("vote"), "rank", "score"))).alias("v"))
     total = F.aggregate(F.transform("v", lambda x: x["vote"]), F.lit(0.0), lambda a, b: a + b)
     rows = fused.select(*partition, "candidate_id", total.alias("rrf_score"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["branch"], x["rank"]))).alias("branch_ranks"), F.map_from_entries(F.transform("v", lambda x: F.struct(x["branch"], x["score"]))).alias("branch_scores"))
-    w = _within(partition).orderBy(F.desc("rrf_score"), "candidate_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return _ranked(rows, [F.desc("rrf_score"), "candidate_id"], limit, partition)
 
 
 def overlap_score(query: str, text: Column) -> Column:
@@ -63,5 +67,4 @@ def feedback_union(original: DataFrame, feedback: DataFrame, limit: int, partiti
     b = feedback.groupBy(*partition, "candidate_id").agg(F.min("rank").alias("b"))
     both = a.join(b, [*partition, "candidate_id"], "full_outer")
     origin = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "original").otherwise("already_seen")
-    w = _within(partition).orderBy(F.col("a").isNull(), F.coalesce("a", "b"), "candidate_id")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select(*partition, "candidate_id", "rank", origin.alias("origin"))
+    return _ranked(both, [F.col("a").isNull(), F.coalesce("a", "b"), "candidate_id"], limit, partition).select(*partition, "candidate_id", "rank", origin.alias("origin"))

@@ -149,7 +149,10 @@ def group_id(members: Column) -> Column:
 
 
 def groups(pool: DataFrame, edges: DataFrame) -> DataFrame:
-    """(candidate_id, group_id, group_size): connected candidates of pool (candidate_id, thread_fullname) by thread and by edges (a, b)."""
+    """(candidate_id, group_id, group_size): connected candidates of pool (candidate_id, thread_fullname) by thread and by edges (a, b).
+
+    A group's id is the digest of its sorted members, so the ids of one group meet in one task: some 50 bytes for each member.
+    """
     threads = pool.where("thread_fullname IS NOT NULL").select(F.concat(F.lit("thread:"), "thread_fullname").alias("a"), F.col("candidate_id").alias("b"))
     ids = pool.select("candidate_id").distinct()
     inside = edges.select("a", "b").join(ids.select(F.col("candidate_id").alias("a")), "a", "left_semi").join(ids.select(F.col("candidate_id").alias("b")), "b", "left_semi")
