@@ -82,7 +82,7 @@ FROM m GROUP BY rid, doc_id"""
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = substring_dedup.without_repeats(docs, substring_dedup.repeated_passages(docs))
+    kept = substring_dedup.without_repeats(docs, substring_dedup.repeated_pieces(docs))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -323,6 +323,11 @@ def _matched(segments: DataFrame, size: int, seed: int, cuts: tuple[int, ...] =
 
 def repeated_passages(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, matches array<struct<start, length>>): the longest stretches, from word start on, of which every window of `size` words also stands in a document with a smaller id."""
+    return joined_pieces(repeated_pieces(docs, size, seed, id_col, text_col), size)
+
+
+def repeated_pieces(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """repeated_passages in pieces that end where segments end, in no order: what without_repeats needs, as they cover the same words."""
     if not seed < size:
         raise ValueError("a passage must have more words than a seed")
     rows = texts(docs, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -340,8 +345,7 @@ def repeated_passages(docs: DataFrame, size: int = SIZE, seed: int = SEED, id_co
     own = F.when(F.col("doc_id") > F.col("least"), F.array(F.struct(F.lit(0).alias("start"), "length"))).otherwise(F.col("matches"))
     placed = F.transform(own, lambda m: F.struct((m["start"] + F.col("begin")).alias("start"), m["length"].alias("length")))
     hit = found.select("doc_id", "text_hash", F.col("start").alias("begin"), "route", "key").join(matched, ["route", "key"]).select("doc_id", "text_hash", placed.alias("m")).where(F.size("m") > 0)
-    pieces = hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("matches"))  # a document's own pieces
-    return joined_pieces(pieces, size)
+    return hit.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("m")).alias("matches"))  # a document's own pieces
 
 
 def joined_pieces(pieces: DataFrame, size: int = SIZE) -> DataFrame:
