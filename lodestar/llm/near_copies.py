@@ -1,6 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts that share a band of min-hashes: BANDS bands of ROWS hashes each, so that a pair at a similarity of 0.8
+Candidates come first from SimHash: each text's 64-bit fingerprint over its five-word shingles is posted by byte positions,
+shared bytes are counted, pairs that share four bytes and differ in at most BITS bits are verified by the Jaccard
+similarity, and what they link is one group from then on. Fingerprints guarantee two bits only, and texts of a similarity
+of 0.8 differ in ten on average, so the links are completed from min-hashes, for texts that are not in one group yet.
+
+There candidates are texts that share a band of min-hashes: BANDS bands of ROWS hashes each, so that a pair at a similarity of 0.8
 shares no band with a probability of 1.3e-7, and a closer pair with less. No list of a band is cut. Every candidate
 that counts is verified by the Jaccard similarity of the whole sets.
 
@@ -17,6 +22,8 @@ with a null id is left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +37,9 @@ from .words import BLANKS, mixed, windows, word_hashes
 
 SHINGLE, JACCARD = 5, 0.8
 
+#: Bits in which fingerprints of candidates may differ.
+BITS = 11
+
 #: Min-hashes that make a band's key, and bands.
 ROWS, BANDS = 5, 40
 
@@ -65,6 +75,14 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def fingerprint(shingles: np.ndarray) -> int:
+    """The signed 64-bit SimHash of a set of shingles: a bit is set if it is in over half the hashes; 0 for the empty set."""
+    set_bits = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 1 << 12):
+        set_bits += np.unpackbits(shingles[at : at + (1 << 12)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * set_bits > len(shingles)).tobytes(), "big", signed=True)
+
+
 def text_hash(c: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
@@ -74,18 +92,18 @@ def _signed(x: int) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, n, keys): node names the set of n shingles."""
+    """(doc_id, text_hash, node, n, fp, keys): node names the set of n shingles, fp is its fingerprint."""
 
     def one(batch: pa.RecordBatch) -> dict:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for part in slices(batch, 1 << 20):
             for s in shingle_sets(utf8(part.column(2))):
-                for column, value in zip(out, (_signed(xxhash.xxh64_intdigest(s.tobytes())), len(s), band_keys(s)), strict=True):
+                for column, value in zip(out, (_signed(xxhash.xxh64_intdigest(s.tobytes())), len(s), fingerprint(s), band_keys(s)), strict=True):
                     column.append(value)
-        return {"doc_id": batch.column(0), "text_hash": batch.column(1), "node": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "keys": pa.array(out[2], pa.list_(pa.int64()))}
+        return {"doc_id": batch.column(0), "text_hash": batch.column(1), "node": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "fp": pa.array(out[2], pa.int64()), "keys": pa.array(out[3], pa.list_(pa.int64()))}
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return map_rows(rows, one, "doc_id long, text_hash long, node long, n long, keys array<long>")
+    return map_rows(rows, one, "doc_id long, text_hash long, node long, n long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -138,16 +156,31 @@ def _blocks(lists: DataFrame) -> DataFrame:
     return dealt.where("blocks = 1 OR own <> other").select("key", "node", "n", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def links(docs: DataFrame, signed: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b): nodes of near copies; the links span all groups of near copies."""
-    nodes = written(signed.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+def fingerprint_pairs(nodes: DataFrame, by_fingerprint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): candidates among nodes (node, fp) by their fingerprints: a node with the least one of its fingerprint, and those of linked fingerprints."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda x: least.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x))
+    linked = by_fingerprint(nodes.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return same.union(linked.join(of("a"), "fp_a").join(of("b"), "fp_b").select("a", "b"))
+
+
+def links(docs: DataFrame, signed: DataFrame, by_fingerprint: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
+    """(a, b): nodes of near copies; the links span all groups of near copies. by_fingerprint links fingerprints (column fp)."""
+    nodes = written(signed.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    near = written(fingerprint_pairs(nodes.where("n > 0").select("node", "fp"), by_fingerprint), few=True)
     posts = nodes.select("node", F.explode("keys").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
     posts = written(posts.join(lists, "key"))
-    shared = nodes.select("node", "text_hash", "n").join(posts.select("node").distinct(), "node")
-    sets = written(_sets(docs, shared.select("node", "text_hash"), text_col))
-    stars = written(posts.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    first = written(_alike(stars, sets), few=True)
+    asked = posts.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    sets = written(_sets(docs, nodes.select("node", "text_hash").join(asked, "node"), text_col))
+    by_bits = written(_alike(near, sets), few=True)
+
+    told = components(by_bits)
+    of = lambda x: told.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    stars = posts.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select("a", "b")
+    first = written(by_bits.union(_alike(written(apart), sets)), few=True)
 
     roots = components(first)
     members = posts.where("size > 2 AND node <> leader").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -156,21 +189,25 @@ def links(docs: DataFrame, signed: DataFrame, text_col: str = "text") -> DataFra
     return first.union(rest.groupBy("key", "i", "j").applyInPandas(_rest_of_list, "a long, b long")).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, root) of every row with an id: rows of near copies, and of copies of those, have one root."""
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_fingerprint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text_hash, root) of every row with an id: rows of near copies, and of copies of those, have one root.
+
+    by_fingerprint links fingerprints; without it only equal ones are linked.
+    """
     signed = written(signatures(docs, id_col, text_col))
-    roots = components(links(docs, signed, text_col)).withColumnRenamed("node", "__node")
+    equal = lambda fps: fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    roots = components(links(docs, signed, by_fingerprint or equal, text_col)).withColumnRenamed("node", "__node")
     return signed.join(roots, F.col("node") == F.col("__node"), "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_fingerprint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of docs that have the smallest id of their group of near copies; all rows without an id.
 
     Where the id repeats within the group, the row of the text of least hash; of rows that repeat id and text, one. Texts of rows
     that a bitmap of the rows to look at doesn't hold stay where they are; the others are joined by id and text hash.
     """
     own = {c: free_name(docs, f"__{c}") for c in ("id", "hash", "key", "first")}
-    named = written(near_copies(docs, id_col, text_col))
+    named = written(near_copies(docs, id_col, text_col, by_fingerprint))
     least = written(named.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")))
     rows = named.groupBy("doc_id", "text_hash", "root").agg(F.count("*").alias("n")).join(least, "root")
     first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))

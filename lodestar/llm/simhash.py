@@ -16,7 +16,8 @@ has no id at all.
 
 A distance in bits says little about a stated similarity of shingles: texts of Jaccard 0.8 differ in each bit with a
 probability of 0.15, so in 10 of 64 bits on average, at which no byte need be shared, and keys of the 30 bits that large
-inputs need agree in one pair of 137. thin() therefore takes the candidates for a stated similarity from min-hashes.
+inputs need agree in one pair of 137. thin() takes fingerprints of five-word shingles through the same index with wider bounds, verifies what
+meets there by the Jaccard similarity, and completes the links from min-hashes (see near_copies).
 """
 
 from __future__ import annotations
@@ -130,15 +131,18 @@ def _forest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": fps[new[linked]], "b": fps[linked]})
 
 
-def links(fps: DataFrame, list_limit: int = 64) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of column fp that span all links of two or fewer differing bits."""
+def links(fps: DataFrame, list_limit: int = 64, shared_bytes: int = 6, bits: int = 2) -> DataFrame:
+    """(a, b): links among the distinct fingerprints of column fp that span all links of two or fewer differing bits.
+
+    Wider bounds (fewer shared bytes, more bits) add the pairs within them that meet in a list of at most list_limit; beyond two bits not all pairs meet.
+    """
     posts = _post(fps.select("fp").distinct(), _pair_keys())
     sizes = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     posts = written(posts.join(sizes, "key"))
     short, long = posts.where(F.col("n") <= list_limit), posts.where(F.col("n") > list_limit)
     a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
     shared = sum(F.when(_byte("a", k) == _byte("b", k), 1).otherwise(0) for k in range(8))
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (shared >= 6) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (shared >= shared_bytes) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
     again = _post(long.select("fp", F.col("key.choice").alias("choice")), _longer_keys())
     forest = again.groupBy(F.col("key.choice").alias("choice"), F.col("key.more").alias("more"), F.col("key.bits").alias("bits")).applyInPandas(_forest, "a long, b long")
     return pairs.select("a", "b").union(forest).distinct()
@@ -157,4 +161,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, list_limit: int = 64, id_
 
 def thin(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of texts that are linked by a similarity of 0.8 or more over five-word shingles; see near_copies."""
-    return near_copies.first_of_each(docs, id_col, text_col)
+    return near_copies.first_of_each(docs, id_col, text_col, lambda fps: links(fps, shared_bytes=4, bits=near_copies.BITS))

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from lodestar.llm import near_copies
+from lodestar.llm import near_copies, simhash
 from tests.llm.conftest import EXTRA, SCHEMA
 
 
@@ -106,3 +107,23 @@ def test_further_links_of_a_list():
     group = pd.DataFrame({"key": 1, "node": range(10, 16), "n": 20, "root": range(10, 16), "shingles": sets})
     got = {frozenset(x) for x in near_copies._rest_of_list(group).itertuples(index=False)}
     assert got == {frozenset(x) for x in [(10, 11), (10, 12), (12, 13), (14, 15)]}
+
+
+def test_fingerprints_are_simhashes_of_the_shingles():
+    sets = [s for s in near_copies.shingle_sets([x.encode() for x in ("a b c d e f g", " ".join(map(str, range(9000))), "", "one")])]
+    for s in sets:
+        plain = sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in s) > len(s))
+        assert near_copies.fingerprint(s) % 2**64 == plain
+
+
+def test_stage_goes_through_the_fingerprint_index(spark, table, monkeypatch):
+    """Close copies are linked by their fingerprints alone: here no text shares a band of min-hashes. Two random texts aren't linked."""
+    r, asked, linked = random.Random(3), [], simhash.links
+    w = [str(r.randrange(10**6)) for _ in range(3000)]
+    texts = [" ".join(w), " ".join(w[:2990]), " ".join(w[5:]), " ".join(str(r.randrange(10**6)) for _ in range(3000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["c"] * len(EXTRA)) for i, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(simhash, "links", lambda fps, **bounds: asked.append(bounds) or linked(fps, **bounds))
+    signed = near_copies.signatures
+    monkeypatch.setattr(near_copies, "signatures", lambda *a: signed(*a).withColumn("keys", F.array(F.col("doc_id"))))
+    kept = sorted(x["doc_id"] for x in cp.near_duplicate_stage(spark, docs, "").collect())
+    assert kept == [0, 3] and asked == [{"shared_bytes": 4, "bits": near_copies.BITS}]
