@@ -43,7 +43,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id of each group of near duplicates: texts that are linked by similarities of 0.8 or more over five-word shingles.
 
-    Where the id repeats within the group, it is one of its rows, picked by the hash of its text.
+    Links come from SimHash fingerprints through the byte-position index with shared bytes counted, each verified; as fingerprints guarantee
+    two bits only, min-hashes complete them. Where the id repeats within the group, it is one of its rows, picked by the hash of its text.
     """
     return simhash.thin(docs)
 
