@@ -107,3 +107,62 @@ def test_pairs_and_links_against_all_pairs(spark, monkeypatch, each):
     assert links <= want and groups(links) == groups(want) and (each or len(links) < len(want) / 2)
     p, d = s.where("id LIKE 'c0%'"), s.where("id LIKE 'c%' AND id NOT LIKE '%_0'")
     assert {(x["a"], x["b"]) for x in similarity.prefix_pairs(p, d).collect()} == {(a, b) for a, b in want | {(b, a) for a, b in want} | {(a, a) for a in texts} if a.startswith("c0") and b.startswith("c") and not b.endswith("_0")}
+
+
+def _moved(spark, run):
+    """(what run returns, bytes that it shuffled and wrote)."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        listed = store.stageList(spark._jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in map(listed.apply, range(listed.size()))}
+
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = total()
+    out = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return out, sum(v for k, v in total().items() if k not in before)
+
+
+def _texts_with_a_common_passage(n):
+    """Texts of 300 words, 40 of which they all share; every tenth has a near copy."""
+    r = random.Random(4)
+    shared = [f"c{k}" for k in range(40)]
+    out = []
+    for i in range(n):
+        words = [str(r.randrange(10**6)) for _ in range(130)] + shared + [str(r.randrange(10**6)) for _ in range(130)]
+        out.append((f"d{i}", " ".join(words)))
+        if i % 10 == 0:
+            out.append((f"e{i}", " ".join(words[:-2])))
+    return out
+
+
+def test_near_duplicates_move_little_where_all_texts_share_a_passage(spark):
+    texts = _texts_with_a_common_passage(600)
+    pool = similarity.written(spark.createDataFrame(texts, "candidate_id string, text string").repartition(4))
+    edges, moved = _moved(spark, lambda: similarity.duplicate_edges(pool, unicode=False).collect())
+    assert {(x["a"], x["b"]) for x in edges} == {(f"d{i}", f"e{i}") for i in range(0, 600, 10)}
+    assert moved < 5 * sum(len(t) for _, t in texts)
+
+
+def test_exposure_moves_only_shingles_of_development_texts(spark):
+    texts = _texts_with_a_common_passage(300)
+    pool = similarity.written(spark.createDataFrame(texts, "candidate_id string, text string").repartition(4))
+    development = spark.createDataFrame([("x", texts[0][1]), ("y", " ".join(texts[50][1].split()[:150]))], "id string, text string")
+    found, moved = _moved(spark, lambda: similarity.exposed(pool, development, unicode=False, threshold=0.3).collect())
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in [*texts, ("x", texts[0][1]), ("y", " ".join(texts[50][1].split()[:150]))]}
+    assert {x["candidate_id"] for x in found} == {i for i, _ in texts if any(len(sets[i] & sets[d]) / len(sets[i] | sets[d]) >= 0.3 for d in "xy")} and len(found) > 1
+    assert moved < sum(len(t) for _, t in texts) + 50_000
+
+
+def test_shared_shingles_are_moved_once(spark):
+    texts = _texts_with_a_common_passage(300)
+    pool = similarity.written(spark.createDataFrame(texts, "candidate_id string, text string").repartition(4))
+    edges, moved = _moved(spark, lambda: similarity.shared_shingle_edges(pool, unicode=False).collect())
+    first = {}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    for i in sorted(sets):
+        for s in sets[i]:
+            first.setdefault(s, i)
+    assert {(x["a"], x["b"]) for x in edges} == {(first[s], i) for i in sets for s in sets[i] if first[s] != i}
+    assert moved < 17 * sum(map(len, sets.values()))
