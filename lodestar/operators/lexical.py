@@ -22,13 +22,29 @@ from ..plans.publish import written
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
+def _by_term(words: Column) -> Column:
+    """array<struct<term, positions>> of an array of tokens, in order; one pass over the sorted tokens."""
+    numbered = F.sort_array(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def of(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i)["term"] != F.get(w, i - 1)["term"]))
+        group = lambda s: lambda a, k: F.struct(F.get(w, a)["term"].alias("term"), F.transform(F.slice(w, a + 1, F.coalesce(F.get(s, k + 1), F.size(w)) - a), lambda x: x["pos"]).alias("positions"))
+        return F.transform(F.array(starts), lambda s: F.transform(s, group(s)))[0]  # an array of one array: so that it is a variable
+
+    return F.when(F.size(words) > 0, F.transform(F.array(numbered), of)[0])
+
+
 def postings(units: DataFrame, id_cols: tuple[str, ...] = ("unit_id",), columns: tuple[str, ...] = ("focus_text", "context_only_text"), tokenize=tokens) -> DataFrame:
-    """(id columns, column, term, positions array<int>, length): positions of each term in each text column; length counts the unit's tokens in all of them."""
+    """(id columns, column, term, positions array<int>, length): positions of each term in each text column; length counts the unit's tokens in all of them.
+
+    A unit's tokens are brought together where it is: nothing is shuffled. Units' ids are taken to be unique.
+    """
     tokenized = units.select(*id_cols, *[tokenize(F.coalesce(F.col(c), F.lit(""))).alias(f"__{k}") for k, c in enumerate(columns)])
     length = sum(F.size(f"__{k}") for k in range(len(columns)))
     sides = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__{k}").alias("tokens")) for k, c in enumerate(columns)])
-    rows = tokenized.select(*id_cols, length.alias("length"), F.explode(sides).alias("side")).select(*id_cols, "length", "side.column", F.posexplode("side.tokens").alias("pos", "term"))
-    return rows.groupBy(*id_cols, "column", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("length").alias("length"))
+    rows = tokenized.select(*id_cols, length.alias("length"), F.explode(sides).alias("side"))
+    found = rows.select(*id_cols, "side.column", "length", F.explode_outer(_by_term(F.col("side.tokens"))).alias("found")).where("found IS NOT NULL")
+    return found.select(*id_cols, "column", "found.term", "found.positions", "length")
 
 
 def statistics(units: DataFrame, columns: tuple[str, ...] = ("focus_text", "context_only_text"), tokenize=tokens) -> tuple[int, float]:
