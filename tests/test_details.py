@@ -1,5 +1,6 @@
 """Operators that the queries don't reach, or whose refusals they don't show."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,53 @@ def test_label_and_pool_refusals(spark):
 def test_blocked_units_stay_out_of_the_index(spark):
     u = spark.createDataFrame([("s", "u1"), ("s", "u2")], "snapshot_id string, unit_id string")
     assert lexical.index_units(u, None, u.limit(1)).count() == 1
+
+
+def test_folding_leaves_plain_texts_to_spark(spark):
+    """Equal to the library's folding for every letter, alone and beside others; texts of Latin letters never reach Python."""
+    import unicodedata
+
+    from lodestar.functions import text
+
+    letters = [chr(k) for k in [*range(0x3000), *range(0x3041, 0x3100), *range(0xAC00, 0xAC40), *range(0xF900, 0xFA00), *range(0xFB00, 0x10000)] if unicodedata.category(chr(k)) != "Cn"]
+    texts = [None, "", "Straße", "ΟΔΟΣ x", "é", "\u1100\u1161", "가\u11a8", *letters, *[f"aB{c}ñ\u0301" for c in letters[:0x600]]]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").repartition(3).select("t", text.fold(F.col("t")).alias("f")).collect()
+    assert all(r["f"] == unicodedata.normalize("NFKC", r["t"] or "").casefold() for r in rows) and len(rows) == len(texts)
+
+    sent = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("string")
+    def counted(c):
+        sent.add(len(c) - c.null_count)
+        return c
+
+    kept, text._folded = text._folded, counted
+    try:
+        got = spark.createDataFrame([("Über die Straße, señor",), ("‘quoted’ – text",), ("ﬁ",)], "t string").select(text.fold(F.col("t"))).collect()
+    finally:
+        text._folded = kept
+    assert sent.value == 1 and got[0][0] == "über die strasse, señor"
+
+
+def test_texts_are_cut_in_pieces(spark, monkeypatch):
+    """Pieces of few bytes give the same chunks, and no batch holds more than a piece."""
+    from lodestar.operators import units
+
+    rows = [(f"t3_{i}", "submission", "", "word " * (i % 7 * 20) + "\nnext line") for i in range(300)]
+    m = spark.createDataFrame(rows, "fullname string, kind string, raw_title string, raw_body string").coalesce(1)
+    want = sorted((n, a, b) for n, _, _, body in rows for a, b in units.chunk_spans(body, 16, 4))
+    monkeypatch.setattr(units, "PIECE", 2000)
+    cut = units.chunks(m, 16, 4)
+    assert sorted((r["fullname"], r["focus_start"], r["focus_end"]) for r in cut.collect()) == want
+    batch = pa.RecordBatch.from_pydict({"fullname": [r[0] for r in rows], "field": ["selftext"] * 300, "text": [r[3] for r in rows]})
+    pieces = list(units.cutter(16, 4)(iter([batch])))
+    assert sum(p.num_rows for p in pieces) == len(want) and max(p.nbytes for p in pieces) < 8000
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    u = spark.createDataFrame([("u1", "b a b, c B", "a x"), ("u2", "", None), ("u3", None, "Z")], "unit_id string, focus_text string, context_only_text string")
+    post = lexical.postings(u)
+    got = sorted((r["unit_id"], r["column"], r["term"], r["positions"], r["length"]) for r in post.collect())
+    f, c = "focus_text", "context_only_text"
+    assert got == sorted([("u1", f, "a", [1], 7), ("u1", f, "b", [0, 2, 4], 7), ("u1", f, "c", [3], 7), ("u1", c, "a", [0], 7), ("u1", c, "x", [1], 7), ("u3", c, "z", [0], 1)])
+    assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
