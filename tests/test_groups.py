@@ -166,3 +166,57 @@ def test_shared_shingles_are_moved_once(spark):
             first.setdefault(s, i)
     assert {(x["a"], x["b"]) for x in edges} == {(first[s], i) for i in sets for s in sets[i] if first[s] != i}
     assert moved < 17 * sum(map(len, sets.values()))
+
+
+def test_texts_of_one_origin_that_are_not_near_move_little(spark):
+    """Clusters of which all texts share much, but no two enough: their pairs are settled without moving sets for them."""
+    r = random.Random(6)
+    texts = []
+    for c in range(8):
+        base = [str(r.randrange(10**6)) for _ in range(300)]
+        for k in range(40):
+            words = list(base)
+            for i in r.sample(range(300), 4):
+                words[i] = str(r.randrange(10**6))
+            texts.append((f"c{c}_{k}", " ".join(words)))
+        texts.append((f"d{c}", " ".join([*words, "end"])))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.9}
+    pool = similarity.written(spark.createDataFrame(texts, "candidate_id string, text string").repartition(4))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges, moved = _moved(spark, lambda: similarity.duplicate_edges(pool, unicode=False).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    got = {(x["a"], x["b"]) for x in edges}
+    assert got <= want and {x for pair in got for x in pair} == {x for pair in want for x in pair} and len(want) >= 8
+    assert moved < 5 * sum(len(t) for _, t in texts), moved / sum(len(t) for _, t in texts)
+
+
+@pytest.mark.parametrize("marks", [1 << 24, 64])
+def test_marked_keys(spark, monkeypatch, marks):
+    monkeypatch.setattr(similarity, "MARKS", marks)
+    rows, keys = spark.range(300).selectExpr("CAST(id AS string) AS id"), spark.range(0, 600, 7).selectExpr("CAST(id AS string) AS id")
+    among = {str(k) for k in range(0, 300, 7)}
+    assert among <= {x["id"] for x in similarity.maybe(rows, keys, "id").collect()}
+    assert {x["id"] for x in similarity._without(rows, keys, "id").collect()} == {str(k) for k in range(300)} - among
+
+
+def test_parities_keep_all_pairs_at_the_threshold(spark):
+    """Sets of all sizes, also around the powers of two at which the bits become more: no pair at the threshold is lost, most pairs far below it are."""
+    r = random.Random(9)
+    sets, pairs, near = {}, [], {}
+    for k, n in enumerate([1, 2, 5, 20, 60, 64, 65, 120, 127, 128, 130, 250, 256, 258, 500, 512, 540, 1000, 1024, 1100, 4090, 4200]):
+        sets[f"b{k}"] = {r.randrange(-(2**63), 2**63) for _ in range(n)}
+        for j, change in enumerate([0, 0.02, 0.04, 0.05, 0.2]):
+            for more in (0, 0.05):
+                i, base = f"m{k}_{j}_{more}", sorted(sets[f"b{k}"])
+                sets[i] = set(base[int(n * change) :]) | {r.randrange(-(2**63), 2**63) for _ in range(int(n * (change + more)))}
+                pairs.append((f"b{k}", i))
+                near[pairs[-1]] = len(sets[f"b{k}"] & sets[i]) / len(sets[f"b{k}"] | sets[i])
+    s = spark.createDataFrame([(i, list(x), len(x)) for i, x in sets.items()], "id string, shingles array<bigint>, n int")
+    left = {(x["a"], x["b"]) for x in similarity._alike(spark.createDataFrame(pairs, "a string, b string"), lambda ids: similarity.maybe(s, ids, "id"), 0.9).collect()}
+    assert {p for p in pairs if near[p] >= 0.9} <= left
+    far = [p for p in pairs if near[p] < 0.75 and len(sets[p[0]]) >= 120]
+    assert far and sum(p in left for p in far) < len(far) / 5
